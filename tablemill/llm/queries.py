@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemill.llm.bpe import bpe_decode, bpe_encode
-from tablemill.llm.common import table
+from tablemill.llm.common import shared_dir, table
 from tablemill.llm.exact_dedup import exact_dedup
-from tablemill.llm.token_count import token_counts
+from tablemill.llm.mixing import mix
+from tablemill.llm.quality import quality_rules
+from tablemill.llm.secrets import BASE, secret_spans
+from tablemill.llm.substring_dedup import repeated_spans
+from tablemill.llm.token_count import library_encoder, token_counts, tokenizers_pattern
+from tablemill.llm.token_files import read_token_files, write_token_files
+from tablemill.llm.url_filter import url_filter
 
 QUERIES = {}
 ORACLES = {}
@@ -40,6 +48,44 @@ FROM n WINDOW g AS (PARTITION BY norm)
 """
 
 
+@query
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    base = F.filter("secrets", lambda s: s["kind"].isin(*BASE))
+    return found.select("doc_id", *map(count, BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
+
+
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_50k.json"), tokenizers_pattern()
+    files = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    write_token_files(table(spark, sf_dir, "documents"), files, lambda: library_encoder(path, pattern), end_id=2)
+    return read_token_files(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512, keep=["doc_id"])
+
+
+@query
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("label_id"), (F.col("quality") == 0).alias("bad"))
+    return url_filter(table(spark, sf_dir, "pages"), labels)
