@@ -12,6 +12,7 @@ from tablemill.llm.bpe import bpe_decode, bpe_encode
 from tablemill.llm.common import shared_dir, table
 from tablemill.llm.exact_dedup import exact_dedup
 from tablemill.llm.mixing import mix
+from tablemill.llm.ngram_join import ngram_join
 from tablemill.llm.quality import quality_rules
 from tablemill.llm.secrets import BASE, secret_spans
 from tablemill.llm.substring_dedup import repeated_spans
@@ -62,6 +63,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.json"), tokenizers_pattern()
