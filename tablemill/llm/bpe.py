@@ -21,59 +21,63 @@ from tablemill.llm.common import map_rows
 _NONE = 1 << 62
 
 
-def merge(piece: bytes, rank: Callable[[bytes, bytes], int | None]) -> list[bytes]:
+def merge(piece: bytes, get: Callable[[bytes], int | None], left: dict[bytes, int] | None = None) -> list[bytes]:
     """Split ``piece`` into tokens by always merging the leftmost pair of lowest rank.
 
-    An empty piece gives no token; a single byte gives itself.
+    ``get`` gives the rank of a pair by the bytes that it makes, or None. ``left`` says, for vocabularies that list
+    their pairs, how long the left half must be. An empty piece gives no token; a single byte gives itself.
     """
     n = len(piece)
     if n < 2:
         return [piece] if n else []
-    parts = [piece[i : i + 1] for i in range(n)]
-    width = 1 << (n - 1).bit_length()
-    tree = [_NONE] * (2 * width)
-    for i in range(n - 1):
-        r = rank(parts[i], parts[i + 1])
+    m = n - 1
+    tree = [_NONE] * (2 * m)
+    for i in range(m):
+        r = get(piece[i : i + 2])
         if r is not None:
-            tree[width + i] = r * n + i
-    for k in range(width - 1, 0, -1):
+            tree[m + i] = r * n + i
+    for k in range(m - 1, 0, -1):
         a, b = tree[2 * k], tree[2 * k + 1]
         tree[k] = a if a < b else b
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-    def put(leaf: int, value: int) -> None:
-        k = width + leaf
-        tree[k] = value
-        while k > 1:
-            other = tree[k ^ 1]
-            k >>= 1
-            low = value if value < other else other
-            if tree[k] == low:
-                return
-            tree[k] = value = low
-
+    # the token that begins at i ends at stop[i]; before it is the one that begins at before[i]
+    stop, before = list(range(1, n + 1)), list(range(-1, m))
     while (low := tree[1]) != _NONE:
         i = low % n
-        j = after[i]
-        right = after[j]
-        parts[i] += parts[j]
-        parts[j] = b""
-        after[i] = right
-        if tree[width + j] != _NONE:
-            put(j, _NONE)
+        j = stop[i]
+        k = stop[i] = stop[j]
+        changed = []
+        if j < m:
+            changed.append((j, _NONE))
         r = None
-        if right < n:
-            before[right] = i
-            r = rank(parts[i], parts[right])
-        put(i, _NONE if r is None else r * n + i)
-        left = before[i]
-        if left >= 0:
-            r = rank(parts[left], parts[i])
-            put(left, _NONE if r is None else r * n + left)
+        if k < n:
+            before[k] = i
+            r = get(piece[i : stop[k]])
+            if r is not None and left is not None and left[piece[i : stop[k]]] != k - i:
+                r = None
+        changed.append((i, _NONE if r is None else r * n + i))
+        h = before[i]
+        if h >= 0:
+            r = get(piece[h:k])
+            if r is not None and left is not None and left[piece[h:k]] != i - h:
+                r = None
+            changed.append((h, _NONE if r is None else r * n + h))
+        for leaf, value in changed:
+            p = m + leaf
+            if tree[p] == value:
+                continue
+            tree[p] = value
+            while p > 1:
+                other = tree[p ^ 1]
+                p >>= 1
+                if other < value:
+                    value = other
+                if tree[p] == value:
+                    break
+                tree[p] = value
     out, i = [], 0
     while i < n:
-        out.append(parts[i])
-        i = after[i]
+        out.append(piece[i : stop[i]])
+        i = stop[i]
     return out
 
 
@@ -148,13 +152,12 @@ def encoder(path: str, pattern: str) -> Callable[[str], bytes]:
     ranks = load_ranks(path)
     find = regex.compile(pattern, regex.V1).findall
 
-    def rank(a: bytes, b: bytes) -> int | None:
-        return ranks.get(a + b)
+    get = ranks.get
 
     def encode_piece(piece: str) -> bytes:
         raw = piece.encode()
-        whole = ranks.get(raw)
-        ids = [whole] if whole is not None else [ranks[t] for t in merge(raw, rank)]
+        whole = get(raw)
+        ids = [whole] if whole is not None else [ranks[t] for t in merge(raw, get)]
         return array("I", ids).tobytes()
 
     memo = Memo(encode_piece)

@@ -44,12 +44,14 @@ class Vocabulary:
         raw = lambda s: bytes(map(to_byte.__getitem__, s))
         self.ids = {raw(s): i for s, i in model["vocab"].items()}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.ranks = {(raw(a), raw(b)): k for k, (a, b) in enumerate(pairs)}
+        self.ranks = {raw(a + b): k for k, (a, b) in enumerate(pairs)}
+        self.left = {raw(a + b): len(raw(a)) for a, b in pairs}
+        if len(self.ranks) != len(pairs):
+            raise ValueError(f"{path}: a token is made by more than one pair")
         self.special = {t["content"]: t["id"] for t in said["added_tokens"]}
 
     def split(self, piece: bytes) -> list[bytes]:
-        get = self.ranks.get
-        return merge(piece, lambda a, b: get((a, b)))
+        return merge(piece, self.ranks.get, self.left)
 
     def proven(self) -> set[str]:
         """Vocabulary strings that encode, alone, as one token. Those that aren't whole characters can't be pre-tokens."""
