@@ -64,6 +64,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of ``df`` whose text stays, with all columns; see ``exact_dedup``. Rows with a null id stay (none can be told apart)."""
-    gone = exact_dedup(df, id_col, text_col, keep).where(~F.col("kept")).select(F.col(id_col).alias("_gone"))
+    """The rows of ``df`` whose text stays, with all columns; see ``exact_dedup``.
+
+    Rows that repeat an id stay or go together; rows with a null id stay (none can be told apart).
+    """
+    judged = exact_dedup(df, id_col, text_col, keep)
+    gone = judged.groupBy(F.col(id_col).alias("_gone")).agg(F.bool_or("kept").alias("_kept")).where("not _kept").select("_gone")
     return df.join(gone, df[id_col].cast("bigint") == gone["_gone"], "left_anti")
