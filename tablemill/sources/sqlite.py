@@ -1,4 +1,9 @@
-"""SQLite tables as a Spark data source: ranges of ids are read in parallel, with filters pushed down; results are written as one transaction."""
+"""SQLite tables as a Spark data source: ranges of ids are read in parallel, results are written as one transaction.
+
+Columns are pruned by selecting a schema, rows by the ``where`` option, which the store evaluates (``pending`` makes
+it). Spark's own filter pushdown to Python sources isn't used: in 4.1 filters pushed for one query stay with the table
+and are applied to the next one too.
+"""
 
 from __future__ import annotations
 
@@ -9,14 +14,15 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from pathlib import Path
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from tablemill.plans.spec import identifier
+from tablemill.operators.predicates import unprocessed_sql
+from tablemill.plans.spec import TaskSpec, identifier
 
 #: Declared types to Spark's, by what they contain, as SQLite decides on affinity.
 _KINDS = (("INT", T.LongType()), ("CHAR", T.StringType()), ("CLOB", T.StringType()), ("TEXT", T.StringType()), ("REAL", T.DoubleType()), ("FLOA", T.DoubleType()), ("DOUB", T.DoubleType()), ("BLOB", T.BinaryType()))
-_COMPARE = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 LOCK_SECONDS = 30
 
 
@@ -38,7 +44,7 @@ class Staged(WriterCommitMessage):
 
 
 class SqliteSource(DataSource):
-    """Options: path, table, id_col (``id``), partitions (8); for writing: mode append updates rows by id."""
+    """Options: path, table, id_col (``id``), partitions (8), where (SQL); for writing: mode append updates rows by id."""
 
     @classmethod
     def name(cls) -> str:
@@ -64,29 +70,7 @@ class SqliteReader(DataSourceReader):
     def __init__(self, options, schema: T.StructType):
         self.path, self.table, self.id_col = options["path"], identifier(options["table"]), identifier(options.get("id_col", "id"))
         self.n, self.schema = int(options.get("partitions", 8)), schema
-        self.where: list[tuple[str, tuple]] = []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            made = self._sql(f)
-            if made is None:
-                yield f
-            else:
-                self.where.append(made)
-
-    def _sql(self, f: Filter) -> tuple[str, tuple] | None:
-        if len(getattr(f, "attribute", ())) != 1:
-            return None
-        col = identifier(f.attribute[0])
-        if type(f) in _COMPARE and isinstance(f.value, (int, float, str)) and not isinstance(f.value, bool):
-            return f"{col} {_COMPARE[type(f)]} ?", (f.value,)
-        if isinstance(f, In):
-            return f"{col} IN ({', '.join('?' * len(f.value))})", tuple(f.value)
-        if isinstance(f, IsNull):
-            return f"{col} IS NULL", ()
-        if isinstance(f, IsNotNull):
-            return f"{col} IS NOT NULL", ()
-        return None
+        self.where = options.get("where")
 
     def partitions(self) -> Sequence[InputPartition]:
         with connect(self.path) as c:
@@ -100,13 +84,10 @@ class SqliteReader(DataSourceReader):
 
     def read(self, part: IdRange) -> Iterator[tuple]:
         names = ", ".join(identifier(f.name) for f in self.schema.fields)
-        clauses, values = [f"{self.id_col} BETWEEN ? AND ?"], [part.low, part.high]
-        for sql, v in self.where:
-            clauses.append(sql)
-            values += v
+        where = f"{self.id_col} BETWEEN ? AND ?" + (f" AND ({self.where})" if self.where else "")
         fix = [float if isinstance(f.dataType, T.DoubleType) else str if isinstance(f.dataType, T.StringType) else None for f in self.schema.fields]
         with connect(self.path) as c:
-            for row in c.execute(f"SELECT {names} FROM {self.table} WHERE {' AND '.join(clauses)} ORDER BY {self.id_col}", values):
+            for row in c.execute(f"SELECT {names} FROM {self.table} WHERE {where} ORDER BY {self.id_col}", (part.low, part.high)):
                 yield tuple(v if v is None or k is None else k(v) for v, k in zip(row, fix, strict=True))
 
 
@@ -158,3 +139,9 @@ class SqliteWriter(DataSourceWriter):
         for m in messages:
             if m is not None:
                 Path(m.path).unlink(missing_ok=True)
+
+
+def pending(spark: SparkSession, path: str, table: str, spec: TaskSpec, partitions: int = 8) -> DataFrame:
+    """Unprocessed rows, selected by the store, with id and inputs."""
+    df = spark.read.format("sqlite_table").options(path=path, table=table, id_col=spec.id_col, partitions=str(partitions), where=unprocessed_sql(spec)).load()
+    return df.select(spec.id_col, *[c for c in spec.inputs if c != spec.id_col])
