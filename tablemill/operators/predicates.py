@@ -98,3 +98,17 @@ def sample_rows(df: DataFrame, spec: TaskSpec, n: int, done: bool = False, colum
     keep = list(columns) if columns is not None else (spec.output_columns if done else list(spec.inputs))
     rows = df.filter(processed(df, spec) if done else unprocessed(df, spec))
     return rows.select(spec.id_col, *[c for c in keep if c in df.columns and c != spec.id_col]).orderBy(spec.id_col).limit(n)
+
+
+def reload(df: DataFrame, failed: DataFrame, id_col: str) -> DataFrame:
+    """The current rows of the ids in ``failed``, read again before a retry."""
+    return df.join(failed.select(id_col).distinct(), id_col, "left_semi")
+
+
+def all_rows(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """Every row, whatever its state; unknown columns are dropped."""
+    return df.select(*[c for c in columns if c in df.columns])
+
+
+def processed_rows(df: DataFrame, spec: TaskSpec, columns: Iterable[str] | None = None) -> DataFrame:
+    return all_rows(df.filter(processed(df, spec)), spec.output_columns if columns is None else columns)

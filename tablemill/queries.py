@@ -175,6 +175,16 @@ def nested_cells(spark, d):
     return t.select("n_nationkey", to_text(t, "a").alias("people"), to_text(t, "b").alias("link"))
 
 
+@query(f"SELECT doc_id, text FROM {TASKS} WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def reload_failed(spark, d):
+    return predicates.all_rows(predicates.reload(_tasks(spark, d), _t(spark, d, "labels").where("toxic = 1"), "doc_id"), ["doc_id", "text", "gone"])
+
+
+@query(f"SELECT quality, toxic FROM {TASKS} WHERE quality IS NOT NULL AND toxic IS NOT NULL")
+def processed_outputs(spark, d):
+    return predicates.processed_rows(_tasks(spark, d), SPEC)
+
+
 # ---- shards -----------------------------------------------------------------------------------------------------
 
 

@@ -211,7 +211,10 @@ class RestReader(DataSourceReader):
 
 
 class RestWriter(DataSourceWriter):
-    """Updates: record tables by ``record_id``, sheets by ``_row_id``, in runs of neighbouring rows of each column. Writing the same again is harmless, so tasks may be run again."""
+    """Updates: record tables by ``record_id``, sheets by ``_row_id``, in runs of neighbouring rows of each column.
+
+    Writing the same again is harmless, so tasks may be run again; only records without an id, which are created, may then come twice.
+    """
 
     def __init__(self, service: Service, schema: T.StructType):
         self.service, self.names = service, [f.name for f in schema.fields]
@@ -235,8 +238,11 @@ class RestWriter(DataSourceWriter):
         a, b = self.service.place
         names = [n for n in self.names if n not in ("record_id", "_row_id")]
         if self.service.kind == "bitable":
-            made = [{"record_id": r["record_id"], "fields": {n: r[n] for n in names if r[n] is not None}} for r in batch]
-            in_halves(made, lambda part: call("POST", f"apps/{a}/tables/{b}/records/batch_update", {"records": list(part)}))
+            fields = lambda r: {n: r[n] for n in names if r[n] is not None}
+            known = [{"record_id": r["record_id"], "fields": fields(r)} for r in batch if r["record_id"] is not None]
+            new = [{"fields": fields(r)} for r in batch if r["record_id"] is None]
+            for what, rows in (("update", known), ("create", new)):
+                in_halves(rows, lambda part, w=what: call("POST", f"apps/{a}/tables/{b}/records/batch_{w}", {"records": list(part)}))
             return
         head = {n: k for k, n in enumerate(self.service.header())}
         for n in names:

@@ -124,9 +124,9 @@ def test_record_tables(spark, tmp_path):
     df = open_source(spark, options)
     assert {r.record_id: (r._row_id, r.context) for r in df.collect()} == {"r0": (0, "C, D"), "r1": (1, "link"), "r2": (2, "42")}
     assert counted(df, TaskSpec(("question", "context"), {"a": "ai_answer"}, "_row_id")) == (2, 1)
-    results = spark.createDataFrame([("r0", "A0"), ("r1", None)], "record_id string, ai_answer string").coalesce(1)
+    results = spark.createDataFrame([("r0", "A0"), ("r1", None), (None, "made")], "record_id string, ai_answer string").coalesce(1)
     results.write.format("rest_table").options(kind="bitable", **{k: str(v) for k, v in options.items() if k != "type"}).mode("append").save()
-    assert [r["fields"]["ai_answer"] for r in json.loads(store.read_text())["records"]] == ["A0", None, "done"]
+    assert [r["fields"]["ai_answer"] for r in json.loads(store.read_text())["records"]] == ["A0", None, "done", "made"]
 
 
 def test_sheets(spark, tmp_path):
