@@ -8,9 +8,11 @@ neighbour and its absorbed right half), each in logarithmic time, so a piece of
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 from collections.abc import Callable
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 import regex
@@ -98,26 +100,48 @@ def _ranges(points: list[int]) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
 
 
-def adapt(pattern: str, members: Callable[[str, str], set[str]]) -> str:
-    """``pattern`` for the ``regex`` module, with letter and number classes that hold what another library's do.
+class Splitter(NamedTuple):
+    """A pattern that finds pre-tokens as another library does.
 
-    Libraries follow different Unicode versions. ``members(cls, text)`` returns the characters of ``text`` that the
-    other library puts in ``cls``; characters on which the two differ are added to or taken from the class.
+    Libraries follow different Unicode versions. ``exact`` has letter and number classes with the other library's
+    members; ``plain`` is the pattern as it was, which is faster and right for texts without ``disputed`` characters.
     """
+
+    plain: str
+    exact: str
+    disputed: str
+
+    def finder(self) -> Callable[[str], list[str]]:
+        exact, plain = regex.compile(self.exact, regex.V1).findall, regex.compile(self.plain).findall
+        disputed = re.compile(f"[{self.disputed}]").search if self.disputed else lambda text: None
+        narrow = self.plain.replace(r"[^\s\p{L}\p{N}]", r"[^\sA-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
+        # classes that aren't known here have no plain ASCII form
+        ascii_ = plain if re.search(r"\\p|\\w|\\d|\\b|\(\?[^!:=<]", narrow) else re.compile(narrow, re.ASCII).findall
+
+        def find(text: str) -> list[str]:
+            if text.isascii():
+                return ascii_(text)
+            return exact(text) if disputed(text) else plain(text)
+
+        return find
+
+
+def adapt(pattern: str, members: Callable[[str, str], set[str]]) -> Splitter:
+    """``pattern`` with classes as of a library whose ``members(cls, text)`` are the characters of ``text`` that it puts in ``cls``."""
     every = "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]))
+    exact, disputed = pattern, set()
     for cls in (r"\p{L}", r"\p{N}"):
         here, there = set(regex.findall(cls, every)), members(cls, every)
         if here != there:
-            # a private marker keeps the class intact while the others are replaced
             more, less = _ranges(sorted(map(ord, there - here))), _ranges(sorted(map(ord, here - there)))
-            outside = f"[{cls}{more}]" if more else cls
-            outside = f"[{outside}--[{less}]]" if less else outside
-            pattern = pattern.replace(f"[^\\s\\p{{L}}\\p{{N}}]", r"[^\s\p{L}\p{N}]").replace(cls, outside)
-    return pattern
+            own = f"[{cls}{more}]" if more else cls
+            exact = exact.replace(cls, f"[{own}--[{less}]]" if less else own)
+            disputed |= here ^ there
+    return Splitter(pattern, exact, _ranges(sorted(map(ord, disputed))))
 
 
 @lru_cache(maxsize=4)
-def tiktoken_pattern(pattern: str) -> str:
+def tiktoken_pattern(pattern: str) -> Splitter:
     """The pattern as the tiktoken library reads it."""
     import tiktoken
 
@@ -147,10 +171,10 @@ class Memo(dict):
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> Callable[[str], bytes]:
+def encoder(path: str, splitter: Splitter) -> Callable[[str], bytes]:
     """Text to ids as little-endian unsigned 32-bit integers; kept for the life of the Python worker."""
     ranks = load_ranks(path)
-    find = regex.compile(pattern, regex.V1).findall
+    find = splitter.finder()
 
     get = ranks.get
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tablemill.llm.bpe import Memo, adapt, merge
+from tablemill.llm.bpe import Memo, Splitter, adapt, merge
 from tablemill.llm.common import map_rows
 
 #: Fixed value: how byte-level tokenizers split text before merging.
@@ -71,7 +71,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 @lru_cache(maxsize=1)
-def tokenizers_pattern(pattern: str = BYTE_LEVEL) -> str:
+def tokenizers_pattern(pattern: str = BYTE_LEVEL) -> Splitter:
     """The pattern as the tokenizers library reads it."""
     from tokenizers import Regex
     from tokenizers.pre_tokenizers import Split
@@ -90,11 +90,11 @@ def special_splitter(special: dict[str, int]) -> Callable[[str], list[str]] | No
 
 
 @lru_cache(maxsize=2)
-def counter(path: str, pattern: str) -> Callable[[str], int]:
+def counter(path: str, splitter: Splitter) -> Callable[[str], int]:
     """Text to number of tokens; kept for the life of the Python worker."""
     vocab = vocabulary(path)
     one = dict.fromkeys(vocab.proven(), 1)
-    find = regex.compile(pattern, regex.V1).findall
+    find = splitter.finder()
     rest = Memo(lambda piece: len(vocab.split(piece.encode())))
     shortcut = one.get
     special, cut = vocab.special, special_splitter(vocab.special)
@@ -115,7 +115,7 @@ def counter(path: str, pattern: str) -> Callable[[str], int]:
 
 
 @lru_cache(maxsize=2)
-def library_encoder(path: str, pattern: str) -> Callable[[str], array]:
+def library_encoder(path: str, splitter: Splitter) -> Callable[[str], array]:
     """Text to ids as the tokenizers library gives them, which is asked for each distinct pre-token once.
 
     Pre-tokens are encoded independently of each other, so the ids of a text are those of its pre-tokens in order.
@@ -125,8 +125,8 @@ def library_encoder(path: str, pattern: str) -> Callable[[str], array]:
     library = Tokenizer.from_file(path)
     special = vocabulary(path).special
     cut = special_splitter(special)
-    find = regex.compile(pattern, regex.V1).findall
-    memo = Memo(lambda piece: array("I", library.encode(piece, add_special_tokens=False).ids).tobytes())
+    find = splitter.finder()
+    memo = Memo(lambda piece: array("I", library.encode(piece, add_special_tokens=False).ids).tobytes(), most=1 << 19)
 
     def plain(text: str) -> bytes:
         return b"".join(map(memo.__getitem__, find(text)))
