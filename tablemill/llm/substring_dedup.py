@@ -2,7 +2,7 @@
 
 A gear hash rolls over the bytes of a text; where its top bits are zero, a chunk ends. Ends depend on the 32 bytes
 before them alone, so an insertion moves them but changes only the chunks that it touches. Chunks are compared by
-128-bit digests; a chunk belongs to the document of smallest id that has it, and runs of chunks that belong to earlier
+96-bit digests; a chunk belongs to the document of smallest id that has it, and runs of chunks that belong to earlier
 documents are repeats.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tablemill.llm.common import text_of
 
 #: A chunk ends where CUT_BITS bits of the hash are zero, but has MIN_CHUNK to MAX_CHUNK bytes.
-CUT_BITS, MIN_CHUNK, MAX_CHUNK = 5, 16, 256
+CUT_BITS, MIN_CHUNK, MAX_CHUNK = 4, 12, 256
 #: A repeat is a run of repeated chunks of at least so many characters.
 MIN_RUN = 72
 _GEAR = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -59,32 +59,41 @@ def chunk_ends(data: bytes) -> np.ndarray:
 
 
 def chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row per chunk: id, start and stop in characters, digest."""
-    schema = pa.schema([("_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("digest", pa.binary())])
+    """A row per chunk: id, start and stop in characters, digest (high, low)."""
+    schema = pa.schema([("_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("high", pa.int64()), ("low", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
+        ids: list[np.ndarray] = []
+        spans: list[np.ndarray] = []
+        digests: list[bytes] = []
+
+        def made() -> pa.RecordBatch:
+            whole = np.frombuffer(b"".join(digests), dtype=np.dtype([("high", "<i8"), ("low", "<i4"), ("rest", "<i4")]))
+            places = np.concatenate(spans)
+            cols = [np.concatenate(ids), places[:, 0].astype(np.int32), places[:, 1].astype(np.int32), np.ascontiguousarray(whole["high"]), np.ascontiguousarray(whole["low"])]
+            for x in (ids, spans, digests):
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=schema)
+
         for batch in batches:
-            ids, starts, stops, digests = [], [], [], []
-            for k in range(batch.num_rows):
-                data = batch.column(1)[k].as_py().encode()
+            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+                data = text.as_py().encode()
                 ends = chunk_ends(data)
                 if not len(ends):
                     continue
                 first = np.concatenate(([0], ends[:-1]))
                 place = np.concatenate(([0], np.cumsum(np.frombuffer(data, dtype=np.uint8) & 0xC0 != 0x80)))
-                ids += [batch.column(0)[k].as_py()] * len(ends)
-                starts.append(place[first])
-                stops.append(place[ends])
+                ids.append(np.full(len(ends), doc.as_py(), dtype=np.int64))
+                spans.append(np.stack([place[first], place[ends]], axis=1))
                 digests += [digest(data[a:b]) for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
                 if len(digests) > 1 << 15:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(starts), pa.int32()), pa.array(np.concatenate(stops), pa.int32()), pa.array(digests, pa.binary())], schema=schema)
-                    ids, starts, stops, digests = [], [], [], []
-            if digests:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(starts), pa.int32()), pa.array(np.concatenate(stops), pa.int32()), pa.array(digests, pa.binary())], schema=schema)
+                    yield made()
+        if digests:
+            yield made()
 
     rows = df.select(df[id_col].cast("bigint").alias("_id"), text_of(df, text_col).alias("_text")).where("_id is not null")
-    return rows.mapInArrow(run, "_id bigint, start int, stop int, digest binary")
+    return rows.mapInArrow(run, "_id bigint, start int, stop int, high bigint, low int")
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
@@ -92,12 +101,13 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Passages are given for every document that has one but the first; start and stop count characters, stop exclusive.
     Repetition inside one document doesn't count, nor do rows that repeat an id. Null ids are left out: nothing could
-    refer to them. Null and empty texts have no chunks. Chunk counts are combined before the shuffle; a passage that
-    very many documents share is a key of the second join alone, whose skewed side Spark can split.
+    refer to them. Null and empty texts have no chunks. Chunks are counted before the shuffle; a passage that very many
+    documents share is a hot key of the join alone. There the counted side has a key of its own, so that Spark shuffles
+    it by itself and can split the skewed other side.
     """
     each = chunks(df, id_col, text_col)
-    shared = each.groupBy("digest").agg(F.min("_id").alias("first_id"), F.max("_id").alias("_last")).where("first_id < _last").select("digest", "first_id")
-    later = each.join(shared, "digest").where("_id > first_id").select("_id", "first_id", "start", "stop").dropDuplicates(["_id", "start", "stop"])
+    shared = each.groupBy("high", "low").agg(F.min("_id").alias("first_id"), F.max("_id").alias("_last")).where("first_id < _last").select(F.bitwise_not("high").alias("_high"), F.col("low").alias("_low"), "first_id")
+    later = each.join(shared, (F.bitwise_not("high") == F.col("_high")) & (F.col("low") == F.col("_low"))).where("_id > first_id").select("_id", "first_id", "start", "stop").dropDuplicates(["_id", "start", "stop"])
     order = Window.partitionBy("_id").orderBy("start", "stop")
     island = F.sum(F.when(F.lag("stop").over(order) == F.col("start"), 0).otherwise(1)).over(order)
     runs = later.withColumn("_run", island).groupBy("_id", "_run").agg(F.min("first_id").alias("first_id"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.count(F.lit(1)).alias("n_chunks"))
