@@ -6,7 +6,7 @@ import ipaddress
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Models come from one configuration; more than this isn't one.
@@ -177,8 +177,8 @@ def ip_pools(channels: DataFrame) -> DataFrame:
 
 def model_stats(log: DataFrame, model: str = "model", ok: str = "ok", seconds: str = "seconds", order: str = "ts") -> DataFrame:
     """(model, n_ok, n_failed, rate, avg_seconds, last_fails): a summary of a request log; last_fails counts failures since the last success."""
-    last_ok = Window.partitionBy(model)
-    seen = log.withColumn("_last_ok", F.max(F.when(F.col(ok), F.col(order))).over(last_ok))
-    fails = seen.where(~F.col(ok) & (F.col("_last_ok").isNull() | (F.col(order) > F.col("_last_ok")))).groupBy(model).agg(F.count(F.lit(1)).alias("last_fails"))
-    base = success_rates(log, model, F.col(ok)).join(log.groupBy(model).agg(F.avg(seconds).alias("avg_seconds")), model)
+    base = log.groupBy(model).agg(F.count_if(F.col(ok)).alias("n_ok"), F.count_if(~F.col(ok)).alias("n_failed"), F.avg(seconds).alias("avg_seconds"), F.max(F.when(F.col(ok), F.col(order))).alias("_last_ok"))
+    since = log.join(base.select(model, "_last_ok"), model).where(~F.col(ok) & (F.col("_last_ok").isNull() | (F.col(order) > F.col("_last_ok"))))
+    fails = since.groupBy(model).agg(F.count(F.lit(1)).alias("last_fails"))
+    base = base.withColumn("rate", F.coalesce(F.col("n_ok") / F.nullif(F.col("n_ok") + F.col("n_failed"), F.lit(0)), F.lit(1.0))).drop("_last_ok")
     return base.join(fails, model, "left").withColumn("last_fails", F.coalesce("last_fails", F.lit(0)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,14 +51,17 @@ def token_stats(df: DataFrame, value: str, total_rows: int | Column | None = Non
 def ema(df: DataFrame, key: str, value: str, order: list[str], alpha: float = 0.1) -> DataFrame:
     """(key, ema, n): exponential moving average in order of ``order``; the first value starts it.
 
-    The fold is written as a weighted sum (a value's weight depends on how many follow), which is combined before the
-    shuffle, so no key's values are gathered.
+    The fold is a weighted sum, in which a value's weight shrinks with the number of values after it. Values whose
+    weight is below the last bit of a double don't count, so that each task passes on only its newest rows of a key,
+    however many the key has.
     """
-    by_new = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
-    by_old = Window.partitionBy(key).orderBy(*order)
-    aged = df.where(F.col(value).isNotNull()).select(key, value, (F.row_number().over(by_new) - 1).alias("_age"), F.row_number().over(by_old).alias("_n"))
-    weight = F.pow(F.lit(1 - alpha), F.col("_age")) * F.when(F.col("_n") == 1, 1.0).otherwise(alpha)
-    return aged.groupBy(key).agg(F.sum(F.col(value) * weight).alias("ema"), F.count(F.lit(1)).alias("n"))
+    reach = math.ceil(math.log(1e-20) / math.log(1 - alpha))
+    known = df.where(F.col(value).isNotNull())
+    newest = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
+    aged = known.select(key, value, *order, F.row_number().over(newest).alias("_k")).where(F.col("_k") <= reach)
+    sizes = known.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("n"))
+    weight = F.pow(F.lit(1 - alpha), F.col("_k") - 1) * F.when(F.col("_k") == F.col("n"), 1.0).otherwise(alpha)
+    return aged.join(sizes, F.col(key).eqNullSafe(F.col("_key"))).groupBy(key).agg(F.sum(F.col(value) * weight).alias("ema"), F.first("n").alias("n"))
 
 
 def error_counts(df: DataFrame, kind: str) -> DataFrame:
