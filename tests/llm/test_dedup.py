@@ -181,12 +181,14 @@ def planted(seed=8):
 def test_repeats_are_found_and_clean_documents_left(spark):
     docs, has = planted()
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
-    spans = substring_dedup.repeated_spans(df).collect()
+    every = substring_dedup.repeated_spans(df).collect()
+    spans = [r for r in every if not r.kept]
     first = {}
     for i in sorted(has):
         first.setdefault(has[i], i)
     want = {i for i in has if first[has[i]] != i}
     assert {r.doc_id for r in spans} == want
+    assert {r.doc_id for r in every} == want | {first[has[i]] for i in want}
     text = dict(docs)
     for r in spans:
         assert r.first_id == first[has[r.doc_id]] and text[r.doc_id][r.start : r.stop] in text[r.first_id]
@@ -206,19 +208,17 @@ def test_repeats_against_brute_force(spark, small):
             holders[p].add(i)
     want = set()
     for i, ps in pieces.items():
-        at, start = 0, None
+        at, start, before = 0, 0, None
         for p in [*ps, None]:
-            repeated = p is not None and min(holders[p]) < i
-            if repeated and start is None:
-                start = at
-            if not repeated and start is not None:
-                if at - start >= substring_dedup.MIN_RUN:
-                    want.add((i, start, at))
-                start = None
+            now = None if p is None or len(holders[p]) < 2 else min(holders[p]) == i
+            if now != before:
+                if before is not None and at - start >= substring_dedup.MIN_RUN:
+                    want.add((i, start, at, before))
+                start, before = at, now
             at += len(p or "")
     from tablemill.llm.queries import QUERIES
 
-    assert {(r.doc_id, r.start, r.stop) for r in QUERIES["op8_substring_dedup"](spark, small).collect()} == want
+    assert {(r.doc_id, r.start, r.stop, r.kept) for r in QUERIES["op8_substring_dedup"](spark, small).collect()} == want
 
 
 def test_repeats_nasty(nasty):
