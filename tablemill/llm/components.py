@@ -12,11 +12,13 @@ def _star(edges: DataFrame, inner: bool) -> DataFrame:
     """One step over edges (u, v) with u > v: hang neighbours of a node on the least of them.
 
     ``inner`` takes each node's smaller neighbours and itself, otherwise its larger ones move. Minima are combined before
-    the shuffle; the join brings one row per node to its edges, so a node with very many is a skewed side that can be split.
+    the shuffle. The join brings one row per node to its edges; the minima have a key of their own, so that Spark
+    shuffles them by themselves and can split the edges of a node that has very many.
     """
     both = edges if inner else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("_m")).withColumn("_m", F.least("u", "_m"))
-    joined = both.join(least, "u")
+    keyed = least.select(F.bitwise_not("u").alias("_u"), "_m")
+    joined = both.join(keyed, F.bitwise_not("u") == F.col("_u")).select("u", "v", "_m")
     if inner:
         own = least.select("u", F.col("_m").alias("v"))
         return joined.where("v > _m").select(F.col("v").alias("u"), F.col("_m").alias("v")).unionByName(own).distinct()
