@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters outside these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows in an Arrow batch.
+BATCH_ROWS = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +39,13 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in batches of BATCH_ROWS at most, as they can be long; a setting other than Spark's default stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) == 10000:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def text_of(df: DataFrame, col: str = "text") -> Column:
     """A text column with null read as empty."""
     return F.coalesce(df[col].cast("string"), F.lit(""))
@@ -54,6 +63,7 @@ def map_rows(
     ``make`` runs once in each task. ``keep`` names the input columns that pass through (all by default); one that has
     the name of an output column is replaced. Values go through in slices of ``size`` rows, so memory follows the batch.
     """
+    small_batches(df.sparkSession)
     names = {n for n, _, _ in out}
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]
     read = kept if text_col in kept else [*kept, text_col]

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import text_of
+from tablemill.llm.common import small_batches, text_of
 
 #: A chunk ends where CUT_BITS bits of the hash are zero, but has MIN_CHUNK to MAX_CHUNK bytes.
 CUT_BITS, MIN_CHUNK, MAX_CHUNK = 4, 12, 256
@@ -92,31 +92,33 @@ def chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if digests:
             yield made()
 
+    small_batches(df.sparkSession)
     rows = df.select(df[id_col].cast("bigint").alias("_id"), text_of(df, text_col).alias("_text")).where("_id is not null")
     return rows.mapInArrow(run, "_id bigint, start int, stop int, high bigint, low int")
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
-    """One row per repeated passage: the id, first_id (the smallest id that has one of its chunks), start, stop, n_chunks.
+    """One row per passage that several documents have, for each of them: the id, first_id (the smallest id that has one of its chunks), start, stop, n_chunks, kept.
 
-    Passages are given for every document that has one but the first; start and stop count characters, stop exclusive.
-    Repetition inside one document doesn't count, nor do rows that repeat an id. Null ids are left out: nothing could
-    refer to them. Null and empty texts have no chunks. Chunks are counted before the shuffle; a passage that very many
-    documents share is a hot key of the join alone. There the counted side has a key of its own, so that Spark shuffles
-    it by itself and can split the skewed other side.
+    A passage is kept in the document of smallest id and a repeat in the others. start and stop count characters, stop
+    exclusive. Repetition inside one document doesn't count, nor do rows that repeat an id. Null ids are left out:
+    nothing could refer to them. Null and empty texts have no chunks. Chunks are counted before the shuffle; a passage
+    that very many documents share is a hot key of the join alone. There the counted side has a key of its own, so that
+    Spark shuffles it by itself and can split the skewed other side.
     """
     each = chunks(df, id_col, text_col)
     shared = each.groupBy("high", "low").agg(F.min("_id").alias("first_id"), F.max("_id").alias("_last")).where("first_id < _last").select(F.bitwise_not("high").alias("_high"), F.col("low").alias("_low"), "first_id")
-    later = each.join(shared, (F.bitwise_not("high") == F.col("_high")) & (F.col("low") == F.col("_low"))).where("_id > first_id").select("_id", "first_id", "start", "stop").dropDuplicates(["_id", "start", "stop"])
+    held = each.join(shared, (F.bitwise_not("high") == F.col("_high")) & (F.col("low") == F.col("_low"))).select("_id", "first_id", "start", "stop").dropDuplicates(["_id", "start", "stop"])
     order = Window.partitionBy("_id").orderBy("start", "stop")
-    island = F.sum(F.when(F.lag("stop").over(order) == F.col("start"), 0).otherwise(1)).over(order)
-    runs = later.withColumn("_run", island).groupBy("_id", "_run").agg(F.min("first_id").alias("first_id"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.count(F.lit(1)).alias("n_chunks"))
-    return runs.where(F.col("stop") - F.col("start") >= min_run).select(F.col("_id").alias(id_col), "first_id", "start", "stop", "n_chunks")
+    kept = F.col("_id") == F.col("first_id")
+    goes_on = (F.lag("stop").over(order) == F.col("start")) & (F.lag(kept).over(order) == kept)
+    runs = held.withColumn("_run", F.sum(F.when(goes_on, 0).otherwise(1)).over(order)).groupBy("_id", "_run").agg(F.min("first_id").alias("first_id"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.count(F.lit(1)).alias("n_chunks"), F.first(kept).alias("kept"))
+    return runs.where(F.col("stop") - F.col("start") >= min_run).select(F.col("_id").alias(id_col), "first_id", "start", "stop", "n_chunks", "kept")
 
 
 def cut_spans(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with the spans cut out of its texts; documents without spans are unchanged."""
-    by_doc = spans.groupBy(F.col(id_col).alias("_cut_id")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_spans"))
+    """``df`` with the repeats among the spans cut out of its texts; documents without repeats are unchanged."""
+    by_doc = spans.where(~F.col("kept")).groupBy(F.col(id_col).alias("_cut_id")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_spans"))
     joined = df.join(by_doc, df[id_col].cast("bigint") == by_doc["_cut_id"], "left")
     begin = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.element_at("_spans", F.greatest(i, F.lit(1)))["stop"])
     end = lambda i: F.when(i == F.size("_spans"), F.length(text_col)).otherwise(F.element_at("_spans", F.least(i + 1, F.size("_spans")))["start"])

@@ -18,11 +18,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tablemill.llm.common import small_batches
+
 #: Fixed values of the word-aligned code: (ids in a word, bits of each), by selector; the last is the escape.
 SELECTORS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 _COUNTS = np.array([n for n, _ in SELECTORS], dtype=np.int64)
 BLOCK = 4096
 RECORD_IDS = 1 << 16
+#: Documents encoded at a time.
+SLICE = 128
 SCHEMA = "part int, seq int, before bigint, n_ids bigint, doc_ids array<bigint>, lengths array<int>, offsets array<int>, words binary"
 
 
@@ -31,18 +35,21 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    top = int(ids.max())
+    small = ids.astype(np.uint32) if top < 1 << 32 else ids.astype(np.uint64)
     ids = ids.astype(np.uint64)
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     left = np.minimum(block - at % block, n - at)
     choice = np.full(n, len(SELECTORS) - 1, dtype=np.int8)
-    top = int(ids.max())
+    wide = np.zeros(n + 1, dtype=np.int32)
     for s in range(len(SELECTORS) - 2, -1, -1):
         count, bits = SELECTORS[s]
+        if count > n:
+            break
         ok = left >= count
         if top >> bits:
-            wide = np.zeros(n + 1, dtype=np.int64)
-            np.cumsum(ids >> np.uint64(bits) != 0, out=wide[1:])
-            ok &= wide[np.minimum(at + count, n)] == wide[:-1]
+            np.cumsum(small > (1 << bits) - 1, out=wide[1:])
+            ok[: n - count + 1] &= wide[count:] == wide[: n - count + 1]
             if not ok.any():
                 break  # fewer bits fit nowhere either
         choice[ok] = s
@@ -77,13 +84,14 @@ def unpack(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def write_token_files(df: DataFrame, path: str, make: Callable[[], Callable[[str], array]], end_id: int, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
-    """Encode every text with ``make()`` (text to ids), append ``end_id``, and write the files at ``path``.
+def write_token_files(df: DataFrame, path: str, make: Callable[[], Callable[[list[str]], list[bytes]]], end_id: int, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
+    """Encode every text with ``make()`` (texts to ids, little-endian unsigned 32-bit), append ``end_id``, and write the files at ``path``.
 
     Documents go to ranges of their ids (nulls first; equal ids in order of their texts). A null text is empty and has
     the end id alone. An empty table writes files without records. A record ends with the document that fills it, so
     memory follows the longest document and RECORD_IDS.
     """
+    small_batches(df.sparkSession)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(df[id_col].cast("bigint").alias("_id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("_text"))
     ordered = rows.repartitionByRange(n, F.col("_id").asc_nulls_first()).sortWithinPartitions(F.col("_id").asc_nulls_first(), "_text")
@@ -97,17 +105,18 @@ def write_token_files(df: DataFrame, path: str, make: Callable[[], Callable[[str
             words, offsets = pack(np.frombuffer(ids, dtype=np.uint32))
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "before": before, "n_ids": len(ids), "doc_ids": docs, "lengths": lengths, "offsets": offsets.tolist(), "words": words.astype("<u8").tobytes()}], schema=arrow)
 
-        for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                own = encode(text.as_py())
-                own.append(end_id)
-                ids.extend(own)
-                docs.append(doc.as_py())
-                lengths.append(len(own))
-                if len(ids) >= RECORD_IDS:
-                    yield record()
-                    seq, before = seq + 1, before + len(ids)
-                    ids, docs, lengths = array("I"), [], []
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(lo, SLICE)
+                for doc, own in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+                    ids.frombytes(own)
+                    ids.append(end_id)
+                    docs.append(doc)
+                    lengths.append(len(own) // 4 + 1)
+                    if len(ids) >= RECORD_IDS:
+                        yield record()
+                        seq, before = seq + 1, before + len(ids)
+                        ids, docs, lengths = array("I"), [], []
         if docs:
             yield record()
 
