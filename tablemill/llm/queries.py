@@ -63,11 +63,46 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+_WORD = r"[^\x20\x09-\x0D]+"
+_RULES = {"short": "n_words < 20", "repeats": "n_repeat_words * 100 > n_words * 30", "symbols": "n_symbols * 100 > word_chars * 10", "dup_lines": "n_dup_lines > 10"}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLES["op4_quality_rules"] = f"""
+WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS g FROM w, generate_series(1, len(ws) - 7) s(i)),
+repeated AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM windows) WHERE c > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM repeated, generate_series(0, 7) s(k) GROUP BY doc_id),
+lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls FROM w),
+m AS (SELECT doc_id, source, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM w JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
+h AS (SELECT source, count(*)::DOUBLE AS n, {", ".join(f"count(*) FILTER (WHERE {c})::DOUBLE AS f_{r}" for r, c in _RULES.items())} FROM m WHERE source IS NOT NULL GROUP BY source),
+a AS (SELECT {", ".join(f"sum(f_{r}) / sum(n) AS m_{r}, greatest(sum(f_{r} * f_{r} / n) / sum(n) - (sum(f_{r}) / sum(n)) ** 2, 1e-12) AS v_{r}" for r in _RULES)} FROM h),
+p AS (SELECT {", ".join(f"m_{r}, least(greatest(m_{r} * (1 - m_{r}) / v_{r} - 1, 2.0), 1000.0) AS k_{r}" for r in _RULES)} FROM a),
+bad AS (SELECT source FROM h, p WHERE {" OR ".join(f"(f_{r} + m_{r} * k_{r}) / (n + k_{r}) >= 0.5" for r in _RULES)})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {_RULES["short"]} OR {_RULES["repeats"]} AS base_failed,
+  NOT ({_RULES["short"]} OR {_RULES["repeats"]}) AND bad.source IS NULL AS kept FROM m LEFT JOIN bad USING (source)
+"""
+
+
 @query
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+ORACLES["op5_ngram_join"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM w, generate_series(1, greatest(1, len(ws) - 4)) x(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE c::DOUBLE / (p.n + q.n - c) >= 0.8),
+r AS (SELECT doc_id, doc_id AS m FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.m = e.x),
+k AS (SELECT doc_id, min(m) AS class_id FROM r GROUP BY doc_id)
+SELECT k.doc_id, class_id, coalesce(l.n_links, 0) AS n_links, coalesce(n.n, 0)::INTEGER AS n_shingles
+FROM k LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x, count(*) AS n_links FROM e GROUP BY x) l ON l.x = k.doc_id
+"""
+
+
 @query
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.json"), tokenizers_pattern()
@@ -81,6 +116,23 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+ORACLES["op7_mixing"] = f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size, CAST('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 15) AS BIGINT) AS spin FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, source_size * 2.0::DOUBLE AS cap FROM s),
+l AS (SELECT *, cap / w AS ratio, row_number() OVER o AS n, (sum(source_size) OVER ()::DOUBLE * 1.5 - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / (sum(w) OVER () - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM w WINDOW o AS (ORDER BY cap / w, source NULLS LAST)),
+f AS (SELECT min(n) FILTER (WHERE level < ratio) AS first, arg_min(level, n) FILTER (WHERE level < ratio) AS level FROM l),
+t AS (SELECT source, source_size, CASE WHEN f.first IS NULL OR n < f.first THEN cap ELSE f.level * w END AS target FROM l, f),
+a AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
+x AS (SELECT d.*, source_size, target, whole, greatest(0, round_even(target, 0)::BIGINT - whole * source_size) AS extra,
+  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY spin, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d JOIN a ON d.source IS NOT DISTINCT FROM a.source),
+y AS (SELECT *, greatest(0, least(size, extra - before)) AS more FROM x)
+SELECT doc_id, size, source_size, target, whole * size + more AS taken, (CASE WHEN size > 0 THEN whole ELSE 0 END + CASE WHEN more = size AND size > 0 THEN 1 ELSE 0 END)::INTEGER AS epochs,
+  CASE WHEN more = size AND size > 0 THEN 0 ELSE more END AS part FROM y
+"""
+
+
 @query
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents"))
