@@ -18,7 +18,7 @@ from tablemill.llm.secrets import BASE, secret_spans
 from tablemill.llm.substring_dedup import repeated_spans
 from tablemill.llm.token_count import library_encoder, token_counts, tokenizers_pattern
 from tablemill.llm.token_files import read_token_files, write_token_files
-from tablemill.llm.url_filter import url_filter
+from tablemill.llm.url_filter import APART, MIN_CHILDREN, MIN_SPREAD, REJECT, RULES, SMOOTHING, url_filter
 
 QUERIES = {}
 ORACLES = {}
@@ -146,4 +146,29 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("label_id"), (F.col("quality") == 0).alias("bad"))
-    return url_filter(table(spark, sf_dir, "pages"), labels)
+    return url_filter(table(spark, sf_dir, "pages"), labels).drop("bad_share")
+
+
+_FITS = "(r.host = '{h}' OR ends_with(r.host, '.{h}')) AND starts_with(path, '{p}')"
+_BY_LENGTH = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
+
+ORACLES["op10_url_filter"] = rf"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hp AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' || regexp_extract(x, '\.[A-Za-z]{{1,8}}$') ELSE x END) AS shape,
+  TRY_CAST(regexp_extract(path, '([0-9]{{1,18}})[^0-9]*$', 1) AS BIGINT) AS num FROM hp),
+lab AS (SELECT doc_id AS num, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL GROUP BY 1),
+known AS (SELECT host, shape, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad FROM r LEFT JOIN lab USING (num) GROUP BY 1, 2),
+steps AS (SELECT host, shape, n, d, shape[d] AS segment, array_to_string(shape[1:d - 1], '/') AS parent FROM known, generate_series(1, len(shape)) s(d)),
+wild AS (SELECT host, d, parent FROM steps GROUP BY 1, 2, 3 HAVING count(DISTINCT segment) >= {MIN_CHILDREN} AND count(DISTINCT segment) >= sum(n) * {MIN_SPREAD}),
+named AS (SELECT s.host, s.shape, '/' || string_agg(CASE WHEN w.host IS NULL THEN segment ELSE '*' END, '/' ORDER BY s.d) AS template FROM steps s LEFT JOIN wild w ON w.host = s.host AND w.d = s.d AND w.parent = s.parent GROUP BY 1, 2),
+k AS (SELECT known.*, coalesce(template, '/') AS template FROM known LEFT JOIN named USING (host, shape)),
+t AS (SELECT host, template, regexp_replace(template, '/[^/]*$', '') AS branch, sum(labelled)::DOUBLE AS n, sum(bad)::DOUBLE AS b FROM k GROUP BY 1, 2),
+base AS (SELECT CASE WHEN sum(n) > 0 THEN sum(b) / sum(n) ELSE 0 END AS p FROM t),
+h AS (SELECT host, (sum(b) + p * {SMOOTHING}) / (sum(n) + {SMOOTHING}) AS p FROM t, base GROUP BY host, p),
+br AS (SELECT t.host, branch, (sum(b) + h.p * {SMOOTHING}) / (sum(n) + {SMOOTHING}) AS p FROM t JOIN h USING (host) GROUP BY t.host, branch, h.p),
+j AS (SELECT t.host, template, CASE WHEN n > 0 AND abs(b / greatest(n, 1) - p) > sqrt(p * (1 - p) / greatest(n, 1)) * {APART} THEN (b + p * {SMOOTHING}) / (n + {SMOOTHING}) ELSE p END AS share FROM t JOIN br USING (host, branch))
+SELECT page_id, r.host, path, CASE {" ".join(f"WHEN {_FITS.format(h=h, p=p)} THEN '{h}{p}'" for h, p, _ in _BY_LENGTH)} END AS rule,
+  CASE {" ".join(f"WHEN {_FITS.format(h=h, p=p)} THEN '{v}'" for h, p, v in _BY_LENGTH)} WHEN share >= {REJECT} THEN 'block' ELSE 'allow' END AS verdict, k.template
+FROM r JOIN k ON k.host = r.host AND k.shape = r.shape JOIN j ON j.host = k.host AND j.template = k.template
+"""
