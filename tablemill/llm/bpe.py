@@ -105,22 +105,36 @@ class Splitter(NamedTuple):
 
     Libraries follow different Unicode versions. ``exact`` has letter and number classes with the other library's
     members; ``plain`` is the pattern as it was, which is faster and right for texts without ``disputed`` characters.
+    ``letters`` and ``numbers`` are the classes' members below U+0250: most texts need no others, and are split by a
+    pattern that spells them out.
     """
 
     plain: str
     exact: str
     disputed: str
+    letters: str
+    numbers: str
 
     def finder(self) -> Callable[[str], list[str]]:
         exact, plain = regex.compile(self.exact, regex.V1).findall, regex.compile(self.plain).findall
         disputed = re.compile(f"[{self.disputed}]").search if self.disputed else lambda text: None
-        narrow = self.plain.replace(r"[^\s\p{L}\p{N}]", r"[^\sA-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
-        # classes that aren't known here have no plain ASCII form
-        ascii_ = plain if re.search(r"\\p|\\w|\\d|\\b|\(\?[^!:=<]", narrow) else re.compile(narrow, re.ASCII).findall
+        space = r"\t-\r\x20\x85\xa0"
+
+        def spelt(letters: str, numbers: str, space: str) -> str:
+            said = self.plain.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letters}{numbers}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]")
+            return said.replace(r"\s", f"[{space}]").replace(r"\S", f"[^{space}]")
+
+        narrow, latin = spelt("A-Za-z", "0-9", r"\t-\r\x20"), spelt(self.letters, self.numbers, space)
+        # a pattern with classes that aren't known here has no such forms
+        odd = re.search(r"\\p|\\w|\\d|\\b|\(\?[^!:=<]", narrow)
+        ascii_, small = (plain, plain) if odd else (re.compile(narrow).findall, re.compile(latin).findall)
+        large = re.compile("[^\x00-\u024f]").search
 
         def find(text: str) -> list[str]:
             if text.isascii():
                 return ascii_(text)
+            if not large(text):
+                return small(text)
             return exact(text) if disputed(text) else plain(text)
 
         return find
@@ -129,15 +143,16 @@ class Splitter(NamedTuple):
 def adapt(pattern: str, members: Callable[[str, str], set[str]]) -> Splitter:
     """``pattern`` with classes as of a library whose ``members(cls, text)`` are the characters of ``text`` that it puts in ``cls``."""
     every = "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]))
-    exact, disputed = pattern, set()
+    exact, disputed, low = pattern, set(), []
     for cls in (r"\p{L}", r"\p{N}"):
         here, there = set(regex.findall(cls, every)), members(cls, every)
+        low.append(_ranges([c for c in range(0x80) if regex.match(cls, chr(c))] + sorted(ord(c) for c in there if ord(c) < 0x250)))
         if here != there:
             more, less = _ranges(sorted(map(ord, there - here))), _ranges(sorted(map(ord, here - there)))
             own = f"[{cls}{more}]" if more else cls
             exact = exact.replace(cls, f"[{own}--[{less}]]" if less else own)
             disputed |= here ^ there
-    return Splitter(pattern, exact, _ranges(sorted(map(ord, disputed))))
+    return Splitter(pattern, exact, _ranges(sorted(map(ord, disputed))), *low)
 
 
 @lru_cache(maxsize=4)
@@ -163,11 +178,14 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[key] = value
-        return value
 
 
 @lru_cache(maxsize=2)

@@ -11,6 +11,7 @@ from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -114,29 +115,50 @@ def counter(path: str, splitter: Splitter) -> Callable[[str], int]:
     return count
 
 
-@lru_cache(maxsize=2)
-def library_encoder(path: str, splitter: Splitter) -> Callable[[str], array]:
-    """Text to ids as the tokenizers library gives them, which is asked for each distinct pre-token once.
+class LibraryEncoder:
+    """Texts to ids as the tokenizers library gives them, which is asked for each distinct pre-token once.
 
-    Pre-tokens are encoded independently of each other, so the ids of a text are those of its pre-tokens in order.
+    Pre-tokens are encoded independently of each other, so the ids of a text are those of its pre-tokens in order. New
+    words are put together into one text for the library, which says of each id which word it belongs to.
     """
-    from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(path)
-    special = vocabulary(path).special
-    cut = special_splitter(special)
-    find = splitter.finder()
-    memo = Memo(lambda piece: array("I", library.encode(piece, add_special_tokens=False).ids).tobytes(), most=1 << 19)
+    def __init__(self, path: str, splitter: Splitter, most: int = 1 << 18):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.special = vocabulary(path).special
+        self.cut = special_splitter(self.special)
+        self.find = splitter.finder()
+        self.memo = Memo(self._alone, most)
+
+    def _alone(self, piece: str) -> bytes:
+        return array("I", self.library.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Encode pieces of a space and letters together; what isn't split as expected, and all others, wait for their turn."""
+        words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+        for lo in range(0, len(words), 1024):
+            some = words[lo : lo + 1024]
+            said = self.library.encode("".join(some), add_special_tokens=False)
+            place = np.array(said.word_ids)
+            starts = np.flatnonzero(np.diff(place, prepend=-1))
+            if len(starts) == len(some):
+                raw = array("I", said.ids).tobytes()
+                for piece, a, b in zip(some, starts.tolist(), [*starts[1:].tolist(), len(place)], strict=True):
+                    self.memo.put(piece, raw[4 * a : 4 * b])
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        parts = [self.cut(t) if self.cut and any(s in t for s in self.special) else [t] for t in texts]
+        found = [[self.find(x) if k % 2 == 0 else x for k, x in enumerate(p)] for p in parts]
+        self._learn({w for p in found for x in p[::2] for w in x} - self.memo.keys() - self.memo.old.keys())
+        one = self.memo.__getitem__
+        return [b"".join([b"".join(map(one, x)) if k % 2 == 0 else array("I", [self.special[x]]).tobytes() for k, x in enumerate(p)]) for p in found]
 
-    def plain(text: str) -> bytes:
-        return b"".join(map(memo.__getitem__, find(text)))
 
-    def encode(text: str) -> array:
-        if cut is None or not any(s in text for s in special):
-            return array("I", plain(text))
-        return array("I", b"".join(array("I", [special[p]]).tobytes() if k % 2 else plain(p) for k, p in enumerate(cut(text))))
-
-    return encode
+@lru_cache(maxsize=2)
+def library_encoder(path: str, splitter: Splitter) -> LibraryEncoder:
+    """Kept for the life of the Python worker."""
+    return LibraryEncoder(path, splitter)
 
 
 def token_counts(df: DataFrame, path: str, limit: int, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

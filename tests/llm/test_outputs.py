@@ -38,7 +38,7 @@ def test_token_files_query(spark, small):
 
 def test_token_files_nasty(spark, nasty, tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "RECORD_IDS", 40)
-    make = lambda: lambda text: array("I", map(ord, text))
+    make = lambda: lambda texts: [array("I", map(ord, t)).tobytes() for t in texts]
     token_files.write_token_files(nasty, f"{tmp_path}/a", make, 2)
     rows = sorted(token_files.read_token_files(spark, f"{tmp_path}/a").collect(), key=lambda r: r.start)
     assert [r.doc_id for r in rows] == sorted((i for i, *_ in NASTY), key=lambda i: (i is not None, i))
