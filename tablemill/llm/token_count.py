@@ -149,10 +149,30 @@ class LibraryEncoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         parts = [self.cut(t) if self.cut and any(s in t for s in self.special) else [t] for t in texts]
-        found = [[self.find(x) if k % 2 == 0 else x for k, x in enumerate(p)] for p in parts]
-        self._learn({w for p in found for x in p[::2] for w in x} - self.memo.keys() - self.memo.old.keys())
-        one = self.memo.__getitem__
-        return [b"".join([b"".join(map(one, x)) if k % 2 == 0 else array("I", [self.special[x]]).tobytes() for k, x in enumerate(p)]) for p in found]
+        get, late, new = self.memo.get, [], set()
+        out: list[list[bytes]] = []
+        for p in parts:
+            done = []
+            for k, x in enumerate(p):
+                if k % 2:
+                    done.append(array("I", [self.special[x]]).tobytes())
+                    continue
+                pieces = self.find(x)
+                got = list(map(get, pieces))
+                if None in got:
+                    places = [i for i, g in enumerate(got) if g is None]
+                    new.update(map(pieces.__getitem__, places))
+                    late.append((done, len(done), got, [(i, pieces[i]) for i in places]))
+                    done.append(b"")
+                else:
+                    done.append(b"".join(got))
+            out.append(done)
+        self._learn(new - self.memo.old.keys())
+        for done, at, got, places in late:
+            for i, piece in places:
+                got[i] = self.memo[piece]
+            done[at] = b"".join(got)
+        return [d[0] if len(d) == 1 else b"".join(d) for d in out]
 
 
 @lru_cache(maxsize=2)
