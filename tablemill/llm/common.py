@@ -51,6 +51,16 @@ def text_of(df: DataFrame, col: str = "text") -> Column:
     return F.coalesce(df[col].cast("string"), F.lit(""))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that ``df`` doesn't have."""
+    out = []
+    for name in names:
+        while name in df.columns:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

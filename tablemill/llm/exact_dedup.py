@@ -4,9 +4,10 @@ Sampled splitters range-partition the normalised texts, an external sort places
 over full texts compares neighbours. The splitters are cut from a bounded key (a prefix and a hash of the text), so
 that sampling brings no whole texts to the driver; rows with the same text have the same key and so the same range.
 
-A text that many rows share would still be one range. Hashes that hold over 1/200 of all rows (199 at most) therefore
-get a salt from the row's id in the key: copies are first brought together within each salt, in separate ranges, then
-the salts' results (one row each) are merged.
+A text that many rows share would still be one range. Hashes that hold more than a quarter of a range's fair share of
+all rows therefore get a salt from the row's id in the key: copies are first brought together within each salt, in
+separate ranges, then the salts' results (one row each) are merged. There can't be more such hashes than four for each
+range (or 200), which bounds what is broadcast.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from tablemill.llm.common import staged, text_of
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-HOT_SHARE = 200
+LEAST_HOT = 200
 _PREFIX = 24
 
 
@@ -39,7 +40,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(df[id_col].cast("bigint").alias("_id"), normalised(text_of(df, text_col)).alias("_norm")).withColumn("_hash", F.xxhash64("_norm"))
     total = df.count()
-    hot = rows.groupBy("_hash").count().where(F.col("count") * HOT_SHARE > F.lit(total)).where("count > 1").select("_hash", F.lit(True).alias("_hot"))
+    hot = rows.groupBy("_hash").count().where(F.col("count") * max(LEAST_HOT, 4 * n) > F.lit(total)).where("count > 1").select("_hash", F.lit(True).alias("_hot"))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(4 * n))).otherwise(F.lit(0))
     keyed = rows.join(F.broadcast(hot), "_hash", "left").select("_id", "_norm", "_hash", F.col("_hot").isNotNull().alias("_hot"), salt.cast("int").alias("_salt"), F.substring("_norm", 1, _PREFIX).alias("_prefix"))
     ranged = keyed.repartitionByRange(n, "_prefix", "_hash", "_salt")

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import WORD, staged, text_of
+from tablemill.llm.common import WORD, fresh, staged, text_of
 
 _BUCKETS = 4096  # of the seeded order; only the bucket in which a source's last repetition ends is sorted
 
@@ -78,11 +78,15 @@ def mix(df: DataFrame, weights: Sequence[float] = (3, 1, 2), total_share: float
 
 
 def draw(df: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The mix itself: rows of ``df`` as often as ``mix`` says, and partial repetitions cut to their first words (joined by spaces)."""
-    plan = mixed.where("taken > 0").select(F.col(id_col).alias("_drawn"), "epochs", "part").dropDuplicates(["_drawn"])
-    rows = df.join(plan, df[id_col] == plan["_drawn"])
-    copies = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("epochs"))))
-    cut = F.array_join(F.slice(F.regexp_extract_all(text_of(df, text_col), F.lit(WORD), F.lit(0)), 1, F.greatest(F.col("part"), F.lit(1)).cast("int")), " ")
-    partial = F.col("_copy") == F.col("epochs")
-    kept = copies.where(~partial | (F.col("part") > 0))
-    return kept.select(*[F.when(partial, cut).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in df.columns])
+    """The mix itself: rows of ``df`` as often as ``mix`` says, and partial repetitions cut to their first words (joined by spaces).
+
+    Rows with a null id are never drawn, as ``mixed`` can't name them; rows that repeat an id are drawn as often as one of them.
+    """
+    drawn, epochs, part, copy = fresh(df, "_drawn", "_epochs", "_part", "_copy")
+    plan = mixed.where("taken > 0").select(F.col(id_col).alias(drawn), F.col("epochs").alias(epochs), F.col("part").alias(part)).dropDuplicates([drawn])
+    rows = df.join(plan, df[id_col] == plan[drawn])
+    copies = rows.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(epochs))))
+    cut = F.array_join(F.slice(F.regexp_extract_all(text_of(df, text_col), F.lit(WORD), F.lit(0)), 1, F.greatest(F.col(part), F.lit(1)).cast("int")), " ")
+    partial = F.col(copy) == F.col(epochs)
+    kept = copies.where(~partial | (F.col(part) > 0))
+    return kept.select(*[F.when(partial, cut).otherwise(F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])

@@ -222,7 +222,7 @@ def _neighbourhoods(reps: DataFrame) -> DataFrame:
 
 
 def _tiles(members: DataFrame, threshold: float) -> DataFrame:
-    """(rep, links, other): links to others, in copies, and edges of spanning forests. ``members`` has component, i, j, block, rep, copies, _sig, _text."""
+    """(rep, links, other): links to others, in copies, and edges of spanning forests. ``members`` has component, i, j, block, rep, copies, _sig, _digest, _text. A text whose shingles don't have the digest belongs to another row of the same id."""
     schema = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
 
     def compare(rows: list[tuple]) -> pa.RecordBatch:
@@ -247,14 +247,18 @@ def _tiles(members: DataFrame, threshold: float) -> DataFrame:
                     if len(rows) > 1:
                         yield compare(rows)
                     now, rows = tile, []
-                block, rep, copies, sig, text = (v.as_py() for v in r[3:])
-                rows.append((block != tile[1], rep, copies, sig, shingles(text)))
+                    seen: set[tuple] = set()
+                block, rep, copies, sig, digest, text = (v.as_py() for v in r[3:])
+                own = shingles(text)
+                if (rep, digest) not in seen and xxhash.xxh3_128_digest(own.tobytes()) == digest:
+                    seen.add((rep, digest))
+                    rows.append((block != tile[1], rep, copies, sig, own))
         if len(rows) > 1:
             yield compare(rows)
 
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     laid = members.repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j")
-    return laid.select("component", "i", "j", "block", "rep", "copies", "_sig", "_text").mapInArrow(run, "rep bigint, links bigint, other bigint")
+    return laid.select("component", "i", "j", "block", "rep", "copies", "_sig", "_digest", "_text").mapInArrow(run, "rep bigint, links bigint, other bigint")
 
 
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -268,7 +272,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     sets = staged(signed.where("_n > 0").groupBy("_digest").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("_n").alias("_n"), F.first("_sig").alias("_sig")), "sets")
     reps = sets.where("rep is not null")
     near = staged(_neighbourhoods(reps), "neighbourhoods")
-    members = near.join(reps.select("rep", "copies", "_n", "_sig"), "rep")
+    members = near.join(reps.select("rep", "copies", "_n", "_sig", "_digest"), "rep")
     blocks = members.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE_SETS), F.ceil(F.sum("_n") / TILE_SHINGLES)).cast("int").alias("_blocks"))
     texts = df.select(df[id_col].cast("bigint").alias("rep"), text_of(df, text_col).alias("_text"))
     placed = members.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int")).join(texts, "rep")

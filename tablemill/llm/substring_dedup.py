@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import small_batches, text_of
+from tablemill.llm.common import fresh, small_batches, text_of
 
 #: A chunk ends where CUT_BITS bits of the hash are zero, but has MIN_CHUNK to MAX_CHUNK bytes.
 CUT_BITS, MIN_CHUNK, MAX_CHUNK = 4, 12, 256
@@ -118,9 +118,11 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def cut_spans(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with the repeats among the spans cut out of its texts; documents without repeats are unchanged."""
-    by_doc = spans.where(~F.col("kept")).groupBy(F.col(id_col).alias("_cut_id")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_spans"))
-    joined = df.join(by_doc, df[id_col].cast("bigint") == by_doc["_cut_id"], "left")
-    begin = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.element_at("_spans", F.greatest(i, F.lit(1)))["stop"])
-    end = lambda i: F.when(i == F.size("_spans"), F.length(text_col)).otherwise(F.element_at("_spans", F.least(i + 1, F.size("_spans")))["start"])
-    left = F.array_join(F.transform(F.sequence(F.lit(0), F.size("_spans")), lambda i: F.substring(F.col(text_col), begin(i) + 1, end(i) - begin(i))), "")
-    return joined.select(*[F.when(F.col("_spans").isNull(), F.col(c)).otherwise(left).alias(c) if c == text_col else F.col(c) for c in df.columns])
+    key, cuts = fresh(df, "_key", "_cuts")
+    by_doc = spans.where(~F.col("kept")).groupBy(F.col(id_col).alias(key)).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(cuts))
+    joined = df.join(by_doc, df[id_col].cast("bigint") == by_doc[key], "left")
+    text = text_of(df, text_col)
+    begin = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.element_at(cuts, F.greatest(i, F.lit(1)))["stop"])
+    end = lambda i: F.when(i == F.size(cuts), F.length(text)).otherwise(F.element_at(cuts, F.least(i + 1, F.size(cuts)))["start"])
+    left = F.array_join(F.transform(F.sequence(F.lit(0), F.size(cuts)), lambda i: F.substring(text, begin(i) + 1, end(i) - begin(i))), "")
+    return joined.select(*[F.when(F.col(cuts).isNull(), F.col(f"`{c}`")).otherwise(left).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])

@@ -15,7 +15,7 @@ NASTY = [
     (None, None, None),
     (9, " \t\n ", "a"),
 ]
-EXTRA = ["_id", "_norm", "kept", "ids", "n_tokens", "secrets", "start", "_text", "_sig", "class_id", "size", "target", "rep", "count"]
+EXTRA = ["_id", "_norm", "kept", "ids", "n_tokens", "secrets", "start", "_text", "_sig", "class_id", "size", "target", "rep", "count", "_gone", "_kept", "_drawn", "epochs", "part", "_epochs", "_copy", "_cuts", "_key", "taken", "copies", "component"]
 
 
 @pytest.fixture(scope="session")

@@ -120,6 +120,14 @@ def test_ngram_join_nasty(nasty):
     assert ngram_join.ngram_join(nasty.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_an_id(spark):
+    text = lambda *w: " ".join([f"w{k}" for k in range(100)] + list(w))
+    rows = [(1, text("a")), (1, text("a")), (2, text("b")), (3, text("c")), (3, "something else that nobody has anywhere at all"), (4, text("a"))]
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    # the set of 1 has three rows; each of them has two others and the sets of 2 and 3
+    assert got == [(1, 1, 4), (1, 1, 4), (2, 1, 4), (3, 1, 4), (3, 1, 4), (4, 1, 4)]
+
+
 def test_pruning_keeps_what_may_reach():
     least = ngram_join.least_matches(0.8, 1e-6)
     assert least == sorted(least) and least[0] < 0.8 * 32 and least[-1] < 0.8 * 128

@@ -58,3 +58,15 @@ def test_stages_against_brute_force(spark, small, tmp_path):
 
 def test_run_gives_the_last_stage(spark, small):
     assert corpus_pipeline.run(spark, small).columns == ["doc_id", "lang", "source", "n_tokens", "ids", "round_trip"]
+
+
+def test_stages_on_nasty_rows(spark, nasty, small):
+    from pyspark.sql import functions as F
+
+    for docs in (nasty, nasty.limit(0)):
+        docs = docs.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), "source", F.length("text").cast("bigint").alias("n_chars"), *[c for c in docs.columns if c not in ("doc_id", "text", "source")])
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = stage(spark, docs, small)
+            rows = docs.collect()
+            assert k == 4 or "text" in docs.columns, name
+        assert all(r.round_trip for r in rows)
