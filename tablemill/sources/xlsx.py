@@ -81,17 +81,20 @@ def sheet_rows(path: str, sheet: int | str = 0) -> Iterator[list]:
                 row.clear()
 
 
-def _kind(values: list) -> T.DataType:
-    seen = {type(v) for v in values if v is not None}
+def _kind(seen: set[type], whole: bool) -> T.DataType:
     if seen == {bool}:
         return T.BooleanType()
     if seen == {float}:
-        return T.LongType() if all(v is None or v.is_integer() for v in values) else T.DoubleType()
+        return T.LongType() if whole else T.DoubleType()
     return T.StringType()
 
 
+def _names(row: list) -> list[str]:
+    return [str(v) if v not in (None, "") else f"_c{k}" for k, v in enumerate(row)]
+
+
 class XlsxSource(DataSource):
-    """Options: path, sheet (place or name), header (true). A file is one partition: its rows are one compressed stream."""
+    """Options: path, sheet (place or name). The first row is the header. A file is one partition: its rows are one compressed stream, read once for the types (unless a schema is given) and once for the rows."""
 
     @classmethod
     def name(cls) -> str:
@@ -102,12 +105,18 @@ class XlsxSource(DataSource):
         return int(s) if s.isdigit() else s
 
     def schema(self) -> T.StructType:
-        rows = list(sheet_rows(self.options["path"], self._sheet()))
-        head = [str(v) if v not in (None, "") else f"_c{k}" for k, v in enumerate(rows[0])] if rows else []
+        rows = sheet_rows(self.options["path"], self._sheet())
+        head = _names(next(rows, []))
         if len(set(head)) < len(head):
             raise ValueError("headers repeat")
-        columns = [[r[k] if k < len(r) else None for r in rows[1:]] for k in range(len(head))]
-        return T.StructType([T.StructField(n, _kind(v)) for n, v in zip(head, columns, strict=True)])
+        seen: list[set[type]] = [set() for _ in head]
+        whole = [True] * len(head)
+        for row in rows:
+            for k, v in enumerate(row[: len(head)]):
+                if v is not None:
+                    seen[k].add(type(v))
+                    whole[k] = whole[k] and isinstance(v, float) and v.is_integer()
+        return T.StructType([T.StructField(n, _kind(s, w)) for n, s, w in zip(head, seen, whole, strict=True)])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return XlsxReader(self.options["path"], self._sheet(), schema)
@@ -125,7 +134,7 @@ class XlsxReader(DataSourceReader):
 
     def read(self, _: InputPartition) -> Iterator[tuple]:
         rows = sheet_rows(self.path, self.sheet)
-        head = [str(v) if v not in (None, "") else f"_c{k}" for k, v in enumerate(next(rows, []))]
+        head = _names(next(rows, []))
         at = [head.index(f.name) for f in self.schema.fields]
 
         def cell(v, kind: T.DataType):
