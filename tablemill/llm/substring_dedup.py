@@ -108,7 +108,9 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     each = chunks(df, id_col, text_col)
     shared = each.groupBy("high", "low").agg(F.min("_id").alias("first_id"), F.max("_id").alias("_last")).where("first_id < _last").select(F.bitwise_not("high").alias("_high"), F.col("low").alias("_low"), "first_id")
-    held = each.join(shared, (F.bitwise_not("high") == F.col("_high")) & (F.col("low") == F.col("_low"))).select("_id", "first_id", "start", "stop").dropDuplicates(["_id", "start", "stop"])
+    held = each.join(shared, (F.bitwise_not("high") == F.col("_high")) & (F.col("low") == F.col("_low"))).select("_id", "first_id", "start", "stop")
+    # one shuffle by document serves the duplicates of a repeated id and the windows
+    held = held.repartition("_id").dropDuplicates(["_id", "start", "stop"])
     order = Window.partitionBy("_id").orderBy("start", "stop")
     kept = F.col("_id") == F.col("first_id")
     goes_on = (F.lag("stop").over(order) == F.col("start")) & (F.lag(kept).over(order) == kept)
