@@ -299,6 +299,13 @@ def token_estimate_input(spark, d):
     return tokens.estimate(_tasks(spark, d), SPEC, "Rate: {record_json}", "Sys", "in", sample=100)["input_tokens"]
 
 
+@query(f"""WITH y AS (SELECT length('Sys' || chr(10) || replace('Rate: {{record_json}}', '{{record_json}}', CAST(to_json({{'text': text}}) AS VARCHAR))) AS c FROM documents),
+x AS (SELECT list_sort(list(c)) AS v, count(*) AS n, sum(c)::BIGINT AS s FROM y) SELECT {_STATS.format(total='n')} FROM x""")
+def token_estimate_input_all(spark, d):
+    # a row counts whatever its state, so the labels that tell it aren't joined
+    return tokens.estimate(_t(spark, d, "documents"), SPEC, "Rate: {record_json}", "Sys", "in")["input_tokens"]
+
+
 @query(f"""WITH y AS (SELECT length(CAST(to_json({{'quality': quality, 'toxic': toxic}}) AS VARCHAR)) AS c FROM {TASKS} WHERE quality IS NOT NULL AND toxic IS NOT NULL),
 x AS (SELECT list_sort(list(c)) AS v, count(*) AS n, sum(c)::BIGINT AS s FROM y) SELECT {_STATS.format(total='n')} FROM x""")
 def token_estimate_output(spark, d):

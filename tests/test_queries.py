@@ -1,3 +1,4 @@
+import json
 import math
 from collections import Counter
 
@@ -41,6 +42,16 @@ def test_entry(spark):
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries()) and set(queries.QUERIES) <= set(e.queries())
 
 
+def test_input_tokens_of_all_rows(spark):
+    import __spark_entry__ as e
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect()
+    sizes = sorted(len("Sys\nRate: " + json.dumps({"text": r.text}, ensure_ascii=False, separators=(",", ":"))) for r in docs)
+    assert len(sizes) > 100
+    for got in (queries.QUERIES["token_estimate_input_all"](spark, SMALL).first(), e.entry(spark).first()):
+        assert (got.sample_count, got.total_estimated, got.min, got.max) == (len(sizes), sum(sizes), sizes[0], sizes[-1])
+
+
 def test_filter_reaches_the_scan(spark):
     plan = queries.QUERIES["volume_filter"](spark, SMALL)._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(l_quantity)" in plan and "l_comment" not in plan
