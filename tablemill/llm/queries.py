@@ -15,7 +15,7 @@ from tablemill.llm.mixing import mix
 from tablemill.llm.ngram_join import ngram_join
 from tablemill.llm.quality import quality_rules
 from tablemill.llm.secrets import BASE, secret_spans
-from tablemill.llm.substring_dedup import repeated_spans
+from tablemill.llm.substring_dedup import exact_passages, repeated_spans
 from tablemill.llm.token_count import library_encoder, token_counts, tokenizers_pattern
 from tablemill.llm.token_files import read_token_files, write_token_files
 from tablemill.llm.url_filter import APART, MIN_CHILDREN, MIN_SPREAD, REJECT, RULES, SMOOTHING, url_filter
@@ -138,6 +138,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_exact_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_passages(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512, keep=["doc_id"])

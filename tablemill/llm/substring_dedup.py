@@ -22,6 +22,9 @@ from tablemill.llm.common import fresh, small_batches, text_of
 CUT_BITS, MIN_CHUNK, MAX_CHUNK = 4, 12, 256
 #: A repeat is a run of repeated chunks of at least so many characters.
 MIN_RUN = 72
+#: Of SPREAD grams of GRAM bytes, as many as MIN_RUN bytes have, one is a print.
+GRAM = 32
+SPREAD = MIN_RUN - GRAM + 1
 _GEAR = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -118,6 +121,91 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return runs.where(F.col("stop") - F.col("start") >= min_run).select(F.col("_id").alias(id_col), "first_id", "start", "stop", "n_chunks", "kept")
 
 
+def prints(data: bytes) -> np.ndarray:
+    """Starts of 32-byte grams such that every MIN_RUN bytes hold one, and equal MIN_RUN bytes the same one: the least hash of each SPREAD grams."""
+    if len(data) < MIN_RUN:
+        return np.zeros(0, np.int64)
+    h = _GEAR[np.frombuffer(data, dtype=np.uint8)]
+    for span in (1, 2, 4, 8, 16):
+        shifted = h[:-span] << np.uint32(span)
+        h = h.copy()
+        h[span:] += shifted
+    h = h[GRAM - 1 :]
+    least = np.lib.stride_tricks.sliding_window_view(h, SPREAD).argmin(axis=1)
+    return np.unique(least + np.arange(len(least)))
+
+
+def matches(a: bytes, b: bytes, seeds: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Start and stop in ``a`` and start in ``b``, in characters, of the longest equal bytes around each seed (a place in each) of MIN_RUN characters or more."""
+    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
+    count = lambda z: np.concatenate(([0], np.cumsum(z & 0xC0 != 0x80)))
+    in_a, in_b = count(x), count(y)
+    out, reached = set(), {}
+    for i, j in sorted(seeds):
+        if i < reached.get(i - j, 0):
+            continue
+        n, m = min(len(x) - i, len(y) - j), min(i, j)
+        if n < GRAM:
+            continue
+        after = np.flatnonzero(x[i : i + n] != y[j : j + n])
+        before = np.flatnonzero(x[i - m : i] != y[j - m : j])
+        start, stop = i - m + (int(before[-1]) + 1 if len(before) else 0), i + (int(after[0]) if len(after) else n)
+        if stop < i + GRAM:
+            continue
+        reached[i - j] = stop
+        while start < stop and x[start] & 0xC0 == 0x80:
+            start += 1
+        # a character that differs in its last bytes isn't shared
+        while stop > start and (stop < len(x) and x[stop] & 0xC0 == 0x80 or stop - i + j < len(y) and y[stop - i + j] & 0xC0 == 0x80):
+            stop -= 1
+        if in_a[stop] - in_a[start] >= MIN_RUN:
+            out.add((int(in_a[start]), int(in_a[stop]), int(in_b[start - i + j])))
+    return sorted(out)
+
+
+def exact_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per passage that an earlier place has too: the id, start, stop, first_id, first_start, in characters, stop exclusive.
+
+    Passages are the longest equal bytes around a shared print, of MIN_RUN characters or more, however short the chunks
+    around them are. The earlier place is where the print comes first by id and start, in another document or in the
+    same one. A passage is found if for one of its prints that place has MIN_RUN characters of it; other holders aren't
+    compared. Rows that repeat an id count as one document. Null ids are left out.
+    """
+
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, places, keys = [], [], []
+            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+                data = text.as_py().encode()
+                at = prints(data)
+                ids.append(np.full(len(at), doc.as_py(), dtype=np.int64))
+                places.append(at)
+                keys += [xxhash.xxh3_64_intdigest(data[k : k + GRAM]) for k in at.tolist()]
+            cols = [np.concatenate(ids), np.concatenate(places).astype(np.int32), np.array(keys, dtype=np.uint64).view(np.int64)] if ids else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["_id", "at", "print"])
+
+    def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                doc, first, seeds, a, b = (batch.column(c)[k].as_py() for c in range(5))
+                got = matches(a.encode(), b.encode(), [(x["at"], x["first_at"]) for x in seeds])
+                if got:
+                    cols = [[doc] * len(got), [g[0] for g in got], [g[1] for g in got], [first] * len(got), [g[2] for g in got]]
+                    types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types, strict=True)], names=["_id", "start", "stop", "first_id", "first_start"])
+
+    small_batches(df.sparkSession)
+    texts = df.select(df[id_col].cast("bigint").alias("_id"), text_of(df, text_col).alias("_text")).where("_id is not null")
+    each = texts.mapInArrow(printed, "_id bigint, at int, print bigint")
+    first = each.groupBy("print").agg(F.min(F.struct("_id", "at")).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.bitwise_not("print").alias("_print"), "_first")
+    seeds = each.join(first, F.bitwise_not("print") == F.col("_print")).where(F.struct("_id", "at") != F.col("_first"))
+    pairs = seeds.groupBy("_id", F.col("_first._id").alias("first_id")).agg(F.collect_set(F.struct("at", F.col("_first.at").alias("first_at"))).alias("seeds"))
+    other = texts.select(F.col("_id").alias("first_id"), F.col("_text").alias("_first_text"))
+    both = pairs.join(texts, "_id").join(other, "first_id").select("_id", "first_id", "seeds", "_text", "_first_text")
+    found = both.mapInArrow(extended, "_id bigint, start int, stop int, first_id bigint, first_start int")
+    return found.select(F.col("_id").alias(id_col), "start", "stop", "first_id", "first_start").distinct()
+
+
 def cut_spans(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with the repeats among the spans cut out of its texts; documents without repeats are unchanged."""
     key, cuts = fresh(df, "_key", "_cuts")

@@ -234,3 +234,23 @@ def test_repeats_nasty(nasty):
     assert {r.doc_id for r in substring_dedup.repeated_spans(nasty).collect()} <= {2}
     assert substring_dedup.repeated_spans(nasty.limit(0)).count() == 0
     assert substring_dedup.cut_spans(nasty, substring_dedup.repeated_spans(nasty)).count() == len(NASTY)
+
+
+def test_short_passages_are_found_whole(spark):
+    rng = random.Random(11)
+    own = lambda n: "".join(rng.choice("abcdefghijklmnop é漢") for _ in range(n))
+    docs, want = [], set()
+    for k in range(120):
+        passage = own(rng.choice([72, 80, 98, 154]))
+        before, later = own(rng.randrange(40, 300)), own(rng.randrange(40, 300))
+        # other characters at the borders, so that nothing more is shared by chance
+        docs += [(2 * k, f"{before}<{passage}>{own(200)}"), (2 * k + 1, f"{later}({passage}){own(200)}")]
+        want.add((2 * k + 1, len(later) + 1, len(later) + 1 + len(passage), 2 * k, len(before) + 1))
+    inside, short = own(100), own(71)
+    docs += [(1000, f"<{inside}>{own(50)}({inside})"), (1001, f"<{short}>"), (1002, f"({short})"), (None, inside), (1003, None), (1004, "")]
+    want.add((1000, 153, 253, 1000, 1))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert set(map(tuple, substring_dedup.exact_passages(df).collect())) == want
+    old = {r.doc_id for r in substring_dedup.repeated_spans(df).collect() if not r.kept}
+    assert len(old) < 120
+    assert substring_dedup.exact_passages(df.limit(0)).count() == 0
