@@ -1,9 +1,9 @@
 """URL filters: host and path rules, then a tree of path templates per host judged by labelled purity.
 
 The tree's nodes are a host's path templates. Segments with digits are variable at once; where a node has many children
-that rarely come twice, all of them become one wildcard. A template takes its label counts from the pages below it;
-siblings whose shares of bad pages don't differ significantly from their parent's are merged with it, and every share
-is smoothed towards the level above: template, host, all pages.
+that rarely come twice, all of them become one wildcard. Every node takes its label counts from all pages below it;
+siblings whose shares of bad pages don't differ significantly from their parent's are merged with it, at every level,
+and every other share is smoothed towards the level above, up to the host and all pages.
 
 DataFrame operations only. Templates are counted before anything is shuffled, so a host with very many pages is as
 many rows as it has templates.
@@ -68,20 +68,34 @@ def generalise(known: DataFrame) -> DataFrame:
 
 
 def purity(templates: DataFrame) -> DataFrame:
-    """Add ``bad_share``, the smoothed share of bad pages, to a table (host, template, labelled, bad), a row per template."""
+    """Add ``bad_share``, the smoothed share of bad pages, to a table (host, template, labelled, bad), a row per template.
+
+    Every node of the tree counts all pages below it. From the host down, a node that doesn't differ from the level above
+    is merged with it and takes its share, as its like siblings do; another's share is smoothed towards that of the level above.
+    """
     totals = templates.agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b")).first()
     base = (totals["b"] or 0) / totals["n"] if totals["n"] else 0.0
     smooth = lambda bad, n, above: (bad + above * SMOOTHING) / (n + SMOOTHING)
+
+    def judged(above: Column, n: Column, bad: Column) -> Column:
+        some = F.greatest(n, F.lit(1))
+        apart = (n > 0) & (F.abs(bad / some - above) > F.sqrt(above * (1 - above) / some) * APART)
+        return F.when(apart, smooth(bad, n, above)).otherwise(above)
+
     hosts = templates.groupBy("host").agg(F.sum("labelled").alias("_hn"), F.sum("bad").alias("_hb"))
-    branches = templates.withColumn("branch", F.regexp_replace("template", r"/[^/]*$", ""))
-    parents = branches.groupBy("host", "branch").agg(F.sum("labelled").alias("_pn"), F.sum("bad").alias("_pb"))
-    all_ = branches.join(hosts, "host").join(parents, ["host", "branch"])
-    at_host = smooth(F.col("_hb"), F.col("_hn"), F.lit(base))
-    at_parent = smooth(F.col("_pb"), F.col("_pn"), at_host)
-    own = smooth(F.col("bad"), F.col("labelled"), at_parent)
-    error = F.sqrt(at_parent * (1 - at_parent) / F.greatest(F.col("labelled"), F.lit(1)))
-    apart = (F.col("labelled") > 0) & (F.abs(F.col("bad") / F.greatest(F.col("labelled"), F.lit(1)) - at_parent) > error * APART)
-    return all_.select("host", "template", F.when(apart, own).otherwise(at_parent).alias("bad_share"))
+    segments = F.filter(F.split("template", "/"), lambda s: s != "")
+    placed = templates.withColumn("_segments", segments)
+    steps = placed.where(F.size("_segments") > 0).select("host", "template", "labelled", "bad", "_segments", F.explode(F.sequence(F.lit(1), F.size("_segments"))).alias("depth"))
+    steps = steps.select("host", "template", "labelled", "bad", "depth", F.array_join(F.slice("_segments", 1, F.col("depth")), "/").alias("node"))
+    nodes = steps.groupBy("host", "node").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b"))
+    paths = steps.select("host", "template", "depth", "node").join(nodes, ["host", "node"]).groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("depth", "n", "b"))).alias("_nodes"))
+    all_ = templates.join(hosts, "host").join(paths, ["host", "template"], "left")
+    at_host = smooth(F.col("_hb"), F.col("_hn"), F.lit(base)).cast("double")
+    share = F.when(F.col("_nodes").isNull(), at_host).otherwise(F.aggregate("_nodes", at_host, lambda above, x: judged(above, x["n"], x["b"])))
+    all_ = all_.select("host", "template", "labelled", "bad", share.alias("_share"), F.coalesce(F.element_at("_nodes", -1)["n"], F.col("_hn")).alias("_below"))
+    # a template that has others below it is judged apart from them
+    own = F.when(F.col("_below") == F.col("labelled"), F.col("_share")).otherwise(judged(F.col("_share"), F.col("labelled"), F.col("bad")))
+    return all_.select("host", "template", own.alias("bad_share"))
 
 
 def url_filter(pages: DataFrame, labels: DataFrame | None = None, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:

@@ -153,6 +153,20 @@ def test_impure_templates_are_blocked_and_wildcards_made(spark):
     assert {got[1000 + i].template for i in range(60)} == {"/user/*/home"}
 
 
+def test_inner_branches_are_merged(spark):
+    part = "abcdefgh"
+    pages = [(i, f"https://site.com/spam/x{part[i // 2]}/{i}") for i in range(16)] + [(100 + i, f"https://site.com/news/{part[i % 8]}/{100 + i}") for i in range(184)]
+    # a level between without labels of its own, and a clean part of a bad branch
+    pages += [(1000, "https://site.com/spam/new/deep/er/1000")] + [(2000 + i, f"https://site.com/spam/good/{2000 + i}") for i in range(6)]
+    labels = [(i, i < 16) for i, _ in pages if i != 1000]
+    out = url_filter.url_filter(spark.createDataFrame(pages, "page_id bigint, url string"), spark.createDataFrame(labels, "label_id bigint, bad boolean"))
+    got = {r.page_id: r for r in out.collect()}
+    assert len(got) == len(pages)
+    assert {got[i].verdict for i in range(16)} == {"block"} and got[0].template == "/spam/xa/*"
+    assert {got[100 + i].verdict for i in range(184)} == {"allow"}
+    assert got[1000].verdict == "block" and {got[2000 + i].verdict for i in range(6)} == {"allow"}
+
+
 def test_url_plan_is_native(spark, small):
     from tablemill.llm.queries import QUERIES
 
