@@ -485,11 +485,13 @@ def model_stats(spark, d):
 
 @query("SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN NULL ELSE length(text) END AS answer, CASE WHEN doc_id % 10 = 3 THEN 'content_error' END AS error_type, CASE WHEN doc_id % 10 = 3 THEN 2 ELSE 1 END AS attempts FROM documents")
 def infer_documents(spark, d):
-    rows = _t(spark, d, "documents").select("doc_id", F.to_json(F.struct("doc_id", F.length("text").alias("n"))).alias("prompt"))
+    df = _t(spark, d, "documents")
+    rows = df.select("doc_id", prompt.render("{record_json}", prompt.record_json(df, ["doc_id", "text"])).alias("prompt"))
 
     def answer(messages):
         said = json.loads(messages[-1]["content"])
-        return "no idea" if said["doc_id"] % 10 == 3 else json.dumps({"answer": said["n"]})
+        text = said.get("text")
+        return "no idea" if said["doc_id"] % 10 == 3 else json.dumps({"answer": None if text is None else len(text)})
 
     out = infer.infer(rows, lambda: infer.FakeClient(answer), ["doc_id"], ["answer"], retry=infer.Retry(pause=0.0))
     return out.select("doc_id", F.get_json_object("reply_json", "$.answer").cast("int").alias("answer"), F.col("_error_type").alias("error_type"), "attempts")

@@ -52,6 +52,14 @@ def test_input_tokens_of_all_rows(spark):
         assert (got.sample_count, got.total_estimated, got.min, got.max) == (len(sizes), sum(sizes), sizes[0], sizes[-1])
 
 
+def test_whole_texts_are_sent_to_the_model(spark, monkeypatch):
+    sent, infer = [], queries.infer.infer
+    monkeypatch.setattr(queries.infer, "infer", lambda rows, *a, **b: sent.append(rows) or infer(rows, *a, **b))
+    queries.QUERIES["infer_documents"](spark, SMALL)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    assert {r.doc_id: json.loads(r.prompt)["text"] for r in sent[0].collect()} == texts
+
+
 def test_filter_reaches_the_scan(spark):
     plan = queries.QUERIES["volume_filter"](spark, SMALL)._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(l_quantity)" in plan and "l_comment" not in plan
