@@ -254,3 +254,15 @@ def test_short_passages_are_found_whole(spark):
     old = {r.doc_id for r in substring_dedup.repeated_spans(df).collect() if not r.kept}
     assert len(old) < 120
     assert substring_dedup.exact_passages(df.limit(0)).count() == 0
+
+
+def test_repetition_inside_a_document_is_found(spark):
+    from tablemill.llm.queries import QUERIES
+
+    rng = random.Random(12)
+    own = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = own(300)
+    df = spark.createDataFrame([(1, f"{own(50)}<{passage}>{own(90)}({passage})[{passage}]"), (2, own(900))], "doc_id bigint, text string")
+    got = sorted(map(tuple, substring_dedup.exact_passages(df).collect()))
+    assert got == [(1, 443, 743, 1, 51), (1, 745, 1045, 1, 51)]
+    assert substring_dedup.repeated_spans(df).count() == 0 and "op8_exact_passages" in QUERIES
