@@ -1,14 +1,17 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
 Documents are sets of five-word shingles. Equal sets are collapsed first. MinHash bands propose candidates: the members
-of a bucket are linked to its least member, links that are hopeless are pruned, and what remains connected is a
-neighbourhood. Within it, pairs are compared in tiles of bounded size, spread over all tasks: MinHash values are read a
-step at a time, and a pair is dropped once the posterior probability that its similarity reaches the threshold is
-below the tolerance. Those left are verified on their whole sets. A tile gives sums and a spanning forest, never its pairs.
+of a bucket, all with all, are compared by their signatures in tiles of bounded size: MinHash values are read a step at
+a time, and a pair is dropped once the posterior probability that its similarity reaches the threshold is below the
+tolerance. A tile gives a spanning forest of the pairs that stay, never the pairs, and what forests connect is a
+neighbourhood, about as tight as a class. Within it, pairs are compared in the same way and those left are verified on
+their whole sets; these tiles give sums and forests.
+
+Buckets with the same members count once. A bucket of more than SIG_BLOCK members is cut by set size (sets that reach
+the threshold differ in size by its ratio at most) and then into blocks, each pair of which is a tile.
 
 What may be missed: a pair at the threshold shares none of the bands with probability 5e-8, and pruning errs with the
-tolerance. Two linked documents part only if in each bucket that they share (13 of 32 on average at the threshold) the
-least member resembles one of them by less than 0.2.
+tolerance. Nothing else is.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +34,9 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 STEP, TOLERANCE = 32, 1e-6
-#: Links in a bucket below this similarity don't make a neighbourhood.
-NEAR = 0.2
-#: A block of a tile has about so many sets, or fewer if they hold more shingles.
+#: A block of a bucket has about so many signatures.
+SIG_BLOCK = 512
+#: A block of a neighbourhood has about so many sets, or fewer if they hold more shingles.
 TILE_SETS, TILE_SHINGLES = 256, 1 << 18
 _WORDS = re.compile(WORD).findall
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -60,11 +63,12 @@ def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
 
 
 def minhash(hashes: np.ndarray) -> np.ndarray:
+    """The low halves of the 32-bit minima."""
     least = np.full(HASHES, 0xFFFFFFFF, dtype=np.uint32)
     for lo in range(0, len(hashes), 256):
         turned = (hashes[lo : lo + 256, None] * _FACTORS) >> np.uint64(32)
         np.minimum(least, turned.min(axis=0).astype(np.uint32), out=least)
-    return least
+    return least.astype(np.uint16)
 
 
 @lru_cache
@@ -151,6 +155,27 @@ def linked(sigs: np.ndarray, sets: list[np.ndarray], side: np.ndarray, threshold
     return a[reach], b[reach]
 
 
+def spanning(sigs: np.ndarray, sizes: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """A spanning forest, as pairs of places, of the pairs that may reach the threshold.
+
+    A place is compared with those that aren't reached yet, so like signatures cost a comparison each and not all pairs.
+    """
+    left, out = np.arange(len(sigs)), []
+    while len(left) > 1:
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            x = queue.pop()
+            fits = np.minimum(sizes[left], sizes[x]) >= threshold * np.maximum(sizes[left], sizes[x])
+            at = np.flatnonzero(fits)
+            if len(at):
+                at = at[may_reach(np.broadcast_to(sigs[x], (len(at), HASHES)), sigs[left[at]], threshold)]
+                hit = left[at].tolist()
+                out += [(x, y) for y in hit]
+                queue += hit
+                left = np.delete(left, at)
+    return out
+
+
 def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     above: dict[int, int] = {}
 
@@ -188,77 +213,120 @@ def _banded(reps: DataFrame) -> DataFrame:
     schema = pa.schema([("key", pa.int64()), ("rep", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
+        band = np.arange(1, BANDS + 1, dtype=np.uint64) * _END
         for whole in batches:
             for lo in range(0, whole.num_rows, 4096):
                 batch = whole.slice(lo, 4096)
-                sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32).reshape(-1, BANDS, ROWS)
-                key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX, sigs.shape[:2]).copy()
-                for k in range(ROWS):
-                    key = (key ^ sigs[:, :, k]) * turn[:, k]
-                    key ^= key >> np.uint64(31)
+                # a band's four values fill a key; the steps after that can be undone, so different values have different keys
+                key = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint64).reshape(-1, BANDS) ^ band
+                key = key * _MIX
+                key ^= key >> np.uint64(31)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], schema=schema)
 
     return reps.select("rep", "_sig").mapInArrow(run, "key bigint, rep bigint")
 
 
-def _neighbourhoods(reps: DataFrame) -> DataFrame:
-    """(rep, component) of all that have a candidate."""
+def _buckets(reps: DataFrame, threshold: float) -> DataFrame:
+    """(key, cut, i, j, rep): the members of every bucket, dealt to tiles."""
     bands = _banded(reps)
-    buckets = bands.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("_most")).where("least < _most").select("key", "least")
-    pairs = bands.join(buckets, "key").where("rep <> least").select("least", "rep").distinct()
-    sigs = reps.select("rep", "_sig").dropDuplicates(["rep"])
-    both = pairs.join(sigs.select(F.col("rep").alias("least"), F.col("_sig").alias("_a")), "least").join(sigs.withColumnRenamed("_sig", "_b"), "rep")
+    shared = bands.groupBy("key").agg(F.min("rep").alias("_least"), F.max("rep").alias("_most"), F.count(F.lit(1)).alias("_size")).where("_least < _most").select("key", "_size")
+    members = staged(bands.join(shared, "key").select("key", "rep", "_size"), "buckets")
+    same = members.groupBy("key").agg(F.first("_size").alias("_n"), F.bit_xor(F.xxhash64("rep")).alias("_x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("_y"))
+    chosen = same.groupBy("_n", "_x", "_y").agg(F.min("key").alias("key")).select("key")
+    members = staged(members.join(chosen, "key"), "different-buckets")
+    small = members.where(F.col("_size") <= SIG_BLOCK).select("key", F.lit(0).alias("cut"), F.lit(0).alias("i"), F.lit(0).alias("j"), "rep")
+    step = F.floor(F.ln(F.col("_n")) / F.lit(-log(threshold) * (1 + 1e-9))).cast("int")
+    hot = members.where(F.col("_size") > SIG_BLOCK).join(reps.select("rep", "_n"), "rep").select("key", "rep", F.explode(F.array(step, step + 1)).alias("cut"))
+    blocks = hot.groupBy("key", "cut").agg(F.ceil(F.count(F.lit(1)) / SIG_BLOCK).cast("int").alias("_blocks"))
+    return small.unionByName(_tiled(hot.join(blocks, ["key", "cut"])).select("key", "cut", "i", "j", "rep"))
+
+
+def _tiled(rows: DataFrame) -> DataFrame:
+    """Add block, i and j to rows with rep and _blocks: each row once for every pair of blocks that has its own."""
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int")).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return placed.withColumn("i", F.least("block", "_with")).withColumn("j", F.greatest("block", "_with"))
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of rows with the same first ``n_keys`` columns, which are one after the other: the key, and the rest of each row."""
+    now, rows = None, []
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            for r in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns), strict=True):
+                if r[:n_keys] != now:
+                    if rows:
+                        yield now, rows
+                    now, rows = r[:n_keys], []
+                rows.append(r[n_keys:])
+    if rows:
+        yield now, rows
+
+
+def _neighbourhoods(reps: DataFrame, threshold: float) -> DataFrame:
+    """(rep, component) of all that have a candidate which may reach the threshold."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
-    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, v = [], []
+        for _, rows in _grouped(batches, 4):
+            if len(rows) > 1:
+                sigs = np.frombuffer(b"".join(r[2] for r in rows), dtype=np.uint16).reshape(-1, HASHES)
+                for a, b in spanning(sigs, np.array([r[1] for r in rows], dtype=np.int64), threshold):
+                    u.append(rows[a][0])
+                    v.append(rows[b][0])
+            if len(u) >= 1 << 14:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=schema)
+                u, v = [], []
+        if u:
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=schema)
+
+    n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tile = ["key", "cut", "i", "j"]
+    signed = _buckets(reps, threshold).join(reps.select("rep", "_n", "_sig"), "rep")
+    laid = signed.repartition(n, *tile).sortWithinPartitions(*tile).select(*tile, "rep", "_n", "_sig")
+    return components(laid.mapInArrow(run, "u bigint, v bigint")).withColumnRenamed("node", "rep")
+
+
+def _with_sets(members: DataFrame) -> DataFrame:
+    """Rows with a ``_text`` as rows with its shingles (``_set``), made once before rows are dealt to tiles. A text whose shingles don't have the ``_digest`` belongs to another row of the same id and goes."""
+    kept = [c for c in members.columns if c != "_text"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in members.select(*kept).schema.fields), "_set binary"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 4096):
-                batch = whole.slice(lo, 4096)
-                a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint32).reshape(-1, HASHES) for k in (2, 3))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(may_reach(a, b, NEAR)))
+            for lo in range(0, whole.num_rows, 256):
+                batch = whole.slice(lo, 256)
+                sets = [shingles(t).tobytes() for t in batch.column("_text").to_pylist()]
+                own = [xxhash.xxh3_128_digest(s) == d for s, d in zip(sets, batch.column("_digest").to_pylist(), strict=True)]
+                out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sets, pa.binary())], names=[*kept, "_set"])
+                yield out.filter(pa.array(own))
 
-    near = both.select("least", "rep", "_a", "_b").mapInArrow(prune, "u bigint, v bigint")
-    return components(near).withColumnRenamed("node", "rep")
+    return members.select(*kept, "_text").mapInArrow(run, schema)
 
 
-def _tiles(members: DataFrame, threshold: float) -> DataFrame:
-    """(rep, links, other): links to others, in copies, and edges of spanning forests. ``members`` has component, i, j, block, rep, copies, _sig, _digest, _text. A text whose shingles don't have the digest belongs to another row of the same id."""
+def _verified(tiles: DataFrame, threshold: float) -> DataFrame:
+    """(rep, links, other): links to others, in copies, and edges of spanning forests. ``tiles`` has component, i, j, block, rep, copies, _digest, _sig, _set."""
     schema = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
 
-    def compare(rows: list[tuple]) -> pa.RecordBatch:
-        sigs = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint32).reshape(-1, HASHES)
-        side = np.array([r[0] for r in rows])
-        a, b = linked(sigs, [r[4] for r in rows], side, threshold)
-        copies = np.array([r[2] for r in rows], dtype=np.int64)
-        links = np.bincount(a, copies[b], len(rows)) + np.bincount(b, copies[a], len(rows))
-        edges = _forest(a, b)
-        some = np.flatnonzero(links)
-        ids = [rows[i][1] for i in some] + [rows[i][1] for i, _ in edges]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array([int(links[i]) for i in some] + [0] * len(edges), pa.int64()), pa.array([None] * len(some) + [rows[j][1] for _, j in edges], pa.int64())], schema=schema
-        )
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
-        for batch in batches:
-            for r in zip(*(batch.column(k) for k in range(batch.num_columns)), strict=True):
-                tile = tuple(v.as_py() for v in r[:3])
-                if tile != now:
-                    if len(rows) > 1:
-                        yield compare(rows)
-                    now, rows = tile, []
-                    seen: set[tuple] = set()
-                block, rep, copies, sig, digest, text = (v.as_py() for v in r[3:])
-                own = shingles(text)
-                if (rep, digest) not in seen and xxhash.xxh3_128_digest(own.tobytes()) == digest:
-                    seen.add((rep, digest))
-                    rows.append((block != tile[1], rep, copies, sig, own))
-        if len(rows) > 1:
-            yield compare(rows)
-
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = members.repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j")
-    return laid.select("component", "i", "j", "block", "rep", "copies", "_sig", "_digest", "_text").mapInArrow(run, "rep bigint, links bigint, other bigint")
+        for (_, i, _), rows in _grouped(batches, 3):
+            rows = list({(r[1], r[3]): r for r in rows}.values())  # rows that repeat id and text are one
+            if len(rows) < 2:
+                continue
+            sigs = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint16).reshape(-1, HASHES)
+            a, b = linked(sigs, [np.frombuffer(r[5], dtype=np.uint64) for r in rows], np.array([r[0] != i for r in rows]), threshold)
+            copies = np.array([r[2] for r in rows], dtype=np.int64)
+            links = np.bincount(a, copies[b], len(rows)) + np.bincount(b, copies[a], len(rows))
+            edges = _forest(a, b)
+            some = np.flatnonzero(links)
+            ids = [rows[k][1] for k in some] + [rows[k][1] for k, _ in edges]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array([int(links[k]) for k in some] + [0] * len(edges), pa.int64()), pa.array([None] * len(some) + [rows[k][1] for _, k in edges], pa.int64())], schema=schema
+            )
+
+    n = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = tiles.repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j")
+    return laid.select("component", "i", "j", "block", "rep", "copies", "_digest", "_sig", "_set").mapInArrow(run, "rep bigint, links bigint, other bigint")
 
 
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -271,14 +339,11 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     signed = staged(_signed(df, id_col, text_col), "signatures")
     sets = staged(signed.where("_n > 0").groupBy("_digest").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("_n").alias("_n"), F.first("_sig").alias("_sig")), "sets")
     reps = sets.where("rep is not null")
-    near = staged(_neighbourhoods(reps), "neighbourhoods")
+    near = staged(_neighbourhoods(reps, threshold), "neighbourhoods")
     members = near.join(reps.select("rep", "copies", "_n", "_sig", "_digest"), "rep")
     blocks = members.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE_SETS), F.ceil(F.sum("_n") / TILE_SHINGLES)).cast("int").alias("_blocks"))
     texts = df.select(df[id_col].cast("bigint").alias("rep"), text_of(df, text_col).alias("_text"))
-    placed = members.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int")).join(texts, "rep")
-    other = placed.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    tiles = other.withColumn("i", F.least("block", "_with")).withColumn("j", F.greatest("block", "_with"))
-    compared = staged(_tiles(tiles, threshold), "tiles")
+    compared = staged(_verified(_tiled(_with_sets(members.join(blocks, "component").join(texts, "rep"))), threshold), "tiles")
     classes = components(compared.where("other is not null").select(F.col("rep").alias("u"), F.col("other").alias("v"))).withColumnRenamed("node", "rep")
     links = compared.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
     known = sets.select("_digest", "rep", "copies").join(classes, "rep", "left").join(links, "rep", "left")

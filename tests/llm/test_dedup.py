@@ -103,6 +103,59 @@ def test_ngram_join_over_blocks(spark, monkeypatch):
     assert got == brute_classes(docs)
 
 
+def quotes(words, first_id):
+    """Short documents, one for each band, that quote the phrases whose hashes are the band's minima in a text of ``words``: strangers at the head of all its buckets."""
+    phrases = [" ".join(words[k : k + 5]) for k in range(len(words) - 4)]
+    hashes = np.concatenate([ngram_join.shingles(p) for p in phrases])
+    least = ((hashes[:, None] * ngram_join._FACTORS) >> np.uint64(32)).argmin(axis=0).reshape(ngram_join.BANDS, ngram_join.ROWS)
+    return [(first_id + b, " ".join(phrases[k] for k in row)) for b, row in enumerate(least)]
+
+
+def long_pair(rng, n=3000):
+    a = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    b = list(a)
+    for at in (n // 4, n // 2, 3 * n // 4):
+        b[at] = f"w{rng.randrange(10**9)}"
+    return a, b
+
+
+def test_strangers_at_the_head_of_buckets_cost_no_links(spark):
+    rng = random.Random(21)
+    docs = []
+    for k in range(12):
+        a, b = long_pair(rng, 600)
+        docs += quotes(a, 100 * k) + [(100 * k + 50, " ".join(a)), (100 * k + 51, " ".join(b))]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.ngram_join(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == brute_classes(docs) and got[50] == (50, 1)
+
+
+def test_ngram_join_over_cut_buckets(spark, monkeypatch):
+    docs = near_corpus(200, seed=13)
+    monkeypatch.setattr(ngram_join, "SIG_BLOCK", 6)
+    monkeypatch.setattr(ngram_join, "TILE_SETS", 16)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.ngram_join(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == brute_classes(docs)
+
+
+def test_spanning_connects_what_pairs_connect():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 16, (6, 128), dtype=np.uint16)
+    sigs = base[rng.integers(0, 6, 80)].copy()
+    turned = rng.random(sigs.shape) < rng.random((80, 1)) * 0.3
+    sigs[turned] = rng.integers(0, 1 << 16, int(turned.sum()), dtype=np.uint16)
+    sizes = rng.choice([90, 100, 200], 80)
+    forest = ngram_join.spanning(sigs, sizes, 0.8)
+
+    def roots(pairs):
+        top = list(range(80))
+        for a, b in pairs * 80:
+            top[a] = top[b] = min(top[a], top[b])
+        return top
+
+    may = [(a, b) for a in range(80) for b in range(a + 1, 80) if min(sizes[a], sizes[b]) >= 0.8 * max(sizes[a], sizes[b]) and ngram_join.may_reach(sigs[a : a + 1], sigs[b : b + 1], 0.8)[0]]
+    assert roots(forest) == roots(may) and len(forest) == 80 - len(set(roots(may)))
+
+
 def test_ngram_join_on_documents(spark, small):
     from tablemill.llm.queries import QUERIES
 
