@@ -1,9 +1,10 @@
 """Substring dedup by content-defined chunking.
 
-A gear hash rolls over the bytes of a text; where its top bits are zero, a chunk ends. Ends depend on the 32 bytes
-before them alone, so an insertion moves them but changes only the chunks that it touches. Chunks are compared by
-96-bit digests; a chunk belongs to the document of smallest id that has it, and runs of chunks that belong to earlier
-documents are repeats.
+A gear hash rolls over the bytes of a text; a chunk ends where the hash is the least of the places around it. Ends depend
+on the bytes near them alone, so an insertion moves them but changes only the chunks that it touches. Chunks are compared
+by 96-bit digests. The first place of a chunk, by id and start, keeps it; each later place, in the same document or in
+another, repeats it. Neighbouring repeats are one passage as long as their first places are neighbours as well, so a
+passage stands in its first holder just as it stands in the repeat.
 """
 
 from __future__ import annotations
@@ -16,15 +17,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import fresh, small_batches, text_of
+from tablemill.llm.common import fresh, small_batches, staged, text_of
 
-#: A chunk ends where CUT_BITS bits of the hash are zero, but has MIN_CHUNK to MAX_CHUNK bytes.
-CUT_BITS, MIN_CHUNK, MAX_CHUNK = 4, 12, 256
-#: A repeat is a run of repeated chunks of at least so many characters.
+#: The hash is over so many bytes (a power of two).
+GEAR_BYTES = 16
+#: A chunk ends where the hash is the least of so many places to either side: chunks have over REACH bytes, twice that on average.
+REACH = 32
+#: Where no place stands out for so many bytes, as in a run of one character, a chunk ends anyway.
+MAX_CHUNK = 256
+#: A passage is a run of repeated chunks of at least so many characters.
 MIN_RUN = 72
-#: Of SPREAD grams of GRAM bytes, as many as MIN_RUN bytes have, one is a print.
-GRAM = 32
-SPREAD = MIN_RUN - GRAM + 1
 _GEAR = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -34,33 +36,51 @@ def chunk_ends(data: bytes) -> np.ndarray:
     if not n:
         return np.zeros(0, np.int64)
     raw = np.frombuffer(data, dtype=np.uint8)
-    h = _GEAR[raw]
-    # sum of gear[b] << age over the last 32 bytes, by doubling the span that each place covers
-    for span in (1, 2, 4, 8, 16):
-        shifted = h[:-span] << np.uint32(span)
-        h = h.copy()
-        h[span:] += shifted
-    inside = raw & 0xC0 == 0x80
-    limits = np.flatnonzero(h >> np.uint32(32 - CUT_BITS) == 0) + 1
     out, start = [], 0
-    for end in [*limits.tolist(), n]:
+    for end in [*_least_places(raw), n]:
         while end - start > MAX_CHUNK:
-            stop = start + MAX_CHUNK
-            while stop < n and inside[stop]:
-                stop += 1
-            if stop >= end:
-                break
-            out.append(stop)
-            start = stop
-        if end - start >= MIN_CHUNK or end == n:
-            while end < n and inside[end]:
-                end += 1
-            if end > start:
-                out.append(end)
-                start = end
+            start = _whole(raw, start + MAX_CHUNK)
+            out.append(start)
+        end = _whole(raw, end)
+        if end > start:
+            out.append(end)
+            start = end
     return np.array(out, dtype=np.int64)
 
 
+def _whole(raw: np.ndarray, at: int) -> int:
+    """The first place from ``at`` on that isn't inside a character."""
+    while at < len(raw) and raw[at] & 0xC0 == 0x80:
+        at += 1
+    return at
+
+
+def _least_places(raw: np.ndarray) -> list[int]:
+    """Places after which a chunk ends: the hash there is below all of REACH before and not above any of REACH after."""
+    n, out = len(raw), []
+    if n <= 2 * REACH:
+        return out
+    # in slices, so that memory follows the text and not what is reckoned about it; each sees all that decides its places
+    width = 1 << 18
+    for lo in range(0, n, width):
+        a, b = max(0, lo - REACH - GEAR_BYTES), min(n, lo + width + REACH)
+        h = _GEAR[raw[a:b]]
+        span = 1
+        while span < GEAR_BYTES:
+            shifted = h[:-span] << np.uint32(span)
+            h = h.copy()
+            h[span:] += shifted
+            span *= 2
+        # minima of REACH places, by doubling
+        least, width_ = h, 1
+        while width_ < REACH:
+            least = np.minimum(least[:-width_], least[width_:])
+            width_ *= 2
+        p = np.arange(max(lo, REACH), min(lo + width, n - REACH)) - a
+        out += (p[(h[p] < least[p - REACH]) & (h[p] <= least[p + 1])] + a + 1).tolist()
+    return out
+
+
 def chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A row per chunk: id, start and stop in characters, digest (high, low)."""
     schema = pa.schema([("_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("high", pa.int64()), ("low", pa.int32())])
@@ -81,15 +101,19 @@ def chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                data = text.as_py().encode()
+                text = text.as_py()
+                data = text.encode()
                 ends = chunk_ends(data)
                 if not len(ends):
                     continue
                 first = np.concatenate(([0], ends[:-1]))
-                place = np.concatenate(([0], np.cumsum(np.frombuffer(data, dtype=np.uint8) & 0xC0 != 0x80)))
-                ids.append(np.full(len(ends), doc.as_py(), dtype=np.int64))
-                spans.append(np.stack([place[first], place[ends]], axis=1))
                 digests += [digest(data[a:b]) for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
+                if len(text) < len(data):  # bytes that begin a character, counted up to each end
+                    begins = np.frombuffer(data, dtype=np.uint8) & 0xC0 != 0x80
+                    ends = np.cumsum(np.add.reduceat(begins, first, dtype=np.int64))
+                    first = np.concatenate(([0], ends[:-1]))
+                ids.append(np.full(len(ends), doc.as_py(), dtype=np.int64))
+                spans.append(np.stack([first, ends], axis=1))
                 if len(digests) > 1 << 15:
                     yield made()
         if digests:
@@ -101,109 +125,38 @@ def chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
-    """One row per passage that several documents have, for each of them: the id, first_id (the smallest id that has one of its chunks), start, stop, n_chunks, kept.
-
-    A passage is kept in the document of smallest id and a repeat in the others. start and stop count characters, stop
-    exclusive. Repetition inside one document doesn't count, nor do rows that repeat an id. Null ids are left out:
-    nothing could refer to them. Null and empty texts have no chunks. Chunks are counted before the shuffle; a passage
-    that very many documents share is a hot key of the join alone. There the counted side has a key of its own, so that
-    Spark shuffles it by itself and can split the skewed other side.
+    """One row per passage that comes again: the id, start, stop, first_id, first_start, kept.
+
+    Rows with ``kept`` false are repeats: text[start:stop] is also at first_start of the document first_id, which is
+    another one of smaller id or an earlier place of the same. Rows with ``kept`` true are these first places, brought
+    together where they overlap. Places count characters, stop exclusive. A repeat whose chunks come first in several
+    documents is a passage for each of them that has ``min_run`` characters of it; but one chunk alone beside a longer
+    run of another holder is an edge, where a later holder has a few more characters in common by chance, and stays.
+
+    Null ids are left out: nothing could refer to them. Null and empty texts have no chunks. Rows that repeat an id count
+    as one document, whose places are those of all of them. Texts are chunked once. Digests are counted before the
+    shuffle; a passage that very many documents share is a hot key of the join alone, where the counted side has a key
+    of its own, so that Spark shuffles it by itself and can split the skewed other side.
     """
-    each = chunks(df, id_col, text_col)
-    shared = each.groupBy("high", "low").agg(F.min("_id").alias("first_id"), F.max("_id").alias("_last")).where("first_id < _last").select(F.bitwise_not("high").alias("_high"), F.col("low").alias("_low"), "first_id")
-    held = each.join(shared, (F.bitwise_not("high") == F.col("_high")) & (F.col("low") == F.col("_low"))).select("_id", "first_id", "start", "stop")
+    each = staged(chunks(df, id_col, text_col), "chunks")
+    place = F.struct("_id", "start")
+    shared = each.groupBy("high", "low").agg(F.min(place).alias("_least"), F.max(place).alias("_most")).where("_least < _most").select(F.bitwise_not("high").alias("_high"), F.col("low").alias("_low"), "_least")
+    held = each.join(shared, (F.bitwise_not("high") == F.col("_high")) & (F.col("low") == F.col("_low"))).where(place > F.col("_least"))
     # one shuffle by document serves the duplicates of a repeated id and the windows
-    held = held.repartition("_id").dropDuplicates(["_id", "start", "stop"])
+    held = held.select("_id", "start", "stop", F.col("_least._id").alias("first_id"), F.col("_least.start").alias("first_start")).repartition("_id").dropDuplicates(["_id", "start", "stop"])
     order = Window.partitionBy("_id").orderBy("start", "stop")
-    kept = F.col("_id") == F.col("first_id")
-    goes_on = (F.lag("stop").over(order) == F.col("start")) & (F.lag(kept).over(order) == kept)
-    runs = held.withColumn("_run", F.sum(F.when(goes_on, 0).otherwise(1)).over(order)).groupBy("_id", "_run").agg(F.min("first_id").alias("first_id"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.count(F.lit(1)).alias("n_chunks"), F.first(kept).alias("kept"))
-    return runs.where(F.col("stop") - F.col("start") >= min_run).select(F.col("_id").alias(id_col), "first_id", "start", "stop", "n_chunks", "kept")
-
-
-def prints(data: bytes) -> np.ndarray:
-    """Starts of 32-byte grams such that every MIN_RUN bytes hold one, and equal MIN_RUN bytes the same one: the least hash of each SPREAD grams."""
-    if len(data) < MIN_RUN:
-        return np.zeros(0, np.int64)
-    h = _GEAR[np.frombuffer(data, dtype=np.uint8)]
-    for span in (1, 2, 4, 8, 16):
-        shifted = h[:-span] << np.uint32(span)
-        h = h.copy()
-        h[span:] += shifted
-    h = h[GRAM - 1 :]
-    least = np.lib.stride_tricks.sliding_window_view(h, SPREAD).argmin(axis=1)
-    return np.unique(least + np.arange(len(least)))
-
-
-def matches(a: bytes, b: bytes, seeds: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """Start and stop in ``a`` and start in ``b``, in characters, of the longest equal bytes around each seed (a place in each) of MIN_RUN characters or more."""
-    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
-    count = lambda z: np.concatenate(([0], np.cumsum(z & 0xC0 != 0x80)))
-    in_a, in_b = count(x), count(y)
-    out, reached = set(), {}
-    for i, j in sorted(seeds):
-        if i < reached.get(i - j, 0):
-            continue
-        n, m = min(len(x) - i, len(y) - j), min(i, j)
-        if n < GRAM:
-            continue
-        after = np.flatnonzero(x[i : i + n] != y[j : j + n])
-        before = np.flatnonzero(x[i - m : i] != y[j - m : j])
-        start, stop = i - m + (int(before[-1]) + 1 if len(before) else 0), i + (int(after[0]) if len(after) else n)
-        if stop < i + GRAM:
-            continue
-        reached[i - j] = stop
-        while start < stop and x[start] & 0xC0 == 0x80:
-            start += 1
-        # a character that differs in its last bytes isn't shared
-        while stop > start and (stop < len(x) and x[stop] & 0xC0 == 0x80 or stop - i + j < len(y) and y[stop - i + j] & 0xC0 == 0x80):
-            stop -= 1
-        if in_a[stop] - in_a[start] >= MIN_RUN:
-            out.add((int(in_a[start]), int(in_a[stop]), int(in_b[start - i + j])))
-    return sorted(out)
-
-
-def exact_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per passage that an earlier place has too: the id, start, stop, first_id, first_start, in characters, stop exclusive.
-
-    Passages are the longest equal bytes around a shared print, of MIN_RUN characters or more, however short the chunks
-    around them are. The earlier place is where the print comes first by id and start, in another document or in the
-    same one. A passage is found if for one of its prints that place has MIN_RUN characters of it; other holders aren't
-    compared. Rows that repeat an id count as one document. Null ids are left out.
-    """
-
-    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, places, keys = [], [], []
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                data = text.as_py().encode()
-                at = prints(data)
-                ids.append(np.full(len(at), doc.as_py(), dtype=np.int64))
-                places.append(at)
-                keys += [xxhash.xxh3_64_intdigest(data[k : k + GRAM]) for k in at.tolist()]
-            cols = [np.concatenate(ids), np.concatenate(places).astype(np.int32), np.array(keys, dtype=np.uint64).view(np.int64)] if ids else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["_id", "at", "print"])
-
-    def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                doc, first, seeds, a, b = (batch.column(c)[k].as_py() for c in range(5))
-                got = matches(a.encode(), b.encode(), [(x["at"], x["first_at"]) for x in seeds])
-                if got:
-                    cols = [[doc] * len(got), [g[0] for g in got], [g[1] for g in got], [first] * len(got), [g[2] for g in got]]
-                    types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types, strict=True)], names=["_id", "start", "stop", "first_id", "first_start"])
-
-    small_batches(df.sparkSession)
-    texts = df.select(df[id_col].cast("bigint").alias("_id"), text_of(df, text_col).alias("_text")).where("_id is not null")
-    each = texts.mapInArrow(printed, "_id bigint, at int, print bigint")
-    first = each.groupBy("print").agg(F.min(F.struct("_id", "at")).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.bitwise_not("print").alias("_print"), "_first")
-    seeds = each.join(first, F.bitwise_not("print") == F.col("_print")).where(F.struct("_id", "at") != F.col("_first"))
-    pairs = seeds.groupBy("_id", F.col("_first._id").alias("first_id")).agg(F.collect_set(F.struct("at", F.col("_first.at").alias("first_at"))).alias("seeds"))
-    other = texts.select(F.col("_id").alias("first_id"), F.col("_text").alias("_first_text"))
-    both = pairs.join(texts, "_id").join(other, "first_id").select("_id", "first_id", "seeds", "_text", "_first_text")
-    found = both.mapInArrow(extended, "_id bigint, start int, stop int, first_id bigint, first_start int")
-    return found.select(F.col("_id").alias(id_col), "start", "stop", "first_id", "first_start").distinct()
+    before = lambda c: F.lag(c).over(order)
+    goes_on = (before("stop") == F.col("start")) & (before("first_id") == F.col("first_id")) & (before("first_start") + before("stop") - before("start") == F.col("first_start"))
+    runs = held.withColumn("_run", F.sum(F.when(goes_on, 0).otherwise(1)).over(order)).groupBy("_id", "_run")
+    runs = runs.agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.first("first_id").alias("first_id"), F.min("first_start").alias("first_start"), F.count(F.lit(1)).alias("_n"))
+    after = lambda c: F.lead(c).over(order)
+    edge = (F.col("_n") == 1) & (F.coalesce((before("stop") == F.col("start")) & (before("_n") > 1), F.lit(False)) | F.coalesce((after("start") == F.col("stop")) & (after("_n") > 1), F.lit(False)))
+    repeats = staged(runs.withColumn("_edge", edge).where(~F.col("_edge") & (F.col("stop") - F.col("start") >= min_run)).select("_id", "start", "stop", "first_id", "first_start"), "repeats")
+    firsts = repeats.select(F.col("first_id").alias("_id"), F.col("first_start").alias("start"), (F.col("first_start") + F.col("stop") - F.col("start")).alias("stop")).distinct()
+    apart = F.col("start") > F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    islands = firsts.withColumn("_run", F.sum(F.when(apart, 1).otherwise(0)).over(order)).groupBy("_id", "_run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    kept = islands.select("_id", "start", "stop", F.col("_id").alias("first_id"), F.col("start").alias("first_start"), F.lit(True).alias("kept"))
+    return repeats.withColumn("kept", F.lit(False)).unionByName(kept).withColumnRenamed("_id", id_col).select(id_col, "start", "stop", "first_id", "first_start", "kept")
 
 
 def cut_spans(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
