@@ -1,8 +1,9 @@
 """Quality rules for documents, and for the hosts (sources) that they come from.
 
-Documents are measured one by one. Rule failures are then summed by host, each host's failure rate is shrunk towards
-all hosts' by a beta prior fitted to their spread, and a host whose shrunk rate of any rule reaches a half is rejected
-with all its documents.
+Documents are measured one by one. Rule failures are then summed by host, and each host's failure rate is shrunk towards
+all hosts' by a beta prior fitted to how much hosts differ beyond what counts of that size differ by chance. A host is
+rejected with all its documents if its rate of any rule is, with high posterior probability, above a limit that follows
+the mean of all hosts.
 """
 
 from __future__ import annotations
@@ -23,9 +24,12 @@ WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 #: Further rules that only count against a host: symbols per 100 characters of words, and repeated lines.
 MAX_SYMBOL_PERCENT, MAX_DUP_LINES = 10, 10
-HOST_LIMIT = 0.5
-#: A prior weighs at least as much as so many documents and at most as much as so many.
-PRIOR_WEIGHT = (2.0, 1000.0)
+#: A host's limit is so many times the odds of failure of all documents, and no less than a quarter of its documents.
+HOST_ODDS, LEAST_LIMIT = 6.0, 0.25
+#: Standard deviations of the posterior by which a rate must exceed the limit: a probability of 0.99 in the normal approximation.
+CERTAIN = 2.33
+#: The prior's weight in documents, where hosts differ by as much as they can and where they don't differ beyond chance.
+PRIOR_WEIGHT = (0.01, 1e9)
 
 METRICS = [("n_words", "bigint", pa.int64()), ("word_chars", "bigint", pa.int64()), ("n_symbols", "bigint", pa.int64()), ("n_dup_lines", "bigint", pa.int64()), ("n_repeat_words", "bigint", pa.int64())]
 
@@ -79,34 +83,38 @@ def host_verdicts(measured: DataFrame, host_col: str) -> DataFrame:
     """One row per host with its shrunk failure rate of each rule and ``host_rejected``. A null host gets no verdict."""
     each = rules()
     hosts = measured.where(F.col(host_col).isNotNull()).groupBy(host_col).agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(c).alias(f"_f_{r}") for r, c in each.items()])
-    rate = lambda r: F.col(f"_f_{r}") / F.col("_n")
-    # one row of sums: mean and spread of the rates, weighted by documents
-    sums = hosts.agg(F.sum("_n").alias("n"), *[F.sum(f"_f_{r}").alias(f"f_{r}") for r in each], *[F.sum(F.col("_n") * rate(r) * rate(r)).alias(f"q_{r}") for r in each]).first()
+    # one row of sums, whatever the number of hosts
+    sums = hosts.agg(F.count(F.lit(1)).alias("hosts"), F.sum("_n").alias("n"), F.sum(F.col("_n").cast("double") * F.col("_n")).alias("n2"), *[F.sum(f"_f_{r}").alias(f"f_{r}") for r in each], *[F.sum(F.col(f"_f_{r}") * F.col(f"_f_{r}") / F.col("_n")).alias(f"q_{r}") for r in each]).first()
     out, rejected = [F.col(host_col)], F.lit(False)
+    n = sums["n"] or 1
     for r in each:
-        n = sums["n"] or 1
         mean = (sums[f"f_{r}"] or 0) / n
-        spread = max((sums[f"q_{r}"] or 0) / n - mean * mean, 1e-12)
-        weight = min(max(mean * (1 - mean) / spread - 1, PRIOR_WEIGHT[0]), PRIOR_WEIGHT[1])
+        # the rates' spread over hosts, less what is chance, as a variance between hosts
+        within = mean * (1 - mean)
+        free = n - (sums["n2"] or 0) / n
+        between = ((sums[f"q_{r}"] or 0) - n * mean * mean - (sums["hosts"] - 1) * within) / free if free > 0 else 0.0
+        weight = min(max(within / between - 1, PRIOR_WEIGHT[0]), PRIOR_WEIGHT[1]) if between > 0 else PRIOR_WEIGHT[1]
+        limit = max(HOST_ODDS * mean / (1 - mean + HOST_ODDS * mean), LEAST_LIMIT)
         shrunk = (F.col(f"_f_{r}") + F.lit(mean * weight)) / (F.col("_n") + F.lit(weight))
-        out.append(shrunk.alias(f"rate_{r}"))
-        rejected = rejected | (shrunk >= HOST_LIMIT)
+        deviation = F.sqrt(F.greatest(shrunk * (1 - shrunk), F.lit(0.0)) / (F.col("_n") + F.lit(weight + 1)))
+        out.append(F.round(shrunk, 6).alias(f"rate_{r}"))
+        rejected = rejected | (shrunk - deviation * CERTAIN >= limit)
     return hosts.select(*out, rejected.alias("host_rejected"))
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """One row per input row: the id, the measures, base_failed and kept.
+    """One row per input row: the id, the measures, base_failed, kept, the host's rate_* and host_rejected.
 
     base_failed: under 20 words, or over 30 % of the words in repeated windows. kept: not base_failed, and the host not
-    rejected. A null text has no words and fails; a document with a null host is judged by itself alone. Repeated rows
-    are judged alike and count once each for their host. Further columns are not read. The measures are staged, so the
-    texts are read once.
+    rejected. A null text has no words and fails; a document with a null host is judged by itself alone, its rates are
+    null. Repeated rows are judged alike and count once each for their host. Further columns are not read. The measures
+    are staged, so the texts are read once.
     """
     rows = df.select(df[id_col].alias("_id"), df[host_col].cast("string").alias("_host"), df[text_col].alias("_text"))
     measured = staged(map_rows(rows, lambda: measure, "_text", METRICS, keep=["_id", "_host"]), "quality")
-    verdicts = host_verdicts(measured, "_host").select("_host", "host_rejected")
     each = rules()
     failed = each["short"] | each["repeats"]
-    return measured.join(verdicts, "_host", "left").select(
-        F.col("_id").alias(id_col), *[n for n, _, _ in METRICS], failed.alias("base_failed"), (~failed & ~F.coalesce("host_rejected", F.lit(False))).alias("kept")
+    rejected = F.coalesce("host_rejected", F.lit(False))
+    return measured.join(host_verdicts(measured, "_host"), "_host", "left").select(
+        F.col("_id").alias(id_col), *[n for n, _, _ in METRICS], failed.alias("base_failed"), (~failed & ~rejected).alias("kept"), *[f"rate_{r}" for r in each], rejected.alias("host_rejected")
     )

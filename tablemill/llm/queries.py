@@ -77,11 +77,13 @@ m AS (SELECT doc_id, source, len(ws) AS n_words, coalesce(list_sum(list_transfor
   len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
   FROM w JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
 h AS (SELECT source, count(*)::DOUBLE AS n, {", ".join(f"count(*) FILTER (WHERE {c})::DOUBLE AS f_{r}" for r, c in _RULES.items())} FROM m WHERE source IS NOT NULL GROUP BY source),
-a AS (SELECT {", ".join(f"sum(f_{r}) / sum(n) AS m_{r}, greatest(sum(f_{r} * f_{r} / n) / sum(n) - (sum(f_{r}) / sum(n)) ** 2, 1e-12) AS v_{r}" for r in _RULES)} FROM h),
-p AS (SELECT {", ".join(f"m_{r}, least(greatest(m_{r} * (1 - m_{r}) / v_{r} - 1, 2.0), 1000.0) AS k_{r}" for r in _RULES)} FROM a),
-bad AS (SELECT source FROM h, p WHERE {" OR ".join(f"(f_{r} + m_{r} * k_{r}) / (n + k_{r}) >= 0.5" for r in _RULES)})
+a AS (SELECT count(*) AS hosts, sum(n) AS n_all, sum(n * n) AS n2, {", ".join(f"sum(f_{r}) / sum(n) AS m_{r}, sum(f_{r} * f_{r} / n) AS q_{r}" for r in _RULES)} FROM h),
+b AS (SELECT *, n_all - n2 / n_all AS free, {", ".join(f"q_{r} - n_all * m_{r} * m_{r} - (hosts - 1) * m_{r} * (1 - m_{r}) AS e_{r}" for r in _RULES)} FROM a),
+p AS (SELECT {", ".join(f"m_{r}, greatest(6.0::DOUBLE * m_{r} / (1 - m_{r} + 6.0::DOUBLE * m_{r}), 0.25::DOUBLE) AS l_{r}, CASE WHEN free > 0 AND e_{r} > 0 THEN least(greatest(m_{r} * (1 - m_{r}) / (e_{r} / free) - 1, 0.01::DOUBLE), 1e9) ELSE 1e9 END AS k_{r}" for r in _RULES)} FROM b),
+s AS (SELECT source, n, {", ".join(f"(f_{r} + m_{r} * k_{r}) / (n + k_{r}) AS s_{r}, k_{r}, l_{r}" for r in _RULES)} FROM h, p),
+v AS (SELECT source, {", ".join(f"round(s_{r}, 6) AS rate_{r}" for r in _RULES)}, {" OR ".join(f"s_{r} - sqrt(greatest(s_{r} * (1 - s_{r}), 0) / (n + k_{r} + 1)) * 2.33::DOUBLE >= l_{r}" for r in _RULES)} AS bad FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {_RULES["short"]} OR {_RULES["repeats"]} AS base_failed,
-  NOT ({_RULES["short"]} OR {_RULES["repeats"]}) AND bad.source IS NULL AS kept FROM m LEFT JOIN bad USING (source)
+  NOT ({_RULES["short"]} OR {_RULES["repeats"]}) AND NOT coalesce(bad, false) AS kept, {", ".join(f"rate_{r}" for r in _RULES)}, coalesce(bad, false) AS host_rejected FROM m LEFT JOIN v USING (source)
 """
 
 
