@@ -7,11 +7,12 @@ one of them is one token. Counting then adds one for each such pre-token and mer
 from __future__ import annotations
 
 import json
+import re
 from array import array
+from codecs import charmap_decode
 from collections.abc import Callable
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -116,63 +117,60 @@ def counter(path: str, splitter: Splitter) -> Callable[[str], int]:
 
 
 class LibraryEncoder:
-    """Texts to ids as the tokenizers library gives them, which is asked for each distinct pre-token once.
+    """Texts to ids as the tokenizers library gives them, whose model is asked for each new pre-token.
 
-    Pre-tokens are encoded independently of each other, so the ids of a text are those of its pre-tokens in order. New
-    words are put together into one text for the library, which says of each id which word it belongs to.
+    Pre-tokens are encoded independently of each other, so the ids of a text are those of its pre-tokens in order. A
+    space between two characters that aren't white space always begins a pre-token; texts are cut at spaces first, and
+    what stands between two is looked up whole. Texts with other white space beside a space, which may end a pre-token
+    elsewhere, are split as they are.
     """
 
-    def __init__(self, path: str, splitter: Splitter, most: int = 1 << 18):
+    def __init__(self, path: str, splitter: Splitter, most: int = 1 << 19):
         from tokenizers import Tokenizer
 
+        # the model belongs to the tokenizer
         self.library = Tokenizer.from_file(path)
+        self.tokenize = self.library.model.tokenize
         self.special = vocabulary(path).special
         self.cut = special_splitter(self.special)
         self.find = splitter.finder()
-        self.memo = Memo(self._alone, most)
-
-    def _alone(self, piece: str) -> bytes:
-        return array("I", self.library.encode(piece, add_special_tokens=False).ids).tobytes()
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Encode pieces of a space and letters together; what isn't split as expected, and all others, wait for their turn."""
-        words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
-        for lo in range(0, len(words), 1024):
-            some = words[lo : lo + 1024]
-            said = self.library.encode("".join(some), add_special_tokens=False)
-            place = np.array(said.word_ids)
-            starts = np.flatnonzero(np.diff(place, prepend=-1))
-            if len(starts) == len(some):
-                raw = array("I", said.ids).tobytes()
-                for piece, a, b in zip(some, starts.tolist(), [*starts[1:].tolist(), len(place)], strict=True):
-                    self.memo.put(piece, raw[4 * a : 4 * b])
+        self.letters = "".join(sorted(_byte_alphabet(), key=_byte_alphabet().get))
+        self.pieces, self.words = Memo(self._piece, most >> 3), Memo(self._word, most)
+        self.usual = re.compile(f"([{splitter.letters}]+)([.,;:!?]?)").fullmatch
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one pre-token."""
+        return array("I", [t.id for t in self.tokenize(charmap_decode(piece.encode(), "strict", self.letters)[0])]).tobytes()
+
+    def _word(self, word: str) -> bytes | None:
+        """Ids of a space and what follows it up to the next, or None if white space stands at either end of that."""
+        usual = self.usual(word)
+        if usual is not None:  # a pre-token of a space and letters, and perhaps one of a character
+            letters, mark = usual.groups()
+            return self.words[letters] + self.pieces[mark] if mark else self._piece(" " + letters)
+        if not word or word[0].isspace() or word[-1].isspace():
+            return None
+        pieces = self.find(" " + word)
+        return self.pieces[pieces[0]] if len(pieces) == 1 else b"".join(map(self.pieces.__getitem__, pieces))
+
+    def _plain(self, text: str) -> bytes:
+        first, *rest = text.split(" ")
+        if rest and not first[-1:].isspace():
+            try:
+                return b"".join([*map(self.pieces.__getitem__, self.find(first)), *map(self.words.__getitem__, rest)])
+            except TypeError:  # one of the words is None
+                pass
+        return b"".join(map(self.pieces.__getitem__, self.find(text)))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [self.cut(t) if self.cut and any(s in t for s in self.special) else [t] for t in texts]
-        get, late, new = self.memo.get, [], set()
-        out: list[list[bytes]] = []
-        for p in parts:
-            done = []
-            for k, x in enumerate(p):
-                if k % 2:
-                    done.append(array("I", [self.special[x]]).tobytes())
-                    continue
-                pieces = self.find(x)
-                got = list(map(get, pieces))
-                if None in got:
-                    places = [i for i, g in enumerate(got) if g is None]
-                    new.update(map(pieces.__getitem__, places))
-                    late.append((done, len(done), got, [(i, pieces[i]) for i in places]))
-                    done.append(b"")
-                else:
-                    done.append(b"".join(got))
-            out.append(done)
-        self._learn(new - self.memo.old.keys())
-        for done, at, got, places in late:
-            for i, piece in places:
-                got[i] = self.memo[piece]
-            done[at] = b"".join(got)
-        return [d[0] if len(d) == 1 else b"".join(d) for d in out]
+        out = []
+        for text in texts:
+            if self.cut and any(s in text for s in self.special):
+                parts = self.cut(text)
+                out.append(b"".join(array("I", [self.special[x]]).tobytes() if k % 2 else self._plain(x) for k, x in enumerate(parts)))
+            else:
+                out.append(self._plain(text))
+        return out
 
 
 @lru_cache(maxsize=2)

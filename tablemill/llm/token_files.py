@@ -36,6 +36,8 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int32)
     top = int(ids.max())
+    if top >> 60:
+        raise ValueError(f"ids are under 2**60, not {top}")
     small = ids.astype(np.uint32) if top < 1 << 32 else ids.astype(np.uint64)
     ids = ids.astype(np.uint64)
     at = np.arange(n, dtype=np.int32)
@@ -123,15 +125,16 @@ def write_token_files(df: DataFrame, path: str, make: Callable[[], Callable[[lis
     ordered.mapInArrow(run, SCHEMA).write.parquet(path)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document: doc_id, start (ids of all documents before it), n_tokens, ids (binary, little-endian unsigned 32-bit).
-
-    Only the sums of whole parts are brought together, a row for each of the writer's tasks; that is what is broadcast.
-    """
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """The records with ``start``, how many ids all records before it hold. Only the sums of whole parts are brought together, a row for each of the writer's tasks; that is what is broadcast."""
     files = spark.read.schema(SCHEMA).parquet(path)
     before_it = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("_sum")).select("part", F.coalesce(F.sum("_sum").over(before_it), F.lit(0)).alias("_base"))
-    joined = files.join(F.broadcast(parts), "part").select((F.col("_base") + F.col("before")).alias("start"), "doc_ids", "lengths", "words")
+    return files.join(F.broadcast(parts), "part").withColumn("start", F.col("_base") + F.col("before"))
+
+
+def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """One row per document: doc_id, start (ids of all documents before it), n_tokens, ids (binary, little-endian unsigned 32-bit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,4 +148,26 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     [docs.values, pa.array(first + start.as_py()), pa.array(sizes), pa.array([ids[4 * a : 4 * b] for a, b in zip(first.tolist(), ends.tolist(), strict=True)], type=pa.binary())], names=["doc_id", "start", "n_tokens", "ids"]
                 )
 
-    return joined.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    return _placed(spark, path).select("start", "doc_ids", "lengths", "words").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+
+
+def read_ids(spark: SparkSession, path: str, start: int, n: int, block: int = BLOCK) -> DataFrame:
+    """The ids from place ``start`` of all files' ids on, ``n`` of them or as many as there are: a row (start, ids) per record that has some.
+
+    Records outside the span aren't read, and in the others only the blocks that reach into it are decoded, found by
+    their offsets. ``block`` is the writer's.
+    """
+    low, high = max(start, 0), start + n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                base, size, offsets, words = (batch.column(i)[k].as_py() for i in range(4))
+                a, b = max(low - base, 0), min(high - base, size)
+                first, last = a // block, -(-b // block)
+                stop = offsets[last] if last < len(offsets) else len(words) // 8
+                ids = unpack(np.frombuffer(words, dtype="<u8")[offsets[first] : stop]).astype("<u4")
+                yield pa.RecordBatch.from_arrays([pa.array([base + a]), pa.array([ids[a - first * block : b - first * block].tobytes()], pa.binary())], names=["start", "ids"])
+
+    inside = _placed(spark, path).where((F.col("start") < high) & (F.col("start") + F.col("n_ids") > low))
+    return inside.select("start", "n_ids", "offsets", "words").mapInArrow(run, "start bigint, ids binary")

@@ -104,6 +104,13 @@ def test_counts_as_the_library(tokenizer, text):
     assert [list(array("I", x)) for x in token_count.library_encoder(JSON, pattern)([text, text])] == [want, want]
 
 
+@given(st.lists(st.sampled_from([" ", "  ", "\n", " \n", "\u00a0", "\u3000", "\x1c", "\u180e", "the", "Word,", "\u00e9t\u00e9", "don't", "12", "a1", "\u6f22\u5b57", "...", "x?", "<|endoftext|>", "\u01c5", "\u0250b"]), max_size=12).map("".join))
+@settings(max_examples=600, deadline=None)
+def test_words_between_spaces_as_the_library(tokenizer, text):
+    want = tokenizer.encode(text, add_special_tokens=False).ids
+    assert list(array("I", token_count.library_encoder(JSON, token_count.tokenizers_pattern())([text])[0])) == want
+
+
 def test_proven_strings_are_single_tokens(tokenizer):
     proven = token_count.vocabulary(JSON).proven()
     some = random.Random(1).sample(sorted(proven), 2000)

@@ -36,6 +36,25 @@ def test_token_files_query(spark, small):
         start += len(ids)
 
 
+def test_any_span_of_ids_is_read_by_its_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "RECORD_IDS", 10_000)
+    rng = np.random.default_rng(3)
+    docs = [(i, "".join(map(chr, rng.integers(32, 50_000, int(rng.integers(0, 3000)))))) for i in range(40)]
+    token_files.write_token_files(spark.createDataFrame(docs, "doc_id bigint, text string"), f"{tmp_path}/a", lambda: lambda texts: [array("I", map(ord, t)).tobytes() for t in texts], 2, partitions=3)
+    every = np.concatenate([np.array([*map(ord, t), 2]) for _, t in docs])
+    for start, n in ((0, 1), (0, len(every)), (5000, 9000), (4095, 2), (12_288, 4096), (len(every) - 7, 100), (len(every), 5), (17, 0)):
+        rows = sorted(token_files.read_ids(spark, f"{tmp_path}/a", start, n).collect())
+        got = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(r.ids, dtype="<u4") for r in rows)])
+        assert got.tolist() == every[start : start + n].tolist() and all(a.start + len(a.ids) // 4 == b.start for a, b in zip(rows, rows[1:], strict=False))
+        assert not rows or rows[0].start == start
+
+
+def test_ids_that_words_cannot_hold_are_refused():
+    with pytest.raises(ValueError):
+        token_files.pack(np.array([1, 1 << 60], dtype=np.uint64))
+    assert token_files.unpack(token_files.pack(np.array([(1 << 60) - 1], dtype=np.uint64))[0]).tolist() == [(1 << 60) - 1]
+
+
 def test_token_files_nasty(spark, nasty, tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "RECORD_IDS", 40)
     make = lambda: lambda texts: [array("I", map(ord, t)).tobytes() for t in texts]
