@@ -35,7 +35,7 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 STEP, TOLERANCE = 32, 1e-6
 #: A block of a bucket has about so many signatures.
-SIG_BLOCK = 512
+SIG_BLOCK = 4096
 #: A block of a neighbourhood has about so many sets, or fewer if they hold more shingles.
 TILE_SETS, TILE_SHINGLES = 256, 1 << 18
 _WORDS = re.compile(WORD).findall
