@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: How JSON is looked for in a reply.
 FENCE = r"(?is)```(?:json)?\s*(\{.*?\})\s*```"
 TRAILING_COMMA = r",\s*([}\]])"
 OBJECT = r"(?s)(\{.*?\})"

@@ -32,7 +32,7 @@ def models(spark: SparkSession, config: Sequence[Mapping]) -> DataFrame:
 def with_channels(known: DataFrame, channels: DataFrame) -> DataFrame:
     """Models with their channel's columns and the shorter of the two timeouts; a model without its channel is an error at run time."""
     side = channels.select(F.col("id").alias("channel_id"), "base_url", F.col("timeout").alias("_channel_timeout"))
-    joined = known.join(F.broadcast(side), "channel_id", "left")
+    joined = known.join(side, "channel_id", "left")
     url = F.when(F.col("base_url").isNull(), F.raise_error(F.concat(F.lit("no channel for model "), F.col("id")))).otherwise(F.col("base_url"))
     return joined.withColumn("base_url", url).withColumn("timeout", F.least("timeout", F.coalesce("_channel_timeout", "timeout"))).drop("_channel_timeout")
 
@@ -46,7 +46,7 @@ def name_map(known: DataFrame) -> DataFrame:
 def resolve(requests: DataFrame, asked: str, known: DataFrame) -> DataFrame:
     """Adds ``wanted``: the model's id, or null for a free choice (``auto``, ``any``, ``default``, ``*``, empty or unknown)."""
     names = name_map(known).select(F.col("asked").alias("_asked"), F.col("id").alias("wanted"))
-    return requests.join(F.broadcast(names), F.col(asked) == F.col("_asked"), "left").drop("_asked")
+    return requests.join(names, F.col(asked) == F.col("_asked"), "left").drop("_asked")
 
 
 def hash_unit(key: Column, seed: int = 0) -> Column:
@@ -74,7 +74,9 @@ def pick_model(requests: DataFrame, key: str, known: DataFrame, wanted: str | No
     request as one array.
     """
     usable = known if "usable" in known.columns else known.withColumn("usable", F.lit(True))
-    rows = usable.where("weight > 0 and usable").select("position", "id", "weight").orderBy("position").collect()
+    rows = usable.where("weight > 0 and usable").select("position", "id", "weight").orderBy("position").limit(MOST_MODELS + 1).collect()
+    if len(rows) > MOST_MODELS:
+        raise ValueError("too many models")
     pool = F.array(*[F.struct(F.lit(r["id"]).alias("id"), F.lit(r["weight"]).alias("w")) for r in rows]) if rows else F.array().cast("array<struct<id:string,w:double>>")
     out = requests.withColumn("_pool", pool if excluded is None else F.filter(pool, lambda m: ~F.coalesce(F.array_contains(F.col(excluded), m["id"]), F.lit(False))))
     total = F.aggregate("_pool", F.lit(0.0), lambda s, m: s + m["w"])

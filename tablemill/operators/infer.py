@@ -51,6 +51,13 @@ def decision(kind: Column, retries: Column, since_pause: Column, limits: Mapping
     return F.struct(action.alias("action"), (F.when(retries >= limit, False).otherwise(kind != "content_error")).alias("reload"))
 
 
+def decide(kind: str, retries: int, since_pause: float, retry: Retry) -> tuple[str, bool]:
+    """The same as ``decision`` for one row."""
+    if retries >= retry.limits.get(kind, 1):
+        return "fail", False
+    return "pause" if kind == "api_error" and since_pause > retry.window else "retry", kind != "content_error"
+
+
 class Breaker:
     """A pause that all calls of a task wait for. One pause at a time, and none within the window after it."""
 
@@ -58,12 +65,14 @@ class Breaker:
         self.retry, self.clock, self.sleep = retry, clock, sleep
         self.lock, self.ended, self.until = Lock(), float("-inf"), float("-inf")
 
-    def failed(self) -> None:
+    def failed(self, kind: str = "api_error", retries: int = 0) -> tuple[str, bool]:
+        """What is to be done about a failed call; a pause begins at once."""
         with self.lock:
             now = self.clock()
-            if now >= self.until and now - self.ended > self.retry.window:
-                self.until = now + self.retry.pause
-                self.ended = self.until
+            action, again = decide(kind, retries, now - self.ended if now >= self.until else 0.0, self.retry)
+            if action == "pause":
+                self.until = self.ended = now + self.retry.pause
+            return action, again
 
     def wait(self) -> None:
         with self.lock:
@@ -92,8 +101,11 @@ class Rate:
 OUT = "reply_json string, _error string, _error_type string, attempts int, errors array<string>"
 
 
-def call_row(row: Mapping, client: ModelClient, retry: Retry, breaker: Breaker, rate: Rate, required: Sequence[str], rules: Mapping[str, Sequence]) -> tuple:
-    """(reply_json, _error, _error_type, attempts, last five errors) for one row with prompt, system_prompt, model and temperature."""
+def call_row(row: Mapping, client: ModelClient, retry: Retry, breaker: Breaker, rate: Rate, required: Sequence[str], rules: Mapping[str, Sequence], reread: Callable[[Mapping], Mapping | None] | None = None) -> tuple:
+    """(reply_json, _error, _error_type, attempts, last five errors) for one row with prompt, system_prompt, model and temperature.
+
+    Before a retry after an API or system error, ``reread`` gives the row as it is now, or None if it can't be had, which ends the tries.
+    """
     tried: dict[str, int] = {}
     history: list[str] = []
     if not row["prompt"]:
@@ -118,21 +130,31 @@ def call_row(row: Mapping, client: ModelClient, retry: Retry, breaker: Breaker,
         except Exception as e:  # noqa: BLE001  whatever a client raises is a system error of its row
             kind, message, error = "system_error", f"{type(e).__name__}: {e}", str(e)
         history.append(f"{kind}: {message}")
-        if tried.get(kind, 0) >= retry.limits.get(kind, 1):
+        action, again = breaker.failed(kind, tried.get(kind, 0))
+        if action == "fail":
             return None, error, kind, attempts, history[-5:]
         tried[kind] = tried.get(kind, 0) + 1
-        if kind == "api_error":
-            breaker.failed()
+        if again and reread is not None:
+            try:
+                now = reread(row)
+            except Exception as e:  # noqa: BLE001  a source that can't be read is a system error of the row
+                now, error = None, f"{type(e).__name__}: {e}"
+            if now is None:
+                return None, f"reload_failed: {error}", "system_error", attempts, history[-5:]
+            row = {**row, **now}
+            messages = [{"role": r, "content": c} for r, c in (("system", row.get("system_prompt")), ("user", row["prompt"])) if c]
 
 
 def infer(
-    df: DataFrame, make_client: Callable[[], ModelClient], keep: Sequence[str], required: Sequence[str] = (), rules: Mapping[str, Sequence] | None = None, retry: Retry | None = None, concurrency: int = 16, rps: float | None = None
+    df: DataFrame, make_client: Callable[[], ModelClient], keep: Sequence[str], required: Sequence[str] = (), rules: Mapping[str, Sequence] | None = None, retry: Retry | None = None, concurrency: int = 16, rps: float | None = None,
+    make_reread: Callable[[], Callable[[Mapping], Mapping | None]] | None = None,
 ) -> DataFrame:
     """``keep`` columns with reply_json, _error, _error_type, attempts and errors (the last five) for every row.
 
     ``df`` has prompt and perhaps system_prompt, model, temperature and required. Each task keeps at most
     ``concurrency`` calls open and starts at most ``rps`` a second, so the whole job's rate is that times the tasks that
-    run at once. Results come as they are ready. Write the result before it is used twice: a second reading would call again.
+    run at once. ``make_reread`` makes, once in each task, a function from a row (``keep`` and the columns above) to those of
+    its columns that have changed in the source, or None; it is asked before retries after API and system errors. Results come as they are ready. Write the result before it is used twice: a second reading would call again.
     """
     retry, rules = retry or Retry(), dict(rules or {})
     names = [c for c in ("prompt", "system_prompt", "model", "temperature", "required") if c in df.columns]
@@ -142,6 +164,7 @@ def infer(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client, breaker, rate = make_client(), Breaker(retry), Rate(rps)
+        reread = make_reread() if make_reread else None
         open_: dict[Future, tuple] = {}
 
         def done(block: bool) -> Iterator[pd.DataFrame]:
@@ -155,7 +178,7 @@ def infer(
                 for row in batch.to_dict("records"):
                     while len(open_) >= concurrency:
                         yield from done(block=True)
-                    open_[pool.submit(call_row, row, client, retry, breaker, rate, required, rules)] = tuple(row[c] for c in kept)
+                    open_[pool.submit(call_row, row, client, retry, breaker, rate, required, rules, reread)] = tuple(row[c] for c in kept)
                 yield from done(block=False)
             while open_:
                 yield from done(block=True)

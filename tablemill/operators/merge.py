@@ -22,6 +22,12 @@ def last_write(updates: DataFrame, keys: list[str], order: str) -> DataFrame:
     return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_last")).select(*keys, *[F.col("_last")[c].alias(c) for c in rest])
 
 
+def greatest(updates: DataFrame, key: str) -> DataFrame:
+    """One row of each key, the greatest by all its columns in their order."""
+    rest = [c for c in updates.columns if c != key]
+    return updates.groupBy(key).agg(F.max(F.struct(*rest)).alias("_last")).select(key, *[F.col("_last")[c].alias(c) for c in rest])
+
+
 def set_cells(df: DataFrame, updates: DataFrame, id_col: str, order: str = "seq") -> DataFrame:
     """Cells changed by (id, column, value, order) rows: the last write to a cell wins; unknown ids and columns change nothing.
 
@@ -44,7 +50,7 @@ def write_back(df: DataFrame, results: DataFrame, spec: TaskSpec, missing: str =
 
     ``results`` has the id and outputs by alias, and perhaps ``_error`` and ``_error_type``. An output that results don't
     have, or have null, is kept, set to null or blanked (``missing``). Failed rows are left as they are or marked
-    (``on_failure``). Results for unknown ids are dropped; of several for one id the last by ``order`` counts (any one without it).
+    (``on_failure``). Results for unknown ids are dropped; of several for one id the last by ``order`` counts, and without it the greatest by all its columns, so that a run repeated gives the same.
     """
     if missing not in ("keep", "null", "blank") or on_failure not in ("leave", "mark"):
         raise ValueError("missing is keep, null or blank; on_failure is leave or mark")
@@ -53,7 +59,7 @@ def write_back(df: DataFrame, results: DataFrame, spec: TaskSpec, missing: str =
         results = results.withColumn("_error", F.lit(None).cast("string"))
     if "_error_type" not in results.columns:
         results = results.withColumn("_error_type", F.lit("system_error"))
-    one = last_write(results, [spec.id_col], order) if order else results.dropDuplicates([spec.id_col])
+    one = last_write(results, [spec.id_col], order) if order else greatest(results, spec.id_col)
     if on_failure == "leave":
         one = one.filter(F.col("_error").isNull())
     named = [a for a in spec.outputs if a in one.columns]
@@ -81,14 +87,16 @@ def unmatched(df: DataFrame, results: DataFrame, id_col: str) -> DataFrame:
 def consecutive(df: DataFrame, row_col: str, by: list[str] | None = None, block: int = 1 << 16) -> DataFrame:
     """(by.., lo, hi, n): runs of consecutive integers, repeated ones counted once.
 
-    Runs are found within blocks of the number line, each a window of bounded size, and the blocks' runs are then
-    stitched, so that one group can hold most rows.
+    Runs are found within blocks of the number line, each a window of bounded size. Those that reach a block's border,
+    two for each block at most, are then stitched; all others are whole. So one group can hold most rows.
     """
     by = by or []
     nums = df.select(*by, F.col(row_col).cast("bigint").alias("_v")).where("_v is not null").distinct().withColumn("_b", F.floor(F.col("_v") / block))
     in_block = Window.partitionBy(*by, "_b").orderBy("_v")
     small = nums.withColumn("_g", F.col("_v") - F.row_number().over(in_block)).groupBy(*by, "_b", "_g").agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    inner = (F.col("lo") > F.col("_b") * block) & (F.col("hi") < F.col("_b") * block + block - 1)
     order = Window.partitionBy(*by).orderBy("lo") if by else Window.orderBy("lo")
     starts = F.sum(F.when(F.lag("hi").over(order) + 1 == F.col("lo"), 0).otherwise(1)).over(order)
-    runs = small.withColumn("_run", starts).groupBy(*by, "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    stitched = small.where(~inner).withColumn("_run", starts).groupBy(*by, "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    runs = small.where(inner).select(*by, "lo", "hi").unionByName(stitched.select(*by, "lo", "hi"))
     return runs.select(*by, "lo", "hi", (F.col("hi") - F.col("lo") + 1).alias("n"))

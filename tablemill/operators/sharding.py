@@ -25,12 +25,11 @@ def bounds(df: DataFrame, id_col: str) -> DataFrame:
 
 
 def shard_ranges(df: DataFrame, id_col: str, size: int) -> DataFrame:
-    """(shard, lo, hi) for the table's id range, the last one clipped; no rows for an empty table."""
+    """(shard, lo, hi) for the table's id range, the last one clipped; no rows for an empty table. The bounds are asked for at once, and shards are rows of a range, however many there are."""
     if size < 1:
         raise ValueError("a shard holds one id at least")
-    known = bounds(df, id_col).where("min_id is not null")
-    starts = known.select("max_id", F.posexplode(F.sequence(F.col("min_id").cast("bigint"), F.col("max_id").cast("bigint"), F.lit(size).cast("bigint"))).alias("shard", "lo"))
-    return starts.select("shard", "lo", F.least(F.col("lo") + size - 1, F.col("max_id")).alias("hi"))
+    known = bounds(df.select(df[id_col].cast("bigint").alias("_id")), "_id").first()
+    return ranges(df.sparkSession, 0, -1, size) if known["min_id"] is None else ranges(df.sparkSession, known["min_id"], known["max_id"], size)
 
 
 def ranges(spark: SparkSession, low: int, high: int, size: int) -> DataFrame:

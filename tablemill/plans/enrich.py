@@ -27,7 +27,8 @@ class Enrichment:
     Replies are written before they are used, so that no later failure calls the model again; then they are merged by id.
     """
 
-    def __init__(self, spark: SparkSession, config: Mapping[str, Any], make_client: Callable[[], ModelClient], workdir: str):
+    def __init__(self, spark: SparkSession, config: Mapping[str, Any], make_client: Callable[[], ModelClient], workdir: str, make_reread: Callable | None = None):
+        self.make_reread = make_reread
         self.spark, self.config, self.make_client, self.workdir = spark, configured(config), make_client, workdir.rstrip("/")
         self.spec = spec_of(self.config)
         limits = self.config["datasource"]["concurrency"]
@@ -52,7 +53,7 @@ class Enrichment:
         """Model replies of pending rows, written to and read from the working folder."""
         rules = self.config["validation"]["field_rules"] if self.config["validation"]["enabled"] else {}
         limits = self.config["datasource"]["concurrency"]
-        out = infer(pending, self.make_client, [self.spec.id_col], self.config["prompt"]["required_fields"], rules, self.retry, limits["batch_size"], limits.get("rps"))
+        out = infer(pending, self.make_client, [self.spec.id_col], self.config["prompt"]["required_fields"], rules, self.retry, limits["batch_size"], limits.get("rps"), self.make_reread)
         path = f"{self.workdir}/replies-{uuid.uuid4().hex}"
         out.write.parquet(path)
         return self.spark.read.schema(out.schema).parquet(path)

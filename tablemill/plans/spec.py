@@ -27,7 +27,7 @@ class TaskSpec:
         return list(self.outputs.values())
 
 
-#: Defaults that a configuration is merged over.
+#: Defaults that a configuration is merged over, and the names of its keys.
 DEFAULTS: dict[str, Any] = {
     "datasource": {"type": "parquet", "require_all_input_fields": True, "concurrency": {"batch_size": 100, "retry_limits": {"api_error": 3, "content_error": 1, "system_error": 2}, "api_pause_duration": 2.0, "api_error_trigger_window": 2.0}},
     "columns_to_extract": [],
@@ -62,7 +62,7 @@ def spec_of(config: Mapping) -> TaskSpec:
 
 
 #: Names of token estimation modes.
-_MODES = {"in": "in", "input": "in", "out": "out", "output": "out", "io": "io", "input_output": "io", "in_out": "io"}
+_MODES = {"input": "in", "input_output": "io", "in": "in", "out": "out", "io": "io"}
 
 
 def token_mode(mode: str | None) -> str:

@@ -357,9 +357,9 @@ def merge_skip_errors(spark, d):
     return merge.write_back(base, results, TaskSpec(("answer",), {"a": "answer", "b": "extra"}, "doc_id"), missing="blank")
 
 
-@query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
+@query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id * 2 FROM documents)")
 def merge_unmatched(spark, d):
-    return merge.unmatched(_t(spark, d, "documents").where("doc_id % 2 = 0"), _t(spark, d, "labels").select("doc_id"), "doc_id")
+    return merge.unmatched(_t(spark, d, "documents").select((F.col("doc_id") * 2).alias("doc_id")), _t(spark, d, "labels").select("doc_id"), "doc_id")
 
 
 @query("SELECT user_id, event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY 1, 2")

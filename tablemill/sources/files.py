@@ -20,7 +20,10 @@ def kind_of(path: str) -> str:
 
 
 def read(spark: SparkSession, path: str, kind: str | None = None, options: Mapping | None = None, schema: T.StructType | str | None = None) -> DataFrame:
-    """A table from files. CSV types are inferred unless a schema is given, which spares a pass over the data."""
+    """A table from files. CSV types are inferred unless a schema is given, which spares a pass over the data.
+
+    A CSV file is read by one task, as cells may hold line ends; with the option ``multiLine`` false it is split.
+    """
     kind = kind or kind_of(path)
     reader = spark.read.format(kind)
     if kind == "csv":
@@ -32,16 +35,18 @@ def read(spark: SparkSession, path: str, kind: str | None = None, options: Mappi
 def with_row_ids(df: DataFrame, name: str = "_row_id") -> DataFrame:
     """Dense row numbers from 0 in file order, for tables without a key.
 
-    Parquet tells each row's place in its file; other formats are numbered by partition in reading order. Either way
-    only counts per file or partition are ordered together, never rows.
+    Parquet tells each row's place in its file; other formats are numbered by partition in reading order, which has to be
+    the same each time they are read. Either way only counts per file or partition are ordered together, never rows.
     """
-    try:
-        placed = df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_i"))
-        counts = placed.groupBy("_f").agg(F.max("_i").alias("_n"))
-    except Exception:  # noqa: BLE001  the source has no such metadata
-        return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), T.StructType([*df.schema.fields, T.StructField(name, T.LongType())]))
+    from pyspark.errors import AnalysisException
     from pyspark.sql import Window
 
+    try:
+        placed = df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_i"))
+    except AnalysisException:  # the source has no such metadata
+        made = df.withColumn("_m", F.monotonically_increasing_id())  # the partition above 33 bits of a count
+        placed = made.select(*[F.col(f"`{c}`") for c in df.columns], F.shiftright("_m", 33).alias("_f"), F.col("_m").bitwiseAND((1 << 33) - 1).alias("_i"))
+    counts = placed.groupBy("_f").agg(F.max("_i").alias("_n"))
     before = Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(F.col("_f").alias("_file"), F.coalesce(F.sum(F.col("_n") + 1).over(before), F.lit(0)).alias("_start"))
     return placed.join(F.broadcast(starts), F.col("_f") == F.col("_file")).withColumn(name, F.col("_start") + F.col("_i")).drop("_f", "_i", "_file", "_start")

@@ -209,3 +209,35 @@ def test_request_params(spark):
     df = spark.createDataFrame([(None, True), (0.1, False)], "t double, s boolean")
     made = dispatch.request_params(F.col("t"), F.lit(0.7), {"top_p": F.lit(0.9)}, F.col("s"))
     assert [tuple(r) for r in df.select(*[c.alias(n) for n, c in made.items()]).collect()] == [(0.7, 0.9), (0.1, None)]
+
+
+def test_runs_over_many_block_borders(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = sorted({(rng.choice("ab"), v) for v in range(-60, 400) for _ in range(2) if rng.random() < 0.8} | {("c", v) for v in range(64)})
+    want = []
+    for k, v in rows:
+        if want and want[-1][0] == k and want[-1][2] + 1 == v:
+            want[-1][2] = v
+        else:
+            want.append([k, v, v])
+    for df, by, expected in ((spark.createDataFrame(rows, "k string, v int"), ["k"], want), (spark.createDataFrame([r for r in rows if r[0] == "a"], "k string, v int"), None, [w for w in want if w[0] == "a"])):
+        got = sorted((*([r.k] if by else ["a"]), r.lo, r.hi, r.n) for r in merge.consecutive(df, "v", by, block=16).collect())
+        assert got == [(k, a, b, b - a + 1) for k, a, b in expected]
+
+
+def test_several_results_for_an_id_have_one_outcome(spark):
+    spec = TaskSpec(("q",), {"x": "a", "y": "b"})
+    df = spark.createDataFrame([(1, "q", None, None)], "id int, q string, a string, b string")
+    updates = [(1, f"v{k}", f"w{9 - k}") for k in range(10)]
+    for seed in range(3):
+        results = spark.createDataFrame(updates[seed:] + updates[:seed], "id int, x string, y string").repartition(4)
+        assert tuple(merge.write_back(df, results, spec).first()) == (1, "q", "v9", "w0")
+
+
+def test_shards_of_sparse_ids(spark):
+    ids = spark.createDataFrame([(5,), (10**15,)], "id bigint")
+    shards = sharding.shard_ranges(ids, "id", 10**9)
+    assert shards.count() == 10**6 and shards.first().lo == 5 and shards.agg({"hi": "max"}).first()[0] == 10**15
+    assert sharding.shard_ranges(ids.limit(0), "id", 10).count() == 0

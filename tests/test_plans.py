@@ -1,3 +1,4 @@
+import base64
 import json
 import time
 
@@ -79,6 +80,48 @@ def test_retry_decisions(spark):
     assert got == [("pause", True), ("retry", True), ("fail", False), ("retry", False), ("fail", False), ("retry", True), ("fail", False)]
 
 
+def test_decisions_of_rows_and_columns_agree(spark):
+    retry = infer.Retry({"api_error": 3, "content_error": 1}, window=2.0)
+    rows = [(k, n, s) for k in ("api_error", "content_error", "system_error") for n in range(5) for s in (0.0, 2.0, 9.0)]
+    df = spark.createDataFrame(rows, "k string, n int, s double").coalesce(1)
+    got = [tuple(r[0]) for r in df.select(infer.decision(F.col("k"), F.col("n"), F.col("s"), retry.limits, retry.window)).collect()]
+    assert got == [infer.decide(k, n, s, retry) for k, n, s in rows]
+
+
+def test_rows_are_read_again_before_a_retry(spark):
+    """The source changes between tries: API and system errors see the new row, content errors the old one, and a row that is gone ends its tries."""
+    asks = ["api:1", "system:1", "content:1", "api:9", "api:2"]
+    df = spark.createDataFrame(list(enumerate(asks)), "id int, prompt string").coalesce(1)
+
+    def make_reread():
+        def reread(row):
+            if row["id"] == 4:
+                raise OSError("source is away")
+            return None if row["id"] == 3 else {"prompt": "api:0"}
+
+        return reread
+
+    out = infer.infer(df, Flaky, ["id"], ["answer"], retry=infer.Retry(pause=0.0), concurrency=1, make_reread=make_reread)
+    got = {r.id: (r.reply_json and json.loads(r.reply_json)["answer"], r._error_type, r.attempts) for r in out.collect()}
+    assert {k: got[k] for k in (0, 1, 3, 4)} == {0: (1, None, 2), 1: (2, None, 2), 3: (None, "system_error", 1), 4: (None, "system_error", 1)}
+    assert got[2] == (2, None, 2)
+
+
+def test_tokens_are_counted_by_a_vocabulary(spark):
+    import public_tokenizers
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    df = spark.createDataFrame([(1, "the first text", None), (2, "a \u00e9t\u00e9 second", "done"), (3, "third", None)], "id int, q string, a string")
+    spec = TaskSpec(("q",), {"a": "a"})
+    got = tokens.estimate(df, spec, "Q: {record_json}", "Sys", "io", count=tokens.by_ranks(path, public_tokenizers.PATTERN))
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}, special_tokens={})
+    said = df.select(tokens.input_tokens(df, spec, "Q: {record_json}", "Sys", lambda c: c).alias("t")).collect()
+    want = [len(encoding.encode_ordinary(r.t)) for r in said]
+    inputs, outputs = got["input_tokens"].first(), got["output_tokens"].first()
+    assert (inputs.total_estimated, inputs.min, inputs.max) == (sum(want), min(want), max(want)) and outputs.sample_count == 1
+
+
 class Flaky:
     """Fails by what the prompt says, a number of times."""
 

@@ -186,3 +186,9 @@ def test_registry(spark):
     with pytest.raises(ValueError, match="missing"):
         open_source(spark, {"type": "csv"})
     assert [files.kind_of(p) for p in ("a.csv", "B.CSV", "c.xlsx", "d", "e.parquet/")] == ["csv", "csv", "xlsx", "xlsx", "parquet"]
+
+
+def test_row_ids_of_a_format_without_row_places(spark, tmp_path):
+    spark.range(1000, numPartitions=4).selectExpr("concat('r', id) AS t").write.text(f"{tmp_path}/t")
+    rows = files.with_row_ids(spark.read.text(f"{tmp_path}/t")).collect()
+    assert sorted(r._row_id for r in rows) == list(range(1000)) and rows[0].value.startswith("r")
