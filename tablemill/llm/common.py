@@ -12,17 +12,20 @@ from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters outside these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows in an Arrow batch.
-BATCH_ROWS = 1024
+#: Rows, and bytes, in an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the setting is missing (tests, local runs) is a temporary folder set for the session.
+    Only a local master, whose executors are the driver, gets a temporary folder for the session where the setting is
+    missing; on a cluster that is an error, as no folder of one machine would do.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = f"file://{tempfile.mkdtemp(prefix='tablemill-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -40,10 +43,16 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Whole texts go to Python in batches of BATCH_ROWS at most, as they can be long; a setting other than Spark's default stays."""
+    """Whole texts go to Python in batches of BATCH_ROWS and about BATCH_BYTES at most, as they can be long.
+
+    These are settings of the session, read when a plan runs and so left in place; ones other than Spark's defaults stay.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) == 10000:
         spark.conf.set(key, str(BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def text_of(df: DataFrame, col: str = "text") -> Column:

@@ -9,13 +9,14 @@ the mean of all hosts.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import WORD, map_rows, staged
+from tablemill.llm.common import WORD, fresh, map_rows, staged
 
 _WORDS = re.compile(WORD).findall
 _SPACE = " \t\n\x0b\x0c\r"
@@ -68,14 +69,14 @@ def measure(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
 
 
-def rules() -> dict[str, Column]:
-    """Each rule of a document, true where it fails."""
-    words = F.col("n_words")
+def rules(col: Callable[[str], Column] = F.col) -> dict[str, Column]:
+    """Each rule of a document, true where it fails; ``col`` finds a measure by its name."""
+    words = col("n_words")
     return {
         "short": words < MIN_WORDS,
-        "repeats": F.col("n_repeat_words") * 100 > words * MAX_REPEAT_PERCENT,
-        "symbols": F.col("n_symbols") * 100 > F.col("word_chars") * MAX_SYMBOL_PERCENT,
-        "dup_lines": F.col("n_dup_lines") > MAX_DUP_LINES,
+        "repeats": col("n_repeat_words") * 100 > words * MAX_REPEAT_PERCENT,
+        "symbols": col("n_symbols") * 100 > col("word_chars") * MAX_SYMBOL_PERCENT,
+        "dup_lines": col("n_dup_lines") > MAX_DUP_LINES,
     }
 
 
@@ -118,3 +119,19 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return measured.join(host_verdicts(measured, "_host"), "_host", "left").select(
         F.col("_id").alias(id_col), *[n for n, _, _ in METRICS], failed.alias("base_failed"), (~failed & ~rejected).alias("kept"), *[f"rate_{r}" for r in each], rejected.alias("host_rejected")
     )
+
+
+def drop_rejected(df: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The rows of ``df`` that ``quality_rules`` keeps, with all columns.
+
+    Verdicts stay with their rows, so rows without an id, or with one that others have too, are judged each by itself.
+    The measured rows are staged and only host verdicts, a row each, are joined: texts aren't shuffled.
+    """
+    names = dict(zip([n for n, _, _ in METRICS], fresh(df, *(f"_{n}" for n, _, _ in METRICS)), strict=True))
+    host, key, verdict = fresh(df, "_of_host", "_host", "_rejected")
+    own = df.withColumn(host, F.col(f"`{host_col}`").cast("string"))
+    measured = staged(map_rows(own, lambda: measure, text_col, [(names[n], ddl, kind) for n, ddl, kind in METRICS]), "measured")
+    verdicts = host_verdicts(measured.select(F.col(host).alias(key), *[F.col(c).alias(n) for n, c in names.items()]), key).select(key, F.col("host_rejected").alias(verdict))
+    each = rules(lambda n: F.col(names[n]))
+    good = ~(each["short"] | each["repeats"]) & ~F.coalesce(verdict, F.lit(False))
+    return measured.join(verdicts, F.col(host) == F.col(key), "left").where(good).select(*[F.col(f"`{c}`") for c in df.columns])

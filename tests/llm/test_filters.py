@@ -131,6 +131,15 @@ def test_small_hosts_of_the_same_rate_are_shrunk_to_it(spark):
     assert abs(judged["own7"].rate_short - 0.7) < 0.03 and judged["own0"].rate_short < 0.02 and 0.05 < judged["h0"].rate_short < 0.6
 
 
+def test_dropping_judges_each_row(spark, nasty):
+    good = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, good, "a", 1), (None, "short", "a", 1), (7, good, None, 1), (7, "short", "b", 1), (8, None, None, 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, _n_words int")
+    out = quality.drop_rejected(df)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect()), key=str) == sorted([rows[0], rows[2]], key=str)
+    assert quality.drop_rejected(nasty.limit(0)).count() == 0 and quality.drop_rejected(nasty).columns == nasty.columns
+
+
 def test_quality_nasty(nasty):
     rows = quality.quality_rules(nasty).collect()
     assert len(rows) == len(NASTY) and {r.doc_id: r.base_failed for r in rows}[3] and quality.quality_rules(nasty.limit(0)).count() == 0
