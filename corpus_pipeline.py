@@ -11,13 +11,12 @@ from tablemill.llm.common import staged, table
 from tablemill.llm.exact_dedup import drop_copies
 from tablemill.llm.mixing import draw, mix
 from tablemill.llm.ngram_join import drop_near_copies
-from tablemill.llm.quality import quality_rules
+from tablemill.llm.quality import drop_rejected
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the rules, or come from a rejected host, go."""
-    judged = quality_rules(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(judged, docs["doc_id"] == judged["_gone"], "left_anti")
+    return drop_rejected(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
