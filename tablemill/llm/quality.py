@@ -81,7 +81,7 @@ def rules(col: Callable[[str], Column] = F.col) -> dict[str, Column]:
 
 
 def host_verdicts(measured: DataFrame, host_col: str) -> DataFrame:
-    """One row per host with its shrunk failure rate of each rule and ``host_rejected``. A null host gets no verdict."""
+    """One row per host with its shrunk failure rate of each rule and ``host_rejected``. A null host gets no verdict. Staged, so that a join knows their size beforehand and broadcasts them if that is small."""
     each = rules()
     hosts = measured.where(F.col(host_col).isNotNull()).groupBy(host_col).agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(c).alias(f"_f_{r}") for r, c in each.items()])
     # one row of sums, whatever the number of hosts
@@ -100,7 +100,7 @@ def host_verdicts(measured: DataFrame, host_col: str) -> DataFrame:
         deviation = F.sqrt(F.greatest(shrunk * (1 - shrunk), F.lit(0.0)) / (F.col("_n") + F.lit(weight + 1)))
         out.append(F.round(shrunk, 6).alias(f"rate_{r}"))
         rejected = rejected | (shrunk - deviation * CERTAIN >= limit)
-    return hosts.select(*out, rejected.alias("host_rejected"))
+    return staged(hosts.select(*out, rejected.alias("host_rejected")), "hosts")
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -125,13 +125,14 @@ def drop_rejected(df: DataFrame, text_col: str = "text", host_col: str = "source
     """The rows of ``df`` that ``quality_rules`` keeps, with all columns.
 
     Verdicts stay with their rows, so rows without an id, or with one that others have too, are judged each by itself.
-    The measured rows are staged and only host verdicts, a row each, are joined: texts aren't shuffled.
+    The measured rows are staged and only rejected hosts are joined: texts are shuffled only if these are too many to broadcast.
     """
     names = dict(zip([n for n, _, _ in METRICS], fresh(df, *(f"_{n}" for n, _, _ in METRICS)), strict=True))
     host, key, verdict = fresh(df, "_of_host", "_host", "_rejected")
     own = df.withColumn(host, F.col(f"`{host_col}`").cast("string"))
     measured = staged(map_rows(own, lambda: measure, text_col, [(names[n], ddl, kind) for n, ddl, kind in METRICS]), "measured")
-    verdicts = host_verdicts(measured.select(F.col(host).alias(key), *[F.col(c).alias(n) for n, c in names.items()]), key).select(key, F.col("host_rejected").alias(verdict))
+    verdicts = host_verdicts(measured.select(F.col(host).alias(key), *[F.col(c).alias(n) for n, c in names.items()]), key)
+    gone = staged(verdicts.where("host_rejected").select(key, F.col("host_rejected").alias(verdict)), "rejected-hosts")
     each = rules(lambda n: F.col(names[n]))
     good = ~(each["short"] | each["repeats"]) & ~F.coalesce(verdict, F.lit(False))
-    return measured.join(verdicts, F.col(host) == F.col(key), "left").where(good).select(*[F.col(f"`{c}`") for c in df.columns])
+    return measured.join(gone, F.col(host) == F.col(key), "left").where(good).select(*[F.col(f"`{c}`") for c in df.columns])
