@@ -18,7 +18,7 @@ from tablemill.llm.secrets import BASE, secret_spans
 from tablemill.llm.substring_dedup import repeated_spans
 from tablemill.llm.token_count import library_encoder, token_counts, tokenizers_pattern
 from tablemill.llm.token_files import read_token_files, write_token_files
-from tablemill.llm.url_filter import APART, MIN_CHILDREN, MIN_SPREAD, REJECT, RULES, SMOOTHING, url_filter
+from tablemill.llm.url_filter import ABOVE, APART, BELOW, LEVELS, MIN_CHILDREN, MIN_SPREAD, NEAR, REJECT, RULES, SMOOTHING, SPREAD, url_filter
 
 QUERIES = {}
 ORACLES = {}
@@ -155,22 +155,32 @@ _FITS = "(r.host = '{h}' OR ends_with(r.host, '.{h}')) AND starts_with(path, '{p
 _BY_LENGTH = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
 
 ORACLES["op10_url_filter"] = rf"""
-WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH RECURSIVE u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 hp AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
-r AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' || regexp_extract(x, '\.[A-Za-z]{{1,8}}$') ELSE x END) AS shape,
-  TRY_CAST(regexp_extract(path, '([0-9]{{1,18}})[^0-9]*$', 1) AS BIGINT) AS num FROM hp),
+q AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' || regexp_extract(x, '\.[A-Za-z]{{1,8}}$') ELSE x END) AS plain,
+  TRY_CAST(regexp_extract(path, '([0-9]+)[^0-9]*$', 1) AS BIGINT) AS num FROM hp),
+r AS (SELECT *, CASE WHEN len(plain) > {LEVELS} THEN list_append(plain[1:{LEVELS - 1}], array_to_string(plain[{LEVELS}:], '/')) ELSE plain END AS shape FROM q),
 lab AS (SELECT doc_id AS num, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL GROUP BY 1),
 known AS (SELECT host, shape, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad FROM r LEFT JOIN lab USING (num) GROUP BY 1, 2),
-steps AS (SELECT host, shape, n, d, shape[d] AS segment, array_to_string(shape[1:d - 1], '/') AS parent FROM known, generate_series(1, len(shape)) s(d)),
-wild AS (SELECT host, d, parent FROM steps GROUP BY 1, 2, 3 HAVING count(DISTINCT segment) >= {MIN_CHILDREN} AND count(DISTINCT segment) >= sum(n) * {MIN_SPREAD}),
-named AS (SELECT s.host, s.shape, '/' || string_agg(CASE WHEN w.host IS NULL THEN segment ELSE '*' END, '/' ORDER BY s.d) AS template FROM steps s LEFT JOIN wild w ON w.host = s.host AND w.d = s.d AND w.parent = s.parent GROUP BY 1, 2),
-k AS (SELECT known.*, coalesce(template, '/') AS template FROM known LEFT JOIN named USING (host, shape)),
-t AS (SELECT host, template, regexp_replace(template, '/[^/]*$', '') AS branch, sum(labelled)::DOUBLE AS n, sum(bad)::DOUBLE AS b FROM k GROUP BY 1, 2),
+g AS (SELECT host, shape, n, 0 AS d, '' AS node FROM known UNION ALL
+  SELECT host, shape, n, d + 1, node || '/' || CASE WHEN kinds >= {MIN_CHILDREN} AND kinds >= pages * {MIN_SPREAD} THEN '*' ELSE shape[d + 1] END
+  FROM (SELECT *, count(DISTINCT shape[d + 1]) OVER (PARTITION BY host, node) AS kinds, sum(n) OVER (PARTITION BY host, node) AS pages FROM g WHERE len(shape) > d)),
+k AS (SELECT known.*, CASE WHEN node = '' THEN '/' ELSE node END AS template FROM known JOIN g ON g.host = known.host AND g.shape = known.shape AND g.d = len(known.shape)),
+tt AS (SELECT host, template, list_filter(string_split(template, '/'), lambda x: x <> '') AS s, sum(labelled)::DOUBLE AS n, sum(bad)::DOUBLE AS b FROM k GROUP BY 1, 2),
+t AS (SELECT * REPLACE (list_append(CASE WHEN len(s) > {LEVELS} THEN list_append(s[1:{LEVELS - 1}], array_to_string(s[{LEVELS}:], '/')) ELSE s END, '') AS s) FROM tt),
 base AS (SELECT CASE WHEN sum(n) > 0 THEN sum(b) / sum(n) ELSE 0 END AS p FROM t),
-h AS (SELECT host, (sum(b) + p * {SMOOTHING}) / (sum(n) + {SMOOTHING}) AS p FROM t, base GROUP BY host, p),
-br AS (SELECT t.host, branch, (sum(b) + h.p * {SMOOTHING}) / (sum(n) + {SMOOTHING}) AS p FROM t JOIN h USING (host) GROUP BY t.host, branch, h.p),
-j AS (SELECT t.host, template, CASE WHEN n > 0 AND abs(b / greatest(n, 1) - p) > sqrt(p * (1 - p) / greatest(n, 1)) * {APART} THEN (b + p * {SMOOTHING}) / (n + {SMOOTHING}) ELSE p END AS share FROM t JOIN br USING (host, branch))
+st AS (SELECT host, template, n, b, i AS d, array_to_string(s[1:i], '/') AS node, s[i + 1] AS segment FROM t, generate_series(0, len(s) - 1) x(i)),
+ch AS (SELECT host, d, node, segment, sum(n) AS n, sum(b) AS b FROM st GROUP BY ALL),
+su AS (SELECT host, d, node, count(*) AS c, sum(n) AS pn, sum(b) AS pb, sum(1 / n) AS inverse, sum(b * b / n) AS squares FROM ch WHERE n > 0 GROUP BY ALL),
+mm AS (SELECT *, pb / pn AS m, pb / pn * (1 - pb / pn) AS pq FROM su WHERE pb > 0 AND pb < pn),
+ap AS (SELECT host, d, node, m FROM mm WHERE (squares - pn * m * m) / pq - (c - 1) > {SPREAD} * sqrt(greatest(c * 2 + inverse * (1 - pq * 6) / pq, 0))),
+sd AS (SELECT ch.*, m IS NOT NULL AS split, CASE WHEN m IS NULL OR n = 0 THEN '{NEAR}' WHEN b - n * m > {APART} * sqrt(n * m * (1 - m)) THEN '{ABOVE}' WHEN b - n * m < -{APART} * sqrt(n * m * (1 - m)) THEN '{BELOW}' ELSE '{NEAR}' END AS side FROM ch LEFT JOIN ap USING (host, d, node)),
+pl AS (SELECT host, d, node, segment, split, sum(n) OVER w AS mn, sum(b) OVER w AS mb, CASE WHEN node = '' THEN '/' ELSE '/' || node || '/' END || CASE WHEN count(*) OVER w > 1 THEN side ELSE segment END AS branch FROM sd WINDOW w AS (PARTITION BY host, d, node, side)),
+f AS (SELECT host, template, -1 AS d, '/' AS branch, (sum(b) OVER (PARTITION BY host) + p * {SMOOTHING}) / (sum(n) OVER (PARTITION BY host) + {SMOOTHING}) AS share FROM t, base UNION ALL
+  SELECT f.host, f.template, st.d, CASE WHEN split THEN pl.branch ELSE f.branch END, CASE WHEN split THEN (mb + share * {SMOOTHING}) / (mn + {SMOOTHING}) ELSE share END FROM f JOIN st ON st.host = f.host AND st.template = f.template AND st.d = f.d + 1
+  JOIN pl ON pl.host = st.host AND pl.d = st.d AND pl.node = st.node AND pl.segment = st.segment),
+j AS (SELECT host, template, arg_max(branch, d) AS branch, arg_max(share, d) AS share FROM f GROUP BY 1, 2)
 SELECT page_id, r.host, path, CASE {" ".join(f"WHEN {_FITS.format(h=h, p=p)} THEN '{h}{p}'" for h, p, _ in _BY_LENGTH)} END AS rule,
-  CASE {" ".join(f"WHEN {_FITS.format(h=h, p=p)} THEN '{v}'" for h, p, v in _BY_LENGTH)} WHEN share >= {REJECT} THEN 'block' ELSE 'allow' END AS verdict, k.template
+  CASE {" ".join(f"WHEN {_FITS.format(h=h, p=p)} THEN '{v}'" for h, p, v in _BY_LENGTH)} WHEN share >= {REJECT} THEN 'block' ELSE 'allow' END AS verdict, k.template, j.branch
 FROM r JOIN k ON k.host = r.host AND k.shape = r.shape JOIN j ON j.host = k.host AND j.template = k.template
 """

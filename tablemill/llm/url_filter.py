@@ -1,12 +1,16 @@
 """URL filters: host and path rules, then a tree of path templates per host judged by labelled purity.
 
-The tree's nodes are a host's path templates. Segments with digits are variable at once; where a node has many children
-that rarely come twice, all of them become one wildcard. Every node takes its label counts from all pages below it;
-siblings whose shares of bad pages don't differ significantly from their parent's are merged with it, at every level,
-and every other share is smoothed towards the level above, up to the host and all pages.
+The tree is built from the root, level by level. Segments with digits are variable at once; where a node has many
+children that rarely come twice, all of them become one wildcard, and the next level is read below that wildcard.
 
-DataFrame operations only. Templates are counted before anything is shuffled, so a host with very many pages is as
-many rows as it has templates.
+Every node takes its label counts from all pages below it. The children of a node are tested together: if their shares
+of bad pages spread no more than chance would spread them, they are merged with the node and take its share; otherwise
+those significantly above the node's share are one branch, those below it another, and those near it (with the
+unlabelled ones) a third, and a branch's share is that of all its pages, smoothed towards the node's, up to the host
+and all pages. Pages that end at a node are a child of it too.
+
+DataFrame operations only. Shapes are counted before anything is shuffled, so a host with very many pages is as many
+rows as it has shapes; shapes with very many pages are joined by broadcast, at most four for each partition.
 """
 
 from __future__ import annotations
@@ -22,8 +26,12 @@ from tablemill.llm.common import staged
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 MIN_CHILDREN, MIN_SPREAD = 16, 0.5
-#: Standard errors by which a branch must differ from its parent to be judged apart.
-APART = 2.0
+#: Levels of the tree; the segments that follow are one segment of the last level.
+LEVELS = 12
+#: Standard errors by which children must be spread beyond chance to be told apart, and by which one is above or below.
+SPREAD, APART = 3.0, 2.0
+#: What a merged branch of children above, near and below their node's share is called.
+ABOVE, NEAR, BELOW = "{above}", "{near}", "{below}"
 #: Labelled pages that the level above counts for.
 SMOOTHING = 5.0
 REJECT = 0.5
@@ -48,77 +56,105 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return rule, verdict
 
 
+def bounded(segments: Column) -> Column:
+    """LEVELS segments at most, the last of them with all that follow."""
+    rest = F.array_join(F.slice(segments, LEVELS, F.greatest(F.size(segments), F.lit(1))), "/")
+    return F.when(F.size(segments) > LEVELS, F.concat(F.slice(segments, 1, LEVELS - 1), F.array(rest))).otherwise(segments)
+
+
 def shape(path: Column) -> Column:
-    """The path's segments, those with digits as ``*`` (with their extension)."""
+    """The path's segments, those with digits as ``*`` (with their extension); from level LEVELS on all are one."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    return F.transform(segments, lambda s: F.when(s.rlike("[0-9]"), F.concat(F.lit("*"), F.regexp_extract(s, r"\.[A-Za-z]{1,8}$", 0))).otherwise(s))
+    plain = F.transform(segments, lambda s: F.when(s.rlike("[0-9]"), F.concat(F.lit("*"), F.regexp_extract(s, r"\.[A-Za-z]{1,8}$", 0))).otherwise(s))
+    return bounded(plain)
 
 
 def generalise(known: DataFrame) -> DataFrame:
-    """Add ``template`` to distinct (host, shape, n): segments below nodes with many rarely repeated children become ``*``."""
-    place = F.posexplode("shape").alias("depth", "segment")
-    steps = known.select("host", "shape", "n", place).withColumn("parent", F.array_join(F.slice("shape", 1, F.col("depth")), "/"))
-    children = steps.groupBy("host", "depth", "parent", "segment").agg(F.sum("n").alias("n"))
-    nodes = children.groupBy("host", "depth", "parent").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"))
-    wild = nodes.where((F.col("kinds") >= MIN_CHILDREN) & (F.col("kinds") >= F.col("n") * MIN_SPREAD)).select("host", "depth", "parent", F.lit(True).alias("wild"))
-    turned = steps.join(wild, ["host", "depth", "parent"], "left").withColumn("segment", F.when(F.col("wild"), F.lit("*")).otherwise(F.col("segment")))
-    paths = turned.groupBy("host", "shape").agg(F.array_sort(F.collect_list(F.struct("depth", "segment"))).alias("steps"))
-    named = paths.select("host", "shape", F.concat(F.lit("/"), F.array_join(F.transform("steps", lambda s: s["segment"]), "/")).alias("template"))
-    return known.join(named, ["host", "shape"], "left").withColumn("template", F.coalesce("template", F.lit("/")))
+    """Add ``template`` to distinct (host, shape, n, ..): level by level, the children of a node with many that rarely
+    repeat become ``*``, so that what follows them is counted together."""
+    levels = known.agg(F.max(F.size("shape"))).first()[0] or 0
+    grown = known.withColumn("template", F.lit(""))
+    for level in range(1, levels + 1):
+        segment = F.get("shape", F.lit(level - 1)).alias("segment")
+        children = grown.where(F.size("shape") >= level).groupBy("host", "template", segment).agg(F.sum("n").alias("n"))
+        nodes = children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("pages"))
+        wild = nodes.where((F.col("kinds") >= MIN_CHILDREN) & (F.col("kinds") >= F.col("pages") * MIN_SPREAD)).select("host", "template", F.lit(True).alias("_wild"))
+        named = F.when(F.col("_wild"), F.lit("*")).otherwise(F.get("shape", F.lit(level - 1)))
+        longer = F.when(F.size("shape") >= level, F.concat("template", F.lit("/"), named)).otherwise(F.col("template"))
+        grown = staged(grown.join(wild, ["host", "template"], "left").select(*known.columns, longer.alias("template")), "url-levels")
+    return grown.withColumn("template", F.when(F.col("template") == "", F.lit("/")).otherwise(F.col("template")))
 
 
 def purity(templates: DataFrame) -> DataFrame:
-    """Add ``bad_share``, the smoothed share of bad pages, to a table (host, template, labelled, bad), a row per template.
+    """(host, template, branch, bad_share) of a table (host, template, labelled, bad), a row per template.
 
-    Every node of the tree counts all pages below it. From the host down, a node that doesn't differ from the level above
-    is merged with it and takes its share, as its like siblings do; another's share is smoothed towards that of the level above.
+    ``branch`` is the lowest branch above the template's end that was told apart from its siblings (``/`` if none was):
+    a node, or several merged under the name of their side. ``bad_share`` is its smoothed share of bad pages.
     """
     totals = templates.agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b")).first()
     base = (totals["b"] or 0) / totals["n"] if totals["n"] else 0.0
     smooth = lambda bad, n, above: (bad + above * SMOOTHING) / (n + SMOOTHING)
 
-    def judged(above: Column, n: Column, bad: Column) -> Column:
-        some = F.greatest(n, F.lit(1))
-        apart = (n > 0) & (F.abs(bad / some - above) > F.sqrt(above * (1 - above) / some) * APART)
-        return F.when(apart, smooth(bad, n, above)).otherwise(above)
-
-    hosts = templates.groupBy("host").agg(F.sum("labelled").alias("_hn"), F.sum("bad").alias("_hb"))
-    segments = F.filter(F.split("template", "/"), lambda s: s != "")
-    placed = templates.withColumn("_segments", segments)
-    steps = placed.where(F.size("_segments") > 0).select("host", "template", "labelled", "bad", "_segments", F.explode(F.sequence(F.lit(1), F.size("_segments"))).alias("depth"))
-    steps = steps.select("host", "template", "labelled", "bad", "depth", F.array_join(F.slice("_segments", 1, F.col("depth")), "/").alias("node"))
-    nodes = steps.groupBy("host", "node").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b"))
-    paths = steps.select("host", "template", "depth", "node").join(nodes, ["host", "node"]).groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("depth", "n", "b"))).alias("_nodes"))
-    all_ = templates.join(hosts, "host").join(paths, ["host", "template"], "left")
-    at_host = smooth(F.col("_hb"), F.col("_hn"), F.lit(base)).cast("double")
-    share = F.when(F.col("_nodes").isNull(), at_host).otherwise(F.aggregate("_nodes", at_host, lambda above, x: judged(above, x["n"], x["b"])))
-    all_ = all_.select("host", "template", "labelled", "bad", share.alias("_share"), F.coalesce(F.element_at("_nodes", -1)["n"], F.col("_hn")).alias("_below"))
-    # a template that has others below it is judged apart from them
-    own = F.when(F.col("_below") == F.col("labelled"), F.col("_share")).otherwise(judged(F.col("_share"), F.col("labelled"), F.col("bad")))
-    return all_.select("host", "template", own.alias("bad_share"))
+    # a page that ends at a node is in that node's child without a name
+    segments = F.concat(bounded(F.filter(F.split("template", "/"), lambda s: s != "")), F.array(F.lit("")))
+    steps = templates.withColumn("_s", segments).select("host", "template", "labelled", "bad", "_s", F.posexplode("_s").alias("_at", "segment"))
+    steps = staged(steps.select("host", "template", "labelled", "bad", "segment", F.col("_at").alias("depth"), F.array_join(F.slice("_s", 1, F.col("_at")), "/").alias("node")), "url-nodes")
+    children = staged(steps.groupBy("host", "depth", "node", "segment").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b")), "url-children")
+    seen = children.where("n > 0").select("host", "depth", "node", "n", "b")
+    sums = seen.groupBy("host", "depth", "node").agg(
+        F.count(F.lit(1)).alias("k"), F.sum("n").alias("pn"), F.sum("b").alias("pb"), F.sum(F.lit(1.0) / F.col("n")).alias("inverse"), F.sum(F.col("b") * F.col("b") / F.col("n")).alias("squares")
+    )
+    m = F.col("pb") / F.col("pn")
+    pq = m * (1 - m)
+    # the chi-square statistic of the children's shares, and its standard deviation under equal shares
+    spread = (F.col("squares") - F.col("pn") * m * m) / pq - (F.col("k") - 1)
+    deviation = F.sqrt(F.greatest(F.col("k") * 2 + F.col("inverse") * (1 - pq * 6) / pq, F.lit(0.0)))
+    apart = sums.where((F.col("pb") > 0) & (F.col("pb") < F.col("pn"))).where(spread > deviation * SPREAD).select("host", "depth", "node", m.alias("m"))
+    z = (F.col("b") - F.col("n") * F.col("m")) / F.sqrt(F.col("n") * F.col("m") * (1 - F.col("m")))
+    side = F.when(F.col("m").isNull() | (F.col("n") == 0), F.lit(NEAR)).when(z > APART, F.lit(ABOVE)).when(z < -APART, F.lit(BELOW)).otherwise(F.lit(NEAR))
+    sided = staged(children.join(apart, ["host", "depth", "node"], "left").select("host", "depth", "node", "segment", "n", "b", side.alias("side"), F.col("m").isNotNull().alias("split")), "url-sides")
+    merged = sided.groupBy("host", "depth", "node", "side").agg(F.max("split").alias("split"), F.sum("n").alias("mn"), F.sum("b").alias("mb"), F.count(F.lit(1)).alias("like"))
+    placed = sided.select("host", "depth", "node", "segment", "side").join(merged, ["host", "depth", "node", "side"])
+    name = F.concat(F.lit("/"), F.array_join(F.filter(F.array(F.nullif("node", F.lit("")), F.when(F.col("like") > 1, F.col("side")).otherwise(F.col("segment"))), lambda s: s.isNotNull()), "/"))
+    placed = placed.select("host", "depth", "node", "segment", "split", "mn", "mb", name.alias("branch"))
+    paths = steps.join(placed, ["host", "depth", "node", "segment"]).groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("depth", "split", "mn", "mb", "branch"))).alias("_path"))
+    hosts = templates.groupBy("host").agg(smooth(F.sum("bad"), F.sum("labelled"), F.lit(base)).cast("double").alias("_share"))
+    share = F.aggregate("_path", F.col("_share"), lambda above, x: F.when(x["split"], smooth(x["mb"], x["mn"], above)).otherwise(above))
+    splits = F.filter("_path", lambda x: x["split"])
+    branch = F.coalesce(F.get(splits, F.size(splits) - 1)["branch"], F.lit("/"))
+    return paths.join(hosts, "host").select("host", "template", branch.alias("branch"), share.alias("bad_share"))
 
 
 def url_filter(pages: DataFrame, labels: DataFrame | None = None, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """One row per input row: the id, host, path, rule, verdict, template, bad_share.
+    """One row per input row: the id, host, path, rule, verdict, template, branch, bad_share.
 
-    ``labels`` is (label_id, bad): the documents that pages show, a page's being the last number in its path; without
-    it only rules block. A page that no rule fits is blocked if its template's smoothed share of bad pages reaches a
-    half. A url that is null or has no ``://`` has empty host and path and is judged by their template like any other.
-    A label id that comes twice is bad if any of its rows is; a null label says nothing. Repeated rows count once each.
+    ``labels`` is (label_id, bad): the documents that pages show, a page's being the last number in its path (one that
+    isn't a 64-bit integer is none); without it only rules block. A page that no rule fits is blocked if its branch's
+    smoothed share of bad pages reaches a half. A url that is null or has no ``://`` has empty host and path and is
+    judged by their branch like any other. A label id that comes twice is bad if any of its rows is; a null label says
+    nothing. Repeated rows count once each. No rows: none.
     """
     host, path = parse(pages[url_col].cast("string"))
     parsed = pages.select(pages[id_col].alias("_id"), host.alias("host"), path.alias("path"))
-    number = F.regexp_extract("path", r"([0-9]{1,18})[^0-9]*$", 1).try_cast("bigint")
+    number = F.regexp_extract("path", r"([0-9]+)[^0-9]*$", 1).try_cast("bigint")
     rows = staged(parsed.withColumn("shape", shape(F.col("path"))).withColumn("_number", number), "urls")
+    counted = staged(rows.groupBy("host", "shape", "_number").agg(F.count(F.lit(1)).alias("n")), "url-numbers")
+    parts = counted.select("host", "shape", "n", F.lit(0).cast("bigint").alias("labelled"), F.lit(0).cast("bigint").alias("bad"))
     if labels is not None:
-        label = labels.where("bad is not null").groupBy(F.col("label_id").cast("bigint").alias("_number")).agg(F.max(F.col("bad").cast("int")).alias("_bad"))
-        marked = rows.select("host", "shape", "_number").join(label, "_number", "left")
-    else:
-        marked = rows.select("host", "shape", F.lit(None).cast("int").alias("_bad"))
-    known = staged(marked.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.count("_bad").alias("labelled"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad")), "url-shapes")
-    named = staged(generalise(known), "url-templates")
+        label = labels.where("bad is not null and label_id is not null").groupBy(F.col("label_id").cast("bigint").alias("_number")).agg(F.max(F.col("bad").cast("int")).alias("_bad"))
+        marked = counted.where("_number is not null").join(label, "_number")
+        parts = parts.unionByName(marked.select("host", "shape", F.lit(0).cast("bigint").alias("n"), F.col("n").alias("labelled"), (F.col("n") * F.col("_bad")).alias("bad")))
+    known = staged(parts.groupBy("host", "shape").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")]), "url-shapes")
+    named = generalise(known)
     judged = purity(named.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")))
-    shapes = named.select("host", "shape", "template").join(judged, ["host", "template"])
+    shapes = staged(named.select("host", "shape", "n", "template").join(judged, ["host", "template"]), "url-branches")
+    # a shape with over a quarter of a partition's share of the pages is one of few, and its pages stay where they are
+    fair = (shapes.agg(F.sum("n")).first()[0] or 0) / (4.0 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = ["template", "branch", "bad_share"]
+    hot = shapes.where(F.col("n") > fair).select("host", "shape", *found)
+    cold = shapes.where(F.col("n") <= fair).select("host", "shape", *found)
+    read = rows.select("_id", "host", "path", "shape")
+    both = read.join(F.broadcast(hot), ["host", "shape"]).unionByName(read.join(F.broadcast(hot.select("host", "shape")), ["host", "shape"], "left_anti").join(cold, ["host", "shape"]))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("bad_share") >= REJECT, F.lit("block")).otherwise(F.lit("allow"))
-    return rows.join(shapes, ["host", "shape"], "left").select(F.col("_id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(said, method).alias("verdict"), "template", "bad_share")
+    return both.select(F.col("_id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(said, method).alias("verdict"), *found)

@@ -166,7 +166,7 @@ def plain_rule(host, path):
 
 
 def test_urls_and_rules(spark):
-    df = spark.createDataFrame(URLS + [(None, "http://net/"), (1, URLS[0][1])], "page_id bigint, url string").withColumns({c: F.lit(1) for c in ("host", "path", "shape", "n", "verdict", "_id", "template")})
+    df = spark.createDataFrame(URLS + [(None, "http://net/"), (1, URLS[0][1])], "page_id bigint, url string").withColumns({c: F.lit(1) for c in ("host", "path", "shape", "n", "verdict", "_id", "template", "branch", "labelled", "side", "_number", "node")})
     rows = url_filter.url_filter(df).collect()
     assert len(rows) == len(URLS) + 2
     urls = dict(URLS)
@@ -202,6 +202,107 @@ def test_inner_branches_are_merged(spark):
     assert got[1000].verdict == "block" and {got[2000 + i].verdict for i in range(6)} == {"allow"}
 
 
+def plain_branches(known):
+    """Shares of bad pages by (host, template), from (host, shape): (pages, labelled, bad), node by node over plain lists."""
+    above, near, below = url_filter.ABOVE, url_filter.NEAR, url_filter.BELOW
+    base = sum(b for _, _, b in known.values()) / max(1, sum(n for _, n, _ in known.values()))
+    smooth = lambda b, n, p: (b + p * url_filter.SMOOTHING) / (n + url_filter.SMOOTHING)
+    count = lambda rows: (sum(r[2] for r in rows), sum(r[3] for r in rows))
+    out = {}
+
+    def down(rows, node, share, branch):
+        # rows are (shape that is left, pages, labelled, bad, (host, whole shape))
+        kinds = {r[0][0] for r in rows if r[0]}
+        wild = len(kinds) >= url_filter.MIN_CHILDREN and len(kinds) >= sum(r[1] for r in rows if r[0]) * url_filter.MIN_SPREAD
+        children = {}
+        for r in rows:
+            children.setdefault(("*" if wild else r[0][0]) if r[0] else "", []).append((r[0][1:], *r[1:]))
+        n, b = count(rows)
+        m, sides, split = b / max(n, 1), dict.fromkeys(children, near), False
+        if 0 < b < n:
+            pq, seen = m * (1 - m), [count(c) for c in children.values()]
+            seen = [(x, y) for x, y in seen if x]
+            chi = sum((y - x * m) ** 2 / (x * pq) for x, y in seen) - (len(seen) - 1)
+            split = chi > url_filter.SPREAD * max(0, sum(2 + (1 - 6 * pq) / (x * pq) for x, _ in seen)) ** 0.5
+        if split:
+            for c, part in children.items():
+                x, y = count(part)
+                z = (y - x * m) / (x * pq) ** 0.5 if x else 0
+                sides[c] = above if z > url_filter.APART else below if z < -url_filter.APART else near
+        for c, part in children.items():
+            like = [d for d in children if sides[d] == sides[c]]
+            x, y = map(sum, zip(*(count(children[d]) for d in like)))
+            here = smooth(y, x, share) if split else share
+            called = f"{node}/{sides[c] if len(like) > 1 else c}" if split else branch
+            if c:
+                down(part, f"{node}/{c}", here, called)
+            else:
+                for r in part:
+                    out[r[4]] = (node or "/", called, round(here, 9))
+
+    for host in {h for h, _ in known}:
+        rows = [(shape, *v, (host, shape)) for (h, shape), v in known.items() if h == host]
+        n, b = count(rows)
+        down(rows, "", smooth(b, n, base), "/")
+    return out
+
+
+def test_tree_against_brute_force(spark):
+    rng = random.Random(5)
+    pages, labels = [], []
+    for i in range(3000):
+        host = rng.choice(["a.com", "a.com", "b.com", "c.com"])
+        first = rng.choice(["news", "user", "shop", "old", "p"])
+        second = "".join(rng.choices("abcdefgh", k=5)) if first == "user" else rng.choice(["x", "y", "z", "w", "v"])
+        deep = rng.choice(["", "", "/q", "/r/s", "/" + "/".join("abcdefghijklmno"[: rng.randint(9, 14)])])
+        end = "" if rng.random() < 0.1 else f"/{i}.html"
+        pages.append((i, f"http://{host}/{first}/{second}{deep}{end}"))
+        odd = (host == "a.com" and first == "shop" and second in "xy") or (first == "news" and deep == "/q" and second == "z") or (host == "c.com" and rng.random() < 0.6)
+        if rng.random() < 0.5:
+            labels.append((i, odd if rng.random() < 0.95 else not odd))
+    said = dict(labels)
+    known = {}
+    for i, url in pages:
+        host, path = plain_parse(url)
+        shape = tuple("*" + (re.search(r"[.][A-Za-z]{1,8}$", s) or [""])[0] if re.search("[0-9]", s) else s for s in path.split("/") if s)
+        if len(shape) > url_filter.LEVELS:
+            shape = (*shape[: url_filter.LEVELS - 1], "/".join(shape[url_filter.LEVELS - 1 :]))
+        number = re.search("([0-9]+)[^0-9]*$", path)
+        bad = said.get(int(number[1])) if number else None
+        n = known.get((host, shape), (0, 0, 0))
+        known[host, shape] = (n[0] + 1, n[1] + (bad is not None), n[2] + bool(bad))
+        pages[i] = (i, url, host, shape)
+    wanted = plain_branches(known)
+    out = url_filter.url_filter(spark.createDataFrame([p[:2] for p in pages], "page_id bigint, url string"), spark.createDataFrame(labels, "label_id bigint, bad boolean"))
+    got = {r.page_id: (r.template, r.branch, round(r.bad_share, 9), r.verdict) for r in out.collect()}
+    assert len(got) == len(pages)
+    for i, _, host, shape in pages:
+        template, branch, share = wanted[host, shape]
+        assert got[i] == (template, branch, share, "block" if share >= url_filter.REJECT else "allow"), (host, shape)
+    assert {v for *_, v in got.values()} == {"block", "allow"} and any(b.endswith(url_filter.ABOVE) for _, b, _, _ in got.values())
+
+
+def test_like_siblings_are_judged_together_and_wildcards_nest(spark):
+    word = lambda i: chr(97 + i % 26) + chr(97 + i // 26)
+    pages = [(i, f"http://h.com/x{'abcdefgh'[i // 2]}/{i}") for i in range(16)] + [(100 + i, f"http://h.com/news/{100 + i}") for i in range(184)]
+    # names, and below each name something else
+    pages += [(1000 + i, f"http://u.com/user/n{word(i)}/s{word(i * 7 % 60)}") for i in range(60)]
+    # a bad branch three levels down, and one page beyond the range of numbers
+    pages += [(2000 + i, f"http://v.com/a/b/{'bad' if i % 4 == 0 else 'good'}/{2000 + i}") for i in range(80)] + [(3000, "http://v.com/a/b/good/99999999999999992000")]
+    labels = [(i, i < 16 or (2000 <= i and i % 4 == 0)) for i, _ in pages if i < 1000 or 2000 <= i < 3000]
+    out = url_filter.url_filter(spark.createDataFrame(pages, "page_id bigint, url string"), spark.createDataFrame(labels, "label_id bigint, bad boolean"))
+    got = {r.page_id: r for r in out.collect()}
+    assert {got[i].verdict for i in range(16)} == {"block"} and {got[100 + i].verdict for i in range(184)} == {"allow"}
+    assert {got[1000 + i].template for i in range(60)} == {"/user/*/*"}
+    assert {(i % 4 == 0, got[2000 + i].verdict) for i in range(80)} == {(True, "block"), (False, "allow")} and got[3000].verdict == "allow"
+
+
+def test_one_bad_page_blocks_nothing(spark):
+    pages = [(i, f"http://h{i}.com/a/b/c/{i}") for i in range(20)] + [(100, "http://h0.com/a/b/c/100")]
+    out = url_filter.url_filter(spark.createDataFrame(pages, "page_id bigint, url string"), spark.createDataFrame([(i, i == 0) for i in range(20)], "label_id bigint, bad boolean"))
+    assert {r.verdict for r in out.collect()} == {"allow"}
+
+
 def test_url_plan_is_native(spark, small):
     from tablemill.llm.queries import QUERIES
 
