@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import json
+import os
+import sqlite3
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,7 +16,9 @@ from tablemill.functions import prompt, reply
 from tablemill.functions.emptiness import BLANK, is_empty, known_text, to_text
 from tablemill.operators import columns, dispatch, infer, merge, predicates, routing, sharding, stats, validation
 from tablemill.plans import tokens
-from tablemill.plans.spec import TaskSpec
+from tablemill.plans.enrich import Enrichment
+from tablemill.plans.spec import TaskSpec, configured, spec_of
+from tablemill.sources import files, open_source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -497,3 +503,243 @@ def infer_documents(spark, d):
     return out.select("doc_id", F.get_json_object("reply_json", "$.answer").cast("int").alias("answer"), F.col("_error_type").alias("error_type"), "attempts")
 
 
+# ---- sources and sinks: written, read back --------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below ``spark.checkpoint.dir``, or temporary for a local master."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='tablemill-')}"
+    return f"{shared.rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
+def _local_folder(spark: SparkSession) -> str:
+    """The same as a plain path, for formats that are one file of the local file system."""
+    path = _folder(spark).removeprefix("file://").removeprefix("file:")
+    if "://" in path:
+        raise ValueError(f"{path} isn't in the local file system")
+    os.makedirs(path)
+    return path
+
+
+_EVENTS = "SELECT event_id, user_id, event_type, value, props FROM events"
+
+
+def _stored(kind: str) -> None:
+    def run(spark, d):
+        path = f"{_folder(spark)}/events.{kind}"
+        files.write(_t(spark, d, "events").select("event_id", "user_id", "event_type", "value", "props"), path)
+        return open_source(spark, {"type": kind, "input_path": path}).select("event_id", "user_id", "event_type", "value", "props")
+
+    run.__name__ = f"{kind}_round_trip"
+    query(_EVENTS)(run)
+
+
+for _kind in ("parquet", "json", "orc"):
+    _stored(_kind)
+
+
+@query("SELECT doc_id, nullif(text, '') AS text, lang, n_chars, '  ' || lang || ' ' AS spaced FROM documents")
+def csv_round_trip(spark, d):
+    path = f"{_folder(spark)}/documents.csv"
+    files.write(_t(spark, d, "documents").select("doc_id", "text", "lang", "n_chars", F.concat(F.lit("  "), "lang", F.lit(" ")).alias("spaced")), path)
+    out = files.read(spark, path, schema="doc_id bigint, text string, lang string, n_chars bigint, spaced string")
+    return out.withColumn("text", F.nullif("text", F.lit("")))
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def csv_types_inferred(spark, d):
+    path = f"{_folder(spark)}/events.csv"
+    files.write(_t(spark, d, "events").select("event_id", "user_id", "event_type", "value"), path)
+    got = open_source(spark, {"type": "csv", "input_path": path, "options": {"multiLine": False}})
+    return got.select(F.col("event_id").cast("bigint"), F.col("user_id").cast("bigint"), "event_type", "value")
+
+
+@query("SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment || chr(10) || '<&\"' END AS note FROM customer")
+def xlsx_round_trip(spark, d):
+    path = f"{_local_folder(spark)}/customers.xlsx"
+    note = F.when(F.col("c_custkey") % 3 != 0, F.concat("c_mktsegment", F.lit('\n<&"')))
+    files.write(_t(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", note.alias("note")), path)
+    got = open_source(spark, {"type": "excel", "input_path": path})
+    return got.select(F.col("c_custkey").cast("bigint"), "c_name", F.col("c_nationkey").cast("bigint"), F.col("c_acctbal").cast("double"), "note")
+
+
+def _database(spark: SparkSession, d: str) -> str:
+    """A store of one file with a row per customer and no answers, filled row by row, as such a store is."""
+    path = f"{_local_folder(spark)}/tasks.db"
+    source = _t(spark, d, "customer").select("c_custkey", "c_name", F.when(F.col("c_custkey") % 4 != 0, F.col("c_mktsegment")).alias("question"))
+    with sqlite3.connect(path) as c:
+        c.execute("CREATE TABLE tasks (id INTEGER PRIMARY KEY, name TEXT, question TEXT, answer TEXT)")
+        c.executemany("INSERT INTO tasks VALUES (?, ?, ?, NULL)", (tuple(r) for r in columns.rows(source)))
+    c.close()
+    return path
+
+
+def _answered(spark: SparkSession, d: str) -> str:
+    path = _database(spark, d)
+    open_source(spark, {"type": "sqlite", "db_path": path, "table_name": "tasks"})
+    answers = _t(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").cast("int").cast("string").alias("answer"))
+    answers.write.format("sqlite_table").options(path=path, table="tasks").mode("append").save()
+    return path
+
+
+_TASK_ROWS = "(SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END AS question, CASE WHEN c_acctbal > 0 THEN CAST(CAST(trunc(c_acctbal) AS INTEGER) AS VARCHAR) END AS answer FROM customer)"
+
+
+@query(f"SELECT id, name, question, answer FROM {_TASK_ROWS}")
+def sqlite_round_trip(spark, d):
+    return open_source(spark, {"type": "sqlite", "db_path": _answered(spark, d), "table_name": "tasks"})
+
+
+@query(f"SELECT id, question FROM {_TASK_ROWS} WHERE question IS NOT NULL AND question <> '' AND (answer IS NULL OR answer = '')")
+def sqlite_pending(spark, d):
+    from tablemill.sources import sqlite
+
+    return sqlite.pending(spark, _answered(spark, d), "tasks", TaskSpec(("question",), {"a": "answer"})).select("id", "question")
+
+
+@query("SELECT doc_id, quality + 1 AS quality, toxic FROM labels")
+def overwrite_in_place(spark, d):
+    path = f"{_folder(spark)}/labels.parquet"
+    files.write(_t(spark, d, "labels"), path)
+    old = files.read(spark, path)
+    files.write(old.withColumn("quality", F.col("quality") + 1), path)
+    return files.read(spark, path).select("doc_id", "quality", "toxic")
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_id FROM documents")
+def row_ids(spark, d):
+    return files.with_row_ids(_t(spark, d, "documents"), "row_id").select("doc_id", "row_id")
+
+
+@query("SELECT doc_id, 'a' || chr(65533) || CAST(doc_id AS VARCHAR) AS cell FROM labels")
+def unencodable_cells(spark, d):
+    bad = F.concat(F.lit(b"a\xff"), F.col("doc_id").cast("string").cast("binary")).cast("string")
+    return files.clean_text(_t(spark, d, "labels").select("doc_id", bad.alias("cell")))
+
+
+# ---- predicates as SQL text, projections, configuration -----------------------------------------------------------------
+
+
+_TURNS = "(SELECT conv_id, turn, text, CASE WHEN role = 'user' THEN '' WHEN turn % 3 = 0 THEN role END AS out FROM conversations)"
+
+
+def _turns(spark, d):
+    return _t(spark, d, "conversations").select("conv_id", "turn", "text", F.when(F.col("role") == "user", "").when(F.col("turn") % 3 == 0, F.col("role")).alias("out"))
+
+
+@query(f"SELECT conv_id, turn, coalesce(text, '') <> '' AND coalesce(out, '') = '' AS pending, coalesce(out, '') <> '' AS done FROM {_TURNS}")
+def predicates_as_sql(spark, d):
+    spec = TaskSpec(("text",), {"out": "out"}, "conv_id", mode="sql")
+    return _turns(spark, d).select("conv_id", "turn", F.expr(predicates.unprocessed_sql(spec)).alias("pending"), F.expr(predicates.processed_sql(spec)).alias("done"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders)")
+def row_point(spark, d):
+    t = _t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    last = sharding.bounds(t, "o_orderkey").first()["max_id"]
+    return spark.createDataFrame([predicates.row_at(t, "o_orderkey", last)], t.schema)
+
+
+@query("SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, coalesce(o_orderpriority, '') AS o_orderpriority FROM orders")
+def project_inputs(spark, d):
+    return columns.project(_t(spark, d, "orders"), TaskSpec(("o_custkey", "o_orderpriority", "not_there"), {"a": "a"}, "o_orderkey"), as_text=True)
+
+
+@query("SELECT doc_id, quality AS ai_quality, toxic, CAST(NULL AS VARCHAR) AS note FROM labels")
+def physical_names(spark, d):
+    spec = TaskSpec(("quality",), {"quality": "ai_quality", "note": "note"}, "doc_id")
+    return columns.with_outputs(columns.to_physical(_t(spark, d, "labels"), spec.outputs), spec).select("doc_id", "ai_quality", "toxic", "note")
+
+
+@query("SELECT o_orderkey FROM orders")
+def all_ids(spark, d):
+    return columns.ids(_t(spark, d, "orders"), "o_orderkey")
+
+
+@query("SELECT conv_id, turn, CASE WHEN text IS NOT NULL THEN [text] END AS stop, [text, role] AS stops FROM conversations")
+def stop_lists(spark, d):
+    return _t(spark, d, "conversations").select("conv_id", "turn", prompt.stop_list(F.col("text"), False).alias("stop"), prompt.stop_list(F.array("text", "role"), True).alias("stops"))
+
+
+_RULES = {"role": ["user", "assistant"], "turn": [0, 1, 2], "text": ["x"]}
+
+
+@query("SELECT * FROM (VALUES ('role', 2), ('turn', 3), ('text', 1)) v(field, n_values)")
+def rule_sizes(spark, d):
+    return spark.createDataFrame(list(validation.rule_sizes(_RULES).items()), "field string, n_values int")
+
+
+@query("""SELECT '{"type":"object","properties":{"role":{"type":"string","enum":["user","assistant"]},"turn":{"type":"integer","enum":[0,1,2]},"note":{"type":"string"}},"required":["role","turn","note"]}' AS schema""")
+def json_schema(spark, d):
+    return spark.createDataFrame([(json.dumps(validation.json_schema(["role", "turn", "note"], _RULES), separators=(",", ":")),)], "schema string")
+
+
+_FREE, _SPEEDS = (0.0, 1.0, 64.0, 4096.0), (0.0, 0.5, 5.0, 100.0)
+
+
+@query(f"SELECT f AS free_mb, v AS per_second, greatest(1000, least(CAST(floor(f * 0.3 * 1024 / 5) AS INTEGER), CASE WHEN v > 0 THEN CAST(floor(v * 900) AS INTEGER) ELSE 50000 END, 10000, 50000)) AS size FROM (SELECT unnest([{', '.join(map(str, _FREE))}])::DOUBLE AS f), (SELECT unnest([{', '.join(map(str, _SPEEDS))}])::DOUBLE AS v)")
+def shard_sizes(spark, d):
+    return spark.createDataFrame([(f, v, sharding.shard_size(free_mb=f, records_per_second=v)) for f in _FREE for v in _SPEEDS], "free_mb double, per_second double, size int")
+
+
+@query("SELECT 'csv' AS kind, 7 AS batch_size, 3 AS api_retries, 9 AS content_retries, 2.0::DOUBLE AS pause, 'auto' AS model, ['a'] AS inputs, ['x_out'] AS outputs, true AS require_all")
+def config_merge(spark, d):
+    c = configured({"datasource": {"type": "csv", "concurrency": {"batch_size": 7, "retry_limits": {"content_error": 9}}}, "columns_to_extract": ["a"], "columns_to_write": {"x": "x_out"}})
+    source, spec = c["datasource"], spec_of(c)
+    limits = source["concurrency"]
+    row = (source["type"], limits["batch_size"], limits["retry_limits"]["api_error"], limits["retry_limits"]["content_error"], limits["api_pause_duration"], c["prompt"]["model"], list(spec.inputs), spec.output_columns, spec.require_all)
+    return spark.createDataFrame([row], "kind string, batch_size int, api_retries int, content_retries int, pause double, model string, inputs array<string>, outputs array<string>, require_all boolean")
+
+
+# ---- models, a whole run ------------------------------------------------------------------------------------------------
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS id, 'http://' || CAST(n_nationkey AS VARCHAR) AS base_url, least(s_suppkey % 50 + 1, n_nationkey + 5)::DOUBLE AS timeout FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def model_channels(spark, d):
+    known = _t(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_nationkey").cast("string").alias("channel_id"), (F.col("s_suppkey") % 50 + 1).cast("double").alias("timeout"))
+    key = F.col("n_nationkey").cast("string")
+    channels = _t(spark, d, "nation").select(key.alias("id"), F.concat(F.lit("http://"), key).alias("base_url"), (F.col("n_nationkey") + 5).cast("double").alias("timeout"))
+    return dispatch.with_channels(known, channels).select("id", "base_url", "timeout")
+
+
+@query("""WITH f AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS n, max(epoch_us(ts) / 1000000.0::DOUBLE) FILTER (WHERE event_type = 'error') AS t, (SELECT max(epoch_us(ts) / 1000000.0::DOUBLE) FROM events) AS latest FROM events GROUP BY 1)
+SELECT user_id, coalesce(latest >= t + CASE WHEN n <= 0 THEN 0 WHEN n <= 3 THEN n * 2 ELSE least(6 + power(2.0, n - 3), 60.0) END, true) AS available FROM f""")
+def availability(spark, d):
+    failed = F.when(F.col("event_type") == "error", _seconds("ts"))
+    states = _t(spark, d, "events").groupBy("user_id").agg(F.count(failed).alias("n"), F.max(failed).alias("t"), F.max(_seconds("ts")).alias("last"))
+    now = states.agg(F.max("last")).first()[0]
+    return states.select("user_id", dispatch.available(F.col("t") + dispatch.backoff_seconds(F.col("n")), F.lit(now)).alias("available"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'view' THEN value ELSE 0.7::DOUBLE END AS temperature, CASE WHEN user_id % 2 = 0 THEN value / 2 END AS top_p FROM events")
+def request_parameters(spark, d):
+    asked = F.when(F.col("event_type") == "view", F.col("value"))
+    return _t(spark, d, "events").select("event_id", *[c.alias(n) for n, c in dispatch.request_params(asked, F.lit(0.7), {"top_p": F.col("value") / 2}, F.col("user_id") % 2 == 0).items()])
+
+
+def _run(spark, d):
+    source = _t(spark, d, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 5 == 0, "done").alias("answer"))
+
+    def said(messages):
+        n = len(json.loads(messages[-1]["content"])["text"])
+        return "no idea" if n % 7 == 0 else json.dumps({"n": str(n)})
+
+    config = {"datasource": {"id_col": "doc_id", "concurrency": {"retry_limits": {"content_error": 1}, "api_pause_duration": 0.0}}, "columns_to_extract": ["text"], "columns_to_write": {"n": "answer"}, "prompt": {"template": "{record_json}", "required_fields": ["n"]}}
+    return Enrichment(spark, config, lambda: infer.FakeClient(said), _folder(spark)).run(source, on_failure="leave")
+
+
+_DONE = f"(SELECT doc_id, doc_id % 5 = 0 AS done, {VALID} AS valid, length(text) AS n FROM documents)"
+
+
+@query(f"SELECT doc_id, CASE WHEN done THEN 'done' WHEN NOT valid OR n % 7 = 0 THEN NULL ELSE CAST(n AS VARCHAR) END AS answer FROM {_DONE}")
+def enrich_run(spark, d):
+    return _run(spark, d)[0].select("doc_id", "answer")
+
+
+@query(f"SELECT count(*) AS n_tasks, count(*) FILTER (WHERE n % 7 <> 0) AS n_ok, count(*) FILTER (WHERE n % 7 = 0) AS n_failed, count(*) FILTER (WHERE n % 7 = 0) AS n_retries, count(*) FILTER (WHERE n % 7 <> 0) / count(*)::DOUBLE AS success_rate, 0::BIGINT AS n_api_error, count(*) FILTER (WHERE n % 7 = 0) AS n_content_error, 0::BIGINT AS n_system_error FROM {_DONE} WHERE valid AND NOT done")
+def enrich_figures(spark, d):
+    return _run(spark, d)[1]

@@ -80,7 +80,7 @@ def write(df: DataFrame, path: str, kind: str | None = None, single: bool = Fals
     out = out.coalesce(1) if single else out
     beside = f"{path.rstrip('/')}._staged-{uuid.uuid4().hex}"
     writer = out.write.format(kind)
-    (writer.options(header="true", escape='"', quote='"') if kind == "csv" else writer).save(beside)
+    (writer.options(header="true", escape='"', quote='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false") if kind == "csv" else writer).save(beside)
     jvm = spark.sparkContext._jvm
     target, staged = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(beside)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
