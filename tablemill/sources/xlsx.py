@@ -65,20 +65,28 @@ def sheet_rows(path: str, sheet: int | str = 0) -> Iterator[list]:
         target = links[wanted].lstrip("/")
         shared = [_text(s) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")] if "xl/sharedStrings.xml" in z.namelist() else []  # noqa: S314
         with z.open(target if target.startswith("xl/") else f"xl/{target}") as f:
+            names: dict[str, int] = {}
+            row_tag, cell_tag, value_tag = f"{_MAIN}row", f"{_MAIN}c", f"{_MAIN}v"
             for _, row in ElementTree.iterparse(f):  # noqa: S314
-                if row.tag != f"{_MAIN}row":
+                if row.tag != row_tag:
                     continue
                 out: list = []
-                for cell in row.iter(f"{_MAIN}c"):
-                    at = column_of(cell.get("r")) if cell.get("r") else len(out)
-                    out += [None] * (at + 1 - len(out))
-                    kind, v = cell.get("t"), cell.find(f"{_MAIN}v")
+                for cell in row:
+                    if cell.tag != cell_tag:
+                        continue
+                    at = len(out)
+                    if reference := cell.get("r"):
+                        name = reference.rstrip("0123456789")
+                        at = names[name] if name in names else names.setdefault(name, column_of(reference))
+                    if at >= len(out):
+                        out += [None] * (at + 1 - len(out))
+                    kind, v = cell.get("t"), cell.find(value_tag)
                     if kind == "inlineStr":
                         out[at] = _text(cell)
                     elif v is not None and v.text is not None:
                         out[at] = shared[int(v.text)] if kind == "s" else v.text == "1" if kind == "b" else v.text if kind in ("str", "e") else float(v.text)
                 yield out
-                row.clear()
+                row.clear()  # what stays is an empty element a row, of which the format allows 2**20
 
 
 def _kind(seen: set[type], whole: bool) -> T.DataType:
