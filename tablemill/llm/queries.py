@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemill.llm.bpe import bpe_decode, bpe_encode
-from tablemill.llm.common import shared_dir, table
+from tablemill.llm.common import WORD, shared_dir, table, text_of
 from tablemill.llm.exact_dedup import exact_dedup
 from tablemill.llm.mixing import mix
 from tablemill.llm.ngram_join import ngram_join
+from tablemill.llm.periodic import periodic_runs
 from tablemill.llm.quality import quality_rules
 from tablemill.llm.secrets import BASE, secret_spans
 from tablemill.llm.substring_dedup import repeated_spans
@@ -184,3 +185,25 @@ SELECT page_id, r.host, path, CASE {" ".join(f"WHEN {_FITS.format(h=h, p=p)} THE
   CASE {" ".join(f"WHEN {_FITS.format(h=h, p=p)} THEN '{v}'" for h, p, v in _BY_LENGTH)} WHEN share >= {REJECT} THEN 'block' ELSE 'allow' END AS verdict, k.template, j.branch
 FROM r JOIN k ON k.host = r.host AND k.shape = r.shape JOIN j ON j.host = k.host AND j.template = k.template
 """
+
+
+def _with_repetition(docs: DataFrame) -> DataFrame:
+    """Every tenth document, by a hash of its id, goes round in a period from some word on."""
+    h = F.crc32(docs["doc_id"].cast("string").cast("binary"))
+    split = docs.select("doc_id", "text", F.when(h % 10 == 0, F.regexp_extract_all(text_of(docs), F.lit(WORD), F.lit(0))).alias("words"), F.floor(h / 10).alias("g")).withColumn("n", F.size("words"))
+    placed = split.withColumn("a", F.when(F.col("n") > 0, F.expr("g % n").cast("int"))).withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    unit = F.slice("words", F.col("a") + 1, F.col("p"))
+    round_ = F.flatten(F.array_repeat(unit, F.expr("cast((n - a) div p as int)") + 1))
+    words = F.slice(F.concat(F.slice("words", F.lit(1), F.col("a")), round_), F.lit(1), F.col("n"))
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(_with_repetition(table(spark, sf_dir, "documents")), keep=["doc_id"])
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])), "")
+    found = found.select("*", longest.alias("longest")).select("*", (-F.col("longest.less")).alias("length"), F.col("longest.period").alias("period"))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.col("longest.start").alias("start"), "length", "period", F.expr("1000 * length div period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")
+    )
