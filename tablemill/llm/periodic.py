@@ -5,7 +5,7 @@ of these places is a multiple of p. For each p only the places jp are tried, n l
 may lie in a run (a few more probes to one side hold) are extended both ways by chunked array comparison; those within
 a run of a period that divides p are skipped, as they would give the same stretch again.
 
-Texts of an Arrow batch are probed together, longest first, with a word of its own between them which nothing equals: a run
+Texts of up to 2 MiB are probed together, longest first, with a word of its own between them which nothing equals: a run
 can't cross it, and for a period p only the texts of 2p words or more are looked at.
 """
 
@@ -17,6 +17,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tablemill.llm.common import small_batches
@@ -24,6 +25,8 @@ from tablemill.llm.common import small_batches
 #: A run has so many words at least.
 MIN_WORDS = 12
 _FIRST_CHUNK, _LARGEST_CHUNK = 32, 1 << 16
+#: Texts are probed together up to so many bytes.
+_TOGETHER = 2 << 20
 
 
 def _ahead(w: np.ndarray, i: int, p: int) -> int:
@@ -129,6 +132,17 @@ def _found(texts: list[str | None]) -> list[tuple[list[dict], str]]:
     return out
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts have about _TOGETHER bytes at most, or one row."""
+    for batch in batches:
+        ends = np.cumsum(np.array([v or 0 for v in pc.binary_length(batch.column(column)).to_pylist()], dtype=np.int64))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _TOGETHER, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def periodic_runs(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add ``runs``, an array of (start, length, period) by start and period, and ``collapsed`` to every row.
 
@@ -136,7 +150,7 @@ def periodic_runs(df: DataFrame, text_col: str = "text", keep: list[str] | None
     of words with smallest period p and at least max(12, 2p) words that can't be extended; runs may overlap.
     ``collapsed`` is the words that no run contains after its first p words, joined by one space. A null text has no words.
     Rows don't meet, so repeated rows and null ids play no part; input columns of these two names are replaced. No shuffle.
-    Memory follows an Arrow batch, which is bounded in rows and bytes, or one longer text.
+    Memory follows an Arrow batch, which is bounded in rows and bytes, and 2 MiB of text or one longer text being probed.
     """
     small_batches(df.sparkSession)
     kept = [c for c in (df.columns if keep is None else keep) if c not in ("runs", "collapsed")]
@@ -144,7 +158,7 @@ def periodic_runs(df: DataFrame, text_col: str = "text", keep: list[str] | None
     run = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches, len(kept)):
             got = _found(batch.column(len(kept)).to_pylist())
             made = [pa.array([g[0] for g in got], pa.list_(run)), pa.array([g[1] for g in got], pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + made, names=[*kept, "runs", "collapsed"])
