@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tablemill.llm.bpe import bpe_decode, bpe_encode
 from tablemill.llm.common import WORD, shared_dir, table, text_of
+from tablemill.llm.conversation import repair_report, repaired_pieces
 from tablemill.llm.exact_dedup import exact_dedup
 from tablemill.llm.mixing import mix
 from tablemill.llm.ngram_join import ngram_join
@@ -187,6 +188,26 @@ FROM r JOIN k ON k.host = r.host AND k.shape = r.shape JOIN j ON j.host = k.host
 """
 
 
+def _damaged(rows: DataFrame) -> DataFrame:
+    """Rows of conversations with faults by a hash of conversation and turn; nulls are one space."""
+    filled = lambda c: F.coalesce(rows[c].cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(filled("conv_id"), F.lit(":"), filled("turn")).cast("binary")) % 20
+    text = F.when(fault == 1, "").when(fault == 2, F.regexp_replace(filled("text"), "[.!?]", "")).otherwise(filled("text"))
+    copies = F.when(fault == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    kept = rows.where(fault != 0).select("conv_id", "turn", F.when(fault == 4, "user").otherwise(filled("role")).alias("role"), text.alias("text"), F.explode(copies).alias("copy"))
+    return kept.drop("copy")
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    report = repair_report(repaired_pieces(_damaged(rows)))
+    every = rows.select("conv_id").distinct()  # also those that lost all rows
+    joined = every.join(report, every["conv_id"].eqNullSafe(report["conv"]), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return joined.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def _with_repetition(docs: DataFrame) -> DataFrame:
     """Every tenth document, by a hash of its id, goes round in a period from some word on."""
     h = F.crc32(docs["doc_id"].cast("string").cast("binary"))
