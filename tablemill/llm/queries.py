@@ -15,6 +15,9 @@ from tablemill.llm.exact_dedup import exact_dedup
 from tablemill.llm.mixing import mix
 from tablemill.llm.ngram_join import ngram_join
 from tablemill.llm.periodic import periodic_runs
+from tablemill.llm.pii import ALL, pii_spans
+from tablemill.llm.pii import BASE as PII_BASE
+from tablemill.llm.pii import fit as fit_pii
 from tablemill.llm.quality import quality_rules
 from tablemill.llm.secrets import BASE, secret_spans
 from tablemill.llm.substring_dedup import repeated_spans
@@ -208,6 +211,17 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+@query
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii_spans(docs, fit_pii(docs), keep=["doc_id"])
+    kinds = F.array(*map(F.lit, ALL))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda k, kind: F.size(F.filter("pii", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{kind}")
+    base = F.filter("pii", lambda s: s["kind"] < len(PII_BASE))
+    return found.select("doc_id", *[count(k, kind) for k, kind in enumerate(PII_BASE)], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
+
+
 def _with_repetition(docs: DataFrame) -> DataFrame:
     """Every tenth document, by a hash of its id, goes round in a period from some word on."""
     h = F.crc32(docs["doc_id"].cast("string").cast("binary"))
