@@ -60,6 +60,8 @@ RULES: dict[str, tuple[tuple[str, ...], re.Pattern, Callable[[re.Match], bool]]]
     "pem": (("-----begin ",), re.compile("-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"), lambda m: True),
 }
 _HEX = re.compile("[0-9a-f]+")
+#: What a match of these kinds begins with: one that fails, fails from every place of the same stretch, so the others aren't tried.
+_STRETCH = {"jwt": re.compile("eyJ[A-Za-z0-9_-]*")}
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _IS_HEX = bytes(ord("0") if chr(c) in "0123456789abcdef" else ord(" ") for c in range(256))
 
@@ -71,6 +73,7 @@ def scanner() -> Callable[[str], list[tuple[int, int, int]]]:
         for w in keywords:
             words.add_word(w, (KINDS.index(kind), len(w), *RULES[kind][1:]))
     words.make_automaton()
+    stretches = [_STRETCH.get(kind) for kind in KINDS]
     runs = ahocorasick.Automaton()
     runs.add_word("0" * MIN_HEX, None)
     runs.make_automaton()
@@ -81,10 +84,14 @@ def scanner() -> Callable[[str], list[tuple[int, int, int]]]:
         # every keyword of a kind is where its match begins, so hits sorted by start give leftmost matches
         hits = sorted((last + 1 - size, kind, tried, holds) for last, (kind, size, tried, holds) in words.iter(flat.translate(_LOWER).decode("latin-1")))
         for start, kind, tried, holds in hits:
-            if start >= past[kind] and (m := tried.match(text, start)):
+            if start < past[kind]:
+                continue
+            if m := tried.match(text, start):
                 past[kind] = m.end()
                 if holds(m):
                     spans.append((start, kind, m.end()))
+            elif stretches[kind] and (m := stretches[kind].match(text, start)):
+                past[kind] = m.end()
         kind = KINDS.index("hex")
         for last, _ in runs.iter(flat.translate(_IS_HEX).decode("latin-1")):
             start = last + 1 - MIN_HEX

@@ -46,6 +46,24 @@ def test_checksums_decide():
     assert scan("eyJhbGci.eyJ9.x") == []
 
 
+def test_secrets_take_linear_time():
+    import time
+
+    scan = secrets.scanner()
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.c2ln"
+    began = time.perf_counter()
+    assert scan("eyJ" * 1_000_000) == [] and scan("EYJ" * 300_000 + "eyJ." * 300_000) == []
+    assert len(scan("eyJ" * 300_000 + " " + jwt)) == 1 and len(scan("eyJ" * 300_000 + "/" + jwt)) == 1
+    assert time.perf_counter() - began < 8
+
+
+@given(st.lists(st.sampled_from(["eyJ", "EYJ", ".", "eyJhbGciOiJIUzI1NiJ9", "eyJzdWIiOiIxIn0", "-", "_x", " ", "c2ln"]), max_size=14).map("".join))
+@settings(max_examples=500, deadline=None)
+def test_jwt_spans_against_plain_search(text):
+    want = [(m.start(), m.end()) for m in re.finditer(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*", text) if secrets.is_jwt(m[0])]
+    assert [(a, b) for a, k, b in secrets.scanner()(text) if secrets.KINDS[k] == "jwt"] == want
+
+
 def test_secrets_query(spark, small):
     import hashlib
 
