@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tablemill.llm.bpe import bpe_decode, bpe_encode
 from tablemill.llm.common import staged, table
 from tablemill.llm.exact_dedup import drop_copies
-from tablemill.llm.mixing import draw, mix
+from tablemill.llm.mixing import draw
 from tablemill.llm.ngram_join import drop_near_copies
 from tablemill.llm.quality import drop_rejected
 
@@ -31,7 +31,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, the last repetition of each source in part."""
-    return draw(docs, mix(docs))
+    return draw(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

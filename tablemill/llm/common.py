@@ -70,6 +70,27 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def rows_that_stay(df: DataFrame, key: Column, judged: DataFrame) -> DataFrame:
+    """The rows of ``df`` that stay, with all columns, by a key that equal rows share.
+
+    ``judged`` has a row for each key: _place, _stays, _n (rows of that key). Of rows with a key that stays one stays. Only keys that go or
+    have several rows are joined, so mostly a small table; rows that aren't named stay.
+    """
+    (place,) = fresh(df, "_at_place")
+    named = staged(judged.where("not _stays or _n > 1").select(F.col("_place").alias(place), "_stays"), "judged")
+    (stays,) = fresh(df, "_row_stays")
+    marked = df.withColumn(place, key).join(named.withColumnRenamed("_stays", stays), place, "left")
+    out = marked.where(F.col(stays).isNull())
+    if not named.where("_stays").isEmpty():
+        out = out.unionByName(marked.where(F.col(stays)).dropDuplicates([place]))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def place_of(id_col: Column, text: Column) -> Column:
+    """A digest of id and text, never null: rows that share it are the same document."""
+    return F.unhex(F.md5(F.concat(F.coalesce(id_col.cast("string"), F.lit("")), F.lit(":"), text)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

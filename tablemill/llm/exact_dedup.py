@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import staged, text_of
+from tablemill.llm.common import rows_that_stay, staged, text_of
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST_HOT = 200
@@ -65,10 +65,12 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of ``df`` whose text stays, with all columns; see ``exact_dedup``.
+    """The rows of ``df`` whose text stays, with all columns, one for each group of equal texts; see ``exact_dedup``.
 
-    Rows that repeat an id stay or go together; rows with a null id stay (none can be told apart).
+    Verdicts are by id and text, so rows that share an id but not the text are judged apart; of rows that share both, one
+    stays. A row with a null id stays only if its group has no other.
     """
     judged = exact_dedup(df, id_col, text_col, keep)
-    gone = judged.groupBy(F.col(id_col).alias("_gone")).agg(F.bool_or("kept").alias("_kept")).where("not _kept").select("_gone")
-    return df.join(gone, df[id_col].cast("bigint") == gone["_gone"], "left_anti")
+    place = lambda i, digest: F.concat_ws(":", i.cast("string"), digest)
+    by_place = judged.groupBy(place(F.col(id_col), F.col("text_sha256")).alias("_place")).agg(F.bool_or("kept").alias("_stays"), F.count(F.lit(1)).alias("_n"))
+    return rows_that_stay(df, place(df[id_col].cast("bigint"), F.sha2(normalised(text_of(df, text_col)), 256)), by_place)

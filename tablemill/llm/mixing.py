@@ -37,17 +37,11 @@ def targets(sizes: DataFrame, weights: Sequence[float], total_share: float, max_
     return settled.select("source", "source_size", F.when(capped, F.col("_cap")).otherwise(F.col("_all") * F.col("_w")).alias("target"))
 
 
-def mix(df: DataFrame, weights: Sequence[float] = (3, 1, 2), total_share: float = 1.5, max_epochs: float = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per input row: the id, size (words), source_size, target, taken (words, repeats counted), epochs (whole repetitions), part (words of one more, partial repetition).
-
-    Sources stand in order of code points, null last as a source of its own; ``weights`` repeat over them. A source's
-    taken words are its target, rounded. A null or empty text has size 0 and is never taken; with no words at all, all
-    targets are 0. The order is a digest of seed and id, so reruns agree; rows that repeat an id are interchangeable.
-    Sizes are staged. Everything that brings sources together has a row per source.
-    """
-    sized = df.select(df[id_col].alias("_id"), df[source_col].cast("string").alias("source"), F.regexp_count(text_of(df, text_col), F.lit(WORD)).cast("bigint").alias("size"))
+def _drawn(df: DataFrame, sized: list, weights: Sequence[float], total_share: float, max_epochs: float, seed: int) -> DataFrame:
+    """Rows of ``sized`` (columns of ``df``: _id, source, size, and any others) with source_size, target, taken, epochs and part."""
     spin = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("bigint")
-    rows = staged(sized.withColumn("_spin", spin), "mixing").withColumn("_bucket", F.shiftright("_spin", 48).cast("int"))
+    rows = staged(df.select(*sized).withColumn("_spin", spin), "mixing").withColumn("_bucket", F.shiftright("_spin", 48).cast("int"))
+    others = [c for c in rows.columns if c not in ("_id", "source", "size", "_spin", "_bucket")]
     buckets = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_size"))
     aims = targets(buckets.groupBy("source").agg(F.sum("_size").alias("source_size")), weights, total_share, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
@@ -60,14 +54,15 @@ def mix(df: DataFrame, weights: Sequence[float] = (3, 1, 2), total_share: float
     cut = ends.groupBy("_key", "source_size", "target", "_whole").agg(
         F.min(F.when(F.col("_before") + F.col("_size") > F.col("_extra"), F.struct("_bucket", (F.col("_extra") - F.col("_before")).alias("left")))).alias("_cut")
     )
-    drawn = rows.select("*", key("source")).join(cut, "_key").select("_id", "_key", "size", "_spin", "source_size", "target", "_whole", F.coalesce(F.col("_bucket") - F.col("_cut._bucket"), F.lit(-1)).alias("_side"), F.coalesce("_cut.left", F.lit(0)).alias("_left"))
+    drawn = rows.select("*", key("source")).join(cut, "_key").select("_id", "_key", "size", "_spin", "source_size", "target", "_whole", *others, F.coalesce(F.col("_bucket") - F.col("_cut._bucket"), F.lit(-1)).alias("_side"), F.coalesce("_cut.left", F.lit(0)).alias("_left"))
     within = Window.partitionBy("_key").orderBy("_spin", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     in_cut = drawn.where("_side = 0").withColumn("_more", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_left") - F.coalesce(F.sum("size").over(within), F.lit(0)))))
-    others = drawn.where("_side <> 0").withColumn("_more", F.when(F.col("_side") < 0, F.col("size")).otherwise(F.lit(0)))
-    both = in_cut.unionByName(others)
+    rest = drawn.where("_side <> 0").withColumn("_more", F.when(F.col("_side") < 0, F.col("size")).otherwise(F.lit(0)))
+    both = in_cut.unionByName(rest)
     full = (F.col("_more") == F.col("size")) & (F.col("size") > 0)
     return both.select(
-        F.col("_id").alias(id_col),
+        "_id",
+        *others,
         "size",
         "source_size",
         "target",
@@ -77,16 +72,28 @@ def mix(df: DataFrame, weights: Sequence[float] = (3, 1, 2), total_share: float
     )
 
 
-def draw(df: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(df: DataFrame, weights: Sequence[float] = (3, 1, 2), total_share: float = 1.5, max_epochs: float = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per input row: the id, size (words), source_size, target, taken (words, repeats counted), epochs (whole repetitions), part (words of one more, partial repetition).
+
+    Sources stand in order of code points, null last as a source of its own; ``weights`` repeat over them. A source's
+    taken words are its target, rounded. A null or empty text has size 0 and is never taken; with no words at all, all
+    targets are 0. The order is a digest of seed and id, so reruns agree; rows that repeat an id are interchangeable.
+    Sizes are staged. Everything that brings sources together has a row per source.
+    """
+    sized = [df[id_col].alias("_id"), df[source_col].cast("string").alias("source"), F.regexp_count(text_of(df, text_col), F.lit(WORD)).cast("bigint").alias("size")]
+    return _drawn(df, sized, weights, total_share, max_epochs, seed).withColumnRenamed("_id", id_col)
+
+
+def draw(df: DataFrame, weights: Sequence[float] = (3, 1, 2), total_share: float = 1.5, max_epochs: float = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: rows of ``df`` as often as ``mix`` says, and partial repetitions cut to their first words (joined by spaces).
 
-    Rows with a null id are never drawn, as ``mixed`` can't name them; rows that repeat an id are drawn as often as one of them.
+    What is decided stays with the row, so rows without an id, or with one that others have too, are drawn like any others.
     """
-    drawn, epochs, part, copy = fresh(df, "_drawn", "_epochs", "_part", "_copy")
-    plan = mixed.where("taken > 0").select(F.col(id_col).alias(drawn), F.col("epochs").alias(epochs), F.col("part").alias(part)).dropDuplicates([drawn])
-    rows = df.join(plan, df[id_col] == plan[drawn])
-    copies = rows.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(epochs))))
-    cut = F.array_join(F.slice(F.regexp_extract_all(text_of(df, text_col), F.lit(WORD), F.lit(0)), 1, F.greatest(F.col(part), F.lit(1)).cast("int")), " ")
-    partial = F.col(copy) == F.col(epochs)
-    kept = copies.where(~partial | (F.col(part) > 0))
-    return kept.select(*[F.when(partial, cut).otherwise(F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
+    all_, copy = "_row", "_copy"
+    sized = [df[id_col].alias("_id"), df[source_col].cast("string").alias("source"), F.regexp_count(text_of(df, text_col), F.lit(WORD)).cast("bigint").alias("size"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(all_)]
+    copies = _drawn(df, sized, weights, total_share, max_epochs, seed).where("taken > 0").withColumn(copy, F.explode(F.sequence(F.lit(0), F.col("epochs"))))
+    partial = F.col(copy) == F.col("epochs")
+    kept = copies.where(~partial | (F.col("part") > 0))
+    text = F.coalesce(F.col(all_)[text_col].cast("string"), F.lit(""))
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), 1, F.greatest(F.col("part"), F.lit(1)).cast("int")), " ")
+    return kept.select(*[(F.when(partial, cut).otherwise(F.col(all_)[c]) if c == text_col else F.col(all_)[c]).alias(c) for c in df.columns])

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import WORD, map_rows, staged, text_of
+from tablemill.llm.common import WORD, map_rows, place_of, rows_that_stay, staged, text_of
 from tablemill.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -195,7 +195,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _signed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_id, _digest of the shingle set, _n, _sig."""
+    """_id, _place, _digest of the shingle set, _n, _sig."""
 
     def make():
         def one(text):
@@ -204,8 +204,9 @@ def _signed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         return one
 
-    rows = df.select(df[id_col].cast("bigint").alias("_id"), text_of(df, text_col).alias("_text"))
-    return map_rows(rows, make, "_text", [("_digest", "binary", pa.binary()), ("_n", "int", pa.int32()), ("_sig", "binary", pa.binary())], keep=["_id"])
+    ident, text = df[id_col].cast("bigint"), text_of(df, text_col)
+    rows = df.select(ident.alias("_id"), place_of(ident, text).alias("_place"), text.alias("_text"))
+    return map_rows(rows, make, "_text", [("_digest", "binary", pa.binary()), ("_n", "int", pa.int32()), ("_sig", "binary", pa.binary())], keep=["_id", "_place"])
 
 
 def _banded(reps: DataFrame) -> DataFrame:
@@ -288,7 +289,7 @@ def _neighbourhoods(reps: DataFrame, threshold: float) -> DataFrame:
 
 
 def _with_sets(members: DataFrame) -> DataFrame:
-    """Rows with a ``_text`` as rows with its shingles (``_set``), made once before rows are dealt to tiles. A text whose shingles don't have the ``_digest`` belongs to another row of the same id and goes."""
+    """Rows with a ``_text`` as rows with its shingles (``_set``), made once before rows are dealt to tiles."""
     kept = [c for c in members.columns if c != "_text"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in members.select(*kept).schema.fields), "_set binary"])
 
@@ -297,24 +298,21 @@ def _with_sets(members: DataFrame) -> DataFrame:
             for lo in range(0, whole.num_rows, 256):
                 batch = whole.slice(lo, 256)
                 sets = [shingles(t).tobytes() for t in batch.column("_text").to_pylist()]
-                own = [xxhash.xxh3_128_digest(s) == d for s, d in zip(sets, batch.column("_digest").to_pylist(), strict=True)]
-                out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sets, pa.binary())], names=[*kept, "_set"])
-                yield out.filter(pa.array(own))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sets, pa.binary())], names=[*kept, "_set"])
 
     return members.select(*kept, "_text").mapInArrow(run, schema)
 
 
 def _verified(tiles: DataFrame, threshold: float) -> DataFrame:
-    """(rep, links, other): links to others, in copies, and edges of spanning forests. ``tiles`` has component, i, j, block, rep, copies, _digest, _sig, _set."""
+    """(rep, links, other): links to others, in copies, and edges of spanning forests. ``tiles`` has component, i, j, block, rep, copies, _sig, _set."""
     schema = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, _), rows in _grouped(batches, 3):
-            rows = list({(r[1], r[3]): r for r in rows}.values())  # rows that repeat id and text are one
             if len(rows) < 2:
                 continue
-            sigs = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint16).reshape(-1, HASHES)
-            a, b = linked(sigs, [np.frombuffer(r[5], dtype=np.uint64) for r in rows], np.array([r[0] != i for r in rows]), threshold)
+            sigs = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint16).reshape(-1, HASHES)
+            a, b = linked(sigs, [np.frombuffer(r[4], dtype=np.uint64) for r in rows], np.array([r[0] != i for r in rows]), threshold)
             copies = np.array([r[2] for r in rows], dtype=np.int64)
             links = np.bincount(a, copies[b], len(rows)) + np.bincount(b, copies[a], len(rows))
             edges = _forest(a, b)
@@ -326,36 +324,47 @@ def _verified(tiles: DataFrame, threshold: float) -> DataFrame:
 
     n = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     laid = tiles.repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j")
-    return laid.select("component", "i", "j", "block", "rep", "copies", "_digest", "_sig", "_set").mapInArrow(run, "rep bigint, links bigint, other bigint")
+    return laid.select("component", "i", "j", "block", "rep", "copies", "_sig", "_set").mapInArrow(run, "rep bigint, links bigint, other bigint")
 
 
-def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per input row: the id, class_id (smallest id of the documents that links connect it with), n_links (rows of other documents at ``threshold`` or above, copies included), n_shingles.
-
-    A null or empty text has no shingles, no links and its own class. Documents with the same shingle set are linked to
-    each other and share all links. A null id can't stand for a class: such a row has the class of its copies, or null. Rows that repeat
-    an id with different texts are one node with the links of all. Other columns are not read; an empty table gives no rows.
-    """
+def _judged(df: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """A row per input row: _id, _place, _n, links, and _best, the row (_none, _id, _place) of the smallest id in its class (null without shingles)."""
     signed = staged(_signed(df, id_col, text_col), "signatures")
-    sets = staged(signed.where("_n > 0").groupBy("_digest").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("_n").alias("_n"), F.first("_sig").alias("_sig")), "sets")
-    reps = sets.where("rep is not null")
-    near = staged(_neighbourhoods(reps, threshold), "neighbourhoods")
-    members = near.join(reps.select("rep", "copies", "_n", "_sig", "_digest"), "rep")
+    least = F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_place")).alias("_least")
+    # a number for each different set, fixed by being written: ids can repeat or be null
+    sets = signed.where("_n > 0").groupBy("_digest").agg(least, F.count(F.lit(1)).alias("copies"), F.first("_n").alias("_n"), F.first("_sig").alias("_sig"))
+    sets = staged(sets.withColumn("rep", F.monotonically_increasing_id()), "sets")
+    near = staged(_neighbourhoods(sets, threshold), "neighbourhoods")
+    members = near.join(sets.select("rep", "copies", "_n", "_sig", F.col("_least._place").alias("_place")), "rep")
     blocks = members.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE_SETS), F.ceil(F.sum("_n") / TILE_SHINGLES)).cast("int").alias("_blocks"))
-    texts = df.select(df[id_col].cast("bigint").alias("rep"), text_of(df, text_col).alias("_text"))
-    compared = staged(_verified(_tiled(_with_sets(members.join(blocks, "component").join(texts, "rep"))), threshold), "tiles")
+    text = text_of(df, text_col)
+    texts = df.select(place_of(df[id_col].cast("bigint"), text).alias("_place"), text.alias("_text"))
+    with_text = members.join(blocks, "component").join(texts, "_place").dropDuplicates(["_place"]).drop("_place")
+    compared = staged(_verified(_tiled(_with_sets(with_text)), threshold), "tiles")
     classes = components(compared.where("other is not null").select(F.col("rep").alias("u"), F.col("other").alias("v"))).withColumnRenamed("node", "rep")
     links = compared.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
-    known = sets.select("_digest", "rep", "copies").join(classes, "rep", "left").join(links, "rep", "left")
-    return signed.join(known, "_digest", "left").select(
-        F.col("_id").alias(id_col),
-        F.coalesce("component", "rep", "_id").alias("class_id"),
-        F.when(F.col("_n") > 0, F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(F.lit(0)).alias("n_links"),
-        F.col("_n").alias("n_shingles"),
-    )
+    known = sets.select("_digest", "rep", "copies", "_least").join(classes, "rep", "left").join(links, "rep", "left").withColumn("_class", F.coalesce("component", "rep"))
+    # a key of its own for the side with a row per class, so that Spark can split the sets of a large class
+    best = known.groupBy("_class").agg(F.min("_least").alias("_best")).select(F.bitwise_not("_class").alias("_of"), "_best")
+    known = known.join(best, F.bitwise_not("_class") == F.col("_of")).select("_digest", "copies", "links", "_best")
+    return signed.join(known, "_digest", "left").select("_id", "_place", "_n", F.when(F.col("_n") > 0, F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(F.lit(0)).alias("links"), "_best")
+
+
+def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row per input row: the id, class_id (smallest id of the rows that links connect it with), n_links (other rows at ``threshold`` or above, copies included), n_shingles.
+
+    Each row is a document: rows that repeat an id, with the same text or another, are compared like any others, and so are rows
+    without an id. A class of such rows alone has a null class_id. A null or empty text has no shingles, no links and its
+    own class. Other columns are not read; an empty table gives no rows.
+    """
+    return _judged(df, id_col, text_col, threshold).select(F.col("_id").alias(id_col), F.when(F.col("_n") > 0, F.col("_best._id")).otherwise(F.col("_id")).alias("class_id"), F.col("links").alias("n_links"), F.col("_n").alias("n_shingles"))
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``df`` that stand for their class, with all columns; rows with a null id stay."""
-    gone = ngram_join(df, id_col, text_col, threshold).where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("_gone"))
-    return df.join(gone, df[id_col].cast("bigint") == gone["_gone"], "left_anti")
+    """One row of each class, with all columns: that of the smallest id, which is null only if no row of the class has one.
+
+    Rows without shingles are classes of their own and stay. Of rows that share id and text, one stays.
+    """
+    judged = _judged(df, id_col, text_col, threshold).where("_n > 0")
+    by_place = judged.groupBy("_place").agg(F.bool_or(F.col("_place") == F.col("_best._place")).alias("_stays"), F.count(F.lit(1)).alias("_n"))
+    return rows_that_stay(df, place_of(df[id_col].cast("bigint"), text_of(df, text_col)), by_place)

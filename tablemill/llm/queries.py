@@ -98,15 +98,16 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op5_ngram_join"] = f"""
-WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS ws FROM documents),
-s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM w, generate_series(1, greatest(1, len(ws) - 4)) x(i) WHERE len(ws) > 0),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
-e AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE c::DOUBLE / (p.n + q.n - c) >= 0.8),
-r AS (SELECT doc_id, doc_id AS m FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.m = e.x),
-k AS (SELECT doc_id, min(m) AS class_id FROM r GROUP BY doc_id)
-SELECT k.doc_id, class_id, coalesce(l.n_links, 0) AS n_links, coalesce(n.n, 0)::INTEGER AS n_shingles
-FROM k LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x, count(*) AS n_links FROM e GROUP BY x) l ON l.x = k.doc_id
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+w AS (SELECT r, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS ws FROM d),
+s AS (SELECT DISTINCT r, array_to_string(ws[i:i + 4], ' ') AS g FROM w, generate_series(1, greatest(1, len(ws) - 4)) x(i) WHERE len(ws) > 0),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+c AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY ALL),
+e AS (SELECT x, y FROM c JOIN n p ON p.r = x JOIN n q ON q.r = y WHERE c::DOUBLE / (p.n + q.n - c) >= 0.8),
+u AS (SELECT r, r AS m FROM d UNION SELECT u.r, e.y FROM u JOIN e ON u.m = e.x),
+k AS (SELECT u.r, min(o.doc_id) AS class_id FROM u JOIN d o ON o.r = u.m GROUP BY u.r)
+SELECT d.doc_id, class_id, coalesce(l.n_links, 0) AS n_links, coalesce(n.n, 0)::INTEGER AS n_shingles
+FROM d JOIN k USING (r) LEFT JOIN n USING (r) LEFT JOIN (SELECT x, count(*) AS n_links FROM e GROUP BY x) l ON l.x = d.r
 """
 
 

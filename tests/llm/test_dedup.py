@@ -1,6 +1,7 @@
 import hashlib
 import random
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -41,7 +42,7 @@ def test_exact_dedup_nasty(nasty):
     assert by_id[3][0].keep_id == 5 and by_id[3][0].group_size == 4  # null and empty texts
     assert exact_dedup.exact_dedup(nasty.limit(0)).count() == 0
     kept = exact_dedup.drop_copies(nasty)
-    assert kept.columns == nasty.columns and {r.doc_id for r in kept.collect()} == {2, 5, 6, 7, 8, 9, None}
+    assert kept.columns == nasty.columns and {r.doc_id for r in kept.collect()} == {2, 5, 6, 7, 8, 9}  # the rows without an id have copies with one
 
 
 def test_native_plan(spark, small):
@@ -177,8 +178,66 @@ def test_rows_that_repeat_an_id(spark):
     text = lambda *w: " ".join([f"w{k}" for k in range(100)] + list(w))
     rows = [(1, text("a")), (1, text("a")), (2, text("b")), (3, text("c")), (3, "something else that nobody has anywhere at all"), (4, text("a"))]
     got = sorted((r.doc_id, r.class_id, r.n_links) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
-    # the set of 1 has three rows; each of them has two others and the sets of 2 and 3
-    assert got == [(1, 1, 4), (1, 1, 4), (2, 1, 4), (3, 1, 4), (3, 1, 4), (4, 1, 4)]
+    # each row is a document; the other text of 3 is alone
+    assert got == [(1, 1, 4), (1, 1, 4), (2, 1, 4), (3, 1, 4), (3, 3, 0), (4, 1, 4)]
+
+
+def brute_rows(rows):
+    """(class_id, n_links) of each row, ids repeated or null."""
+    found = brute_classes(list(enumerate(t for _, t in rows)))
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        c = found[k][0]
+        least[c] = i if least.get(c) is None else least[c] if i is None else min(i, least[c])
+    return [(i, least[found[k][0]] if words(t) else i, found[k][1]) for k, (i, t) in enumerate(rows)]
+
+
+def words(text):
+    return re.findall(r"[^ \t-\r]+", text or "")
+
+
+def twisted_rows():
+    text = lambda *w: " ".join([f"w{k}" for k in range(100)] + list(w))
+    rows = [(1, text("a")), (1, text("b")), (2, text("c")), (None, text("d")), (None, text("d")), (None, "alone it is"), (None, "alone it is"), (9, "only one"), (5, None), (5, ""), (None, None)]
+    rng = random.Random(4)
+    return rows + [(rng.choice([None, 20, 21, 22, 23, i]), t) for i, t in near_corpus(60, seed=2)]
+
+
+def test_repeated_and_null_ids_against_brute_force_and_sql(spark):
+    import duckdb
+
+    from tablemill.llm.queries import ORACLES
+
+    rows = twisted_rows()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in ngram_join.ngram_join(df).collect())
+    assert got == Counter(brute_rows(rows))
+    assert got[(1, 1, 4)] == 2 and got[(None, 1, 4)] == 2 and got[(None, None, 1)] >= 2
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert got == Counter(con.sql(f"SELECT doc_id, class_id, n_links FROM ({ORACLES['op5_ngram_join']})").fetchall())
+
+
+def test_one_row_of_a_class_stays(spark):
+    rows = twisted_rows()
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, _place int")
+    kept = ngram_join.drop_near_copies(df).collect()
+    found = brute_classes(list(enumerate(t for _, t in rows)))
+    classes = {}
+    for k, (i, t) in enumerate(rows):
+        classes.setdefault(found[k][0] if words(t) else -k - 1, []).append(i)
+    best = [min((i is None, i or 0) for i in ids) for ids in classes.values()]
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == sorted(best) and kept[0].__fields__ == df.columns
+    assert ngram_join.drop_near_copies(df.limit(0)).count() == 0
+
+
+def test_one_row_of_equal_texts_stays(spark):
+    rows = [(1, "a"), (1, "a"), (None, "b"), (None, "B"), (3, "b"), (4, None), (4, ""), (None, "c"), (None, "c"), (7, "x"), (7, "y")]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id bigint, text string, _stays int")
+    kept = exact_dedup.drop_copies(df, keep="max").collect()
+    assert Counter((r.doc_id, (r.text or "").lower()) for r in kept) == Counter([(1, "a"), (3, "b"), (4, ""), (None, "c"), (7, "x"), (7, "y")])
+    assert kept[0].__fields__ == df.columns and exact_dedup.drop_copies(df.limit(0)).count() == 0
 
 
 def test_pruning_keeps_what_may_reach():

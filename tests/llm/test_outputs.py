@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tablemill.llm import mixing, token_files
@@ -120,9 +121,15 @@ def test_mixing_nasty(spark, nasty):
             by_target[r.source_size, r.target][0] += r.taken
     assert all(abs(taken - target) <= 1 for (_, target), (taken, _) in by_target.items())
     assert mixing.mix(nasty.limit(0)).count() == 0
-    drawn = mixing.draw(nasty.where("doc_id <> 8"), mixed.where("doc_id <> 8"))
-    assert drawn.columns == nasty.columns
-    words = Counter()
+    # repeated ids and null ones are drawn like any others, with all columns
+    extra = nasty.withColumns({"_row": F.lit("r"), "_key": F.lit(1)})
+    drawn = mixing.draw(extra)
+    assert drawn.columns == extra.columns
+    words, taken = Counter(), Counter()
     for r in drawn.collect():
         words[r.doc_id] += len((r.text or "").split())
-    assert words == Counter({r.doc_id: r.taken for r in rows if r.doc_id not in (8, None) and r.taken})
+        assert (r._row, r._key) == ("r", 1)
+    for r in rows:
+        taken[r.doc_id] += r.taken
+    assert words == Counter({i: n for i, n in taken.items() if n}) and words[None] > 0
+    assert mixing.draw(nasty.limit(0)).count() == 0
