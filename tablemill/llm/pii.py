@@ -11,6 +11,7 @@ match: the lengths of what lies between marks add up to places. Rows don't meet,
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -34,6 +35,7 @@ TREES, DEPTH = 12, 3
 #: Characters before a candidate that count as its context.
 CONTEXT = 32
 
+_AROUND = 80  # characters of a text around an example
 _MARK, _INSTEAD = "\x01", "\x02"
 _BLOCK = 256  # an even number, so that each block begins outside of a match
 _SPAN = "array<struct<start:int,end:int,value:string,before:string>>"
@@ -238,13 +240,17 @@ def _templates() -> list[tuple[str, bool, tuple[str, ...], Column]]:
 
 def examples(df: DataFrame, text_col: str = "text", texts: int = SAMPLE_TEXTS, each: int = EXAMPLES) -> DataFrame:
     """Candidates found where examples were put: kind_name, good, held_out, and the features. At most texts * each examples."""
-    # words around a place of each text, the place by a hash; a text is only read where it is cut
-    some = df.select(text_of(df, text_col).alias("_whole")).limit(texts).select("_whole", F.xxhash64("_whole").alias("_text"), F.explode(F.sequence(F.lit(0), F.lit(each - 1))).alias("_example"))
-    cut = F.substring(F.col("_whole"), (F.pmod(F.xxhash64("_text", "_example"), F.greatest(F.length("_whole"), F.lit(1))) + 1).cast("int"), F.lit(80))
+    # a few words around places of each text, chosen by a hash; only as many partitions are read as it takes, and only the words are brought here
+    text = text_of(df, text_col)
+    place = lambda k: (F.pmod(F.xxhash64(text, k), F.greatest(F.length(text), F.lit(1))) + 1).cast("int")
+    around = F.transform(F.sequence(F.lit(0), F.lit(each - 1)), lambda k: F.translate(F.substring(text, place(k), F.lit(_AROUND)), "0123456789", ""))
+    given = [{"_text": r[0], "_cuts": r[1]} for r in df.select(F.xxhash64(text), around).limit(texts).collect()]
+    rows = F.from_json(F.lit(json.dumps(given)), "array<struct<_text:bigint,_cuts:array<string>>>")
+    known = df.sparkSession.range(1).select(F.explode(rows).alias("_r")).select("_r._text", F.posexplode("_r._cuts").alias("_example", "_around"))
     templates = _templates()
     at = _drawn(1, 0, len(templates))
     pick = lambda values: reduce(lambda other, k: F.when(F.col("_at") == k, values[k]).otherwise(other), range(len(values)), F.lit(None))
-    drawn = some.select("_text", "_example", F.translate(cut, "0123456789", "").alias("_around"), at.alias("_at"))
+    drawn = known.select("_text", "_example", "_around", at.alias("_at"))
     drawn = drawn.select("*", pick([F.lit(t[0]) for t in templates]).alias("kind_name"), pick([F.lit(t[1]) for t in templates]).alias("good"), pick([_one_of(2, *t[2]) for t in templates]).alias("_cue"), pick([t[3] for t in templates]).alias("_value"))
     left = F.concat(F.substring("_around", 1, 40), F.lit(" "), F.col("_cue"), F.when(F.col("_cue") == "", "").otherwise(_one_of(3, " ", ": ", " is ")))
     put = drawn.select("kind_name", "good", (_drawn(4, 0, 4) == 0).alias("held_out"), F.length(left).alias("_from"), F.concat(left, "_value", _one_of(5, " ", ". ", ", "), F.substring("_around", 41, 40)).alias("_put"))
