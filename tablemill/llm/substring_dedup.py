@@ -4,7 +4,8 @@ A gear hash rolls over the bytes of a text; a chunk ends where the hash is the l
 on the bytes near them alone, so an insertion moves them but changes only the chunks that it touches. Chunks are compared
 by 96-bit digests. The first place of a chunk, by id and start, keeps it; each later place, in the same document or in
 another, repeats it. Neighbouring repeats are one passage as long as their first places are neighbours as well, so a
-passage stands in its first holder just as it stands in the repeat.
+passage stands in its first holder just as it stands in the repeat. Chunks are seeds: a passage goes on into the chunks at its ends
+as far as these are alike.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from tablemill.llm.common import fresh, small_batches, staged, text_of
 GEAR_BYTES = 16
 #: A chunk ends where the hash is the least of so many places to either side: chunks have over REACH bytes, twice that on average.
 REACH = 32
-#: Where no place stands out for so many bytes, as in a run of one character, a chunk ends anyway.
+#: Where no place stands out for so many bytes, as in a run of one character, a chunk ends at the least hash among them.
 MAX_CHUNK = 256
-#: A passage is a run of repeated chunks of at least so many characters.
+#: A stretch of repeats has at least so many characters.
 MIN_RUN = 72
 _GEAR = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -39,7 +40,9 @@ def chunk_ends(data: bytes) -> np.ndarray:
     out, start = [], 0
     for end in [*_least_places(raw), n]:
         while end - start > MAX_CHUNK:
-            start = _whole(raw, start + MAX_CHUNK)
+            # the first place of the least hash: in a text of one unit again and again, always the same one of the unit
+            reach = raw[start + REACH - GEAR_BYTES : start + MAX_CHUNK]
+            start = _whole(raw, start + REACH + int(_hashes(reach)[GEAR_BYTES - 1 :].argmin()))
             out.append(start)
         end = _whole(raw, end)
         if end > start:
@@ -55,6 +58,17 @@ def _whole(raw: np.ndarray, at: int) -> int:
     return at
 
 
+def _hashes(raw: np.ndarray) -> np.ndarray:
+    """The hash after each byte; the first ones are over fewer than GEAR_BYTES."""
+    h, span = _GEAR[raw], 1
+    while span < GEAR_BYTES:
+        shifted = h[:-span] << np.uint32(span)
+        h = h.copy()
+        h[span:] += shifted
+        span *= 2
+    return h
+
+
 def _least_places(raw: np.ndarray) -> list[int]:
     """Places after which a chunk ends: the hash there is below all of REACH before and not above any of REACH after."""
     n, out = len(raw), []
@@ -64,13 +78,7 @@ def _least_places(raw: np.ndarray) -> list[int]:
     width = 1 << 18
     for lo in range(0, n, width):
         a, b = max(0, lo - REACH - GEAR_BYTES), min(n, lo + width + REACH)
-        h = _GEAR[raw[a:b]]
-        span = 1
-        while span < GEAR_BYTES:
-            shifted = h[:-span] << np.uint32(span)
-            h = h.copy()
-            h[span:] += shifted
-            span *= 2
+        h = _hashes(raw[a:b])
         # minima of REACH places, by doubling
         least, width_ = h, 1
         while width_ < REACH:
@@ -124,19 +132,84 @@ def chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, "_id bigint, start int, stop int, high bigint, low int")
 
 
+def _surroundings(df: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, start, stop, before, after) for the different ``spans`` (doc, start, stop): up to MAX_CHUNK characters on either side.
+
+    A document's spans are sent to its text as one list, which is no longer than the document has chunks. Where rows that repeat an id
+    would give different surroundings, there are none.
+    """
+    wanted = spans.groupBy("doc").agg(F.collect_set(F.struct("start", "stop")).alias("_spans"))
+    rows = df.select(df[id_col].cast("bigint").alias("_id"), text_of(df, text_col).alias("_text")).join(wanted, F.col("_id") == F.col("doc")).select("_id", "_text", "_spans")
+    schema = pa.schema([("doc", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("before", pa.string()), ("after", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                doc, text = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                places = batch.column(2)[k].values
+                starts, stops = places.field("start").to_pylist(), places.field("stop").to_pylist()
+                for lo in range(0, len(starts), 4096):
+                    some = list(zip(starts[lo : lo + 4096], stops[lo : lo + 4096], strict=True))
+                    cols = [[doc] * len(some), [x[0] for x in some], [x[1] for x in some], [text[max(0, x - MAX_CHUNK) : x] for x, _ in some], [text[y : y + MAX_CHUNK] for _, y in some]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
+
+    small_batches(df.sparkSession)
+    found = rows.mapInArrow(run, "doc bigint, start int, stop int, before string, after string")
+    said = F.struct("before", "after")
+    return found.groupBy("doc", "start", "stop").agg(F.min(said).alias("_one"), F.max(said).alias("_other")).where("_one = _other").select("doc", "start", "stop", "_one.before", "_one.after")
+
+
+def _common(a: str | None, b: str | None) -> int:
+    """How many characters two texts have in common at their beginning."""
+    if not a or not b:
+        return 0
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    lo, hi = 0, n
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        lo, hi = (mid, hi) if a[:mid] == b[:mid] else (lo, mid)
+    return lo
+
+
+def _extended(runs: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Runs (_id, start, stop, first_id, first_start) carried on, to the left and right, as far as the text around them is that around their first place."""
+    first_stop = F.col("first_start") + F.col("stop") - F.col("start")
+    here = runs.select(F.col("_id").alias("doc"), "start", "stop")
+    there = runs.select(F.col("first_id").alias("doc"), F.col("first_start").alias("start"), first_stop.alias("stop"))
+    around = staged(_surroundings(df, here.unionByName(there), id_col, text_col), "surroundings")
+    named = lambda tag: around.select(*[F.col(c).alias(f"_{tag}_{c}") for c in around.columns])
+    own, holder = named("own"), named("first")
+    rows = runs.join(own, (F.col("_id") == own["_own_doc"]) & (F.col("start") == own["_own_start"]) & (F.col("stop") == own["_own_stop"]), "left")
+    # the holder's side has a row per place, so Spark can split the runs of a passage that very many documents share
+    rows = rows.join(holder, (F.col("first_id") == holder["_first_doc"]) & (F.col("first_start") == holder["_first_start"]) & (first_stop == holder["_first_stop"]), "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left = [_common(a and a[::-1], b and b[::-1]) for a, b in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True)]
+            right = [_common(a, b) for a, b in zip(batch.column(7).to_pylist(), batch.column(8).to_pylist(), strict=True)]
+            start, stop, first = (np.asarray(batch.column(k)) for k in (1, 2, 4))
+            moved = [batch.column(0), pa.array(start - np.array(left, np.int32)), pa.array(stop + np.array(right, np.int32)), batch.column(3), pa.array(first - np.array(left, np.int32))]
+            yield pa.RecordBatch.from_arrays(moved, names=["_id", "start", "stop", "first_id", "first_start"])
+
+    rows = rows.select("_id", "start", "stop", "first_id", "first_start", "_own_before", "_first_before", "_own_after", "_first_after")
+    return rows.mapInArrow(run, "_id bigint, start int, stop int, first_id bigint, first_start int")
+
+
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
     """One row per passage that comes again: the id, start, stop, first_id, first_start, kept.
 
     Rows with ``kept`` false are repeats: text[start:stop] is also at first_start of the document first_id, which is
-    another one of smaller id or an earlier place of the same. Rows with ``kept`` true are these first places, brought
-    together where they overlap. Places count characters, stop exclusive. A repeat whose chunks come first in several
-    documents is a passage for each of them that has ``min_run`` characters of it; but one chunk alone beside a longer
-    run of another holder is an edge, where a later holder has a few more characters in common by chance, and stays.
+    another one of smaller id or an earlier place of the same. Every chunk that comes again is in one, and so is what is alike
+    beside it up to the first character that differs. Repeats that follow each other without a gap, whoever their holders are,
+    are left out only if together they are shorter than ``min_run`` characters; they don't overlap. Rows with ``kept`` true are the first
+    places, brought together where they overlap. Places count characters, stop exclusive.
 
     Null ids are left out: nothing could refer to them. Null and empty texts have no chunks. Rows that repeat an id count
-    as one document, whose places are those of all of them. Texts are chunked once. Digests are counted before the
-    shuffle; a passage that very many documents share is a hot key of the join alone, where the counted side has a key
-    of its own, so that Spark shuffles it by itself and can split the skewed other side.
+    as one document, whose places are those of all of them. Texts are chunked once, and those with repeats are read once more for what is
+    around these. Digests are counted before the shuffle; a passage that very many documents share is a hot key of joins alone,
+    where one side has a row per key, so that Spark can split the other.
     """
     each = staged(chunks(df, id_col, text_col), "chunks")
     place = F.struct("_id", "start")
@@ -148,13 +221,18 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     before = lambda c: F.lag(c).over(order)
     goes_on = (before("stop") == F.col("start")) & (before("first_id") == F.col("first_id")) & (before("first_start") + before("stop") - before("start") == F.col("first_start"))
     runs = held.withColumn("_run", F.sum(F.when(goes_on, 0).otherwise(1)).over(order)).groupBy("_id", "_run")
-    runs = runs.agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.first("first_id").alias("first_id"), F.min("first_start").alias("first_start"), F.count(F.lit(1)).alias("_n"))
-    after = lambda c: F.lead(c).over(order)
-    edge = (F.col("_n") == 1) & (F.coalesce((before("stop") == F.col("start")) & (before("_n") > 1), F.lit(False)) | F.coalesce((after("start") == F.col("stop")) & (after("_n") > 1), F.lit(False)))
-    repeats = staged(runs.withColumn("_edge", edge).where(~F.col("_edge") & (F.col("stop") - F.col("start") >= min_run)).select("_id", "start", "stop", "first_id", "first_start"), "repeats")
+    runs = staged(runs.agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.first("first_id").alias("first_id"), F.min("first_start").alias("first_start")).drop("_run"), "runs")
+    past = order.rowsBetween(Window.unboundedPreceding, -1)
+    spans = _extended(runs, df, id_col, text_col)
+    # what a repeat has in common with the one before it is that one's
+    covered = F.greatest(F.coalesce(F.max("stop").over(past), F.lit(0)) - F.col("start"), F.lit(0))
+    apart = spans.withColumn("_less", covered).select("_id", (F.col("start") + F.col("_less")).alias("start"), "stop", "first_id", (F.col("first_start") + F.col("_less")).alias("first_start")).where("start < stop")
+    gap = F.coalesce(F.lag("stop").over(order) < F.col("start"), F.lit(True)).cast("int")
+    of_stretch = Window.partitionBy("_id", "_stretch")
+    stretches = apart.withColumn("_gap", gap).withColumn("_stretch", F.sum("_gap").over(order)).withColumn("_length", F.sum(F.col("stop") - F.col("start")).over(of_stretch))
+    repeats = staged(stretches.where(F.col("_length") >= min_run).select("_id", "start", "stop", "first_id", "first_start"), "repeats")
     firsts = repeats.select(F.col("first_id").alias("_id"), F.col("first_start").alias("start"), (F.col("first_start") + F.col("stop") - F.col("start")).alias("stop")).distinct()
-    apart = F.col("start") > F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = firsts.withColumn("_run", F.sum(F.when(apart, 1).otherwise(0)).over(order)).groupBy("_id", "_run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    islands = firsts.withColumn("_run", F.sum(F.when(F.col("start") > F.max("stop").over(past), 1).otherwise(0)).over(order)).groupBy("_id", "_run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
     kept = islands.select("_id", "start", "stop", F.col("_id").alias("first_id"), F.col("start").alias("first_start"), F.lit(True).alias("kept"))
     return repeats.withColumn("kept", F.lit(False)).unionByName(kept).withColumnRenamed("_id", id_col).select(id_col, "start", "stop", "first_id", "first_start", "kept")
 
