@@ -180,14 +180,22 @@ ch AS (SELECT host, d, node, segment, sum(n) AS n, sum(b) AS b FROM st GROUP BY
 su AS (SELECT host, d, node, count(*) AS c, sum(n) AS pn, sum(b) AS pb, sum(1 / n) AS inverse, sum(b * b / n) AS squares FROM ch WHERE n > 0 GROUP BY ALL),
 mm AS (SELECT *, pb / pn AS m, pb / pn * (1 - pb / pn) AS pq FROM su WHERE pb > 0 AND pb < pn),
 ap AS (SELECT host, d, node, m FROM mm WHERE (squares - pn * m * m) / pq - (c - 1) > {SPREAD} * sqrt(greatest(c * 2 + inverse * (1 - pq * 6) / pq, 0))),
-sd AS (SELECT ch.*, m IS NOT NULL AS split, CASE WHEN m IS NULL OR n = 0 THEN '{NEAR}' WHEN b - n * m > {APART} * sqrt(n * m * (1 - m)) THEN '{ABOVE}' WHEN b - n * m < -{APART} * sqrt(n * m * (1 - m)) THEN '{BELOW}' ELSE '{NEAR}' END AS side FROM ch LEFT JOIN ap USING (host, d, node)),
-pl AS (SELECT host, d, node, segment, split, sum(n) OVER w AS mn, sum(b) OVER w AS mb, CASE WHEN node = '' THEN '/' ELSE '/' || node || '/' END || CASE WHEN count(*) OVER w > 1 THEN side ELSE segment END AS branch FROM sd WINDOW w AS (PARTITION BY host, d, node, side)),
-f AS (SELECT host, template, -1 AS d, '/' AS branch, (sum(b) OVER (PARTITION BY host) + p * {SMOOTHING}) / (sum(n) OVER (PARTITION BY host) + {SMOOTHING}) AS share FROM t, base UNION ALL
-  SELECT f.host, f.template, st.d, CASE WHEN split THEN pl.branch ELSE f.branch END, CASE WHEN split THEN (mb + share * {SMOOTHING}) / (mn + {SMOOTHING}) ELSE share END FROM f JOIN st ON st.host = f.host AND st.template = f.template AND st.d = f.d + 1
+po AS (SELECT ch.host, ch.d, ch.segment, count(*) AS k, sum(ch.n) AS n, sum(ch.b) / sum(ch.n) AS s, sum(1 / ch.n) AS inverse, sum(ch.b * ch.b / ch.n) AS squares, sum(ch.b) - sum(ch.n * (pb / pn)) AS over_, sum(ch.n * (pb / pn) * (1 - pb / pn)) AS var_
+  FROM ch JOIN su USING (host, d, node) WHERE ch.n > 0 GROUP BY ALL HAVING count(*) > 1),
+al AS (SELECT host, d, segment, over_ > 0 AS more FROM po WHERE var_ > 0 AND abs(over_) > {SPREAD} * sqrt(var_)
+  AND NOT CASE WHEN s > 0 AND s < 1 THEN (squares - n * s * s) / (s * (1 - s)) - (k - 1) > {SPREAD} * sqrt(greatest(k * 2 + inverse * (1 - s * (1 - s) * 6) / (s * (1 - s)), 0)) ELSE FALSE END),
+so AS (SELECT ch.*, m, CASE WHEN m IS NULL OR n = 0 THEN '{NEAR}' WHEN b - n * m > {APART} * sqrt(n * m * (1 - m)) THEN '{ABOVE}' WHEN b - n * m < -{APART} * sqrt(n * m * (1 - m)) THEN '{BELOW}' ELSE '{NEAR}' END AS side, more
+  FROM ch LEFT JOIN ap USING (host, d, node) LEFT JOIN al USING (host, d, segment)),
+sd AS (SELECT *, more IS NOT NULL AND side <> CASE WHEN more THEN '{BELOW}' ELSE '{ABOVE}' END AS pooled FROM so),
+pl AS (SELECT host, d, node, segment, pooled OR m IS NOT NULL AS split, CASE WHEN pooled THEN more ELSE side = '{ABOVE}' END AS above, sum(n) OVER w AS mn, sum(b) OVER w AS mb,
+  CASE WHEN pooled THEN '/' || repeat('*/', d::INT) || segment ELSE CASE WHEN node = '' THEN '/' ELSE '/' || node || '/' END || CASE WHEN count(*) OVER w > 1 THEN side ELSE segment END END AS branch
+  FROM sd WINDOW w AS (PARTITION BY host, d, pooled, CASE WHEN pooled THEN '' ELSE node END, CASE WHEN pooled THEN segment ELSE side END)),
+f AS (SELECT host, template, -1 AS d, '/' AS branch, (sum(b) OVER h + p * {SMOOTHING}) / (sum(n) OVER h + {SMOOTHING}) AS share, sum(b) OVER h - sum(n) OVER h * p > {APART} * sqrt(sum(n) OVER h * p * (1 - p)) AS told FROM t, base WINDOW h AS (PARTITION BY host) UNION ALL
+  SELECT f.host, f.template, st.d, CASE WHEN split THEN pl.branch ELSE f.branch END, CASE WHEN split THEN (mb + share * {SMOOTHING}) / (mn + {SMOOTHING}) ELSE share END, told OR (split AND above) FROM f JOIN st ON st.host = f.host AND st.template = f.template AND st.d = f.d + 1
   JOIN pl ON pl.host = st.host AND pl.d = st.d AND pl.node = st.node AND pl.segment = st.segment),
-j AS (SELECT host, template, arg_max(branch, d) AS branch, arg_max(share, d) AS share FROM f GROUP BY 1, 2)
+j AS (SELECT host, template, arg_max(branch, d) AS branch, arg_max(share, d) AS share, arg_max(told, d) AS told FROM f GROUP BY 1, 2)
 SELECT page_id, r.host, path, CASE {" ".join(f"WHEN {_FITS.format(h=h, p=p)} THEN '{h}{p}'" for h, p, _ in _BY_LENGTH)} END AS rule,
-  CASE {" ".join(f"WHEN {_FITS.format(h=h, p=p)} THEN '{v}'" for h, p, v in _BY_LENGTH)} WHEN share >= {REJECT} THEN 'block' ELSE 'allow' END AS verdict, k.template, j.branch
+  CASE {" ".join(f"WHEN {_FITS.format(h=h, p=p)} THEN '{v}'" for h, p, v in _BY_LENGTH)} WHEN told AND share >= {REJECT} THEN 'block' ELSE 'allow' END AS verdict, k.template, j.branch
 FROM r JOIN k ON k.host = r.host AND k.shape = r.shape JOIN j ON j.host = k.host AND j.template = k.template
 """
 

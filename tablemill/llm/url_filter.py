@@ -7,7 +7,11 @@ Every node takes its label counts from all pages below it. The children of a nod
 of bad pages spread no more than chance would spread them, they are merged with the node and take its share; otherwise
 those significantly above the node's share are one branch, those below it another, and those near it (with the
 unlabelled ones) a third, and a branch's share is that of all its pages, smoothed towards the node's, up to the host
-and all pages. Pages that end at a node are a child of it too.
+and all pages. Pages that end at a node are a child of it too. Children of one name below several nodes of the same depth, each too
+small to say much, are one branch if their shares don't differ and, taken together, they differ from what their nodes' shares say.
+
+A branch is rejected if its share reaches a limit and something on the way to it, the host or a branch, is worse than chance allows:
+where half of all pages are bad, that alone blocks nothing.
 
 DataFrame operations only. Shapes are counted before anything is shuffled, so a host with very many pages is as many
 rows as it has shapes; shapes with very many pages are joined by broadcast, at most four for each partition.
@@ -86,10 +90,11 @@ def generalise(known: DataFrame) -> DataFrame:
 
 
 def purity(templates: DataFrame) -> DataFrame:
-    """(host, template, branch, bad_share) of a table (host, template, labelled, bad), a row per template.
+    """(host, template, branch, bad_share, told) of a table (host, template, labelled, bad), a row per template.
 
-    ``branch`` is the lowest branch above the template's end that was told apart from its siblings (``/`` if none was):
-    a node, or several merged under the name of their side. ``bad_share`` is its smoothed share of bad pages.
+    ``branch`` is the lowest branch above the template's end that was told apart (``/`` if none was): a node, several
+    siblings merged under the name of their side, or all nodes of one name at that depth, whose parents are ``*``. ``bad_share`` is its smoothed
+    share of bad pages. ``told``: the host has more bad pages than chance would give it, or a branch on the way has.
     """
     totals = templates.agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b")).first()
     base = (totals["b"] or 0) / totals["n"] if totals["n"] else 0.0
@@ -100,29 +105,42 @@ def purity(templates: DataFrame) -> DataFrame:
     steps = templates.withColumn("_s", segments).select("host", "template", "labelled", "bad", "_s", F.posexplode("_s").alias("_at", "segment"))
     steps = staged(steps.select("host", "template", "labelled", "bad", "segment", F.col("_at").alias("depth"), F.array_join(F.slice("_s", 1, F.col("_at")), "/").alias("node")), "url-nodes")
     children = staged(steps.groupBy("host", "depth", "node", "segment").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b")), "url-children")
-    seen = children.where("n > 0").select("host", "depth", "node", "n", "b")
-    sums = seen.groupBy("host", "depth", "node").agg(
-        F.count(F.lit(1)).alias("k"), F.sum("n").alias("pn"), F.sum("b").alias("pb"), F.sum(F.lit(1.0) / F.col("n")).alias("inverse"), F.sum(F.col("b") * F.col("b") / F.col("n")).alias("squares")
-    )
+    seen = children.where("n > 0").select("host", "depth", "node", "segment", "n", "b")
+    shares = [F.count(F.lit(1)).alias("k"), F.sum("n").alias("pn"), F.sum("b").alias("pb"), F.sum(F.lit(1.0) / F.col("n")).alias("inverse"), F.sum(F.col("b") * F.col("b") / F.col("n")).alias("squares")]
     m = F.col("pb") / F.col("pn")
     pq = m * (1 - m)
-    # the chi-square statistic of the children's shares, and its standard deviation under equal shares
+    # the chi-square statistic of shares, and its standard deviation under equal shares
     spread = (F.col("squares") - F.col("pn") * m * m) / pq - (F.col("k") - 1)
     deviation = F.sqrt(F.greatest(F.col("k") * 2 + F.col("inverse") * (1 - pq * 6) / pq, F.lit(0.0)))
-    apart = sums.where((F.col("pb") > 0) & (F.col("pb") < F.col("pn"))).where(spread > deviation * SPREAD).select("host", "depth", "node", m.alias("m"))
+    differ = (F.col("pb") > 0) & (F.col("pb") < F.col("pn")) & (spread > deviation * SPREAD)
+    sums = seen.groupBy("host", "depth", "node").agg(*shares)
+    apart = sums.where(differ).select("host", "depth", "node", m.alias("m"))
+    # a name below several nodes, whose shares don't differ: what it has beyond what its nodes' shares say
+    expected = seen.join(sums.select("host", "depth", "node", m.alias("_m")), ["host", "depth", "node"])
+    over, var = F.sum("b") - F.sum(F.col("n") * F.col("_m")), F.sum(F.col("n") * F.col("_m") * (1 - F.col("_m")))
+    names = expected.groupBy("host", "depth", "segment").agg(*shares, over.alias("_over"), var.alias("_var"))
+    alike = names.where((F.col("k") > 1) & (F.col("_var") > 0) & ~differ & (F.abs("_over") > F.sqrt("_var") * SPREAD)).select("host", "depth", "segment", (F.col("_over") > 0).alias("_more"))
     z = (F.col("b") - F.col("n") * F.col("m")) / F.sqrt(F.col("n") * F.col("m") * (1 - F.col("m")))
     side = F.when(F.col("m").isNull() | (F.col("n") == 0), F.lit(NEAR)).when(z > APART, F.lit(ABOVE)).when(z < -APART, F.lit(BELOW)).otherwise(F.lit(NEAR))
-    sided = staged(children.join(apart, ["host", "depth", "node"], "left").select("host", "depth", "node", "segment", "n", "b", side.alias("side"), F.col("m").isNotNull().alias("split")), "url-sides")
-    merged = sided.groupBy("host", "depth", "node", "side").agg(F.max("split").alias("split"), F.sum("n").alias("mn"), F.sum("b").alias("mb"), F.count(F.lit(1)).alias("like"))
-    placed = sided.select("host", "depth", "node", "segment", "side").join(merged, ["host", "depth", "node", "side"])
-    name = F.concat(F.lit("/"), F.array_join(F.filter(F.array(F.nullif("node", F.lit("")), F.when(F.col("like") > 1, F.col("side")).otherwise(F.col("segment"))), lambda s: s.isNotNull()), "/"))
-    placed = placed.select("host", "depth", "node", "segment", "split", "mn", "mb", name.alias("branch"))
-    paths = steps.join(placed, ["host", "depth", "node", "segment"]).groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("depth", "split", "mn", "mb", "branch"))).alias("_path"))
-    hosts = templates.groupBy("host").agg(smooth(F.sum("bad"), F.sum("labelled"), F.lit(base)).cast("double").alias("_share"))
-    share = F.aggregate("_path", F.col("_share"), lambda above, x: F.when(x["split"], smooth(x["mb"], x["mn"], above)).otherwise(above))
+    own = children.join(apart, ["host", "depth", "node"], "left").join(alike, ["host", "depth", "segment"], "left").withColumn("side", side)
+    pooled = F.col("_more").isNotNull() & (F.col("side") != F.when(F.col("_more"), BELOW).otherwise(ABOVE))
+    above = F.when(pooled, F.col("_more")).otherwise(F.col("side") == ABOVE)
+    group = [F.when(pooled, "").otherwise(F.col("node")).alias("of_node"), F.when(pooled, F.col("segment")).otherwise(F.col("side")).alias("of")]
+    sided = staged(own.select("host", "depth", "node", "segment", "n", "b", pooled.alias("pooled"), above.alias("above"), *group, (pooled | F.col("m").isNotNull()).alias("split")), "url-sides")
+    key = ["host", "depth", "pooled", "of_node", "of"]
+    merged = sided.groupBy(*key).agg(F.sum("n").alias("mn"), F.sum("b").alias("mb"), F.count(F.lit(1)).alias("like"))
+    placed = sided.join(merged, key)
+    last = F.when(~F.col("pooled") & (F.col("like") > 1), F.col("of")).otherwise(F.col("segment"))
+    name = F.when(F.col("pooled"), F.concat(F.lit("/"), F.repeat(F.lit("*/"), F.col("depth")), last)).when(F.col("node") == "", F.concat(F.lit("/"), last)).otherwise(F.concat(F.lit("/"), F.col("node"), F.lit("/"), last))
+    placed = placed.select("host", "depth", "node", "segment", "split", "above", "mn", "mb", name.alias("branch"))
+    paths = steps.join(placed, ["host", "depth", "node", "segment"]).groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("depth", "split", "above", "mn", "mb", "branch"))).alias("_path"))
+    n, bad = F.sum("labelled"), F.sum("bad")
+    hosts = templates.groupBy("host").agg(smooth(bad, n, F.lit(base)).cast("double").alias("_share"), (bad - n * base > F.sqrt(n * base * (1 - base)) * APART).alias("_above"))
+    share = F.aggregate("_path", F.col("_share"), lambda before, x: F.when(x["split"], smooth(x["mb"], x["mn"], before)).otherwise(before))
     splits = F.filter("_path", lambda x: x["split"])
     branch = F.coalesce(F.get(splits, F.size(splits) - 1)["branch"], F.lit("/"))
-    return paths.join(hosts, "host").select("host", "template", branch.alias("branch"), share.alias("bad_share"))
+    told = F.col("_above") | F.exists(splits, lambda x: x["above"])
+    return paths.join(hosts, "host").select("host", "template", branch.alias("branch"), share.alias("bad_share"), told.alias("told"))
 
 
 def url_filter(pages: DataFrame, labels: DataFrame | None = None, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -130,7 +148,7 @@ def url_filter(pages: DataFrame, labels: DataFrame | None = None, rules: Sequenc
 
     ``labels`` is (label_id, bad): the documents that pages show, a page's being the last number in its path (one that
     isn't a 64-bit integer is none); without it only rules block. A page that no rule fits is blocked if its branch's
-    smoothed share of bad pages reaches a half. A url that is null or has no ``://`` has empty host and path and is
+    smoothed share of bad pages reaches a half and something tells it from all pages (``purity``). A url that is null or has no ``://`` has empty host and path and is
     judged by their branch like any other. A label id that comes twice is bad if any of its rows is; a null label says
     nothing. Repeated rows count once each. No rows: none.
     """
@@ -150,11 +168,11 @@ def url_filter(pages: DataFrame, labels: DataFrame | None = None, rules: Sequenc
     shapes = staged(named.select("host", "shape", "n", "template").join(judged, ["host", "template"]), "url-branches")
     # a shape with over a quarter of a partition's share of the pages is one of few, and its pages stay where they are
     fair = (shapes.agg(F.sum("n")).first()[0] or 0) / (4.0 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = ["template", "branch", "bad_share"]
+    found = ["template", "branch", "bad_share", "told"]
     hot = shapes.where(F.col("n") > fair).select("host", "shape", *found)
     cold = shapes.where(F.col("n") <= fair).select("host", "shape", *found)
     read = rows.select("_id", "host", "path", "shape")
     both = read.join(F.broadcast(hot), ["host", "shape"]).unionByName(read.join(F.broadcast(hot.select("host", "shape")), ["host", "shape"], "left_anti").join(cold, ["host", "shape"]))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
-    method = F.when(F.col("bad_share") >= REJECT, F.lit("block")).otherwise(F.lit("allow"))
-    return both.select(F.col("_id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(said, method).alias("verdict"), *found)
+    method = F.when(F.col("told") & (F.col("bad_share") >= REJECT), F.lit("block")).otherwise(F.lit("allow"))
+    return both.select(F.col("_id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(said, method).alias("verdict"), *found[:-1])

@@ -221,47 +221,81 @@ def test_inner_branches_are_merged(spark):
 
 
 def plain_branches(known):
-    """Shares of bad pages by (host, template), from (host, shape): (pages, labelled, bad), node by node over plain lists."""
+    """(template, branch, share of bad pages, told) by (host, shape), from (host, shape): (pages, labelled, bad), over plain dictionaries."""
     above, near, below = url_filter.ABOVE, url_filter.NEAR, url_filter.BELOW
     base = sum(b for _, _, b in known.values()) / max(1, sum(n for _, n, _ in known.values()))
     smooth = lambda b, n, p: (b + p * url_filter.SMOOTHING) / (n + url_filter.SMOOTHING)
-    count = lambda rows: (sum(r[2] for r in rows), sum(r[3] for r in rows))
-    out = {}
-
-    def down(rows, node, share, branch):
-        # rows are (shape that is left, pages, labelled, bad, (host, whole shape))
+    paths = {}
+
+    def differ(seen):
+        n, b = sum(x for x, _ in seen), sum(y for _, y in seen)
+        if not 0 < b < n:
+            return False
+        m, pq = b / n, b / n * (1 - b / n)
+        chi = sum((y - x * m) ** 2 / (x * pq) for x, y in seen) - (len(seen) - 1)
+        return chi > url_filter.SPREAD * max(0, sum(2 + (1 - 6 * pq) / (x * pq) for x, _ in seen)) ** 0.5
+
+    def grow(rows, node):
+        # rows are (shape that is left, pages, (host, whole shape))
         kinds = {r[0][0] for r in rows if r[0]}
         wild = len(kinds) >= url_filter.MIN_CHILDREN and len(kinds) >= sum(r[1] for r in rows if r[0]) * url_filter.MIN_SPREAD
         children = {}
         for r in rows:
-            children.setdefault(("*" if wild else r[0][0]) if r[0] else "", []).append((r[0][1:], *r[1:]))
-        n, b = count(rows)
-        m, sides, split = b / max(n, 1), dict.fromkeys(children, near), False
-        if 0 < b < n:
-            pq, seen = m * (1 - m), [count(c) for c in children.values()]
-            seen = [(x, y) for x, y in seen if x]
-            chi = sum((y - x * m) ** 2 / (x * pq) for x, y in seen) - (len(seen) - 1)
-            split = chi > url_filter.SPREAD * max(0, sum(2 + (1 - 6 * pq) / (x * pq) for x, _ in seen)) ** 0.5
-        if split:
-            for c, part in children.items():
-                x, y = count(part)
-                z = (y - x * m) / (x * pq) ** 0.5 if x else 0
-                sides[c] = above if z > url_filter.APART else below if z < -url_filter.APART else near
-        for c, part in children.items():
-            like = [d for d in children if sides[d] == sides[c]]
-            x, y = map(sum, zip(*(count(children[d]) for d in like)))
-            here = smooth(y, x, share) if split else share
-            called = f"{node}/{sides[c] if len(like) > 1 else c}" if split else branch
-            if c:
-                down(part, f"{node}/{c}", here, called)
+            if r[0]:
+                children.setdefault("*" if wild else r[0][0], []).append((r[0][1:], *r[1:]))
             else:
-                for r in part:
-                    out[r[4]] = (node or "/", called, round(here, 9))
+                paths[r[2]] = node
+        for c, part in children.items():
+            grow(part, (*node, c))
 
     for host in {h for h, _ in known}:
-        rows = [(shape, *v, (host, shape)) for (h, shape), v in known.items() if h == host]
-        n, b = count(rows)
-        down(rows, "", smooth(b, n, base), "/")
+        grow([(shape, v[0], (host, shape)) for (h, shape), v in known.items() if h == host], ())
+    nodes, hosts = {}, {}
+    for at, (_, n, b) in known.items():
+        here = hosts.setdefault(at[0], [0, 0])
+        here[0], here[1] = here[0] + n, here[1] + b
+        whole = (*paths[at], "")
+        for d in range(len(whole)):
+            c = nodes.setdefault((at[0], whole[:d]), {}).setdefault(whole[d], [0, 0])
+            c[0], c[1] = c[0] + n, c[1] + b
+    named = {}
+    for (host, node), children in nodes.items():
+        n, b = sum(c[0] for c in children.values()), sum(c[1] for c in children.values())
+        for c, (x, y) in children.items():
+            if x:
+                named.setdefault((host, len(node), c), []).append((x, y, b / n))
+    pooled = {}
+    for key, parts in named.items():
+        over, var = sum(y - x * m for x, y, m in parts), sum(x * m * (1 - m) for x, _, m in parts)
+        if len(parts) > 1 and var > 0 and abs(over) > url_filter.SPREAD * var**0.5 and not differ([p[:2] for p in parts]):
+            pooled[key] = over > 0
+    groups, where = {}, {}
+    for (host, node), children in nodes.items():
+        n, b = sum(c[0] for c in children.values()), sum(c[1] for c in children.values())
+        m = b / max(n, 1)
+        split = differ([c for c in children.values() if c[0]])
+        for c, (x, y) in children.items():
+            z = (y - x * m) / (x * m * (1 - m)) ** 0.5 if split and x else 0
+            side = above if z > url_filter.APART else below if z < -url_filter.APART else near
+            more = pooled.get((host, len(node), c))
+            more = None if more is not None and side == (below if more else above) else more
+            group = (host, len(node), c) if more is not None else (host, node, side, "own")
+            where[host, node, c] = (group, split or more is not None, more if more is not None else side == above)
+            groups.setdefault(group, []).append((c, x, y))
+    out = {}
+    for at in known:
+        host, whole = at[0], (*paths[at], "")
+        n, b = hosts[host]
+        share, branch, told = smooth(b, n, base), "/", b - n * base > url_filter.APART * (n * base * (1 - base)) ** 0.5
+        for d in range(len(whole)):
+            node = whole[:d]
+            group, split, worse = where[host, node, whole[d]]
+            if split:
+                like = groups[group]
+                share, told = smooth(sum(y for *_, y in like), sum(x for _, x, _ in like), share), told or worse
+                own = group[-1] == "own"
+                branch = "/" + "/".join([*(node if own else "*" * d), group[2] if own and len(like) > 1 else whole[d]])
+        out[at] = ("/" + "/".join(paths[at]), branch, round(share, 9), told)
     return out
 
 
@@ -295,8 +329,8 @@ def test_tree_against_brute_force(spark):
     got = {r.page_id: (r.template, r.branch, round(r.bad_share, 9), r.verdict) for r in out.collect()}
     assert len(got) == len(pages)
     for i, _, host, shape in pages:
-        template, branch, share = wanted[host, shape]
-        assert got[i] == (template, branch, share, "block" if share >= url_filter.REJECT else "allow"), (host, shape)
+        template, branch, share, told = wanted[host, shape]
+        assert got[i] == (template, branch, share, "block" if told and share >= url_filter.REJECT else "allow"), (host, shape)
     assert {v for *_, v in got.values()} == {"block", "allow"} and any(b.endswith(url_filter.ABOVE) for _, b, _, _ in got.values())
 
 
@@ -315,6 +349,49 @@ def test_like_siblings_are_judged_together_and_wildcards_nest(spark):
     assert {(i % 4 == 0, got[2000 + i].verdict) for i in range(80)} == {(True, "block"), (False, "allow")} and got[3000].verdict == "allow"
 
 
+@pytest.mark.parametrize("fine", [2, 8])
+def test_like_branches_below_different_parents_are_judged_together(spark, fine):
+    """Ten sections with two bad pages and some good ones each: too few of each to tell, enough together."""
+    pages, labels = [], []
+    for k in range(10):
+        for j in range(2 + fine):
+            i = 100 * k + j
+            pages.append((i, f"http://h.com/section{chr(97 + k)}/{'spam' if j < 2 else 'fine'}/{i}"))
+            labels.append((i, j < 2))
+    df, said = spark.createDataFrame(pages, "page_id bigint, url string"), spark.createDataFrame(labels, "label_id bigint, bad boolean")
+    got = {r.page_id: r for r in url_filter.url_filter(df, said).collect()}
+    assert {i for i, bad in labels if bad} == {i for i, r in got.items() if r.verdict == "block"} and got[0].branch == "/*/spam"
+
+
+def test_a_share_of_a_half_alone_blocks_nothing(spark):
+    pages = [(i, f"http://h{i % 3}.com/a/{i}") for i in range(60)]
+    out = url_filter.url_filter(spark.createDataFrame(pages, "page_id bigint, url string"), spark.createDataFrame([(i, i % 2 == 0) for i in range(60)], "label_id bigint, bad boolean"))
+    assert {r.verdict for r in out.collect()} == {"allow"}
+
+
+def test_tree_against_sql(spark, tmp_path):
+    """The query and its SQL on a table on which branches are told apart, below one parent and below several."""
+    import duckdb
+
+    from tablemill.llm.queries import ORACLES, QUERIES
+
+    rng = random.Random(9)
+    pages, labels = [], []
+    for i in range(2000):
+        host, section, kind = rng.choice(["a.com", "b.com"]), rng.choice("stuvwxyz"), rng.choice(["spam", "fine", "more"])
+        pages.append((i, f"http://{host}/{section}{'x' * (i % 40) if i % 9 == 0 else ''}/{kind}/{i}", ""))
+        labels.append((i, int(not (kind == "spam" and host == "a.com") and rng.random() < 0.8), 0))
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.sql(ORACLES["op10_url_filter"])
+    got = QUERIES["op10_url_filter"](spark, str(tmp_path))
+    assert {tuple(r) for r in got.select(*want.columns).collect()} == set(want.fetchall())
+    assert {r.verdict for r in got.collect()} == {"allow", "block"} and any("*/spam" in r.branch for r in got.collect())
+
+
 def test_one_bad_page_blocks_nothing(spark):
     pages = [(i, f"http://h{i}.com/a/b/c/{i}") for i in range(20)] + [(100, "http://h0.com/a/b/c/100")]
     out = url_filter.url_filter(spark.createDataFrame(pages, "page_id bigint, url string"), spark.createDataFrame([(i, i == 0) for i in range(20)], "label_id bigint, bad boolean"))
