@@ -15,10 +15,12 @@ from threading import Lock
 from typing import Protocol
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.functions.reply import parse
+from tablemill.operators.journal import Journal, key_of
 
 
 class ApiError(Exception):
@@ -147,7 +149,7 @@ def call_row(row: Mapping, client: ModelClient, retry: Retry, breaker: Breaker,
 
 def infer(
     df: DataFrame, make_client: Callable[[], ModelClient], keep: Sequence[str], required: Sequence[str] = (), rules: Mapping[str, Sequence] | None = None, retry: Retry | None = None, concurrency: int = 16, rps: float | None = None,
-    make_reread: Callable[[], Callable[[Mapping], Mapping | None]] | None = None,
+    make_reread: Callable[[], Callable[[Mapping], Mapping | None]] | None = None, journal: str | None = None, journal_rows: int = 64,
 ) -> DataFrame:
     """``keep`` columns with reply_json, _error, _error_type, attempts and errors (the last five) for every row.
 
@@ -155,6 +157,9 @@ def infer(
     ``concurrency`` calls open and starts at most ``rps`` a second, so the whole job's rate is that times the tasks that
     run at once. ``make_reread`` makes, once in each task, a function from a row (``keep`` and the columns above) to those of
     its columns that have changed in the source, or None; it is asked before retries after API and system errors. Results come as they are ready. Write the result before it is used twice: a second reading would call again.
+
+    ``journal`` names a folder that all tasks can write to: replies are logged there, ``journal_rows`` at a time, and a task that is tried
+    again takes what its earlier tries have logged instead of calling. A log is of one plan over one table: its parts are the tasks' numbers.
     """
     retry, rules = retry or Retry(), dict(rules or {})
     names = [c for c in ("prompt", "system_prompt", "model", "temperature", "required") if c in df.columns]
@@ -165,23 +170,37 @@ def infer(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client, breaker, rate = make_client(), Breaker(retry), Rate(rps)
         reread = make_reread() if make_reread else None
+        log = Journal(journal, TaskContext.get().partitionId(), journal_rows) if journal else None
         open_: dict[Future, tuple] = {}
 
+        def taken(f: Future) -> tuple:
+            ids, key = open_.pop(f)
+            if log:
+                log.add(key, f.result())
+            return (*ids, *f.result())
+
         def done(block: bool) -> Iterator[pd.DataFrame]:
             if open_:
                 ready, _ = wait(open_, return_when=FIRST_COMPLETED) if block else wait(open_, timeout=0)
                 if ready:
-                    yield pd.DataFrame([(*open_.pop(f), *f.result()) for f in ready], columns=kept + out)
+                    yield pd.DataFrame([taken(f) for f in ready], columns=kept + out)
 
         with ThreadPoolExecutor(concurrency) as pool:
             for batch in batches:
                 for row in batch.to_dict("records"):
+                    ids = tuple(row[c] for c in kept)
+                    key = key_of(ids, row) if log else ""
+                    if log and key in log.known:
+                        yield pd.DataFrame([(*ids, *log.known[key])], columns=kept + out)
+                        continue
                     while len(open_) >= concurrency:
                         yield from done(block=True)
-                    open_[pool.submit(call_row, row, client, retry, breaker, rate, required, rules, reread)] = tuple(row[c] for c in kept)
+                    open_[pool.submit(call_row, row, client, retry, breaker, rate, required, rules, reread)] = (ids, key)
                 yield from done(block=False)
             while open_:
                 yield from done(block=True)
+        if log:
+            log.flush()
 
     return df.select(*kept, *names).mapInPandas(run, schema)
 

@@ -14,10 +14,12 @@ from tablemill.functions.prompt import record_json, render
 from tablemill.operators.columns import with_outputs
 from tablemill.operators.infer import ModelClient, Retry, extracted, infer
 from tablemill.operators.merge import write_back
-from tablemill.operators.predicates import unprocessed
+from tablemill.operators.predicates import reload, unprocessed
+from tablemill.operators.rounds import infer_rounds, written
 from tablemill.operators.routing import profiles, route
 from tablemill.operators.stats import counts
 from tablemill.plans.spec import configured, spec_of
+from tablemill.sources.registry import open_source
 
 
 class Enrichment:
@@ -34,13 +36,13 @@ class Enrichment:
         limits = self.config["datasource"]["concurrency"]
         self.retry = Retry(dict(limits["retry_limits"]), limits["api_pause_duration"], limits["api_error_trigger_window"])
 
-    def pending(self, table: DataFrame) -> DataFrame:
-        """(id, prompt, system_prompt, model, temperature, required) of the rows still to be processed."""
+    def pending(self, table: DataFrame, all_rows: bool = False) -> DataFrame:
+        """(id, prompt, system_prompt, model, temperature, required) of the rows still to be processed, or of all."""
         base = with_outputs(table, self.spec)
         routing = self.config["routing"]
         field = routing["field"] if routing["enabled"] else None
         names = [c for c in self.spec.inputs if c in base.columns]
-        rows = base.filter(unprocessed(base, self.spec))
+        rows = base if all_rows else base.filter(unprocessed(base, self.spec))
         if self.config["datasource"].get("stringify", True):
             rows = rows.withColumns({c: to_text(rows, c) for c in names if c != self.spec.id_col})
         exclude = [field] if field and field not in self.config["columns_to_extract"] else []
@@ -49,14 +51,36 @@ class Enrichment:
         routed = route(made if field else made.withColumn("_route", F.lit(None).cast("string")), "_route", known)
         return routed.select(F.col("_id").alias(self.spec.id_col), render(F.col("template"), F.col("_record")).alias("prompt"), "system_prompt", "model", "temperature", "required")
 
-    def replies(self, pending: DataFrame) -> DataFrame:
-        """Model replies of pending rows, written to and read from the working folder."""
-        rules = self.config["validation"]["field_rules"] if self.config["validation"]["enabled"] else {}
+    def _rules(self) -> Mapping:
+        return self.config["validation"]["field_rules"] if self.config["validation"]["enabled"] else {}
+
+    def replies(self, pending: DataFrame, path: str | None = None) -> DataFrame:
+        """Model replies of pending rows, written to and read from a folder, by default a new one in the working folder.
+
+        A folder that has complete replies is read and nothing is called. While tasks run, they log replies beside it, which tasks that are tried again use.
+        """
+        limits = self.config["datasource"]["concurrency"]
+        path = path or f"{self.workdir}/replies-{uuid.uuid4().hex}"
+        out = lambda: infer(pending, self.make_client, [self.spec.id_col], self.config["prompt"]["required_fields"], self._rules(), self.retry, limits["batch_size"], limits.get("rps"), self.make_reread, journal=f"{path}-journal")
+        return written(self.spark, path, out)
+
+    def replies_in_rounds(self, source: Callable[[], DataFrame], name: str | None = None, **how: Any) -> DataFrame:
+        """Model replies, with failed rows read again from ``source()`` between rounds. A run of a name that was there before goes on where that stopped."""
         limits = self.config["datasource"]["concurrency"]
-        out = infer(pending, self.make_client, [self.spec.id_col], self.config["prompt"]["required_fields"], rules, self.retry, limits["batch_size"], limits.get("rps"), self.make_reread)
-        path = f"{self.workdir}/replies-{uuid.uuid4().hex}"
-        out.write.parquet(path)
-        return self.spark.read.schema(out.schema).parquet(path)
+
+        def again(ids: DataFrame) -> DataFrame:
+            return self.pending(reload(source(), ids, self.spec.id_col), all_rows=True)
+
+        return infer_rounds(
+            lambda: self.pending(source()), again, self.make_client, self.spec.id_col, f"{self.workdir}/{name or f'rounds-{uuid.uuid4().hex}'}", self.config["prompt"]["required_fields"], self._rules(), self.retry, limits["batch_size"], limits.get("rps"), **how
+        )
+
+    def run_source(self, name: str | None = None, on_failure: str = "mark", missing: str = "keep", **how: Any) -> tuple[DataFrame, DataFrame]:
+        """Like ``run`` over the configured data source, in rounds: it is opened anew for what failed, and for the final merge."""
+        source = lambda: open_source(self.spark, self.config["datasource"])
+        replies = self.replies_in_rounds(source, name, **how)
+        results = extracted(replies, self.spec.id_col, list(self.spec.outputs))
+        return write_back(source(), results, self.spec, missing=missing, on_failure=on_failure), self.summary(replies)
 
     def run(self, table: DataFrame, on_failure: str = "mark", missing: str = "keep") -> tuple[DataFrame, DataFrame]:
         """(the table with its outputs filled in, one row of figures about the run)."""

@@ -743,3 +743,27 @@ def enrich_run(spark, d):
 @query(f"SELECT count(*) AS n_tasks, count(*) FILTER (WHERE n % 7 <> 0) AS n_ok, count(*) FILTER (WHERE n % 7 = 0) AS n_failed, count(*) FILTER (WHERE n % 7 = 0) AS n_retries, count(*) FILTER (WHERE n % 7 <> 0) / count(*)::DOUBLE AS success_rate, 0::BIGINT AS n_api_error, count(*) FILTER (WHERE n % 7 = 0) AS n_content_error, 0::BIGINT AS n_system_error FROM {_DONE} WHERE valid AND NOT done")
 def enrich_figures(spark, d):
     return _run(spark, d)[1]
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN 'mended ' || lang ELSE lang || ' ' || length(text) END AS answer,
+CASE WHEN doc_id % 11 = 0 THEN 'api_error' END AS error_type, CASE WHEN doc_id % 11 = 0 THEN 3 WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END AS attempts FROM documents""")
+def retry_reload(spark, d):
+    """Rows that fail are read from their source again; it is mended while all tasks pause."""
+    path = f"{_folder(spark)}/tasks.parquet"
+    docs = _t(spark, d, "documents").select("doc_id", "lang", F.length("text").cast("string").alias("n"))
+    files.write(docs.withColumn("q", F.when(F.col("doc_id") % 7 == 0, "broken").when(F.col("doc_id") % 11 == 0, "down").otherwise(F.concat("lang", F.lit(" "), "n"))), path)
+
+    def mend(_: float) -> None:
+        rows = files.read(spark, path)
+        files.write(rows.withColumn("q", F.when(F.col("doc_id") % 11 == 0, "down").when(F.col("q") == "broken", F.concat(F.lit("mended "), "lang")).otherwise(F.col("q"))), path)
+
+    def said(messages):
+        q = json.loads(messages[-1]["content"])["q"]
+        if q in ("broken", "down"):
+            raise infer.ApiError(q)
+        return json.dumps({"a": q})
+
+    config = {"datasource": {"type": "parquet", "input_path": path, "id_col": "doc_id", "concurrency": {"retry_limits": {"api_error": 2}, "api_pause_duration": 1.0}}, "columns_to_extract": ["q"], "columns_to_write": {"a": "answer"}, "prompt": {"template": "{record_json}", "required_fields": ["a"]}}
+    plan = Enrichment(spark, config, lambda: infer.FakeClient(said), _folder(spark))
+    out = plan.replies_in_rounds(lambda: files.read(spark, path), sleep=mend)
+    return out.select("doc_id", F.get_json_object("reply_json", "$.a").alias("answer"), F.col("_error_type").alias("error_type"), "attempts")

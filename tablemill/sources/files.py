@@ -32,6 +32,12 @@ def read(spark: SparkSession, path: str, kind: str | None = None, options: Mappi
     return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether Spark has written a table here to its end."""
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+
+
 def with_row_ids(df: DataFrame, name: str = "_row_id") -> DataFrame:
     """Dense row numbers from 0 in file order, for tables without a key.
 

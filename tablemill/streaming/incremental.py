@@ -14,12 +14,13 @@ from tablemill.plans.enrich import Enrichment
 def enrich_stream(table: DataFrame, plan: Enrichment, results_path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Results of a streaming table's pending rows, as Parquet with a folder for each batch.
 
-    A batch that is run again after a failure overwrites its own folder, so each row's results are there once. ``once``
-    takes what there is and stops.
+    A batch that is run again after a failure overwrites its own folder, so each row's results are there once. Its replies are beside
+    the checkpoint by the batch's number: complete ones are used again, and of others what the tasks had logged, so that no row
+    is sent twice. ``once`` takes what there is and stops.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        replies = plan.replies(plan.pending(batch))
+        replies = plan.replies(plan.pending(batch), f"{checkpoint.rstrip('/')}/replies/batch-{number}")
         extracted(replies, plan.spec.id_col, list(plan.spec.outputs)).write.mode("overwrite").parquet(f"{results_path}/batch={number}")
 
     writer = table.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
