@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablemill.operators.folds import blocks, in_order, plain
+
 #: Models come from one configuration; more than this isn't one.
 MOST_MODELS = 10_000
 MODEL = "id string, name string, model string, channel_id string, weight double, safe_rps double, timeout double, temperature double, supports_advanced_params boolean, position int"
@@ -178,9 +180,26 @@ def ip_pools(channels: DataFrame) -> DataFrame:
 
 
 def model_stats(log: DataFrame, model: str = "model", ok: str = "ok", seconds: str = "seconds", order: str = "ts") -> DataFrame:
-    """(model, n_ok, n_failed, rate, avg_seconds, last_fails): a summary of a request log; last_fails counts failures since the last success."""
-    base = log.groupBy(model).agg(F.count_if(F.col(ok)).alias("n_ok"), F.count_if(~F.col(ok)).alias("n_failed"), F.avg(seconds).alias("avg_seconds"), F.max(F.when(F.col(ok), F.col(order))).alias("_last_ok"))
-    since = log.join(base.select(model, "_last_ok"), model).where(~F.col(ok) & (F.col("_last_ok").isNull() | (F.col(order) > F.col("_last_ok"))))
-    fails = since.groupBy(model).agg(F.count(F.lit(1)).alias("last_fails"))
-    base = base.withColumn("rate", F.coalesce(F.col("n_ok") / F.nullif(F.col("n_ok") + F.col("n_failed"), F.lit(0)), F.lit(1.0))).drop("_last_ok")
-    return base.join(fails, model, "left").withColumn("last_fails", F.coalesce("last_fails", F.lit(0)))
+    """(model, n_ok, n_failed, rate, avg_seconds, last_fails): a summary of a request log; last_fails counts failures since the last success.
+
+    Failures at the time of the last success aren't after it. Rows without an outcome count for the mean time alone.
+    The log is folded by ranges of its order: a range's last failures count if no later one has a success, so nothing is joined
+    and a model that has most of the log is folded by many tasks.
+    """
+
+    def fold(rows: pd.DataFrame, state: dict) -> None:
+        for k, part in rows.groupby(plain(rows["_k"]), dropna=False, sort=False):
+            k = None if pd.isna(k) else k
+            good, bad = part["_ok"] == True, part["_ok"] == False  # noqa: E712  nulls are neither
+            old = state.setdefault(k, [0, 0, 0.0, 0, 0])
+            last = int(good.to_numpy().nonzero()[0][-1]) if good.any() else -1
+            tail = int(bad.iloc[last + 1 :].sum()) + (0 if last >= 0 else old[4])
+            state[k] = [old[0] + int(good.sum()), old[1] + int(bad.sum()), old[2] + float(part["_s"].sum()), old[3] + int(part["_s"].count()), tail]
+
+    rows = log.select(F.col(model).cast("string").alias("_k"), F.col(ok).alias("_ok"), F.col(seconds).cast("double").alias("_s"), F.col(order).alias("_o"))
+    names = ["good", "bad", "total", "timed", "tail"]
+    parts = blocks(rows, "_k", [F.col("_o"), F.col("_ok")], fold, names, "good bigint, bad bigint, total double, timed bigint, tail bigint")
+    each = parts.groupBy("_k").agg(*[F.sum(c).alias(c) for c in names[:4]], in_order(["good", "tail"]).alias("_b"))
+    since = F.aggregate("_b", F.lit(0).cast("bigint"), lambda n, x: F.when(x["good"] > 0, x["tail"]).otherwise(n + x["tail"]))
+    rate = F.coalesce(F.col("good") / F.nullif(F.col("good") + F.col("bad"), F.lit(0)), F.lit(1.0))
+    return each.select(F.col("_k").cast(log.schema[model].dataType).alias(model), F.col("good").alias("n_ok"), F.col("bad").alias("n_failed"), rate.alias("rate"), (F.col("total") / F.nullif("timed", F.lit(0))).alias("avg_seconds"), since.alias("last_fails"))

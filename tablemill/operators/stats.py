@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablemill.operators.folds import blocks, in_order, plain
 from tablemill.operators.predicates import processed, unprocessed
 from tablemill.plans.spec import TaskSpec
 
@@ -49,19 +49,33 @@ def token_stats(df: DataFrame, value: str, total_rows: int | Column | None = Non
 
 
 def ema(df: DataFrame, key: str, value: str, order: list[str], alpha: float = 0.1) -> DataFrame:
-    """(key, ema, n): exponential moving average in order of ``order``; the first value starts it.
+    """(key, ema, n): exponential moving average in order of ``order``; the first value starts it. Null values are left out, a null key is one too.
 
-    The fold is a weighted sum, in which a value's weight shrinks with the number of values after it. Values whose
-    weight is below the last bit of a double don't count, so that each task passes on only its newest rows of a key,
-    however many the key has.
+    A value takes the average e to (1 - alpha) e + alpha x, an affine map, and so does a block of values: ``shift`` is what a block
+    gives to an average of 0. Blocks are put together in order, so a key of very many rows is folded by many tasks, for any alpha.
     """
-    reach = math.ceil(math.log(1e-20) / math.log(1 - alpha))
-    known = df.where(F.col(value).isNotNull())
-    newest = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
-    aged = known.select(key, value, *order, F.row_number().over(newest).alias("_k")).where(F.col("_k") <= reach)
-    sizes = known.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("n"))
-    weight = F.pow(F.lit(1 - alpha), F.col("_k") - 1) * F.when(F.col("_k") == F.col("n"), 1.0).otherwise(alpha)
-    return aged.join(sizes, F.col(key).eqNullSafe(F.col("_key"))).groupBy(key).agg(F.sum(F.col(value) * weight).alias("ema"), F.first("n").alias("n"))
+    keep = 1 - alpha
+
+    def fold(rows: pd.DataFrame, state: dict) -> None:
+        keys = plain(rows["_k"])
+        codes, known = pd.factorize(keys, use_na_sentinel=False)
+        after = rows.groupby(codes).cumcount(ascending=False)
+        shifts = (rows["_v"] * alpha * keep**after).groupby(codes).sum()
+        sizes, firsts = rows["_v"].groupby(codes).size(), rows["_v"].groupby(codes).first()
+        for code, k in enumerate(known):
+            k = None if pd.isna(k) else k
+            n, shift = int(sizes[code]), float(shifts[code])
+            if k in state:
+                old = state[k]
+                old[1], old[2] = old[1] * keep**n + shift, old[2] + n
+            else:
+                state[k] = [float(firsts[code]), shift, n]
+
+    known = df.where(F.col(value).isNotNull()).select(F.col(key).cast("string").alias("_k"), F.col(value).cast("double").alias("_v"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    parts = blocks(known, "_k", [f"_o{i}" for i in range(len(order))], fold, ["first", "shift", "size"], "first double, shift double, size bigint")
+    each = parts.groupBy("_k").agg(in_order(["first", "shift", "size"]).alias("_b"), F.sum("size").alias("n"))
+    average = F.aggregate("_b", F.col("_b")[0]["first"], lambda e, x: e * F.pow(F.lit(keep), x["size"]) + x["shift"])
+    return each.select(F.col("_k").cast(df.schema[key].dataType).alias(key), average.alias("ema"), "n")
 
 
 def error_counts(df: DataFrame, kind: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tablemill.operators.predicates import unprocessed_sql
 from tablemill.plans.spec import TaskSpec, identifier
@@ -32,6 +33,42 @@ def read(spark: SparkSession, options: Mapping[str, str]) -> DataFrame:
     return spark.read.format("jdbc").options(**options).load()
 
 
+def ranges(spark: SparkSession, options: Mapping[str, str], id_col: str, partitions: int = 8) -> list[str]:
+    """Conditions that cut the table into parts of about equally many rows, by quantiles of its ids; rows without an id are in the first.
+
+    The store is asked for its ids once, by one connection; Spark makes the quantiles. Bounds of equal width would leave most rows in
+    one part where ids are spread unevenly.
+    """
+    q = _quoted(options, id_col)
+    ids = read(spark, {k: v for k, v in options.items() if k != "partitionColumn"} | {"dbtable": f"(SELECT {q} AS {_quoted(options, 'split_id')} FROM {options['dbtable']}) ids"})
+    at = [k / partitions for k in range(1, partitions)]
+    found = ids.agg(F.percentile_approx("split_id", at, 10_000).alias("q")).first()["q"] if at else None
+    cuts = sorted({int(v) for v in found or []})
+    if not cuts:
+        return ["1 = 1"]
+    inner = [f"{q} > {a} AND {q} <= {b}" for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [f"{q} <= {cuts[0]} OR {q} IS NULL", *inner, f"{q} > {cuts[-1]}"]
+
+
+def read_in_parts(spark: SparkSession, options: Mapping[str, str], id_col: str, partitions: int = 8) -> DataFrame:
+    """The table through as many connections as ``ranges`` gives parts; Spark pushes filters and columns to each."""
+    known = {k: v for k, v in options.items() if k not in ("url", "dbtable", "partitionColumn", "lowerBound", "upperBound", "numPartitions")}
+    return spark.read.jdbc(options["url"], options["dbtable"], predicates=ranges(spark, options, id_col, partitions), properties=known)
+
+
+def table(spark: SparkSession, options: Mapping[str, str], o: Mapping[str, Any]) -> DataFrame:
+    """The configured table: by the given bounds, or cut by its ids where there are none."""
+    if "partitionColumn" in options:
+        return read(spark, options)
+    return read_in_parts(spark, options, o.get("id_col", "id"), int(o.get("partitions", 8)))
+
+
+def _quoted(options: Mapping[str, str], column: str) -> str:
+    """A column as the store quotes it, which keeps its case."""
+    mark = "`" if options["url"].startswith("jdbc:mysql:") else '"'
+    return f"{mark}{identifier(column)}{mark}"
+
+
 def pending(spark: SparkSession, options: Mapping[str, str], spec: TaskSpec) -> DataFrame:
     """Unprocessed rows with id and inputs, selected by the store."""
     columns = ", ".join(map(identifier, [spec.id_col, *spec.inputs]))
@@ -46,6 +83,10 @@ def update_statements(table: str, staging: str, spec: TaskSpec, dialect: str) ->
         return [f"UPDATE {table} t SET {', '.join(f'{c} = COALESCE(s.{c}, t.{c})' for c in cols)} FROM {staging} s WHERE t.{key} = s.{key}", f"DROP TABLE {staging}"]
     if dialect == "mysql":
         return [f"UPDATE {table} t JOIN {staging} s ON t.{key} = s.{key} SET {', '.join(f't.{c} = COALESCE(s.{c}, t.{c})' for c in cols)}", f"DROP TABLE {staging}"]
+    if dialect == "standard":
+        quoted = lambda c: f'"{c}"'  # noqa: E731  as Spark names the columns that it makes
+        sets = ", ".join(f"{quoted(c)} = COALESCE(s.{quoted(c)}, t.{quoted(c)})" for c in cols)
+        return [f"MERGE INTO {table} t USING {staging} s ON t.{quoted(key)} = s.{quoted(key)} WHEN MATCHED THEN UPDATE SET {sets}", f"DROP TABLE {staging}"]
     raise ValueError(f"unknown dialect: {dialect}")
 
 
@@ -57,7 +98,8 @@ def write_results(results: DataFrame, options: Mapping[str, str], staging: str)
 def run_statements(spark: SparkSession, options: Mapping[str, str], statements: Sequence[str]) -> None:
     """Statements in one transaction, over the driver's own JDBC connection."""
     jvm = spark.sparkContext._jvm
-    connection = jvm.java.sql.DriverManager.getConnection(options["url"], options["user"], options["password"])
+    jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(options["driver"])
+    connection = jvm.java.sql.DriverManager.getConnection(options["url"], options.get("user", ""), options.get("password", ""))
     try:
         connection.setAutoCommit(False)
         for s in statements:

@@ -56,8 +56,8 @@ OPENERS: dict[str, Opener] = {
     "excel": lambda s, o: _xlsx(s, o) if files.kind_of(o["input_path"]) == "xlsx" else files.read(s, o["input_path"], files.kind_of(o["input_path"])),
     "xlsx": _xlsx,
     "sqlite": _sqlite,
-    "mysql": lambda s, o: jdbc.read(s, jdbc.mysql(o)),
-    "postgresql": lambda s, o: jdbc.read(s, jdbc.postgresql(o)),
+    "mysql": lambda s, o: jdbc.table(s, jdbc.mysql(o), o),
+    "postgresql": lambda s, o: jdbc.table(s, jdbc.postgresql(o), o),
     "bitable": _rest("bitable"),
     "sheet": _rest("sheet"),
 }

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -241,3 +243,33 @@ def test_shards_of_sparse_ids(spark):
     shards = sharding.shard_ranges(ids, "id", 10**9)
     assert shards.count() == 10**6 and shards.first().lo == 5 and shards.agg({"hi": "max"}).first()[0] == 10**15
     assert sharding.shard_ranges(ids.limit(0), "id", 10).count() == 0
+
+
+def test_folds_of_a_hot_key_over_ranges(spark):
+    """A key with nearly all rows, others and null ones, against plain loops; the rows are dealt by their order."""
+    rng = random.Random(6)
+    rows = [("hot" if rng.random() < 0.9 else rng.choice(["a", "b", None]), t, None if rng.random() < 0.05 else rng.random(), rng.choice([True, False, False, None])) for t in range(3000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, t int, v double, ok boolean").repartition(5)
+    for alpha in (0.001, 0.3):
+        want = {}
+        for k, _, v, _ in sorted(rows, key=lambda r: r[1]):
+            if v is not None:
+                e, n = want.get(k, (v, 0))
+                want[k] = (e + alpha * (v - e), n + 1)
+        out = stats.ema(df, "k", "v", ["t"], alpha)
+        assert {r.k: (pytest.approx(r.ema, rel=1e-9), r.n) for r in out.collect()} == want
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "rangepartitioning(_o0" in plan and "Join" not in plan and "Window" not in plan
+    want = {}
+    for k, _, v, ok in sorted(rows, key=lambda r: r[1]):
+        w = want.setdefault(k, [0, 0, [], 0])
+        w[0], w[1], w[3] = w[0] + (ok is True), w[1] + (ok is False), 0 if ok else w[3] + (ok is False)
+        w[2] += [v] if v is not None else []
+    out = dispatch.model_stats(df.withColumnsRenamed({"k": "model", "t": "ts", "v": "seconds"}))
+    got = {r.model: [r.n_ok, r.n_failed, r.avg_seconds, r.last_fails] for r in out.collect()}
+    assert got == {k: [w[0], w[1], pytest.approx(sum(w[2]) / len(w[2])), w[3]] for k, w in want.items()}
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    numbered = spark.createDataFrame([(1, 1, 2.0), (None, 2, 3.0), (1, 3, 4.0)], "k bigint, t int, v double")
+    assert {r.k: r.ema for r in stats.ema(numbered, "k", "v", ["t"], 0.5).collect()} == {1: 3.0, None: 3.0}
+    assert stats.ema(numbered.limit(0), "k", "v", ["t"]).count() == 0
