@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,6 +20,9 @@ FENCE = r"(?is)```(?:json)?\s*(\{.*?\})\s*```"
 TRAILING_COMMA = r",\s*([}\]])"
 OBJECT = r"(?s)(\{.*?\})"
 
+#: What a scan for braces has to see: a backslash takes the next character with it.
+_MARKS = re.compile(r'(?s)\\.|["{}]')
+
 PARSED = "data_json string, error string, error_type string, validation_errors array<string>"
 
 
@@ -62,11 +66,34 @@ def _load(text: str) -> dict | None:
     return data if isinstance(data, dict) else None
 
 
-def parse(reply: str | None, required: Iterable[str] = (), rules: Mapping[str, Sequence] | None = None) -> tuple[str | None, str | None, str | None, list[str]]:
+def balanced_objects(text: str) -> Iterator[str]:
+    """Outermost ``{...}`` whose braces match outside of strings, in order.
+
+    A brace that is never closed hides nothing: what closes within it is found by itself. Every character is read once.
+    """
+    opened: list[int] = []
+    found: list[tuple[int, int]] = []
+    quoted = False
+    for m in _MARKS.finditer(text):
+        mark = m[0]
+        if mark == '"' and opened:
+            quoted = not quoted
+        elif mark == "{" and not quoted:
+            opened.append(m.start())
+        elif mark == "}" and not quoted and opened:
+            start = opened.pop()
+            while found and found[-1][0] > start:
+                found.pop()
+            found.append((start, m.end()))
+    return (text[a:b] for a, b in found)
+
+
+def parse(reply: str | None, required: Iterable[str] = (), rules: Mapping[str, Sequence] | None = None, nested: bool = False) -> tuple[str | None, str | None, str | None, list[str]]:
     """(data as JSON, error, error type, messages) of one reply.
 
     First the fenced block, or else the whole reply, is parsed; complete data with values that aren't allowed end the
-    search. Otherwise the first candidate that is complete and allowed is taken.
+    search. Otherwise the first candidate that is complete and allowed is taken. Candidates are the shortest ``{...}``, which cut an
+    object that holds another one short; with ``nested`` those whose braces match come after them.
     """
     rules, required = rules or {}, list(required)
     if not reply:
@@ -79,19 +106,19 @@ def parse(reply: str | None, required: Iterable[str] = (), rules: Mapping[str, S
         if errors := value_errors(data, rules):
             return None, "invalid_field_values", "content_error", errors
         return json.dumps(data, ensure_ascii=False, separators=(",", ":")), None, None, []
-    for m in re.finditer(OBJECT, text):
-        data = _load(m[1])
+    for candidate in chain((m[1] for m in re.finditer(OBJECT, text)), balanced_objects(text) if nested else ()):
+        data = _load(candidate)
         if data is not None and complete(data) and not value_errors(data, rules):
             return json.dumps(data, ensure_ascii=False, separators=(",", ":")), None, None, []
     return None, "invalid_or_missing_json", "content_error", []
 
 
-def parse_reply(reply: Column, required: Iterable[str] = (), rules: Mapping[str, Sequence] | None = None) -> Column:
+def parse_reply(reply: Column, required: Iterable[str] = (), rules: Mapping[str, Sequence] | None = None, nested: bool = False) -> Column:
     """``parse`` as a struct column."""
     required, rules = list(required), dict(rules or {})
 
     @F.pandas_udf(PARSED)
     def run(replies: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse(r, required, rules) for r in replies], columns=["data_json", "error", "error_type", "validation_errors"])
+        return pd.DataFrame([parse(r, required, rules, nested) for r in replies], columns=["data_json", "error", "error_type", "validation_errors"])
 
     return run(reply)

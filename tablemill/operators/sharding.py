@@ -19,6 +19,13 @@ def shard_size(optimal: int = 10_000, least: int = 1_000, most: int = 50_000, fr
     return max(least, min(by_memory, by_time, optimal, most))
 
 
+def shard_size_of(free_mb: Column, records_per_second: Column, optimal: int = 10_000, least: int = 1_000, most: int = 50_000) -> Column:
+    """``shard_size`` for each row."""
+    by_memory = F.coalesce(F.floor(free_mb * MEMORY_SHARE * 1024 / RECORD_KB), F.lit(most))
+    by_time = F.when(records_per_second > 0, F.floor(records_per_second * TARGET_SECONDS)).otherwise(F.lit(most))
+    return F.greatest(F.lit(least), F.least(by_memory, by_time, F.lit(optimal), F.lit(most))).cast("int")
+
+
 def bounds(df: DataFrame, id_col: str) -> DataFrame:
     """One row: min_id, max_id (null for an empty table) and n_rows."""
     return df.agg(F.min(id_col).alias("min_id"), F.max(id_col).alias("max_id"), F.count(F.lit(1)).alias("n_rows"))

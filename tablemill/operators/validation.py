@@ -39,6 +39,17 @@ def rule_sizes(rules: Mapping[str, Sequence]) -> dict[str, int]:
     return {field: len(values) for field, values in rules.items()}
 
 
+def rules_from(table: DataFrame, field: str = "field", value: str = "value", most: int = 10_000) -> dict[str, list]:
+    """Rules of a table with a row per field and allowed value, in order of the values. They are a configuration, so more than ``most`` are refused."""
+    rows = table.select(field, value).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} allowed values")
+    out: dict[str, list] = {}
+    for f, v in sorted(map(tuple, rows)):
+        out.setdefault(f, []).append(v)
+    return out
+
+
 def json_schema(required: Sequence[str], rules: Mapping[str, Sequence] | None = None) -> dict | None:
     """An object schema: fields with a rule have its values and their type (by the first), others are strings. None without fields."""
     if not required:

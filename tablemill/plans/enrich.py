@@ -19,6 +19,7 @@ from tablemill.operators.rounds import infer_rounds, written
 from tablemill.operators.routing import profiles, route
 from tablemill.operators.stats import counts
 from tablemill.plans.spec import configured, spec_of
+from tablemill.plans.tokens import by_length, by_ranks, estimate
 from tablemill.sources.registry import open_source
 
 
@@ -99,3 +100,10 @@ class Enrichment:
     def progress(self, table: DataFrame) -> DataFrame:
         base = with_outputs(table, self.spec)
         return counts(base, self.spec)
+
+    def tokens(self, table: DataFrame) -> dict[str, DataFrame]:
+        """Statistics of input and output tokens as the ``token_estimation`` section says: mode, sample_size, and vocabulary (a file of ranks) with its pattern, or else characters."""
+        said = self.config["token_estimation"]
+        count = by_ranks(said["vocabulary"], said["pattern"]) if said.get("vocabulary") else by_length
+        prompt = self.config["prompt"]
+        return estimate(with_outputs(table, self.spec), self.spec, prompt["template"], prompt["system_prompt"], said["mode"], said["sample_size"], count)

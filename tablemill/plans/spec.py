@@ -35,7 +35,7 @@ DEFAULTS: dict[str, Any] = {
     "prompt": {"template": "", "system_prompt": "", "model": "auto", "temperature": 0.7, "required_fields": []},
     "validation": {"enabled": False, "field_rules": {}},
     "routing": {"enabled": False, "field": None, "subtasks": []},
-    "token_estimation": {"mode": "in", "sample_size": -1},
+    "token_estimation": {"mode": "io", "sample_size": -1},
 }
 
 

@@ -459,9 +459,13 @@ def preferred_model(spark, d):
     return dispatch.pick_model(wanted, "doc_id", known, wanted="wanted").select("doc_id", "picked")
 
 
-@query("SELECT * FROM (VALUES ('small', 'm1'), ('large', 'm2')) v(exposed_id, id)")
+@query("""SELECT exposed_id, arg_min(id, position) AS id FROM (SELECT CAST(s_suppkey AS VARCHAR) AS id, s_suppkey AS position,
+CASE WHEN s_nationkey % 3 = 0 THEN 'shown ' || s_nationkey WHEN s_nationkey % 3 = 1 THEN 'm' || s_nationkey % 5 ELSE CAST(s_suppkey AS VARCHAR) END AS exposed_id FROM supplier WHERE s_acctbal > 0) GROUP BY 1""")
 def exposed_models(spark, d):
-    return dispatch.exposed_models(dispatch.models(spark, _MODELS))
+    nation = F.col("s_nationkey")
+    name = F.when(nation % 3 == 0, F.concat(F.lit("shown "), nation.cast("string"))).otherwise("")
+    known = _t(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), name.alias("name"), F.when(nation % 3 == 1, F.concat(F.lit("m"), (nation % 5).cast("string"))).alias("model"), F.greatest("s_acctbal", F.lit(0.0)).alias("weight"), F.col("s_suppkey").alias("position"))
+    return dispatch.exposed_models(known)
 
 
 @query("SELECT c_custkey, CAST(c_custkey % 3 AS INTEGER) AS turn, list_concat(l[c_custkey % 3 + 1:], l[:c_custkey % 3]) AS ips FROM (SELECT c_custkey, ['1.1.1.1', '2.2.2.2', '3.3.3.3'] AS l FROM customer)")
@@ -470,11 +474,11 @@ def rotate_addresses(spark, d):
     return _t(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 3).cast("int").alias("turn"), dispatch.rotate(l, F.col("c_custkey") % 3).alias("ips"))
 
 
-@query("SELECT host, list_distinct(list('10.0.' || (page_id % 7) || '.1')).list_sort() AS ips FROM (SELECT page_id, regexp_extract(url, '://([^/?#:]+)', 1) AS host FROM pages WHERE page_id % 5 <> 0) GROUP BY 1")
+@query("""SELECT host, list(ip ORDER BY first_page) AS ips FROM (SELECT regexp_extract(url, '://([^/?#:]+)', 1) AS host, '10.0.' || (page_id % 7) || '.1' AS ip, min(page_id) AS first_page FROM pages WHERE page_id % 5 <> 0 GROUP BY 1, 2) GROUP BY 1""")
 def ip_pool_merge(spark, d):
     pool = F.array(F.concat(F.lit("10.0."), (F.col("page_id") % 7).cast("string"), F.lit(".1")), F.lit("not an ip"), F.lit("300.1.1.1"))
     channels = _t(spark, d, "pages").select(F.col("url").alias("base_url"), pool.alias("ip_pool"), F.when(F.col("page_id") % 5 == 0, "proxy").alias("proxy"), F.col("page_id").alias("position"))
-    return dispatch.ip_pools(channels).select("host", F.sort_array("ips").alias("ips"))
+    return dispatch.ip_pools(channels).select("host", "ips")
 
 
 @query("SELECT CAST(s_suppkey AS VARCHAR) AS id, greatest(0.5, least(s_suppkey / 10.0, 10.0)) AS rps FROM supplier")
@@ -665,34 +669,61 @@ def stop_lists(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", prompt.stop_list(F.col("text"), False).alias("stop"), prompt.stop_list(F.array("text", "role"), True).alias("stops"))
 
 
-_RULES = {"role": ["user", "assistant"], "turn": [0, 1, 2], "text": ["x"]}
+def _rule_table(spark, d):
+    """A row per field and value that it may have, as a store of rules holds them."""
+    values = [_t(spark, d, "conversations").select(F.lit("role").alias("field"), F.col("role").alias("value")), _t(spark, d, "documents").select(F.lit("lang"), "lang"), _t(spark, d, "orders").select(F.lit("status"), "o_orderstatus")]
+    return values[0].unionByName(values[1].toDF("field", "value")).unionByName(values[2].toDF("field", "value"))
 
 
-@query("SELECT * FROM (VALUES ('role', 2), ('turn', 3), ('text', 1)) v(field, n_values)")
-def rule_sizes(spark, d):
-    return spark.createDataFrame(list(validation.rule_sizes(_RULES).items()), "field string, n_values int")
+_RULE_ROWS = "(SELECT DISTINCT 'role' AS field, role AS value FROM conversations UNION ALL SELECT DISTINCT 'lang', lang FROM documents UNION ALL SELECT DISTINCT 'status', o_orderstatus FROM orders)"
 
 
-@query("""SELECT '{"type":"object","properties":{"role":{"type":"string","enum":["user","assistant"]},"turn":{"type":"integer","enum":[0,1,2]},"note":{"type":"string"}},"required":["role","turn","note"]}' AS schema""")
-def json_schema(spark, d):
-    return spark.createDataFrame([(json.dumps(validation.json_schema(["role", "turn", "note"], _RULES), separators=(",", ":")),)], "schema string")
+@query(f"SELECT field, CAST(count(*) AS INTEGER) AS n_values FROM {_RULE_ROWS} GROUP BY 1")
+def rule_sizes(spark, d):
+    rules = validation.rules_from(_rule_table(spark, d))
+    return spark.createDataFrame(list(validation.rule_sizes(rules).items()), "field string, n_values int")
 
 
-_FREE, _SPEEDS = (0.0, 1.0, 64.0, 4096.0), (0.0, 0.5, 5.0, 100.0)
+@query(f"""SELECT '{{"type":"object","properties":{{"note":{{"type":"string"}},' || string_agg('"' || field || '":{{"type":"string","enum":[' || vs || ']}}', ',' ORDER BY field) || '}},"required":["note",' || string_agg('"' || field || '"', ',' ORDER BY field) || ']}}' AS schema
+FROM (SELECT field, string_agg('"' || value || '"', ',' ORDER BY value) AS vs FROM {_RULE_ROWS} GROUP BY 1)""")
+def json_schema(spark, d):
+    rules = validation.rules_from(_rule_table(spark, d))
+    return spark.createDataFrame([(json.dumps(validation.json_schema(["note", *sorted(rules)], rules), separators=(",", ":")),)], "schema string")
 
 
-@query(f"SELECT f AS free_mb, v AS per_second, greatest(1000, least(CAST(floor(f * 0.3 * 1024 / 5) AS INTEGER), CASE WHEN v > 0 THEN CAST(floor(v * 900) AS INTEGER) ELSE 50000 END, 10000, 50000)) AS size FROM (SELECT unnest([{', '.join(map(str, _FREE))}])::DOUBLE AS f), (SELECT unnest([{', '.join(map(str, _SPEEDS))}])::DOUBLE AS v)")
+@query("SELECT p_partkey, greatest(1000, least(CAST(floor(p_retailprice * 0.3::DOUBLE * 1024 / 5) AS INTEGER), CASE WHEN p_size > 5 THEN CAST(floor((p_size - 5) / 4.0::DOUBLE * 900) AS INTEGER) ELSE 50000 END, 10000, 50000))::INTEGER AS size FROM part")
 def shard_sizes(spark, d):
-    return spark.createDataFrame([(f, v, sharding.shard_size(free_mb=f, records_per_second=v)) for f in _FREE for v in _SPEEDS], "free_mb double, per_second double, size int")
+    return _t(spark, d, "part").select("p_partkey", sharding.shard_size_of(F.col("p_retailprice"), (F.col("p_size") - 5) / 4.0).alias("size"))
 
 
-@query("SELECT 'csv' AS kind, 7 AS batch_size, 3 AS api_retries, 9 AS content_retries, 2.0::DOUBLE AS pause, 'auto' AS model, ['a'] AS inputs, ['x_out'] AS outputs, true AS require_all")
+@query("SELECT n_name AS model, CAST(n_nationkey AS INTEGER) AS batch_size, 3 AS api_retries, CAST(n_regionkey AS INTEGER) AS content_retries, 2.0::DOUBLE AS pause, 'io' AS mode, [n_name] AS inputs, ['x_out'] AS outputs FROM nation")
 def config_merge(spark, d):
-    c = configured({"datasource": {"type": "csv", "concurrency": {"batch_size": 7, "retry_limits": {"content_error": 9}}}, "columns_to_extract": ["a"], "columns_to_write": {"x": "x_out"}})
-    source, spec = c["datasource"], spec_of(c)
-    limits = source["concurrency"]
-    row = (source["type"], limits["batch_size"], limits["retry_limits"]["api_error"], limits["retry_limits"]["content_error"], limits["api_pause_duration"], c["prompt"]["model"], list(spec.inputs), spec.output_columns, spec.require_all)
-    return spark.createDataFrame([row], "kind string, batch_size int, api_retries int, content_retries int, pause double, model string, inputs array<string>, outputs array<string>, require_all boolean")
+    """A configuration for each row of a small table, merged over the defaults."""
+    out = []
+    for name, key, region in map(tuple, _t(spark, d, "nation").select("n_name", "n_nationkey", "n_regionkey").collect()):
+        c = configured({"datasource": {"concurrency": {"batch_size": key, "retry_limits": {"content_error": region}}}, "columns_to_extract": [name], "columns_to_write": {"x": "x_out"}, "prompt": {"model": name}})
+        limits, spec = c["datasource"]["concurrency"], spec_of(c)
+        out.append((c["prompt"]["model"], limits["batch_size"], limits["retry_limits"]["api_error"], limits["retry_limits"]["content_error"], limits["api_pause_duration"], c["token_estimation"]["mode"], list(spec.inputs), spec.output_columns))
+    return spark.createDataFrame(out, "model string, batch_size int, api_retries int, content_retries int, pause double, mode string, inputs array<string>, outputs array<string>")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '{"a":{"b":' || turn || '},"c":"}"}' END AS data FROM conversations""")
+def nested_objects(spark, d):
+    """Objects that hold others, in prose."""
+    said = F.when(F.col("turn") % 2 == 0, F.concat(F.lit('I think { that {"a":{"b":'), F.col("turn").cast("string"), F.lit('},"c":"}"} is right. '), F.col("role"))).otherwise(F.concat(F.lit("no {object} "), "role"))
+    found = _t(spark, d, "conversations").select("conv_id", "turn", reply.parse_reply(said, ["a"], nested=True).alias("r"))
+    return found.select("conv_id", "turn", F.col("r.data_json").alias("data"))
+
+
+@query()
+def token_estimate_by_vocabulary(spark, d):
+    """Tokens of inputs and outputs by a vocabulary file, as the configuration says; no SQL knows the vocabulary."""
+    import public_tokenizers
+
+    said = {"mode": "io", "vocabulary": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+    config = {"datasource": {"id_col": "doc_id"}, "columns_to_extract": ["text"], "columns_to_write": {"quality": "quality", "toxic": "toxic"}, "prompt": {"template": TEMPLATE}, "token_estimation": said}
+    both = Enrichment(spark, config, lambda: None, "").tokens(_tasks(spark, d))
+    return both["input_tokens"].withColumn("side", F.lit("input")).unionByName(both["output_tokens"].withColumn("side", F.lit("output")))
 
 
 # ---- models, a whole run ------------------------------------------------------------------------------------------------

@@ -273,3 +273,14 @@ def test_folds_of_a_hot_key_over_ranges(spark):
     numbered = spark.createDataFrame([(1, 1, 2.0), (None, 2, 3.0), (1, 3, 4.0)], "k bigint, t int, v double")
     assert {r.k: r.ema for r in stats.ema(numbered, "k", "v", ["t"], 0.5).collect()} == {1: 3.0, None: 3.0}
     assert stats.ema(numbered.limit(0), "k", "v", ["t"]).count() == 0
+
+
+def test_nested_objects_in_replies():
+    from tablemill.functions.reply import balanced_objects, parse
+
+    said = 'Well { see {"a":{"b":1}} and {"a": "}{", "c": {"d": [{}]}} or "{" {x'
+    assert list(balanced_objects(said)) == ['{"a":{"b":1}}', '{"a": "}{", "c": {"d": [{}]}}']
+    assert list(balanced_objects('{"a": "\\\\", "b": "\\"}"} {')) == ['{"a": "\\\\", "b": "\\"}"}']
+    assert parse(said, ["a"])[1] == "invalid_or_missing_json"
+    assert parse(said, ["a"], nested=True)[0] == '{"a":{"b":1}}' and parse(said, ["c"], nested=True)[0] == '{"a":"}{","c":{"d":[{}]}}'
+    assert parse("{" * 200_000 + "}" * 100_000, nested=True)[1] == "invalid_or_missing_json" and list(balanced_objects("")) == []

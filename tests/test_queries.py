@@ -25,7 +25,7 @@ def plain(v):
     return tuple(map(plain, v)) if isinstance(v, (list, tuple)) else v
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_against_sql(spark, oracle, name):
     df = queries.QUERIES[name](spark, SMALL)
     want = oracle.sql(queries.ORACLES[name])
@@ -63,3 +63,18 @@ def test_whole_texts_are_sent_to_the_model(spark, monkeypatch):
 def test_filter_reaches_the_scan(spark):
     plan = queries.QUERIES["volume_filter"](spark, SMALL)._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(l_quantity)" in plan and "l_comment" not in plan
+
+
+def test_tokens_by_vocabulary(spark):
+    import public_tokenizers
+
+    from tablemill.plans.tokens import _encoding
+
+    library = _encoding(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert set(queries.QUERIES) - set(queries.ORACLES) == {"token_estimate_by_vocabulary"}
+    got = {r.side: r for r in queries.QUERIES["token_estimate_by_vocabulary"](spark, SMALL).collect()}
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    said = lambda r: queries.TEMPLATE.replace("{record_json}", json.dumps({"text": r.text}, ensure_ascii=False, separators=(",", ":")))
+    sizes = sorted(len(library.encode_ordinary(said(r))) for r in docs)
+    assert (got["input"].sample_count, got["input"].total_estimated, got["input"].min, got["input"].max) == (len(sizes), sum(sizes), sizes[0], sizes[-1])
+    assert got["output"].sample_count == spark.read.parquet(f"{SMALL}/labels.parquet").count() and got["output"].min > 5
