@@ -54,6 +54,8 @@ def _drawn(df: DataFrame, sized: list, weights: Sequence[float], total_share: fl
     cut = ends.groupBy("_key", "source_size", "target", "_whole").agg(
         F.min(F.when(F.col("_before") + F.col("_size") > F.col("_extra"), F.struct("_bucket", (F.col("_extra") - F.col("_before")).alias("left")))).alias("_cut")
     )
+    # a row per source, written so that its size is known when it is joined: rows stay where they are unless sources are very many
+    cut = staged(cut, "mixing-cuts")
     drawn = rows.select("*", key("source")).join(cut, "_key").select("_id", "_key", "size", "_spin", "source_size", "target", "_whole", *others, F.coalesce(F.col("_bucket") - F.col("_cut._bucket"), F.lit(-1)).alias("_side"), F.coalesce("_cut.left", F.lit(0)).alias("_left"))
     within = Window.partitionBy("_key").orderBy("_spin", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     in_cut = drawn.where("_side = 0").withColumn("_more", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_left") - F.coalesce(F.sum("size").over(within), F.lit(0)))))
