@@ -79,7 +79,7 @@ def write(df: DataFrame, path: str, kind: str | None = None, single: bool = Fals
         from tablemill.sources.xlsx import XlsxSource
 
         spark.dataSource.register(XlsxSource)
-        df.coalesce(1).write.format("xlsx").mode("overwrite").option("path", path).save()
+        df.write.format("xlsx").mode("overwrite").option("path", path).save()
         return
     out = clean_text(df)
     out = out.select(*_flat(out)) if kind == "csv" else out

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import os
 import re
+import shutil
 import tempfile
 import zipfile
-from collections.abc import Iterator, Sequence
+import zlib
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from datetime import date, datetime
 from decimal import Decimal
@@ -158,27 +161,79 @@ class XlsxReader(DataSourceReader):
 
 @dataclass
 class Sheet(WriterCommitMessage):
+    """A task's rows: deflated, ending at a byte, with the checksum and size of what they inflate to."""
+
     path: str
-    rows: int
+    crc: int
+    size: int
 
 
 _BAD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿\ud800-\udfff]")
 
 
-def cell_xml(reference: str, v) -> str:
+def cell_xml(v) -> str:
+    """A cell; its place is that among the cells of its row."""
     if v is None:
-        return ""
+        return "<c/>"
     if isinstance(v, bool):
-        return f'<c r="{reference}" t="b"><v>{int(v)}</v></c>'
+        return f'<c t="b"><v>{int(v)}</v></c>'
     if isinstance(v, (int, float, Decimal)) and v == v and abs(v) != float("inf"):
-        return f'<c r="{reference}"><v>{v}</v></c>'
+        return f"<c><v>{v}</v></c>"
     if isinstance(v, (datetime, date)):
         v = v.isoformat()
-    return f'<c r="{reference}" t="inlineStr"><is><t xml:space="preserve">{escape(_BAD.sub("", str(v)))}</t></is></c>'
+    return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(_BAD.sub("", str(v)))}</t></is></c>'
+
+
+def row_xml(cells: Iterable) -> bytes:
+    return f"<row>{''.join(map(cell_xml, cells))}</row>".encode()
+
+
+def crc_joined(first: int, second: int, size: int) -> int:
+    """The CRC-32 of two texts one after the other, by those of each and the size of the second.
+
+    Putting ``size`` zero bytes after the first is a linear map of its 32 bits, taken by squaring; a map is its columns.
+    """
+
+    def apply(columns: list[int], bits: int) -> int:
+        out = 0
+        for c in columns:
+            if bits & 1:
+                out ^= c
+            bits >>= 1
+        return out
+
+    one_bit = [0xEDB88320, *(1 << k for k in range(31))]
+    power, n = one_bit, size * 8
+    while n:
+        if n & 1:
+            first = apply(power, first)
+        power, n = [apply(power, c) for c in power], n >> 1
+    return first ^ second
+
+
+class Deflated:
+    """Parts of a stream that is deflated to a file, in blocks that begin anew, so that they can be put one after the other."""
+
+    def __init__(self, out):
+        self.out, self.crc, self.size, self.packed = out, 0, 0, 0
+        self.made = zlib.compressobj(6, zlib.DEFLATED, -15)
+
+    def write(self, text: bytes) -> None:
+        self.crc, self.size = zlib.crc32(text, self.crc), self.size + len(text)
+        self._put(self.made.compress(text))
+
+    def end(self, last: bool = False) -> None:
+        self._put(self.made.flush(zlib.Z_FINISH if last else zlib.Z_FULL_FLUSH))
+
+    def _put(self, packed: bytes) -> None:
+        self.packed += self.out.write(packed)
 
 
 class XlsxWriter(DataSourceWriter):
-    """Tasks write their rows as sheet XML beside the target; the commit puts them together and moves the file into place."""
+    """Tasks deflate their rows beside the target; the commit puts these blocks one after the other, with the checksum of the whole made from theirs.
+
+    The target's folder must be one that driver and executors share.
+    """
 
     def __init__(self, path: str, schema: T.StructType):
         self.path, self.names = _local(path), [f.name for f in schema.fields]
@@ -186,12 +241,16 @@ class XlsxWriter(DataSourceWriter):
     def write(self, rows: Iterator) -> WriterCommitMessage:
         folder = Path(self.path).resolve().parent
         folder.mkdir(parents=True, exist_ok=True)
-        columns, n = [letters(k) for k in range(len(self.names))], 0
-        with tempfile.NamedTemporaryFile("w", dir=folder, prefix=".staged-", encoding="utf-8", delete=False) as f:
+        with tempfile.NamedTemporaryFile("wb", dir=folder, prefix=".staged-", delete=False) as f:
+            part, waiting = Deflated(f), []
             for row in rows:
-                f.write("".join(cell_xml(f"{c}@", v) for c, v in zip(columns, row, strict=True)).replace("\n", "&#10;") + "\n")
-                n += 1
-        return Sheet(f.name, n)
+                waiting.append(row_xml(row))
+                if len(waiting) == 1024:
+                    part.write(b"".join(waiting))
+                    waiting = []
+            part.write(b"".join(waiting))
+            part.end()
+        return Sheet(f.name, part.crc, part.size)
 
     def commit(self, messages: list) -> None:
         made = Path(f"{self.path}.staged")
@@ -200,21 +259,36 @@ class XlsxWriter(DataSourceWriter):
             z.writestr("_rels/.rels", '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
             z.writestr("xl/workbook.xml", '<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Sheet1" sheetId="1" r:id="rId1"/></sheets></workbook>')
             z.writestr("xl/_rels/workbook.xml.rels", '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
-            with z.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as out:
-                head = "".join(cell_xml(f"{letters(k)}1", n) for k, n in enumerate(self.names))
-                out.write(f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row r="1">{head}</row>'.encode())
-                row = 1
-                for m in messages:
-                    if m is None:
-                        continue
-                    with open(m.path, encoding="utf-8", newline="\n") as f:
-                        for line in f:
-                            row += 1
-                            out.write(f'<row r="{row}">{re.sub(r"""(r="[A-Z]+)@""", rf"""\g<1>{row}""", line.rstrip(chr(10)))}</row>'.encode())
-                out.write(b"</sheetData></worksheet>")
+            self._sheet(z, "xl/worksheets/sheet1.xml", [m for m in messages if m is not None])
         os.replace(made, self.path)
         self._clear(messages)
 
+    def _sheet(self, z: zipfile.ZipFile, name: str, parts: list[Sheet]) -> None:
+        """An entry made of the tasks' blocks between a beginning and an end; its header is written once its sizes are known."""
+        if lost := [m.path for m in parts if not os.path.exists(m.path)]:
+            raise FileNotFoundError(f"{lost[0]} isn't there for the driver: {self.path} must be in a folder that driver and executors share")
+        head, tail = io.BytesIO(), io.BytesIO()
+        begin, end = Deflated(head), Deflated(tail)
+        begin.write(b'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>' + row_xml(self.names))
+        begin.end()
+        end.write(b"</sheetData></worksheet>")
+        end.end(last=True)
+        info = zipfile.ZipInfo(name)
+        info.compress_type, info.CRC, info.file_size = zipfile.ZIP_DEFLATED, begin.crc, begin.size
+        for part in [*parts, end]:
+            info.CRC, info.file_size = crc_joined(info.CRC, part.crc, part.size), info.file_size + part.size
+        info.compress_size = begin.packed + sum(os.path.getsize(m.path) for m in parts) + end.packed
+        info.header_offset = z.fp.tell()
+        z.fp.write(info.FileHeader(zip64=max(info.file_size, info.compress_size) >= 1 << 31))
+        z.fp.write(head.getvalue())
+        for m in parts:
+            with open(m.path, "rb") as f:
+                shutil.copyfileobj(f, z.fp, 1 << 20)
+        z.fp.write(tail.getvalue())
+        z.filelist.append(info)
+        z.NameToInfo[name] = info
+        z.start_dir = z.fp.tell()
+
     def abort(self, messages: list) -> None:
         self._clear(messages)
 
