@@ -29,9 +29,20 @@ def read(spark: SparkSession, path: str, kind: str | None = None, options: Mappi
     if kind == "csv":
         reader = reader.options(**CSV | ({} if schema is not None else {"inferSchema": "true"}))
     reader = reader.options(**{k: str(v) for k, v in (options or {}).items()})
+    if kind == "xlsx" and schema is None:
+        schema = _spreadsheet_types(spark.read.format("xlsx").options(**{k: str(v) for k, v in (options or {}).items()}).option("kinds", "true").load(path))
     return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
+def _spreadsheet_types(cells: DataFrame) -> T.StructType:
+    """Types by what all cells are: of one kind, or text. ``cells`` has a letter for its kind before each cell's text."""
+    whole = lambda c: F.substring(c, 2, 400).try_cast("double") == F.floor(F.substring(c, 2, 400).try_cast("double"))
+    seen = [F.struct(F.collect_set(F.substring(c, 1, 1)).alias("kinds"), F.bool_and(whole(c)).alias("whole")).alias(str(k)) for k, c in enumerate(F.col(f"`{n}`") for n in cells.columns)]
+    found = cells.agg(*seen).first() if seen else []
+    kind = lambda said: T.BooleanType() if said["kinds"] == ["b"] else T.StringType() if said["kinds"] != ["n"] else T.LongType() if said["whole"] else T.DoubleType()
+    return T.StructType([T.StructField(n, kind(said)) for n, said in zip(cells.columns, found, strict=True)])
+
+
 def complete(spark: SparkSession, path: str) -> bool:
     """Whether Spark has written a table here to its end."""
     marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")

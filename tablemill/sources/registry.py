@@ -36,7 +36,7 @@ def _sqlite(spark: SparkSession, o: Mapping) -> DataFrame:
 def _xlsx(spark: SparkSession, o: Mapping) -> DataFrame:
     _needs(o, "input_path")
     register_all(spark)
-    return spark.read.format("xlsx").options(path=o["input_path"], sheet=str(o.get("sheet", 0))).load()
+    return files.read(spark, o["input_path"], "xlsx", {"sheet": o.get("sheet", 0)})
 
 
 def _rest(kind: str) -> Opener:

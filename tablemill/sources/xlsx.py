@@ -9,10 +9,12 @@ import shutil
 import tempfile
 import zipfile
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from datetime import date, datetime
 from decimal import Decimal
+from html import unescape
 from pathlib import Path
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
@@ -26,6 +28,10 @@ _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _PACKAGE = "{http://schemas.openxmlformats.org/package/2006/relationships}"
 
 
+#: A part of a sheet's text for a task. Each task inflates what comes before its part as well, so there are only so many.
+PART_BYTES, MOST_PARTS = 16 << 20, 16
+
+
 def letters(index: int) -> str:
     """Column letters of a place from 0: A, .. Z, AA, AB, .."""
     out, n = "", index + 1
@@ -47,49 +53,122 @@ def _local(path: str) -> str:
     return path.removeprefix("file://")
 
 
-def _text(node) -> str:
-    return "".join(t.text or "" for t in node.iter(f"{_MAIN}t"))
+def _entries(z: zipfile.ZipFile, sheet: int | str) -> tuple[str, str | None]:
+    """The entries of a sheet, by place or name, and of the shared strings."""
+    book = ElementTree.fromstring(z.read("xl/workbook.xml"))  # noqa: S314
+    sheets = [(s.get("name"), s.get(f"{_REL}id")) for s in book.iter(f"{_MAIN}sheet")]
+    if isinstance(sheet, int):
+        if not 0 <= sheet < len(sheets):
+            raise IndexError(f"no sheet {sheet} of {len(sheets)}")
+        wanted = sheets[sheet][1]
+    else:
+        wanted = dict(sheets).get(sheet)
+        if wanted is None:
+            raise ValueError(f"no sheet {sheet!r}")
+    links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")).iter(f"{_PACKAGE}Relationship")}  # noqa: S314
+    target = links[wanted].lstrip("/")
+    shared = "xl/sharedStrings.xml"
+    return target if target.startswith("xl/") else f"xl/{target}", shared if shared in z.namelist() else None
+
+
+# elements with the prefix that the file gives to their names
+def _element(name: bytes) -> bytes:
+    return rb"<(?:\w+:)?" + name + rb"(\s[^>]*?)?(?:/>|>(.*?)</(?:\w+:)?" + name + rb">)"
+
+
+_ROW, _CELL, _VALUE, _T, _SI = (re.compile(_element(n), re.DOTALL) for n in (b"row", b"c", b"v", b"t", b"si"))
+_PHONETIC = re.compile(_element(b"rPh"), re.DOTALL)
+_REFERENCE, _TYPE = re.compile(rb'\sr="([A-Z]+)[0-9]+"'), re.compile(rb'\st="(\w+)"')
+_CDATA = re.compile(rb"<!\[CDATA\[(.*?)\]\]>", re.DOTALL)
+_CHUNK = 1 << 20
+
+
+def _plain(text: bytes) -> str:
+    """Characters of an element; white space as it stands but for line ends, which XML makes one."""
+    if b"<!" in text:
+        text = _CDATA.sub(lambda m: escape(m[1].decode()).encode(), text)
+    said = text.decode()
+    if "\r" in said:
+        said = said.replace("\r\n", "\n").replace("\r", "\n")
+    return unescape(said) if "&" in said else said
+
+
+class _Strings:
+    """Shared strings by number: the text is kept as it is in the file, with the place of each, and is read on demand."""
+
+    def __init__(self, z: zipfile.ZipFile, entry: str | None):
+        self.raw = z.read(entry) if entry else b""
+        self.at = array("q", [x for m in _SI.finditer(self.raw) for x in m.span()])
+        self.known: dict[int, str] = {}
+
+    def __getitem__(self, k: int) -> str:
+        if k not in self.known:
+            if len(self.known) >= 1 << 16:
+                self.known.clear()
+            self.known[k] = _text(self.raw[self.at[2 * k] : self.at[2 * k + 1]])
+        return self.known[k]
+
+
+def _text(item: bytes) -> str:
+    if b"rPh" in item:
+        item = _PHONETIC.sub(b"", item)
+    return "".join(_plain(m[2] or b"") for m in _T.finditer(item))
+
+
+def _cells(row: bytes, strings: _Strings, columns: dict[bytes, int]) -> list:
+    out: list = []
+    for m in _CELL.finditer(row):
+        said, inner = m[1] or b"", m[2]
+        at = len(out)
+        if reference := _REFERENCE.search(said):
+            name = reference[1]
+            at = columns[name] if name in columns else columns.setdefault(name, column_of(name.decode()))
+        if at >= len(out):
+            out += [None] * (at + 1 - len(out))
+        if not inner:
+            continue
+        kind = _TYPE.search(said)
+        kind = kind[1] if kind else b"n"
+        if kind == b"inlineStr":
+            out[at] = _text(inner)
+        elif (v := _VALUE.search(inner)) and v[2]:
+            out[at] = strings[int(v[2])] if kind == b"s" else v[2] == b"1" if kind == b"b" else _plain(v[2]) if kind in (b"str", b"e") else float(v[2])
+    return out
+
 
+def sheet_rows(path: str, sheet: int | str = 0, begin: int = 0, end: int | None = None) -> Iterator[list]:
+    """Rows of a sheet, by place or name, as lists of str, float, bool or None: those that begin within the bytes from ``begin`` to ``end`` of its text.
 
-def sheet_rows(path: str, sheet: int | str = 0) -> Iterator[list]:
-    """Rows of a sheet, by place or name, as lists of str, float, bool or None."""
+    What comes before is inflated and let go, which is fast; memory is that of a few rows and the shared strings as they are in the file.
+    """
+    with zipfile.ZipFile(_local(path)) as z:
+        entry, shared = _entries(z, sheet)
+        strings, columns = _Strings(z, shared), {}
+        with z.open(entry) as f:
+            at, left = 0, b""
+            while at < begin and (skipped := f.read(min(_CHUNK, begin - at))):
+                at += len(skipped)
+            while chunk := f.read(_CHUNK):
+                left += chunk
+                done = 0
+                for m in _ROW.finditer(left):
+                    if end is not None and at + m.start() >= end:
+                        return
+                    yield _cells(m[2] or b"", strings, columns)
+                    done = m.end()
+                done = max(done, left.rfind(b"<") if b"row" not in left[done:] else done)
+                at, left = at + done, left[done:]
+                if end is not None and at >= end and not _ROW_BEGINS.search(left):
+                    return
+
+
+_ROW_BEGINS = re.compile(rb"<(?:\w+:)?row[\s/>]")
+
+
+def sheet_size(path: str, sheet: int | str = 0) -> int:
+    """Bytes of a sheet's text, from the archive's directory."""
     with zipfile.ZipFile(_local(path)) as z:
-        book = ElementTree.fromstring(z.read("xl/workbook.xml"))  # noqa: S314
-        sheets = [(s.get("name"), s.get(f"{_REL}id")) for s in book.iter(f"{_MAIN}sheet")]
-        if isinstance(sheet, int):
-            if not 0 <= sheet < len(sheets):
-                raise IndexError(f"no sheet {sheet} of {len(sheets)}")
-            wanted = sheets[sheet][1]
-        else:
-            wanted = dict(sheets).get(sheet)
-            if wanted is None:
-                raise ValueError(f"no sheet {sheet!r}")
-        links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")).iter(f"{_PACKAGE}Relationship")}  # noqa: S314
-        target = links[wanted].lstrip("/")
-        shared = [_text(s) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")] if "xl/sharedStrings.xml" in z.namelist() else []  # noqa: S314
-        with z.open(target if target.startswith("xl/") else f"xl/{target}") as f:
-            names: dict[str, int] = {}
-            row_tag, cell_tag, value_tag = f"{_MAIN}row", f"{_MAIN}c", f"{_MAIN}v"
-            for _, row in ElementTree.iterparse(f):  # noqa: S314
-                if row.tag != row_tag:
-                    continue
-                out: list = []
-                for cell in row:
-                    if cell.tag != cell_tag:
-                        continue
-                    at = len(out)
-                    if reference := cell.get("r"):
-                        name = reference.rstrip("0123456789")
-                        at = names[name] if name in names else names.setdefault(name, column_of(reference))
-                    if at >= len(out):
-                        out += [None] * (at + 1 - len(out))
-                    kind, v = cell.get("t"), cell.find(value_tag)
-                    if kind == "inlineStr":
-                        out[at] = _text(cell)
-                    elif v is not None and v.text is not None:
-                        out[at] = shared[int(v.text)] if kind == "s" else v.text == "1" if kind == "b" else v.text if kind in ("str", "e") else float(v.text)
-                yield out
-                row.clear()  # what stays is an empty element a row, of which the format allows 2**20
+        return z.getinfo(_entries(z, sheet)[0]).file_size
 
 
 def _kind(seen: set[type], whole: bool) -> T.DataType:
@@ -105,7 +184,11 @@ def _names(row: list) -> list[str]:
 
 
 class XlsxSource(DataSource):
-    """Options: path, sheet (place or name). The first row is the header. A file is one partition: its rows are one compressed stream, read once for the types (unless a schema is given) and once for the rows."""
+    """Options: path, sheet (place or name), kinds, part_bytes. The first row is the header. A sheet is read by a task for so many bytes of its text.
+
+    Without a schema all rows are read for the types first, by one process (``files.read`` has Spark do it). With ``kinds`` true every cell is text
+    after a letter for what it is: n, b or s.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -120,6 +203,8 @@ class XlsxSource(DataSource):
         head = _names(next(rows, []))
         if len(set(head)) < len(head):
             raise ValueError("headers repeat")
+        if self._kinds():
+            return T.StructType([T.StructField(n, T.StringType()) for n in head])
         seen: list[set[type]] = [set() for _ in head]
         whole = [True] * len(head)
         for row in rows:
@@ -129,28 +214,41 @@ class XlsxSource(DataSource):
                     whole[k] = whole[k] and isinstance(v, float) and v.is_integer()
         return T.StructType([T.StructField(n, _kind(s, w)) for n, s, w in zip(head, seen, whole, strict=True)])
 
+    def _kinds(self) -> bool:
+        return self.options.get("kinds", "false") == "true"
+
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return XlsxReader(self.options["path"], self._sheet(), schema)
+        return XlsxReader(self.options["path"], self._sheet(), schema, self._kinds(), int(self.options.get("part_bytes", PART_BYTES)))
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
         return XlsxWriter(self.options["path"], schema)
 
 
+@dataclass
+class Part(InputPartition):
+    begin: int
+    end: int
+
+
 class XlsxReader(DataSourceReader):
-    def __init__(self, path: str, sheet: int | str, schema: T.StructType):
-        self.path, self.sheet, self.schema = path, sheet, schema
+    def __init__(self, path: str, sheet: int | str, schema: T.StructType, kinds: bool, part_bytes: int):
+        self.path, self.sheet, self.schema, self.kinds, self.part_bytes = path, sheet, schema, kinds, part_bytes
 
     def partitions(self) -> Sequence[InputPartition]:
-        return [InputPartition(0)]
+        size = sheet_size(self.path, self.sheet)
+        n = max(1, min(MOST_PARTS, -(-size // self.part_bytes)))
+        return [Part(size * k // n, size * (k + 1) // n) for k in range(n)]
 
-    def read(self, _: InputPartition) -> Iterator[tuple]:
-        rows = sheet_rows(self.path, self.sheet)
-        head = _names(next(rows, []))
+    def read(self, part: Part) -> Iterator[tuple]:
+        rows = sheet_rows(self.path, self.sheet, part.begin, part.end)
+        head = _names(next(rows if part.begin == 0 else sheet_rows(self.path, self.sheet), []))
         at = [head.index(f.name) for f in self.schema.fields]
 
         def cell(v, kind: T.DataType):
             if v is None:
                 return None
+            if self.kinds:
+                return ("b" if isinstance(v, bool) else "n" if isinstance(v, float) else "s") + (v if isinstance(v, str) else repr(v))
             if isinstance(kind, T.StringType):
                 return v if isinstance(v, str) else str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)
             return int(v) if isinstance(kind, T.LongType) else v

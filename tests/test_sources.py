@@ -192,3 +192,55 @@ def test_row_ids_of_a_format_without_row_places(spark, tmp_path):
     spark.range(1000, numPartitions=4).selectExpr("concat('r', id) AS t").write.text(f"{tmp_path}/t")
     rows = files.with_row_ids(spark.read.text(f"{tmp_path}/t")).collect()
     assert sorted(r._row_id for r in rows) == list(range(1000)) and rows[0].value.startswith("r")
+
+
+def workbook(path, sheet, shared=None):
+    import zipfile
+
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="{rel}"><sheets><sheet name="S" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", sheet)
+        if shared:
+            z.writestr("xl/sharedStrings.xml", shared)
+
+
+def test_spreadsheets_of_other_programs(spark, tmp_path):
+    """Shared strings with runs and phonetic text, prefixes, gaps, entities, CDATA, empty rows; cut anywhere, the rows are the same."""
+    main = 'xmlns:x="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    shared = f'<x:sst {main}><x:si><x:t>name</x:t></x:si><x:si><x:r><x:t>a </x:t></x:r><x:r><x:rPr/><x:t xml:space="preserve">&amp;lt; b</x:t></x:r><x:rPh><x:t>no</x:t></x:rPh></x:si><x:si/></x:sst>'
+    rows = '<x:row r="1"><x:c r="A1" t="s"><x:v>0</x:v></x:c><x:c r="C1" t="inlineStr"><x:is><x:t>flag</x:t></x:is></x:c><x:c r="D1" t="str"><x:f>1</x:f><x:v>n</x:v></x:c></x:row>'
+    rows += '<x:row r="2"><x:c r="A2" t="s"><x:v>1</x:v></x:c><x:c r="C2" t="b"><x:v>1</x:v></x:c><x:c r="D2"><x:v>2</x:v></x:c></x:row><x:row r="3"/>'
+    rows += '<x:row r="4"><x:c r="A4" t="inlineStr"><x:is><x:t><![CDATA[<i>&]]> x&#233;\r\ny</x:t></x:is></x:c><x:c r="B4"/><x:c r="D4" s="1"><x:v>1E2</x:v></x:c></x:row>'
+    rows += "".join(f'<x:row r="{k}"><x:c r="A{k}" t="s"><x:v>{k % 3}</x:v></x:c><x:c r="D{k}"><x:v>{k}</x:v></x:c></x:row>' for k in range(5, 60))
+    path = str(tmp_path / "other.xlsx")
+    workbook(path, f'<?xml version="1.0"?><x:worksheet {main}><x:cols/><x:sheetData>{rows}</x:sheetData><x:rowBreaks count="1"/></x:worksheet>', shared)
+    whole = list(xlsx.sheet_rows(path))
+    assert whole[0] == ["name", None, "flag", "n"] and whole[1] == ["a &lt; b", None, True, 2.0] and whole[2] == [] and whole[3] == ["<i>& x\u00e9\ny", None, None, 100.0]
+    assert len(whole) == 59 and [r[0] for r in whole[4:7]] == ["", "name", "a &lt; b"]
+    size = xlsx.sheet_size(path)
+    for n in (2, 7, 100):
+        cuts = [size * k // n for k in range(n + 1)]
+        assert [r for a, b in zip(cuts, cuts[1:], strict=False) for r in xlsx.sheet_rows(path, 0, a, b)] == whole
+    df = files.read(spark, path, options={"part_bytes": 500})
+    assert df.rdd.getNumPartitions() > 8 and [f.dataType.simpleString() for f in df.schema.fields] == ["string", "string", "boolean", "bigint"]
+    got = df.collect()
+    assert [tuple(r) for r in got[:3]] == [("a &lt; b", None, True, 2), (None, None, None, None), ("<i>& x\u00e9\ny", None, None, 100)] and len(got) == 58
+    assert spark.read.format("xlsx").load(path).schema == df.schema
+
+
+def test_large_spreadsheets_are_written_and_read_by_many_tasks(spark, tmp_path):
+    import zipfile
+
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "large.xlsx")
+    rows = spark.range(0, 60_000, 1, 6).select("id", F.concat(F.lit("text <&> \u00e9 "), F.col("id").cast("string")).alias("t"), (F.col("id") / 4).alias("x"), F.when(F.col("id") % 3 == 0, F.col("id") % 2 == 0).alias("b"))
+    files.write(rows, path)
+    with zipfile.ZipFile(path) as z:
+        assert z.testzip() is None and z.getinfo("xl/worksheets/sheet1.xml").file_size == len(z.read("xl/worksheets/sheet1.xml"))
+    back = files.read(spark, path, options={"part_bytes": 1 << 20})
+    assert back.rdd.getNumPartitions() > 4 and back.schema.simpleString() == "struct<id:bigint,t:string,x:double,b:boolean>"
+    assert [tuple(r) for r in back.collect()] == [tuple(r) for r in rows.collect()]
+    assert xlsx.crc_joined(0x12345678, 0, 0) == 0x12345678
