@@ -15,10 +15,12 @@ from dataclasses import dataclass
 from datetime import date, datetime
 from decimal import Decimal
 from html import unescape
+from itertools import islice
 from pathlib import Path
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
@@ -115,7 +117,14 @@ def _text(item: bytes) -> str:
     return "".join(_plain(m[2] or b"") for m in _T.finditer(item))
 
 
+#: A cell as most programs write it: column, type, and a value or a text without elements in it.
+_USUAL = re.compile(rb'<c(?: r="([A-Z]+)[0-9]+")?(?: s="[0-9]+")?(?: t="(\w+)")?(?:/>|>(?:<v>([^<]*)</v>|<is><t(?: [^>]*)?>([^<]*)</t></is>)?</c>)')
+
+
 def _cells(row: bytes, strings: _Strings, columns: dict[bytes, int]) -> list:
+    usual = _USUAL.findall(row)
+    if usual and len(usual) == row.count(b"<c"):
+        return _usual_cells(usual, strings, columns)
     out: list = []
     for m in _CELL.finditer(row):
         said, inner = m[1] or b"", m[2]
@@ -136,6 +145,28 @@ def _cells(row: bytes, strings: _Strings, columns: dict[bytes, int]) -> list:
     return out
 
 
+def _usual_cells(cells: list[tuple[bytes, bytes, bytes, bytes]], strings: _Strings, columns: dict[bytes, int]) -> list:
+    out: list = []
+    for name, kind, v, text in cells:
+        if name:
+            at = columns[name] if name in columns else columns.setdefault(name, column_of(name.decode()))
+            if at != len(out):
+                if at < len(out):  # out of order: the place it names is overwritten
+                    out[at] = None
+                    out = out[:at] + _usual_cells([(b"", kind, v, text)], strings, columns) + out[at + 1 :]
+                    continue
+                out += [None] * (at - len(out))
+        if text:
+            out.append(_plain(text) if kind == b"inlineStr" else None)
+        elif not v:
+            out.append("" if kind == b"inlineStr" else None)
+        elif not kind or kind == b"n":
+            out.append(float(v))
+        else:
+            out.append(strings[int(v)] if kind == b"s" else v == b"1" if kind == b"b" else _plain(v) if kind in (b"str", b"e") else float(v))
+    return out
+
+
 def sheet_rows(path: str, sheet: int | str = 0, begin: int = 0, end: int | None = None) -> Iterator[list]:
     """Rows of a sheet, by place or name, as lists of str, float, bool or None: those that begin within the bytes from ``begin`` to ``end`` of its text.
 
@@ -239,22 +270,27 @@ class XlsxReader(DataSourceReader):
         n = max(1, min(MOST_PARTS, -(-size // self.part_bytes)))
         return [Part(size * k // n, size * (k + 1) // n) for k in range(n)]
 
-    def read(self, part: Part) -> Iterator[tuple]:
+    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
         rows = sheet_rows(self.path, self.sheet, part.begin, part.end)
         head = _names(next(rows if part.begin == 0 else sheet_rows(self.path, self.sheet), []))
         at = [head.index(f.name) for f in self.schema.fields]
+        types = [_ARROW.get(f.dataType, pa.string()) for f in self.schema.fields]
 
-        def cell(v, kind: T.DataType):
+        def cell(v, kind: pa.DataType):
             if v is None:
                 return None
             if self.kinds:
                 return ("b" if isinstance(v, bool) else "n" if isinstance(v, float) else "s") + (v if isinstance(v, str) else repr(v))
-            if isinstance(kind, T.StringType):
+            if kind == pa.string():
                 return v if isinstance(v, str) else str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)
-            return int(v) if isinstance(kind, T.LongType) else v
+            return int(v) if kind == pa.int64() else v
+
+        while some := list(islice(rows, 4096)):
+            columns = [pa.array([cell(r[k] if k < len(r) else None, t) for r in some], t) for k, t in zip(at, types, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in self.schema.fields])
+
 
-        for r in rows:
-            yield tuple(cell(r[k] if k < len(r) else None, f.dataType) for k, f in zip(at, self.schema.fields, strict=True))
+_ARROW = {T.LongType(): pa.int64(), T.DoubleType(): pa.float64(), T.BooleanType(): pa.bool_()}
 
 
 @dataclass
