@@ -36,12 +36,12 @@ def may_retry(retry: Retry) -> Column:
 
 
 def infer_rounds(
-    current: Callable[[], DataFrame], again: Callable[[DataFrame], DataFrame], make_client: Callable[[], ModelClient], id_col: str, workdir: str, required: Sequence[str] = (), rules: Mapping[str, Sequence] | None = None, retry: Retry | None = None, concurrency: int = 16, rps: float | None = None, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic,
+    current: Callable[[], DataFrame], again: Callable[[DataFrame], DataFrame], make_client: Callable[[], ModelClient], id_col: str, workdir: str, required: Sequence[str] = (), rules: Mapping[str, Sequence] | None = None, retry: Retry | None = None, concurrency: int = 16, rps: float | None = None, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic, log: bool = True,
 ) -> DataFrame:
     """(id, reply_json, _error, _error_type, attempts, errors) of all rows, a row for each id.
 
     ``current()`` gives the rows to send first, with the id and what ``infer`` reads; ``again(ids)`` reads those with these ids from the source anew.
-    An id that the source no longer has fails with ``reload_failed``. Ids are unique. Results and rounds are below ``workdir``, and a run over
+    An id that the source no longer has fails with ``reload_failed``. Ids are unique. Results, rounds and, with ``log``, the replies of running tasks are below ``workdir``, and a run over
     the same folder goes on where the last one stopped. The pause is one for all tasks: before the next round, if a row failed by an API error
     and the last pause is longer ago than the window.
     """
@@ -55,7 +55,7 @@ def infer_rounds(
     asked = written(spark, f"{workdir}/asked-0", lambda: first.withColumns(counters))
     while True:
         kept = [id_col, *counters]
-        said = written(spark, f"{workdir}/said-{n}", lambda: infer(asked, make_client, kept, required, rules, once, concurrency, rps, journal=f"{workdir}/journal-{n}"))
+        said = written(spark, f"{workdir}/said-{n}", lambda: infer(asked, make_client, kept, required, rules, once, concurrency, rps, journal=f"{workdir}/journal-{n}" if log else None))
         tries = sum((F.col(f"tries_{k}") for k in KINDS), F.lit(0))
         history = F.concat("history", "errors")
         told = said.withColumn("attempts", F.col("attempts") + tries).withColumn("errors", F.slice(history, F.greatest(F.size(history) - 4, F.lit(1)), 5))

@@ -58,11 +58,12 @@ class Enrichment:
     def replies(self, pending: DataFrame, path: str | None = None) -> DataFrame:
         """Model replies of pending rows, written to and read from a folder, by default a new one in the working folder.
 
-        A folder that has complete replies is read and nothing is called. While tasks run, they log replies beside it, which tasks that are tried again use.
+        A folder that has complete replies is read and nothing is called. While tasks run, they log replies beside it, which tasks that are tried again use
+        (unless ``journal`` is false in the section on concurrency, for stores that Arrow can't write to).
         """
         limits = self.config["datasource"]["concurrency"]
         path = path or f"{self.workdir}/replies-{uuid.uuid4().hex}"
-        out = lambda: infer(pending, self.make_client, [self.spec.id_col], self.config["prompt"]["required_fields"], self._rules(), self.retry, limits["batch_size"], limits.get("rps"), self.make_reread, journal=f"{path}-journal")
+        out = lambda: infer(pending, self.make_client, [self.spec.id_col], self.config["prompt"]["required_fields"], self._rules(), self.retry, limits["batch_size"], limits.get("rps"), self.make_reread, journal=f"{path}-journal" if limits.get("journal", True) else None)
         return written(self.spark, path, out)
 
     def replies_in_rounds(self, source: Callable[[], DataFrame], name: str | None = None, **how: Any) -> DataFrame:
@@ -73,7 +74,7 @@ class Enrichment:
             return self.pending(reload(source(), ids, self.spec.id_col), all_rows=True)
 
         return infer_rounds(
-            lambda: self.pending(source()), again, self.make_client, self.spec.id_col, f"{self.workdir}/{name or f'rounds-{uuid.uuid4().hex}'}", self.config["prompt"]["required_fields"], self._rules(), self.retry, limits["batch_size"], limits.get("rps"), **how
+            lambda: self.pending(source()), again, self.make_client, self.spec.id_col, f"{self.workdir}/{name or f'rounds-{uuid.uuid4().hex}'}", self.config["prompt"]["required_fields"], self._rules(), self.retry, limits["batch_size"], limits.get("rps"), **{"log": limits.get("journal", True)} | how
         )
 
     def run_source(self, name: str | None = None, on_failure: str = "mark", missing: str = "keep", **how: Any) -> tuple[DataFrame, DataFrame]:
