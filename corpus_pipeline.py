@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.llm.bpe import bpe_decode, bpe_encode
+from tablemill.llm.bpe import bpe_encode
 from tablemill.llm.common import staged, table
 from tablemill.llm.exact_dedup import drop_copies
 from tablemill.llm.mixing import draw
@@ -38,9 +38,8 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row of the mix, and whether they decode to its text."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     text = F.coalesce(docs["text"], F.lit(""))
-    ids = bpe_encode(docs.select("doc_id", "text", "lang", "source", "n_chars", F.sha2(text, 256).alias("_text")), path, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source", "_text"])
-    back = bpe_decode(ids, path)
-    return back.select("doc_id", "lang", "source", "n_tokens", "ids", (F.sha2("decoded", 256) == F.col("_text")).alias("round_trip"))
+    ids = bpe_encode(docs.select("doc_id", "text", "lang", "source", "n_chars", F.sha2(text, 256).alias("_text")), path, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source", "_text"], decoded_col="decoded")
+    return ids.select("doc_id", "lang", "source", "n_tokens", "ids", (F.sha2("decoded", 256) == F.col("_text")).alias("round_trip"))
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("n-gram Jaccard join", near), ("mixing sources", mixed), ("byte-level BPE", encoded)]

@@ -206,36 +206,40 @@ def encoder(path: str, splitter: Splitter) -> Callable[[str], bytes]:
     return lambda text: b"".join(map(memo.__getitem__, find(text)))
 
 
-def bpe_encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
+def _decoder(path: str) -> Callable[[bytes | None], bytes]:
+    by_id = {i: t for t, i in load_ranks(path).items()}
+    return lambda ids: b"".join(map(by_id.__getitem__, array("I", ids or b"")))
+
+
+def bpe_encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "ids", keep: list[str] | None = None, decoded_col: str | None = None) -> DataFrame:
     """Add ``ids`` (binary, little-endian unsigned 32-bit) and ``n_tokens`` for every text.
 
     Each match of ``pattern`` is encoded by itself; characters outside every match give no token. A null or empty text
     gives no ids. Input columns called like an output column are replaced; repeated rows and null ids stay as they are.
-    No row leaves its task: there is no shuffle, and a lost task is simply run again.
+    No row leaves its task: there is no shuffle, and a lost task is simply run again. With ``decoded_col`` the ids are
+    decoded at once, as by ``bpe_decode`` but in the same Python worker, where a task would else need two.
     """
     own = tiktoken_pattern(pattern)
+    out = [(out_col, "binary", pa.binary()), ("n_tokens", "bigint", pa.int64())] + ([(decoded_col, "binary", pa.binary())] if decoded_col else [])
 
     def make():
         encode = encoder(path, own)
+        decode = _decoder(path) if decoded_col else None
 
         def one(text):
             ids = encode(text or "")
-            return ids, len(ids) // 4
+            return (ids, len(ids) // 4, decode(ids)) if decode else (ids, len(ids) // 4)
 
         return one
 
-    return map_rows(df, make, text_col, [(out_col, "binary", pa.binary()), ("n_tokens", "bigint", pa.int64())], keep)
+    return map_rows(df, make, text_col, out, keep)
 
 
 def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Add the bytes that the ids stand for (binary, as ids may cut a character). Null ids give empty bytes; an id outside the vocabulary raises."""
 
     def make():
-        by_id = {i: t for t, i in load_ranks(path).items()}
-
-        def one(ids):
-            return (b"".join(map(by_id.__getitem__, array("I", ids or b""))),)
-
-        return one
+        decode = _decoder(path)
+        return lambda ids: (decode(ids),)
 
     return map_rows(df, make, ids_col, [(out_col, "binary", pa.binary())])

@@ -240,6 +240,31 @@ def test_one_row_of_equal_texts_stays(spark):
     assert kept[0].__fields__ == df.columns and exact_dedup.drop_copies(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("keep", ["max", "min"])
+def test_rows_move_once_whatever_the_number_of_copies(spark, keep):
+    """Verdicts stay with the rows: no join of whole rows, whose shuffle would come with the number of copies."""
+    rng = random.Random(3)
+    rows = [(i if rng.random() < 0.9 else None, rng.choice(["Hot copy", "hot COPY", "ÄB", "äb", "", None, f"Own {i % 150}", "x" * 60 + str(i % 5)])) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[lowered(t)].append(i)
+    ids = {t: [i for i in own if i is not None] for t, own in groups.items()}
+    want = Counter((t, (max if keep == "max" else min)(own) if own else None) for t, own in ids.items())
+    kept = exact_dedup.drop_copies(df, keep=keep)
+    assert Counter((lowered(r.text), r.doc_id) for r in kept.collect()) == want
+    unlike = spark.createDataFrame([(i, f"Own {i // 2}") for i in range(2000)], "doc_id bigint, text string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for some in (df, unlike):
+            plan = exact_dedup.drop_copies(some, keep=keep)._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and plan.count("rangepartitioning") == 1 and "hashpartitioning(_row" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert exact_dedup.drop_copies(unlike, keep=keep).count() == 1000
+
+
 def test_pruning_keeps_what_may_reach():
     least = ngram_join.least_matches(0.8, 1e-6)
     assert least == sorted(least) and least[0] < 0.8 * 32 and least[-1] < 0.8 * 128

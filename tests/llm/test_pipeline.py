@@ -60,6 +60,12 @@ def test_run_gives_the_last_stage(spark, small):
     assert corpus_pipeline.run(spark, small).columns == ["doc_id", "lang", "source", "n_tokens", "ids", "round_trip"]
 
 
+def test_a_task_of_the_last_stage_needs_one_python_worker(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    plan = corpus_pipeline.encoded(spark, docs, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_stages_on_nasty_rows(spark, nasty, small):
     from pyspark.sql import functions as F
 
