@@ -178,7 +178,10 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        self.put(key, value)
+        if len(self) >= self.most:
+            self.put(key, value)
+        else:
+            self[key] = value
         return value
 
     def put(self, key, value) -> None:

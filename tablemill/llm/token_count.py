@@ -31,17 +31,28 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(others)}
 
 
+def _said(path: str) -> dict:
+    """A tokenizer file of the kind that is supported."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    model, pre = said["model"], said["pre_tokenizer"] or {}
+    if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre.get("add_prefix_space") or said["normalizer"] or model.get("ignore_merges"):
+        raise ValueError(f"{path}: only plain byte-level BPE is supported")
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in said["added_tokens"]):
+        raise ValueError(f"{path}: added tokens that look at their neighbours are not supported")
+    return said
+
+
+def _special(said: dict) -> dict[str, int]:
+    return {t["content"]: t["id"] for t in said["added_tokens"]}
+
+
 class Vocabulary:
     """What a tokenizer file of this kind says: ids and merge ranks in bytes, and special strings."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            said = json.load(f)
-        model, pre = said["model"], said["pre_tokenizer"] or {}
-        if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre.get("add_prefix_space") or said["normalizer"] or model.get("ignore_merges"):
-            raise ValueError(f"{path}: only plain byte-level BPE is supported")
-        if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in said["added_tokens"]):
-            raise ValueError(f"{path}: added tokens that look at their neighbours are not supported")
+        said = _said(path)
+        model = said["model"]
         to_byte = _byte_alphabet()
         raw = lambda s: bytes(map(to_byte.__getitem__, s))
         self.ids = {raw(s): i for s, i in model["vocab"].items()}
@@ -50,7 +61,7 @@ class Vocabulary:
         self.left = {raw(a + b): len(raw(a)) for a, b in pairs}
         if len(self.ranks) != len(pairs):
             raise ValueError(f"{path}: a token is made by more than one pair")
-        self.special = {t["content"]: t["id"] for t in said["added_tokens"]}
+        self.special = _special(said)
 
     def split(self, piece: bytes) -> list[bytes]:
         return merge(piece, self.ranks.get, self.left)
@@ -131,7 +142,7 @@ class LibraryEncoder:
         # the model belongs to the tokenizer
         self.library = Tokenizer.from_file(path)
         self.tokenize = self.library.model.tokenize
-        self.special = vocabulary(path).special
+        self.special = _special(_said(path))
         self.cut = special_splitter(self.special)
         self.find = splitter.finder()
         self.letters = "".join(sorted(_byte_alphabet(), key=_byte_alphabet().get))
@@ -142,12 +153,18 @@ class LibraryEncoder:
         """Ids of one pre-token."""
         return array("I", [t.id for t in self.tokenize(charmap_decode(piece.encode(), "strict", self.letters)[0])]).tobytes()
 
+    def _letters(self, letters: str) -> bytes:
+        """Ids of the pre-token of a space and letters."""
+        if letters.isascii():  # these stand for themselves, so only the space is replaced
+            return array("I", [t.id for t in self.tokenize("\u0120" + letters)]).tobytes()
+        return self._piece(" " + letters)
+
     def _word(self, word: str) -> bytes | None:
         """Ids of a space and what follows it up to the next, or None if white space stands at either end of that."""
         usual = self.usual(word)
         if usual is not None:  # a pre-token of a space and letters, and perhaps one of a character
             letters, mark = usual.groups()
-            return self.words[letters] + self.pieces[mark] if mark else self._piece(" " + letters)
+            return self.words[letters] + self.pieces[mark] if mark else self._letters(letters)
         if not word or word[0].isspace() or word[-1].isspace():
             return None
         pieces = self.find(" " + word)

@@ -30,6 +30,16 @@ SLICE = 128
 SCHEMA = "part int, seq int, before bigint, n_ids bigint, doc_ids array<bigint>, lengths array<int>, offsets array<int>, words binary"
 
 
+def _in_a_row(fits: np.ndarray, count: int) -> np.ndarray:
+    """Where ``count`` places in a row, the last of which exists, are all true."""
+    width = 1
+    while width < count:
+        step = min(width, count - width)
+        fits = fits[:-step] & fits[step:]
+        width += step
+    return fits
+
+
 def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """Words of ``ids`` (under 2**60), and where each block of ``block`` ids begins among them."""
     n = len(ids)
@@ -43,18 +53,17 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     at = np.arange(n, dtype=np.int32)
     left = np.minimum(block - at % block, n - at)
     choice = np.full(n, len(SELECTORS) - 1, dtype=np.int8)
-    wide = np.zeros(n + 1, dtype=np.int32)
     for s in range(len(SELECTORS) - 2, -1, -1):
         count, bits = SELECTORS[s]
         if count > n:
             break
-        ok = left >= count
+        ok = left[: n - count + 1] >= count
         if top >> bits:
-            np.cumsum(small > (1 << bits) - 1, out=wide[1:])
-            ok[: n - count + 1] &= wide[count:] == wide[: n - count + 1]
+            ok &= _in_a_row(small < 1 << bits, count)
             if not ok.any():
                 break  # fewer bits fit nowhere either
-        choice[ok] = s
+        # what fits here has fitted all selectors before, which hold fewer and wider ids
+        choice[: n - count + 1] -= ok.view(np.int8)
     step = _COUNTS[choice].tolist()
     starts, i = [], 0
     while i < n:

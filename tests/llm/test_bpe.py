@@ -130,3 +130,12 @@ def test_token_counts_nasty(nasty):
     rows = token_count.token_counts(nasty, JSON, 512).collect()
     assert len(rows) == len(NASTY) and all((r.n_tokens == 0) == (not r.text) for r in rows)
     assert token_count.token_counts(nasty.limit(0), JSON, 512).count() == 0
+
+
+def test_library_encoder_reads_no_more_than_special_strings(monkeypatch):
+    """Ids come from the library's own model, so its worker builds no ranks of ours."""
+    monkeypatch.setattr(token_count, "vocabulary", lambda path: pytest.fail("the whole vocabulary was built"))
+    encode = token_count.LibraryEncoder(JSON, token_count.tokenizers_pattern())
+    library = Tokenizer.from_file(JSON)
+    texts = ["", "plain words, and onlyouth ofthhareble; \u00e9t\u00e9 na\u00efve", "a  b\n c <s> </s>x", *(t or "" for _, t, _ in NASTY)]
+    assert [list(array("I", ids)) for ids in encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
