@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablemill.functions.batches import small_batches
 from tablemill.functions.emptiness import to_text
 from tablemill.functions.prompt import messages_text, output_json, record_json, render
 from tablemill.operators.predicates import processed, unprocessed
@@ -16,6 +17,8 @@ from tablemill.operators.stats import token_stats
 from tablemill.plans.spec import TaskSpec, token_mode
 
 Counter = Callable[[Column], Column]
+#: Texts that are Python strings at a time.
+SLICE = 64
 
 
 def by_length(text: Column) -> Column:
@@ -35,14 +38,20 @@ def _encoding(path: str, pattern: str):
 
 
 def by_ranks(path: str, pattern: str) -> Counter:
-    """Tokens by a file of merge ranks, in Arrow batches; the vocabulary is loaded once in each Python worker."""
+    """Tokens by a file of merge ranks, in Arrow batches; the vocabulary is loaded once in each Python worker.
 
-    @F.pandas_udf("bigint")
-    def count(texts: pd.Series) -> pd.Series:
-        encoding = _encoding(path, pattern)
-        return texts.map(lambda t: len(encoding.encode_ordinary(t)) if t else 0)
+    Texts become Python strings SLICE at a time, so a worker holds the vocabulary, a batch and little else. Called
+    non-deterministic, as a filter of the count would else be pushed below it and count each text again in a second worker.
+    """
+
+    def counts(texts: pa.Array) -> pa.Array:
+        encode = _encoding(path, pattern).encode_ordinary
+        out = []
+        for lo in range(0, len(texts), SLICE):
+            out += [len(encode(t)) if t else 0 for t in texts.slice(lo, SLICE).to_pylist()]
+        return pa.array(out, pa.int64())
 
-    return count
+    return F.arrow_udf(counts, "bigint").asNondeterministic()
 
 
 def input_tokens(df: DataFrame, spec: TaskSpec, template: str, system: str = "", count: Counter = by_length, exclude: tuple[str, ...] = ()) -> Column:
@@ -62,6 +71,8 @@ def estimate(df: DataFrame, spec: TaskSpec, template: str, system: str = "", mod
     sample is the first rows by id, pending or processed, and the total is carried on to all of these. No rows: zeros.
     """
     mode, out = token_mode(mode), {}
+    if count is not by_length:
+        small_batches(df.sparkSession)
     text = df.withColumns({c: to_text(df, c) for c in spec.inputs if c in df.columns and c != spec.id_col})
     if mode in ("in", "io"):
         rows, total = text, None

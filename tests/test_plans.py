@@ -2,6 +2,7 @@ import base64
 import json
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +123,19 @@ def test_tokens_are_counted_by_a_vocabulary(spark):
     assert (inputs.total_estimated, inputs.min, inputs.max) == (sum(want), min(want), max(want)) and outputs.sample_count == 1
 
 
+def test_counting_by_a_vocabulary_takes_one_worker_and_small_batches(spark):
+    import public_tokenizers
+
+    count = tokens.by_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    df = spark.range(0, 3000, 1, 1).select("id", F.concat(F.lit("text "), F.col("id").cast("string")).alias("q"), F.lit("done").alias("a"))
+    got = tokens.estimate(df, TaskSpec(("q",), {"a": "a"}, "id"), "Q: {record_json}", "", "io", count=count)
+    for side in ("input_tokens", "output_tokens"):
+        assert got[side]._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+        assert got[side].first().sample_count == 3000
+    rows_of_batch = F.arrow_udf(lambda a: pa.array([len(a)] * len(a), pa.int64()), "bigint")
+    assert df.select(F.max(rows_of_batch("q"))).first()[0] <= 1024
+
+
 class Flaky:
     """Fails by what the prompt says, a number of times."""
 
