@@ -12,7 +12,9 @@ from array import array
 from codecs import charmap_decode
 from collections.abc import Callable
 from functools import lru_cache
+from operator import attrgetter
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -23,6 +25,11 @@ from tablemill.llm.common import map_rows
 #: Fixed value: how byte-level tokenizers split text before merging.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: By byte: ASCII letters and digits, and the other visible ASCII characters.
+_ALNUM = np.array([b < 0x80 and chr(b).isalnum() for b in range(256)])
+_MARKS = np.array([0x20 < b < 0x7F for b in range(256)]) & ~_ALNUM
+_id = attrgetter("id")
+
 
 def _byte_alphabet() -> dict[str, int]:
     """Characters that stand for bytes in such files: printable bytes stand for themselves, the others follow from U+0100 on."""
@@ -131,9 +138,9 @@ class LibraryEncoder:
     """Texts to ids as the tokenizers library gives them, whose model is asked for each new pre-token.
 
     Pre-tokens are encoded independently of each other, so the ids of a text are those of its pre-tokens in order. A
-    space between two characters that aren't white space always begins a pre-token; texts are cut at spaces first, and
-    what stands between two is looked up whole. Texts with other white space beside a space, which may end a pre-token
-    elsewhere, are split as they are.
+    space between two characters that aren't white space always begins a pre-token, and so does an ASCII mark after an
+    ASCII letter or digit. Texts are cut there, all of a batch at once, and each different chunk of the batch is looked
+    up once. Texts with other white space beside a space, which may end a pre-token elsewhere, are split as they are.
     """
 
     def __init__(self, path: str, splitter: Splitter, most: int = 1 << 19):
@@ -146,48 +153,47 @@ class LibraryEncoder:
         self.cut = special_splitter(self.special)
         self.find = splitter.finder()
         self.letters = "".join(sorted(_byte_alphabet(), key=_byte_alphabet().get))
-        self.pieces, self.words = Memo(self._piece, most >> 3), Memo(self._word, most)
-        self.usual = re.compile(f"([{splitter.letters}]+)([.,;:!?]?)").fullmatch
+        self.pieces, self.chunks = Memo(self._piece, most >> 3), Memo(self._chunk, most)
+        self.usual = re.compile(f" ?[{splitter.letters}]+").fullmatch
 
     def _piece(self, piece: str) -> bytes:
         """Ids of one pre-token."""
-        return array("I", [t.id for t in self.tokenize(charmap_decode(piece.encode(), "strict", self.letters)[0])]).tobytes()
-
-    def _letters(self, letters: str) -> bytes:
-        """Ids of the pre-token of a space and letters."""
-        if letters.isascii():  # these stand for themselves, so only the space is replaced
-            return array("I", [t.id for t in self.tokenize("\u0120" + letters)]).tobytes()
-        return self._piece(" " + letters)
-
-    def _word(self, word: str) -> bytes | None:
-        """Ids of a space and what follows it up to the next, or None if white space stands at either end of that."""
-        usual = self.usual(word)
-        if usual is not None:  # a pre-token of a space and letters, and perhaps one of a character
-            letters, mark = usual.groups()
-            return self.words[letters] + self.pieces[mark] if mark else self._letters(letters)
-        if not word or word[0].isspace() or word[-1].isspace():
+        return array("I", map(_id, self.tokenize(charmap_decode(piece.encode(), "strict", self.letters)[0]))).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes | None:
+        """Ids of what stands between two cuts, or None if white space makes one of them doubtful."""
+        if self.usual(chunk):
+            return self._piece(chunk)
+        if chunk[-1].isspace() or chunk[0] == " " and chunk[1].isspace():
             return None
-        pieces = self.find(" " + word)
-        return self.pieces[pieces[0]] if len(pieces) == 1 else b"".join(map(self.pieces.__getitem__, pieces))
-
-    def _plain(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        if rest and not first[-1:].isspace():
-            try:
-                return b"".join([*map(self.pieces.__getitem__, self.find(first)), *map(self.words.__getitem__, rest)])
-            except TypeError:  # one of the words is None
-                pass
-        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+        pieces = self.find(chunk)
+        return self._piece(chunk) if len(pieces) == 1 else b"".join(map(self.pieces.__getitem__, pieces))
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        own = [text.encode() for text in texts]
+        raw, limits = np.frombuffer(b"".join(own), dtype=np.uint8), np.cumsum([0, *map(len, own)])
+        if not len(raw):
+            return own
+        begins = raw == ord(" ")
+        marks = np.flatnonzero(_MARKS[raw])
+        begins[marks[_ALNUM[raw[marks - 1]]]] = True
+        begins[limits[:-1][np.diff(limits) > 0]] = True
+        at = np.flatnonzero(begins)
+        chunks = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(raw))), pa.py_buffer(raw)).dictionary_encode()
+        known = pa.array(map(self.chunks.__getitem__, chunks.dictionary.to_numpy(zero_copy_only=False)), pa.large_binary())
+        spread = pa.DictionaryArray.from_arrays(chunks.indices, known).dictionary_decode()
+        _, ends, ids = spread.buffers()
+        ids, bounds = memoryview(ids or b""), np.frombuffer(ends, dtype=np.int64)[np.searchsorted(at, limits)].tolist()
+        out = [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+        for k in set((np.searchsorted(limits, at[spread.is_null().to_numpy(zero_copy_only=False)], side="right") - 1).tolist()):
+            out[k] = b"".join(map(self.pieces.__getitem__, self.find(texts[k])))
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            if self.cut and any(s in text for s in self.special):
-                parts = self.cut(text)
-                out.append(b"".join(array("I", [self.special[x]]).tobytes() if k % 2 else self._plain(x) for k, x in enumerate(parts)))
-            else:
-                out.append(self._plain(text))
-        return out
+        # plain texts at even places, special strings at odd ones
+        cut = [self.cut(text) if self.cut and any(s in text for s in self.special) else [text] for text in texts]
+        plain = iter(self._plain([x for parts in cut for x in parts[::2]]))
+        return [b"".join([array("I", [self.special[x]]).tobytes() if k % 2 else next(plain) for k, x in enumerate(parts)]) for parts in cut]
 
 
 @lru_cache(maxsize=2)

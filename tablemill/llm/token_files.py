@@ -25,8 +25,8 @@ SELECTORS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (1
 _COUNTS = np.array([n for n, _ in SELECTORS], dtype=np.int64)
 BLOCK = 4096
 RECORD_IDS = 1 << 16
-#: Documents encoded at a time.
-SLICE = 128
+#: Documents encoded at a time; an Arrow batch is bounded in bytes, too.
+SLICE = 1024
 SCHEMA = "part int, seq int, before bigint, n_ids bigint, doc_ids array<bigint>, lengths array<int>, offsets array<int>, words binary"
 
 
@@ -64,20 +64,27 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
                 break  # fewer bits fit nowhere either
         # what fits here has fitted all selectors before, which hold fewer and wider ids
         choice[: n - count + 1] -= ok.view(np.int8)
-    step = _COUNTS[choice].tolist()
-    starts, i = [], 0
+    # by each place, where the word after it and the fourth word after it begin
+    after = np.append(np.minimum(at + _COUNTS.astype(np.int32)[choice], n), np.int32(n))
+    second = after[after]
+    fourth = memoryview(second[second])
+    every, i = [], 0
     while i < n:
-        starts.append(i)
-        i += step[i]
-    starts = np.array(starts)
+        every.append(i)
+        i = fourth[i]
+    every = np.array(every)
+    starts = np.stack([every, after[every], second[every], after[second[every]]], axis=1).ravel()
+    starts = starts[starts < n]
     used = choice[starts]
     words = used.astype(np.uint64) << np.uint64(60)
     for s in np.unique(used):
         count, bits = SELECTORS[s]
         if bits:
-            mine = used == s
-            shifts = np.arange(count, dtype=np.uint64) * np.uint64(bits)
-            words[mine] |= np.bitwise_or.reduce(ids[starts[mine][:, None] + np.arange(count)] << shifts, axis=1)
+            mine = np.flatnonzero(used == s)
+            own, first = words[mine], starts[mine]
+            for k in range(count):
+                own |= ids[first + k] << np.uint64(bits * k)
+            words[mine] = own
     return words, np.flatnonzero(starts % block == 0).astype(np.int32)
 
 
@@ -89,9 +96,10 @@ def unpack(words: np.ndarray) -> np.ndarray:
     for s in np.unique(used):
         count, bits = SELECTORS[s]
         if bits:
-            mine = used == s
-            shifts = np.arange(count, dtype=np.uint64) * np.uint64(bits)
-            out[(ends[mine] - count)[:, None] + np.arange(count)] = words[mine][:, None] >> shifts & np.uint64((1 << bits) - 1)
+            mine = np.flatnonzero(used == s)
+            own, first, ones = words[mine], ends[mine] - count, np.uint64((1 << bits) - 1)
+            for k in range(count):
+                out[first + k] = own >> np.uint64(bits * k) & ones
     return out
 
 

@@ -139,3 +139,21 @@ def test_library_encoder_reads_no_more_than_special_strings(monkeypatch):
     library = Tokenizer.from_file(JSON)
     texts = ["", "plain words, and onlyouth ofthhareble; \u00e9t\u00e9 na\u00efve", "a  b\n c <s> </s>x", *(t or "" for _, t, _ in NASTY)]
     assert [list(array("I", ids)) for ids in encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_library_encoder_asks_the_model_once_for_each_pre_token(tokenizer):
+    encode = token_count.LibraryEncoder(JSON, token_count.tokenizers_pattern())
+    asked, model = [], encode.tokenize
+    encode.tokenize = lambda piece: asked.append(piece) or model(piece)
+    texts = [f"in onlyouth{a} ofthhareble{b}" for a in ("", ",", "###", "&&&", "!?", "'s") for b in ("", ".", "###", "$$$")]
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [list(array("I", ids)) for ids in encode(texts) + encode(texts)] == want + want
+    assert len(asked) == len(set(asked)) > 8
+
+
+@given(st.lists(st.lists(st.sampled_from([" ", " ", "\n", "\t", "\x1c", " ", "the", "Z9", "0", "é", "×", "漢", "'s", "'", ",", "###", "~", "\x7f", "<|endoftext|>", "<|endof"]), max_size=8).map("".join), max_size=8))
+@settings(max_examples=600, deadline=None)
+def test_batches_of_texts_as_the_library(tokenizer, texts):
+    """Texts are cut all at once: none may reach into the next, be it empty or split as it is."""
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [list(array("I", ids)) for ids in token_count.library_encoder(JSON, token_count.tokenizers_pattern())(texts)] == want
